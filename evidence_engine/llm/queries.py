@@ -4,23 +4,55 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, line_dedup, quality_rules
+from . import (
+    chat_format,
+    decontamination,
+    license_scan,
+    line_dedup,
+    packing,
+    quality_classifier,
+    quality_rules,
+    secret_scan,
+    simhash,
+    toxicity,
+)
 from .common import table
 from .sql import ORACLES
 
+TOKENIZER = "word_bpe_49k.json"
+
+
+def tokenizer_path(name: str = TOKENIZER) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def _fold(folds: int) -> Column:
+    return F.crc32(F.col("doc_id").cast("string")) % folds
+
+
+#: Conditions over doc_id: the rows whose labels may be learned.
+TOXICITY_LEARN = _fold(3) != 1
+QUALITY_LEARN = _fold(5) != 0
+
+
+def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", "text")
+
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kept = line_dedup.line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    kept = line_dedup.line_dedup(_documents(spark, sf_dir))
     return kept.select(
         "doc_id", F.col("kept_lines").alias("n_lines"), F.col("kept_dropped").alias("n_dropped"), F.sha2("kept_text", 256).alias("kept_sha256")
     )
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = quality_rules.quality_rules(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    out = quality_rules.quality_rules(_documents(spark, sf_dir))
     return out.select(
         F.col("row.doc_id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
     )
@@ -43,9 +75,59 @@ def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_documents(spark, sf_dir), tokenizer_path())
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _documents(spark, sf_dir), table(spark, sf_dir, "labels")
+    model = toxicity.train(docs, toxicity.confirmed(labels), TOXICITY_LEARN, prior=toxicity.label_prior(labels, TOXICITY_LEARN))
+    out = toxicity.scored(docs, model)
+    return out.select("doc_id", (_fold(3) == 1).alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
+
+
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = license_scan.license_paragraphs(_documents(spark, sf_dir))
+    return out.select("doc_id", "paragraph", "family", F.round("probability", 4).alias("probability"), F.round("similarity", 4).alias("similarity"))
+
+
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _documents(spark, sf_dir), table(spark, sf_dir, "labels")
+    out = quality_classifier.scored(docs, quality_classifier.train(docs, labels, QUALITY_LEARN))
+    return out.select("doc_id", (_fold(5) == 0).alias("held_out"), "score", (F.col("score") >= quality_classifier.THRESHOLD).cast("int").alias("predicted"))
+
+
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = secret_scan.secret_spans(_documents(spark, sf_dir))
+    told = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    base = F.filter("spans", lambda s: s["kind"].isin(*secret_scan.KINDS))
+    return out.select("doc_id", *map(count, secret_scan.KINDS), F.sha2(told(base), 256).alias("base_sha256"), told("spans").alias("spans"))
+
+
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = simhash.simhash_classes(_documents(spark, sf_dir))
+    return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.benchmark_matches(_documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_line_dedup, op2_quality_rules, op3_chat_format)
+    for f in (
+        op1_line_dedup,
+        op2_quality_rules,
+        op3_chat_format,
+        op4_best_fit_packing,
+        op5_toxicity,
+        op6_license_scan,
+        op7_quality_classifier,
+        op8_secret_scan,
+        op9_simhash,
+        op10_decontamination,
+    )
 }
 
 
