@@ -29,8 +29,8 @@ from .common import shuffle_partitions, stored
 
 MAX_TOKENS = 4096
 END_ID = 1
-#: Words whose ids one Python worker remembers; beyond it, it forgets and starts anew.
-CACHE_WORDS = 400_000
+#: Words whose ids one Python worker remembers; half of them go at a time.
+CACHE_WORDS = 600_000
 #: Nodes of the search and fillings per node; beyond them the incumbent stands.
 MAX_NODES = 20_000
 BRANCHES = 3
@@ -46,25 +46,45 @@ def _tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
-class WordIds(dict):
-    """Packed ids (32-bit, little-endian) by word. The tokenizer drops white space and never joins words across it, so a
-    text's ids are its words' ids in order."""
-
-    def __init__(self, path: str):
-        super().__init__({"": b""})
-        self.tokenizer = _tokenizer(path)
-
-    def __missing__(self, word: str) -> bytes:
-        ids = self.tokenizer.encode(word, add_special_tokens=False).ids
-        self[word] = packed = struct.pack(f"<{len(ids)}I", *ids)
-        return packed
+class WordIds:
+    """Packed ids (32-bit, little-endian) of texts, remembered by word. The tokenizer drops white space and never joins
+    words across it, so a text's ids are its words' ids in order; it lower-cases, and splits a full stop or comma from
+    letters before it, so that such words need no entry of their own."""
+
+    def __init__(self, path: str, most: int = CACHE_WORDS):
+        self.tokenizer, self.most = _tokenizer(path), most
+        self.known: dict[str, bytes] = {"": b""}
+        self.old: dict[str, bytes] = {}
+
+    def _encode(self, words: list[str]) -> dict[str, bytes]:
+        found = self.tokenizer.encode_batch_fast(words, add_special_tokens=False)
+        return {w: struct.pack(f"<{len(e.ids)}I", *e.ids) for w, e in zip(words, found, strict=True)}
+
+    def _learn(self, new: set[str]) -> None:
+        parts = {}
+        for w in new:
+            if w in self.old:
+                self.known[w] = self.old[w]
+            else:
+                end = w[-1] if w[-1] in ".," and w[:-1].isascii() and w[:-1].isalpha() else ""
+                base = w[: len(w) - len(end)]
+                parts[w] = (base.lower() if base.isascii() and base.isalpha() else base, end)
+        bases = {x for p in parts.values() for x in p if x}
+        ids = self._encode([x for x in bases if x not in self.known])
+        get = lambda x: self.known[x] if x in self.known else ids[x]
+        self.known.update({w: get(base) + get(end) for w, (base, end) in parts.items()})
 
     def of(self, text: str | None) -> bytes:
         """The ids of a text."""
-        if len(self) > CACHE_WORDS:
-            self.clear()
-            self[""] = b""
-        return b"".join(map(self.__getitem__, (text or "").replace("\n", " ").split(" ")))
+        words = (text or "").replace("\n", " ").split(" ")
+        all_words = set(words)
+        new = all_words.difference(self.known)
+        if new:
+            if len(self.known) + len(new) > self.most // 2:  # the old half of the memory goes
+                self.old, self.known = self.known, {"": b""}
+                new = all_words.difference(self.known)
+            self._learn(new)
+        return b"".join(map(self.known.__getitem__, words))
 
 
 @lru_cache(maxsize=2)
