@@ -77,10 +77,9 @@ def keep_bitmaps(docs: DataFrame, **how) -> DataFrame:
 
 
 def with_kept_text(docs: DataFrame, bitmaps: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", prefix: str = "kept") -> DataFrame:
-    """All rows and columns of docs, with {prefix}_lines, {prefix}_dropped (counts) and {prefix}_text (lines left)."""
-    clash = {f"{prefix}_lines", f"{prefix}_dropped", f"{prefix}_text"} & set(docs.columns)
-    if clash:
-        raise ValueError(f"columns {sorted(clash)} exist; choose another prefix")
+    """All rows and columns of docs, with {prefix}_lines, {prefix}_dropped (counts) and {prefix}_text (lines left), which
+    replace columns of these names."""
+    mine = {f"{prefix}_lines", f"{prefix}_dropped", f"{prefix}_text"}
     row = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs[id_col].alias("id"), F.xxhash64(_text(docs, text_col)).alias("hash"))
     text = F.coalesce(F.col("row")[text_col], F.lit(""))
     left = let(
@@ -94,7 +93,7 @@ def with_kept_text(docs: DataFrame, bitmaps: DataFrame, *, id_col: str = "doc_id
     )
     joined = row.join(bitmaps.hint("shuffle_hash"), (F.col("id") == F.col("doc")) & (F.col("hash") == F.col("th")), "left")
     return joined.select(
-        *[F.col("row")[c].alias(c) for c in docs.columns],
+        *[F.col("row")[c].alias(c) for c in docs.columns if c not in mine],
         F.coalesce(F.col("n_lines"), F.size(F.split(text, "\n", -1))).cast("long").alias(f"{prefix}_lines"),
         F.coalesce(F.col("n_dropped"), F.lit(0)).cast("long").alias(f"{prefix}_dropped"),
         F.when(F.col("n_dropped").isNull(), text).otherwise(left).alias(f"{prefix}_text"),
@@ -103,6 +102,5 @@ def with_kept_text(docs: DataFrame, bitmaps: DataFrame, *, id_col: str = "doc_id
 
 def line_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, prefix: str = "kept") -> DataFrame:
     """docs with the text left after line deduplication; see the module's docstring."""
-    docs = docs.select("*")
     bitmaps = keep_bitmaps(docs, id_col=id_col, text_col=text_col, min_chars=min_chars)
     return with_kept_text(docs, bitmaps, id_col=id_col, text_col=text_col, prefix=prefix)

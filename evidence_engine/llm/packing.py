@@ -268,7 +268,7 @@ def places(patterns: list[Pattern]) -> pd.DataFrame:
             taken[x] = rank + many
             at += x
         base += many
-    return pd.DataFrame(rows, columns=["length", "first_rank", "first_sequence", "offset"]).sort_values(["length", "first_rank"], kind="stable").reset_index(drop=True)
+    return pd.DataFrame(rows, columns=["length", "first_rank", "first_sequence", "offset"], dtype="int64").sort_values(["length", "first_rank"], kind="stable").reset_index(drop=True)
 
 
 def ranked(rows: DataFrame, salts: int) -> DataFrame:

@@ -121,7 +121,7 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, *, id_col: str = "d
 
 
 def scored(docs: DataFrame, model: Model | float, *, text_col: str = "text", score_col: str = "score") -> DataFrame:
-    """docs with a score from 0 to 1, higher for good text."""
+    """docs with a score from 0 to 1, higher for good text; a column of that name is replaced."""
     if not isinstance(model, Model):
         return docs.withColumn(score_col, F.lit(float(model)))
 

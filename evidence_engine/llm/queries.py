@@ -35,9 +35,14 @@ def _fold(folds: int) -> Column:
     return F.crc32(F.col("doc_id").cast("string")) % folds
 
 
-#: Conditions over doc_id: the rows whose labels may be learned.
-TOXICITY_LEARN = _fold(3) != 1
-QUALITY_LEARN = _fold(5) != 0
+def toxicity_learn() -> Column:
+    """The rows whose toxicity labels may be learned; a condition over doc_id."""
+    return _fold(3) != 1
+
+
+def quality_learn() -> Column:
+    """The rows whose quality labels may be learned; a condition over doc_id."""
+    return _fold(5) != 0
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -81,7 +86,7 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = _documents(spark, sf_dir), table(spark, sf_dir, "labels")
-    model = toxicity.train(docs, toxicity.confirmed(labels), TOXICITY_LEARN, prior=toxicity.label_prior(labels, TOXICITY_LEARN))
+    model = toxicity.train(docs, toxicity.confirmed(labels), toxicity_learn(), prior=toxicity.label_prior(labels, toxicity_learn()))
     out = toxicity.scored(docs, model)
     return out.select("doc_id", (_fold(3) == 1).alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
 
@@ -93,7 +98,7 @@ def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = _documents(spark, sf_dir), table(spark, sf_dir, "labels")
-    out = quality_classifier.scored(docs, quality_classifier.train(docs, labels, QUALITY_LEARN))
+    out = quality_classifier.scored(docs, quality_classifier.train(docs, labels, quality_learn()))
     return out.select("doc_id", (_fold(5) == 0).alias("held_out"), "score", (F.col("score") >= quality_classifier.THRESHOLD).cast("int").alias("predicted"))
 
 

@@ -17,6 +17,7 @@ with a null doc_id has a class, whose id is the smallest doc_id that is not null
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import partial
 from itertools import combinations
 
@@ -25,8 +26,6 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import LongType
 
 from .common import stored
 
@@ -55,9 +54,16 @@ def fingerprint_of(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -
     return int(np.packbits(2 * counts > n, bitorder="little").view(np.int64)[0])
 
 
-@pandas_udf(LongType())
-def fingerprint(texts: pd.Series) -> pd.Series:
-    return texts.map(fingerprint_of, na_action=None)
+def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id and fp of each row of docs."""
+
+    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "fp": np.array([fingerprint_of(t) for t in pdf["text"]], np.int64)})
+
+    # a plan node of its own: Spark can't run a Python function over a column that a lambda computes in the same projection
+    own = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
+    return own.mapInPandas(rows, "doc_id long, fp long")
 
 
 def masks(n: int, radius: int = RADIUS, bucket: int = BUCKET) -> list[int]:
@@ -191,7 +197,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 def simhash_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
     """doc_id, fp (fingerprint as a signed long) and component_id for each row of docs."""
-    rows = stored(docs.select(docs[id_col].alias("doc_id"), fingerprint(docs[text_col]).alias("fp")))
+    rows = stored(fingerprints(docs, id_col=id_col, text_col=text_col))
     prints = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("first")))
     roots = components(links(prints.select("fp"), prints.count(), radius=radius))
     rooted = prints.join(roots, prints["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))

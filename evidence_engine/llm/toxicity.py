@@ -1,6 +1,6 @@
 """Toxicity scores by non-negative positive-unlabelled learning.
 
-Confirmed toxic examples and unlabelled text train a linear model over the presence of words. Its risk is
+Confirmed toxic examples and unlabelled text (drawn from all documents, so that the class prior holds for it) train a linear model over the presence of words. Its risk is
 ``prior * R_p(+) + max(0, R_u(-) - prior * R_p(-))`` with the logistic loss: the unlabelled risk, corrected by the class
 prior, may not turn negative; where it does, the step goes against that part (as published for non-negative PU learning).
 
@@ -89,10 +89,9 @@ def train(docs: DataFrame, positive: DataFrame, learn: Column, *, prior: float =
     """docs: all texts; positive: ids (column doc_id) of confirmed toxic documents; learn: a condition over doc_id."""
     own = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"))
     chosen = positive.select("doc_id").where(learn & F.col("doc_id").isNotNull()).distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_positive)
-    known = positive.select("doc_id").where(F.col("doc_id").isNotNull()).distinct()
     ids = own.select("doc_id").where(learn & F.col("doc_id").isNotNull()).distinct()
     share = F.pmod(F.xxhash64("doc_id", F.lit("unlabelled")), F.lit(1 << 20)) < int(min(1.0, 1.5 * max_unlabelled / max(1, ids.count())) * (1 << 20))
-    others = ids.where(share).join(known, "doc_id", "left_anti").orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_unlabelled)
+    others = ids.where(share).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_unlabelled)
     picked = chosen.withColumn("positive", F.lit(True)).unionAll(others.withColumn("positive", F.lit(False)))
 
     def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -124,7 +123,7 @@ def train(docs: DataFrame, positive: DataFrame, learn: Column, *, prior: float =
 
 
 def scored(docs: DataFrame, model: Model, *, text_col: str = "text", score_col: str = "score") -> DataFrame:
-    """docs with a score from 0 to 1, higher for toxic text."""
+    """docs with a score from 0 to 1, higher for toxic text; a column of that name is replaced."""
 
     @pandas_udf("double")
     def score(texts: pd.Series) -> pd.Series:
