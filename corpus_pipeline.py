@@ -11,13 +11,13 @@ from pyspark.sql import functions as F
 
 from evidence_engine.llm import decontamination, line_dedup, packing, simhash, toxicity
 from evidence_engine.llm.common import stored, table
-from evidence_engine.llm.queries import TOXICITY_LEARN, tokenizer_path
+from evidence_engine.llm.queries import tokenizer_path, toxicity_learn
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity score stays below the threshold."""
     labels = table(spark, sf_dir, "labels")
-    model = toxicity.train(docs, toxicity.confirmed(labels), TOXICITY_LEARN, prior=toxicity.label_prior(labels, TOXICITY_LEARN))
+    model = toxicity.train(docs, toxicity.confirmed(labels), toxicity_learn(), prior=toxicity.label_prior(labels, toxicity_learn()))
     return toxicity.scored(docs, model, score_col="__toxicity").where(F.col("__toxicity") < toxicity.THRESHOLD).drop("__toxicity")
 
 
