@@ -196,3 +196,21 @@ def profile_sections(texts: DataFrame, required: list[str]) -> DataFrame:
     d = wanted.join(found, ["file", "section"], "left")
     issue = F.when(F.col("n").isNull(), "missing").when(F.col("n") > 1, "repeated").when(stripped(F.col("body")) == "", "empty")
     return d.select("file", "section", "items", stripped(F.col("body")).alias("text"), issue.alias("issue"))
+
+
+def intake_completeness(block: DataFrame, paper_fields: list[str], item_fields: list[str], paper_anchor: str) -> DataFrame:
+    """file, anchor, level, missing: required fields that a paper's header or an item lacks.
+
+    block: file, anchor, body of all blocks; the block whose anchor starts with paper_anchor is the paper's header, and items inherit its fields.
+    """
+    d = block.withColumn("meta", F.coalesce(metadata(F.col("body")), F.create_map().cast("map<string,string>"))).withColumn("paper", F.col("anchor").startswith(paper_anchor))
+    heads = d.where("paper").groupBy("file").agg(F.max_by("meta", "pos").alias("head"))
+    d = d.join(heads, "file", "left").withColumn("head", F.coalesce("head", F.create_map().cast("map<string,string>")))
+
+    def lacking(fields: list[str], *maps: str) -> Column:
+        given = lambda n: F.coalesce(*[F.col(m).getItem(n) for m in maps], F.lit(""))
+        return F.filter(F.array(*[F.when(stripped(given(n)) == "", F.lit(n)) for n in fields]), lambda x: x.isNotNull())
+
+    missing = F.when(F.col("paper"), lacking(paper_fields, "meta")).otherwise(lacking(item_fields, "meta", "head"))
+    level = F.when(F.col("paper"), "paper").otherwise("item")
+    return d.select("file", "anchor", level.alias("level"), missing.alias("missing")).where(F.size("missing") > 0)

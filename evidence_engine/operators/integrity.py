@@ -105,3 +105,37 @@ def previous_marker(rows: DataFrame, key: str, order: list[str], marker: Column,
 def scoped(docs: DataFrame, rules: DataFrame, column: str) -> DataFrame:
     """docs in a named scope: rules (scope, prefix) say which values of a column belong; a document counts once per scope."""
     return docs.join(rules, F.col(column).startswith(F.col("prefix"))).select("scope", *docs.columns).distinct()
+
+
+def blocker_issues(blockers: DataFrame, docs: DataFrame, *, max_lines: int = 25) -> DataFrame:
+    """file, line_no, issue of blocker items: every rule that a marker or its fields break.
+
+    blockers: as read from a ledger (sha, item_type, ranges, fields with evidence_source, source_sha256, lines, reason);
+    docs: path, sha256, n_lines of the evidence sources.
+    """
+    from .ledger import line_ranges
+
+    field = lambda n: F.col("fields").getItem(n)
+    live = docs.select(F.col("path").alias("evidence_source"), F.col("sha256").alias("now"), "n_lines")
+    d = blockers.withColumn("evidence_source", field("evidence_source")).join(live, "evidence_source", "left").withColumn("r", line_ranges(F.col("ranges")))
+    long = F.exists("r", lambda x: x["end"] - x["start"] + 1 > max_lines)
+    no = lambda c: F.coalesce(F.trim(c), F.lit("")) == ""
+    checks = {
+        "bad_marker": (F.length("sha") != 64) | no(F.col("item_type")), "bad_ranges": F.col("r").isNull(), "no_body": F.size("fields") == 0,
+        "marker_differs": (F.lower(field("source_sha256")) != F.col("sha")) | (field("lines") != F.col("ranges")),
+        "no_source": F.col("now").isNull(), "source_changed": F.col("now") != F.col("sha"),
+        "out_of_range": F.exists("r", lambda x: x["end"] > F.col("n_lines")), "long_without_reason": long & no(field("reason")),
+    }
+    found = F.filter(F.array(*[F.when(F.coalesce(c, F.lit(False)), F.lit(n)) for n, c in checks.items()]), lambda x: x.isNotNull())
+    return d.select("file", "line_no", F.explode(found).alias("issue"))
+
+
+def starter_provenance(lines: DataFrame, registered: DataFrame, records: DataFrame, *, pending: str = "pending") -> DataFrame:
+    """lines (anchor, text) with verdict: pending, registered (equals its anchor's starter), cited (names the day of a record of
+    its anchor) or unsupported. registered: anchor, starter; records: anchor, day."""
+    day = F.when(F.col("text").rlike(r"\d{4}-\d{2}-\d{2}"), F.regexp_extract("text", r"\d{4}-\d{2}-\d{2}", 0))
+    known = registered.select("anchor", F.col("starter").alias("__starter"))
+    held = records.select("anchor", F.col("day").cast("string").alias("__day"), F.lit(True).alias("__held")).distinct()
+    d = lines.withColumn("__day", day).join(known, "anchor", "left").join(held, ["anchor", "__day"], "left")
+    verdict = F.when(F.col("text") == pending, "pending").when(F.col("text") == F.col("__starter"), "registered").when(F.col("__held"), "cited").otherwise("unsupported")
+    return d.withColumn("verdict", verdict).drop("__day", "__starter", "__held")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import integrity as I
 from ..operators import jobs as J
 from ..operators import ledger as L
 from ..operators import mastery as M
@@ -108,10 +109,10 @@ def jon16_stubborn_points(spark, d):
     return M.stubborn(e.where("k > 50").withColumn("cause", F.when(F.col("judgement") == "WRONG", "CONCEPT")), e.where("k % 4 = 0"))
 
 
-@query(W + " SELECT DISTINCT item_type FROM ledger WHERE k > 90 AND item_type NOT IN (SELECT item_type FROM ledger WHERE learner = 7)")
+@query(W + " SELECT DISTINCT item_type FROM ledger WHERE k > 90 AND item_type NOT IN (SELECT item_type FROM ledger WHERE learner = 7 AND k > 70)")
 def jon17_untested_blockers(spark, d):
     e = ledger(spark, d)
-    return M.untested(e.where("k > 90"), e.where("learner = 7"))
+    return M.untested(e.where("k > 90"), e.where("learner = 7 AND k > 70"))
 
 
 @query(W + ", e AS (SELECT judgement AS cause, item_type, learner FROM ledger WHERE judgement IN ('WRONG', 'BLANK', 'SLOW', 'STUCK')) SELECT cause, item_type, learner, grouping(cause, item_type, learner) AS level, count(*) AS n, count(*) < 30 AS few FROM e GROUP BY GROUPING SETS ((cause), (cause, item_type), (cause, learner))")
@@ -219,10 +220,16 @@ def dq8_event_rules(spark, d):
     return L.event_issues(_events(spark, d))
 
 
-@query(W + " SELECT item_type, learner, max_by(judgement, (ts, event_id)) AS judgement FROM ledger GROUP BY item_type, learner HAVING max_by(judgement, (ts, event_id)) <> 'OK'")
+@query(W + """, rec AS (SELECT DISTINCT item_type, CAST(ts AS DATE) AS day FROM ledger WHERE judgement = 'OK' AND k > 60),
+l AS (SELECT event_id, item_type, CAST(ts AS DATE) AS day, CASE event_id % 4 WHEN 0 THEN 'pending' WHEN 1 THEN 'start ' || (item_type + event_id % 3) WHEN 2 THEN 'see ' || CAST(CAST(ts AS DATE) AS VARCHAR) ELSE 'other' END AS text FROM ledger)
+SELECT event_id, CASE WHEN text = 'pending' THEN 'pending' WHEN text = 'start ' || item_type THEN 'registered' WHEN event_id % 4 = 2 AND EXISTS (SELECT 1 FROM rec WHERE rec.item_type = l.item_type AND rec.day = l.day) THEN 'cited' ELSE 'unsupported' END AS verdict FROM l""")
 def jon8_starter_provenance(spark, d):
-    """Learners' types whose latest attempt gives no starter to cite."""
-    return M.latest_judgement(ledger(spark, d)).where("judgement <> 'OK'").select("item_type", "learner", "judgement")
+    e = ledger(spark, d).withColumn("anchor", F.col("item_type"))
+    kind = F.col("event_id") % 4
+    text = F.when(kind == 0, "pending").when(kind == 1, F.concat(F.lit("start "), (F.col("item_type") + F.col("event_id") % 3).cast("string"))).when(kind == 2, F.concat(F.lit("see "), F.to_date("ts").cast("string"))).otherwise("other")
+    known = e.select("anchor").distinct().select("anchor", F.concat(F.lit("start "), F.col("anchor").cast("string")).alias("starter"))
+    records = e.where("judgement = 'OK' AND k > 60").select("anchor", F.to_date("ts").alias("day"))
+    return I.starter_provenance(e.select("event_id", "anchor", text.alias("text")), known, records).select("event_id", "verdict")
 
 
 QUERIES, ORACLES = query.queries, query.oracles

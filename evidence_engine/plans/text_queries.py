@@ -122,9 +122,10 @@ def prj30_bounded_ranges(spark, d):
     return J.bounded_ranges(units, max_units=8, max_bytes=1500)
 
 
-@query("SELECT page_id FROM pages WHERE NOT contains(list_extract(string_split(lower(url), '/'), -1), 'ref') AND lower(url) LIKE '%x' AND NOT list_contains(string_split(lower(url), '/'), 'de')")
+@query("SELECT page_id FROM pages WHERE NOT contains(list_extract(string_split(lower(url), '/'), -1), 'page=') AND NOT contains(list_extract(string_split(lower(url), '/'), -1), 'ref') AND NOT list_contains(string_split(lower(url), '/'), 'de') AND regexp_matches(lower(url), '[0-9]$')")
 def flt4_certified_path(spark, d):
-    return pages(spark, d).where(I.certified_path(F.col("url"), ["page="], ["de"], "x") | (I.certified_path(F.col("url"), ["ref"], ["de"], "x"))).where(~F.element_at(F.split(F.lower("url"), "/"), -1).contains("ref")).select("page_id")
+    ok = I.certified_path(F.col("url"), ["page=", "ref"], ["de"], "") & F.lower("url").rlike("[0-9]$")
+    return pages(spark, d).where(ok).select("page_id")
 
 
 @query("SELECT d.doc_id FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id WHERE l.doc_id IS NULL OR l.quality = 0")
