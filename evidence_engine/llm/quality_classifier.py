@@ -2,7 +2,7 @@
 
 Two zstandard dictionaries are built, from good and from bad labelled texts. A text's compressed sizes with either, and
 their difference over the sum, tell which kind it resembles; a logistic calibration on labelled texts that built no dictionary turns that
-normalised difference, with the compression ratio beside it, into a score.
+normalised difference, with the compression ratio and the length beside it, into a score.
 
 Dictionaries and calibration use ``max_rows`` labelled documents of each label at most, none longer than
 ``max_chars``; all documents are scored, over whole texts, where they lie.
@@ -48,16 +48,16 @@ class Sizes:
             for d in (good, bad)
         ]
 
-    def of(self, text: str | None) -> tuple[float, float]:
-        """The normalised difference (positive: like good text) and the compression ratio."""
+    def of(self, text: str | None) -> tuple[float, float, float]:
+        """The normalised difference (positive: like good text), the compression ratio and the length."""
         data = (text or "").encode("utf-8", "surrogatepass")
         g, b = (len(c.compress(data)) for c in self.pair)
-        return (b - g) / (b + g), min(g, b) / (len(data) + 16)
+        return (b - g) / (b + g), min(g, b) / (len(data) + 16), float(len(data))
 
 
 def _expanded(x: np.ndarray) -> np.ndarray:
-    d, r = x[:, 0], np.log(x[:, 1])
-    return np.column_stack([d, r, d * d, r * r, d * r])
+    d, r, n = x[:, 0], np.log(x[:, 1]), np.log(x[:, 2] + 16)  # the two say less, the shorter a text is
+    return np.column_stack([d, r, n, d * d, r * r, n * n, d * r, d * n, r * n])
 
 
 def _fit(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, rounds: int = 50) -> tuple[np.ndarray, float]:
