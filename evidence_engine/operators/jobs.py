@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -57,9 +57,9 @@ def bounded_ranges(units: DataFrame, *, max_units: int, max_bytes: int, key: str
 
     The ranges of all documents are halved together: log2(max_units) rounds at most, each over prefix sums kept per document.
     """
-    totals = units.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("unit", "bytes"))).alias("u"))
-    sums = F.aggregate("u", F.array(F.lit(0).cast("long")), lambda a, x: F.concat(a, F.array(F.element_at(a, -1) + x["bytes"])))
-    d = totals.select(key, sums.alias("sums"))
+    running = F.sum("bytes").over(Window.partitionBy(key).orderBy("unit").rowsBetween(Window.unboundedPreceding, 0)).cast("long")
+    totals = units.select(key, "unit", running.alias("c")).groupBy(key).agg(F.array_sort(F.collect_list(F.struct("unit", "c"))).alias("u"))
+    d = totals.select(key, F.concat(F.array(F.lit(0).cast("long")), F.transform("u", lambda x: x["c"])).alias("sums"))
     first = F.sequence(F.lit(1), F.size("sums") - 1, F.lit(max_units))
     ranges = F.transform(first, lambda a: F.struct(a.alias("first"), F.least(a + max_units - 1, F.size("sums") - 1).alias("last")))
     d = d.where(F.size("sums") > 1).withColumn("ranges", ranges)

@@ -65,8 +65,8 @@ def rewrite_targets(docs: DataFrame, assets: DataFrame, pattern: str, *, id_col:
     """
     found = F.regexp_extract_all(text_col, F.lit(pattern), 0)
     pieces = F.split(text_col, pattern, -1)
-    # a document without a link takes no part in the join
-    cut = docs.select(id_col, F.posexplode(pieces).alias("pos", "piece"), found.alias("found")).withColumn("link", F.get("found", F.col("pos"))).drop("found")
+    both = F.arrays_zip(pieces.alias("piece"), found.alias("link"))  # the last piece has no link behind it
+    cut = docs.select(id_col, both.alias("both")).select(id_col, F.posexplode("both").alias("pos", "p")).select(id_col, "pos", "p.piece", "p.link")
     target = F.regexp_extract("link", pattern, 2)
     named = cut.withColumn("target", F.when(F.col("link").isNotNull(), target)).join(assets, "target", "left")
     link = F.concat(F.regexp_extract("link", pattern, 1), F.coalesce("renamed", "target"), F.regexp_extract("link", pattern, 3))
