@@ -8,7 +8,7 @@ from collections import Counter
 import numpy as np
 import pytest
 import xxhash
-from evidence_engine.llm import decontamination, packing, simhash
+from evidence_engine.llm import decontamination, near_copies, packing, simhash
 from evidence_engine.llm.queries import tokenizer_path
 
 from .helpers import edge_rows, frame, prose, words
@@ -291,3 +291,55 @@ def test_pipeline_against_its_stages(spark, tmp_path):
     assert passage in kept[51]["text"] and passage.split("\n")[0] not in kept[52]["text"] and kept[52]["n_chars"] == len(kept[52]["text"])
     out = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert {r["doc_id"] for r in out} == set(kept) and all(r["length"] == len(exact_ids(kept[r["doc_id"]]["text"])) for r in out)
+
+
+# -- Near copies ----------------------------------------------------------------------------------------------------
+
+
+def brute_similarity(a, b):
+    sets = []
+    for t in (a, b):
+        w = (t or "").encode().lower().split()
+        sets.append({tuple(w[i : i + 5]) for i in range(len(w) - 4)} or {tuple(w)})
+    return len(sets[0] & sets[1]) / len(sets[0] | sets[1])
+
+
+def test_near_copies_of_ordinary_length(spark, monkeypatch):
+    rng = random.Random(11)
+    rows = [(i, prose(rng.randint(50, 90), 5000 + i)) for i in range(60)]
+    for i in range(60):
+        w = rows[i][1].split()
+        for k in range(1 + i % 3):
+            w[rng.randrange(len(w))] = f"changed{k}"
+        rows.append((100 + i, " ".join(w)))
+    rows += [(300, None), (301, ""), (302, "two words"), (303, "Two  words"), (304, "two other")]
+    rows += edge_rows()[:2] + [(400, rows[0][1].upper()), (None, rows[1][1])]
+    parent = {i: i for i, _ in rows if i is not None}
+
+    def find(i):
+        return i if parent[i] == i else find(parent[i])
+
+    own = [(i, t) for i, t in rows if i is not None]
+    prints = {i: brute_print(t) for i, t in own}
+    far = 0
+    for k, (i, a) in enumerate(own):
+        for j, b in own[:k]:
+            bits = (prints[i] ^ prints[j]).bit_count()
+            similar = brute_similarity(a, b) >= 0.8
+            far += similar and bits > simhash.RADIUS
+            if similar or bits <= simhash.RADIUS:
+                a_, b_ = find(i), find(j)
+                parent[max(a_, b_)] = min(a_, b_)
+    want = sorted(i for i in parent if find(i) == i)
+    assert far >= 20  # SimHash alone leaves these
+    for chunk in (near_copies.CHUNK, 1):
+        monkeypatch.setattr(near_copies, "CHUNK", chunk)
+        left = near_copies.one_per_class(frame(spark, rows)).collect()
+        assert sorted(r["doc_id"] for r in left if r["doc_id"] is not None) == want
+        assert sum(r["doc_id"] is None for r in left) == 3
+
+
+def test_near_copy_stars_follow_paths():
+    sets = [np.arange(k, k + 90, dtype=np.int64) for k in (0, 9, 18, 200)]
+    members, roots = near_copies.local_stars(np.array([1, 2, 3, 4]), sets)
+    assert sorted(zip(members, roots)) == [(2, 1), (3, 1)]  # 0 and 18 are similar to 9 only
