@@ -131,5 +131,23 @@ def test_license_scan(spark):
     assert sorted(x for x in got if x[0] == 400) == [(400, 0, "apache")] * 2 + [(400, 1, "apache")] * 2
 
 
+def test_license_scan_wrapped_and_reworded(spark):
+    texts = [
+        ("MIT License", "mit", 1),
+        ("Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files", "mit", 1),
+        ("Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions are met", "bsd", 1),
+        ("# it under the terms of the GNU General Public License as published by\n# the Free Software Foundation", "gpl", 1),
+        (" * released under the terms of the GNU General\n * Public License", "gpl", 1),
+        ("SPDX-License-Identifier: GPL-2.0-only", "gpl", 1),
+        ("Licensed under CC BY 3.0.", "cc_by", 1),
+        ("licensed under a Creative Commons\nAttribution-ShareAlike 3.0 license", "cc_by_sa", 1),
+        ("This Source Code Form is subject to the terms of the Mozilla\nPublic License, v. 2.0.", "mpl", 1),
+    ]
+    rows = [(i, f"{prose(20, i)}\n{t}\n{prose(20, i + 50)}") for i, (t, _, _) in enumerate(texts)]
+    rows += [(100, "released under the GNU General\n\nPublic License")] + [(300 + i, prose(60, 900 + i) + "\n" + prose(30, 800 + i)) for i in range(40)]
+    got = sorted((r["doc_id"], r["paragraph"], r["family"]) for r in license_scan.license_paragraphs(frame(spark, rows)).collect())
+    assert got == [(i, at, f) for i, (_, f, at) in enumerate(texts)]
+
+
 def test_license_scan_empty(spark):
     assert license_scan.license_paragraphs(frame(spark, [])).count() == 0
