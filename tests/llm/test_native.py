@@ -149,5 +149,17 @@ def test_license_scan_wrapped_and_reworded(spark):
     assert got == [(i, at, f) for i, (_, f, at) in enumerate(texts)]
 
 
+def test_license_limit_is_calibrated_on_hard_negatives(spark):
+    rows = [(i, f"{prose(20, i)}\nthe public {prose(3, 700 + i)} has a general license for software {prose(2, 800 + i)}\n{prose(20, i + 50)}") for i in range(80)]
+    rows += [(500 + i, f"{prose(10, i)}\nReleased under the MIT License.\n{prose(10, 90 + i)}") for i in range(10)]
+    scanners = [license_scan.Scanner(spark, frame(spark, r)) for r in (rows, rows[::-1])]
+    assert scanners[0].limit == scanners[1].limit  # whatever the order of rows
+    found = license_scan.Scanner.unknowns(frame(spark, rows), id_col="doc_id", text_col="text", sample=1000).collect()
+    hard = [r for r in found if r["hard"] and "general license" in r["text"]]
+    assert len(hard) >= 80 and {r["fits"] for r in hard} == {True, False} and not [r for r in found if "MIT License" in r["text"]]
+    got = {(r["doc_id"], r["paragraph"], r["family"]) for r in scanners[0].scan(frame(spark, rows)).collect()}
+    assert got == {(500 + i, 1, "mit") for i in range(10)}
+
+
 def test_license_scan_empty(spark):
     assert license_scan.license_paragraphs(frame(spark, [])).count() == 0
