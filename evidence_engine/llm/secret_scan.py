@@ -30,16 +30,19 @@ CLASSES = (
     ("alnum", frozenset("0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"), 20, 3.5, 0.15, 0.2),
     ("base64", frozenset("0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ+/=_-"), 24, 3.8, 0.1, 0.2),
 )
-_CANDIDATE = re.compile(r"(?=[A-Za-z+/=_-]*[0-9])[A-Za-z0-9+/=_-]{20,}")  # no class admits a window without digits
-#: Whole candidates that are known to be harmless: identifiers, dates and versions in words, one repeated unit, examples.
+_CANDIDATE = re.compile(r"(?=[A-Za-z+/=_-]*[0-9]|[a-z+/=_-]*[A-Z])[A-Za-z0-9+/=_-]{20,}")  # no class admits a window of one case alone
+#: Whole candidates that are known to be harmless: identifiers, dates and versions in words, one repeated unit.
 ALLOWED = (
     re.compile(r"[0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}"),
     re.compile(r"(.{1,4})\1{3,}.{0,3}"),
     re.compile(r"[0-9_=+/-]+"),
-    re.compile(r"(?i:.*(?:example|sample|placeholder|changeme|xxxx).*)"),
     re.compile(r"[A-Za-z]+(?:[-_/][A-Za-z]+)*[-_/]?[0-9]{1,8}(?:[-_/][A-Za-z0-9]{1,8})*"),
 )
 
+#: What a hot stretch itself may hold to be an example; the rest of its candidate doesn't matter.
+_EXAMPLE = re.compile(r"(?i:example|sample|placeholder|changeme|xxxx)")
+_CASE_CHANGE = re.compile(r"(?=[a-z][A-Z]|[A-Z][a-z])")
+
 Span = tuple[str, int, int]
 
 
@@ -73,6 +76,14 @@ def hot_windows(run: str, window: int, least: float, digits: float, letters: flo
             yield i - window + 1
 
 
+def generated(part: str, digits: float) -> bool:
+    """Whether a window has the mix of generated secrets: the share of digits, or a digit and both cases, or many changes of case."""
+    n, lower, upper = (sum(a <= c <= b for c in part) for a, b in ("09", "az", "AZ"))
+    if n >= digits * len(part) or n and lower >= 2 and upper >= 2:
+        return True
+    return min(lower, upper) >= 0.35 * len(part) and len(_CASE_CHANGE.findall(part)) >= 6  # names in camel case have fewer capitals
+
+
 def entropy_spans(text: str) -> list[Span]:
     """Merged stretches of hot windows of any class."""
     out: list[Span] = []
@@ -81,13 +92,18 @@ def entropy_spans(text: str) -> list[Span]:
         if any(p.fullmatch(whole) for p in ALLOWED):
             continue
         hot = set()
-        for _, chars, window, *limits in CLASSES:
+        for name, chars, window, least, digits, letters in CLASSES:
             at = 0
             while at < len(whole):
                 end = at
                 while end < len(whole) and whole[end] in chars:
                     end += 1
-                hot.update((at + k, at + k + window) for k in hot_windows(whole[at:end], window, *limits))
+                run = whole[at:end]
+                if name == "hex":  # of one case as a rule
+                    starts = hot_windows(run, window, least, digits, letters)
+                else:
+                    starts = (k for k in hot_windows(run, window, least, 0, letters) if generated(run[k : k + window], digits))
+                hot.update((at + k, at + k + window) for k in starts)
                 at = end + 1
         merged: list[list[int]] = []
         for a, b in sorted(hot):
@@ -95,7 +111,7 @@ def entropy_spans(text: str) -> list[Span]:
                 merged[-1][1] = max(merged[-1][1], b)
             else:
                 merged.append([a, b])
-        out += [("entropy", m.start() + a, m.start() + b) for a, b in merged]
+        out += [("entropy", m.start() + a, m.start() + b) for a, b in merged if not _EXAMPLE.search(whole, a, b)]
     return out
 
 

@@ -130,3 +130,15 @@ def test_entropy_spans_and_allow_list():
         assert secret_scan.entropy_spans(f"see {harmless} here") == []
     base, more = secret_scan.scan(f"token={secret}")
     assert [b[0] for b in base] == ["assign"] and more == []
+
+
+def test_entropy_recall_on_planted_keys():
+    rng = random.Random(8)
+    alnum = "0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    for chars, lengths in ((alnum, (20, 24, 32, 40)), (alnum + "+/", (24, 32, 44))):
+        for n in lengths:
+            keys = ["".join(rng.choice(chars) for _ in range(n)) for _ in range(500)]
+            assert sum(bool(secret_scan.entropy_spans(f"see {k} here")) for k in keys) >= 0.95 * 500, (len(chars), n)
+    assert secret_scan.entropy_spans("sample/of/the/things/that/we/have/kept/q7Zp2Xv9Lk4Tn8Rw3Yb6Hd1M") != []
+    for harmless in ("internalFrameInternalFrameTitlePane", "TheQuickBrownFoxJumpsOverTheDog", "a-long-page-name-of-words-in-lower-case"):
+        assert secret_scan.entropy_spans(f"see {harmless} here") == []
