@@ -286,4 +286,34 @@ def snk2_publish_views(spark, d):
     return views[0].unionByName(views[1])
 
 
+# -- Whole fact tables: the queries of the same ID above take a part of the papers --------------------------------
+
+
+@query(W + f" SELECT anchor, tie FROM facts WHERE paper IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = '{PENDING}')")
+def jon7_consumption_guard_all(spark, d):
+    pending = table(spark, d, "orders").where(F.col("o_orderstatus") == PENDING).select(F.col("o_orderkey").alias("paper"))
+    return item_facts(spark, d).join(pending, "paper", "left_semi").select("anchor", "tie")
+
+
+@query("""SELECT tag, count(l_orderkey) AS items, count(DISTINCT l_orderkey) AS papers, coalesce(sum(CASE WHEN floor(l_quantity / 3) > 0 THEN floor(l_quantity / 3) END), 0)::DOUBLE AS score
+FROM (SELECT CAST(p_partkey AS VARCHAR) AS tag FROM part UNION ALL SELECT 'unused') LEFT JOIN lineitem ON CAST(l_partkey AS VARCHAR) = tag GROUP BY tag""")
+def agg16_entity_totals_all(spark, d):
+    dim = _dimension(spark, d).select("tag").unionByName(spark.range(1).select(F.lit("unused").alias("tag")))  # an entity without items
+    return B.entity_totals(dim, item_facts(spark, d), "tag")
+
+
+@query(f"""WITH {FACTS_SQL},{LEDGER_SQL},{MASTERY_TYPES},
+it AS (SELECT anchor, tie, paper, CAST(tag AS INTEGER) % 10 AS item_type, score FROM facts WHERE ocr <> 'P' AND CAST(tag AS INTEGER) % 10 <> 9),
+f AS (SELECT it.*, CASE WHEN item_type IN (SELECT item_type FROM red) THEN 1 ELSE 0 END AS is_red, CASE WHEN item_type IN (SELECT item_type FROM green) THEN 1 ELSE 0 END AS is_green,
+      CASE WHEN item_type = 3 AND item_type NOT IN (SELECT item_type FROM seen) THEN 1 ELSE 0 END AS untested, CASE WHEN paper % 40 = 0 THEN 1 ELSE 0 END AS attempted FROM it),
+o AS (SELECT *, row_number() OVER (PARTITION BY is_green ORDER BY is_red DESC, untested DESC, attempted, coalesce(score, 0) DESC, anchor, tie) AS within FROM f),
+k AS (SELECT *, row_number() OVER (ORDER BY is_red DESC, untested DESC, is_green, attempted, coalesce(score, 0) DESC, anchor, tie) AS position FROM o WHERE is_green = 0 OR within <= floor(0.15 * 20))
+SELECT anchor, tie, item_type, is_red, is_green, attempted, position FROM k WHERE position <= 20""")
+def top11_practice_candidates_all(spark, d):
+    facts = item_facts(spark, d).withColumn("item_type", F.col("tag").cast("int") % 10)
+    return P.candidates(
+        facts, ledger(spark, d).where("learner = 7"), attempted=(F.col("paper") % 40 == 0), blockers=[3], waived=[9], pending=PENDING, n=20
+    ).select("anchor", "tie", "item_type", "is_red", "is_green", "attempted", "position")
+
+
 QUERIES, ORACLES = query.queries, query.oracles
