@@ -15,7 +15,7 @@ def dataset_fingerprint(df: DataFrame, key: str, buckets: int = 4096) -> DataFra
 
     Hashes of a bucket are joined in key order and hashed, then the buckets' hashes: no task holds all rows.
     """
-    b = df.withColumn("b", F.pmod(F.xxhash64(key), F.lit(buckets)))
+    b = df.withColumn("b", F.conv(F.substring(F.sha2(F.col(key).cast("string"), 256), 1, 8), 16, 10).cast("long") % buckets)
     row = F.struct(F.col(key).cast("string").alias("k"), "sha256")
     one = b.groupBy("b").agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(row)), lambda x: F.concat_ws(":", x["k"], x["sha256"])), "\n"), 256).alias("h"), F.count("*").alias("n"))
     return one.agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("b", "h"))), lambda x: x["h"]), "\n"), 256).alias("fingerprint"), F.sum("n").alias("n"))

@@ -359,4 +359,12 @@ def dq15_bind_checks(spark, d):
     return out.select("doc_id", F.when(F.col("doc_id") % 17 == 0, "no_anchor").when(F.col("again") == 1, "duplicate_source").otherwise("ok").alias("verdict"))
 
 
+@query("""WITH f AS (SELECT CAST(doc_id AS VARCHAR) AS k, sha256(text) AS h FROM documents),
+b AS (SELECT CAST('0x' || substr(sha256(k), 1, 8) AS BIGINT) % 4096 AS b, sha256(string_agg(k || ':' || h, chr(10) ORDER BY k, h)) AS h, count(*) AS n FROM f GROUP BY 1)
+SELECT sha256(string_agg(h, chr(10) ORDER BY b)) AS fingerprint, CAST(sum(n) AS BIGINT) AS n FROM b""")
+def agg22_dataset_fingerprint_hash(spark, d):
+    """The fingerprint itself, which agg22_dataset_fingerprint leaves out."""
+    return I.dataset_fingerprint(I.fingerprints(docs(spark, d), "doc_id", "text"), "doc_id")
+
+
 QUERIES, ORACLES = query.queries, query.oracles
