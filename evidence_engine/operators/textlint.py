@@ -92,6 +92,36 @@ def lint(docs: DataFrame, lines: DataFrame, *, char_class: str, limits: dict[str
     return d.select(key, F.explode(F.filter(F.array(*checks), lambda x: x.isNotNull())).alias("r")).select(key, "r.rule", "r.severity")
 
 
+def has_heading(c: Column, heading: str) -> Column:
+    """Whether a heading holds a text, white space aside."""
+    bare = lambda x: F.regexp_replace(x, r"\s+", "")
+    heads = F.filter(F.split(c, "\n", -1), lambda x: x.rlike(r"^#{1,6}\s+\S"))
+    return F.exists(heads, lambda x: bare(F.regexp_replace(x, r"^#{1,6}\s+", "")).contains("".join(heading.split())))
+
+
+def _issues(docs: DataFrame, key: str, checks: list[tuple[Column, str, str]]) -> DataFrame:
+    found = F.filter(F.array(*[F.when(c, F.struct(F.lit(n).alias("rule"), F.lit(sev).alias("severity"))) for c, n, sev in checks]), lambda x: x.isNotNull())
+    return docs.select(key, F.explode(found).alias("r")).select(key, "r.rule", "r.severity")
+
+
+def start_card_issues(docs: DataFrame, *, start: list[str], answers: list[str], head: int = 500, key: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """key, rule, severity: a start token that the first characters lack, and no answer token in the whole text. A null text is empty."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    lacks = F.exists(F.array(*map(F.lit, start)), lambda x: ~F.contains(F.substring(text, 1, head), x))
+    silent = ~F.exists(F.array(*map(F.lit, answers)), lambda x: F.contains(text, x))
+    return _issues(docs, key, [(lacks, "start", "error"), (silent, "answers", "error")])
+
+
+def grounding_issues(docs: DataFrame, *, headings: list[str], probes: list[str], key: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """key, rule, severity: none of the source headings, or not all probe tokens, in the whole text. A null text is empty."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    sourced = F.lit(False)
+    for h in headings:
+        sourced = sourced | has_heading(text, h)
+    lacks = F.exists(F.array(*map(F.lit, probes)), lambda x: ~F.contains(text, x))
+    return _issues(docs, key, [(~sourced, "sources", "warning"), (lacks, "probes", "warning")])
+
+
 def issue_summary(issues: DataFrame) -> DataFrame:
     return issues.groupBy("rule", "severity").agg(F.count("*").alias("n"))
 

@@ -367,4 +367,17 @@ def agg22_dataset_fingerprint_hash(spark, d):
     return I.dataset_fingerprint(I.fingerprints(docs(spark, d), "doc_id", "text"), "doc_id")
 
 
+@query(r"""WITH t AS (SELECT doc_id, coalesce(CASE WHEN doc_id % 3 = 0 THEN text || chr(10) || '## The Sources  and limits' WHEN doc_id % 3 = 1 THEN text || chr(10) || 'Sources and limits' ELSE text END, '') AS text FROM documents)
+SELECT doc_id, 'start' AS rule, 'error' AS severity FROM t WHERE NOT (contains(substr(text, 1, 500), 'the') AND contains(substr(text, 1, 500), 'la '))
+UNION ALL SELECT doc_id, 'answers', 'error' FROM t WHERE NOT (contains(text, 'der ') OR contains(text, 'ing the'))
+UNION ALL SELECT doc_id, 'sources', 'warning' FROM t WHERE NOT regexp_matches(text, '(^|\n)#{1,6}[ \t]+[^\n]*(Sources\s*and\s*limits|Open\s*scope)')
+UNION ALL SELECT doc_id, 'probes', 'warning' FROM t WHERE NOT (contains(text, 'the') AND contains(text, 'un'))""")
+def dq11_start_card_issues(spark, d):
+    """All four rules, over whole texts but for the head; dq11_start_card is a part of the first."""
+    text = F.when(F.col("doc_id") % 3 == 0, F.concat("text", F.lit("\n## The Sources  and limits"))).when(F.col("doc_id") % 3 == 1, F.concat("text", F.lit("\nSources and limits"))).otherwise(F.col("text"))
+    d = docs(spark, d).select("doc_id", text.alias("text"))
+    card = X.start_card_issues(d, start=["the", "la "], answers=["der ", "ing the"])
+    return card.unionByName(X.grounding_issues(d, headings=["Sources and limits", "Open scope"], probes=["the", "un"]))
+
+
 QUERIES, ORACLES = query.queries, query.oracles
