@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -60,3 +61,15 @@ def let(value: Column, body) -> Column:
 def words(text: Column) -> Column:
     """The array of words of a text; null and blank texts have none."""
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), WHITE_CLASS + "+"), "")
+
+
+def chunks(lengths: list[int], most: int) -> Iterator[tuple[int, int]]:
+    """Ranges of texts that together hold about most characters; a longer text is a range of its own."""
+    start = total = 0
+    for k, n in enumerate(lengths):
+        if k > start and total + n > most:
+            yield start, k
+            start, total = k, 0
+        total += n
+    if start < len(lengths):
+        yield start, len(lengths)

@@ -26,6 +26,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import chunks
+
 SIMILARITY = 0.8
 #: CGK embeddings, LSH tables for each, and coordinates in a key.
 EMBEDDINGS, TABLES, COORDINATES = 8, 12, 3
@@ -175,18 +177,6 @@ class Items:
         return [(d, x, e) for (d, x), e in sorted(best.items())]
 
 
-def chunks(lengths: list[int], most: int = CHUNK_CHARS) -> Iterator[tuple[int, int]]:
-    """Ranges of texts that together hold about most characters; a longer text is a range of its own."""
-    start = total = 0
-    for k, n in enumerate(lengths):
-        if k > start and total + n > most:
-            yield start, k
-            start, total = k, 0
-        total += n
-    if start < len(lengths):
-        yield start, len(lengths)
-
-
 def benchmark_matches(docs: DataFrame, benchmark: DataFrame, *, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", items_per_pass: int = ITEMS_PER_PASS) -> DataFrame:
     """doc_id, item_id, n_words (of the item), distance (word edits) and similarity of each pair found."""
     items = benchmark.select(benchmark[item_col].cast("long").alias("item_id"), benchmark[item_text].alias("text")).where("item_id IS NOT NULL AND text IS NOT NULL").distinct()
@@ -201,7 +191,7 @@ def benchmark_matches(docs: DataFrame, benchmark: DataFrame, *, similarity: floa
             known = Items(given, similarity)
             for pdf in batches:
                 ids, texts, rows = pdf["doc_id"].tolist(), pdf["text"].tolist(), []
-                for a, b in chunks([len(t or "") for t in texts]):
+                for a, b in chunks([len(t or "") for t in texts], CHUNK_CHARS):
                     rows += [(ids[a + d], known.ids[x], int(known.size[x]), e, 1 - e / int(known.size[x])) for d, x, e in known.matches(texts[a:b])]
                 yield pd.DataFrame(rows, columns=["doc_id", "item_id", "n_words", "distance", "similarity"])
 

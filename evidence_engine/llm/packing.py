@@ -2,38 +2,70 @@
 
 Documents are tokenized where they lie; only those longer than a sequence are cut. What packing needs of all pieces is
 how many there are of each length: at most ``max_tokens`` counts, whatever the size of the corpus. Bin completion plans
-on these counts: around the largest piece left it enumerates the undominated fillings, applies one as often as the
-counts allow, and goes on with the rest; branch and bound over the fillings prunes by the waste that the incumbent
-(best-fit decreasing at first) leaves to a better plan. The plan is a short list of patterns with repetitions. Each piece
+on these counts: around the largest piece left it enumerates all undominated fillings that waste no more than the
+incumbent (best-fit decreasing at first) leaves to a better plan, applies one as often as the counts allow or less often, and
+goes on with the rest. The search ends when the incumbent meets a lower bound, when no filling is left (both prove the plan),
+or after ``MAX_NODES`` nodes (``proved`` is false then). The plan is a short list of patterns with repetitions. Each piece
 then finds its place by its rank among the pieces of its length, counted in salted groups, so that neither a common length nor
 the plan gathers pieces in one task.
 
 Defined cases: null text is the empty text, which is one piece holding only the end id; rows that repeat a doc_id are
-packed as documents of their own; a null doc_id is kept.
+packed as documents of their own; a null doc_id is kept, and an id is cast to long; a very long text is cut into as many
+pieces as it needs; equal lengths are told apart by (doc_id, piece, crc); an empty table gives no rows; other columns of docs,
+whatever their names, don't enter.
 """
 
 from __future__ import annotations
 
+import json
 import math
+import re
 import struct
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import shuffle_partitions, stored
+from .common import chunks, shuffle_partitions, stored
 
 MAX_TOKENS = 4096
 END_ID = 1
 #: Words whose ids one Python worker remembers; half of them go at a time.
-CACHE_WORDS = 600_000
-#: Nodes of the search and fillings per node; beyond them the incumbent stands.
+CACHE_WORDS = 1_000_000
+#: Bytes of text whose words are looked up at once.
+GROUP_BYTES = 8_000_000
+#: Nodes of the search; beyond them the incumbent stands, and the plan says that it isn't proved.
 MAX_NODES = 20_000
-BRANCHES = 3
+#: States that the search remembers, each a count for every length.
+MAX_SEEN = 5_000
+
+# The parts of a tokenizer file that make it one that works word by word.
+WORD_END = "</w>"
+_BYTES = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
+BY_WORD = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+            _BYTES,
+        ],
+    },
+    "post_processor": None,
+}
+#: For parts that are lower-cased, composed, and either letters or marks alone.
+LEAN = {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, _BYTES]}
+#: Letters of Latin-1 and Latin Extended-A whose small form is one letter, then ASCII marks other than the apostrophe.
+LATIN_WORD = r"^(?P<letters>[A-Za-zÀ-ÖØ-öø-įĲ-ſ]*)(?P<marks>[!-&(-/:-@\[-`{-~]*)$"
+#: What a part of such a word looks like.
+PART = re.compile(r"[a-zß-öø-įĲ-ſ]+|[!-&(-/:-@\[-`{-~]+").fullmatch
 
 
 @lru_cache(maxsize=2)
@@ -46,45 +78,86 @@ def _tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
+def gathered(flat: np.ndarray, size: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """flat holds units of these sizes, one after the other: the units by order, one after the other, and where each ends."""
+    many = size[order]
+    ends = np.cumsum(many)
+    start = np.cumsum(size) - size
+    return flat[np.arange(int(many.sum())) + np.repeat(start[order] - (ends - many), many)], ends
+
+
 class WordIds:
-    """Packed ids (32-bit, little-endian) of texts, remembered by word. The tokenizer drops white space and never joins
-    words across it, so a text's ids are its words' ids in order; it lower-cases, and splits a full stop or comma from
-    letters before it, so that such words need no entry of their own."""
+    """Token ids of texts, remembered by word where the tokenizer allows it.
+
+    A tokenizer of the form ``BY_WORD`` drops white space and never joins words across it, so a text's ids are its words'
+    ids in order. It lower-cases, and cuts letters from the marks behind them; a word of Latin letters and marks is so
+    made of at most two parts, each a unit that merges work on alone. Arrow finds the distinct words of a group of texts and
+    their parts. New parts are encoded many at a time, as one text of parts with blanks between, by the same model without
+    the steps that change nothing in them; each part ends with the one id that ends a word. All other words go through
+    the whole tokenizer. For a tokenizer of another form whole texts do."""
 
     def __init__(self, path: str, most: int = CACHE_WORDS):
         self.tokenizer, self.most = _tokenizer(path), most
+        form = json.loads(self.tokenizer.to_str())
+        vocabulary = form["model"]["vocab"] if form["model"]["type"] == "BPE" else {}
+        self.by_word = {k: form[k] for k in BY_WORD} == BY_WORD and form["model"]["end_of_word_suffix"] == WORD_END
+        if self.by_word:
+            lean = form | {"normalizer": None, "added_tokens": [], "pre_tokenizer": LEAN}
+            self.lean = type(self.tokenizer).from_str(json.dumps(lean))
+            self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+            self.ends[[k for x, k in vocabulary.items() if x.endswith(WORD_END)]] = True
         self.known: dict[str, bytes] = {"": b""}
         self.old: dict[str, bytes] = {}
-
-    def _encode(self, words: list[str]) -> dict[str, bytes]:
-        found = self.tokenizer.encode_batch_fast(words, add_special_tokens=False)
-        return {w: struct.pack(f"<{len(e.ids)}I", *e.ids) for w, e in zip(words, found, strict=True)}
-
-    def _learn(self, new: set[str]) -> None:
-        parts = {}
-        for w in new:
-            if w in self.old:
-                self.known[w] = self.old[w]
-            else:
-                end = w[-1] if w[-1] in ".," and w[:-1].isascii() and w[:-1].isalpha() else ""
-                base = w[: len(w) - len(end)]
-                parts[w] = (base.lower() if base.isascii() and base.isalpha() else base, end)
-        bases = {x for p in parts.values() for x in p if x}
-        ids = self._encode([x for x in bases if x not in self.known])
-        get = lambda x: self.known[x] if x in self.known else ids[x]
-        self.known.update({w: get(base) + get(end) for w, (base, end) in parts.items()})
+        self.held = 0  # characters of known words
+
+    def _whole(self, words: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+
+    def _parts(self, parts: list[str]) -> list[bytes]:
+        if not parts:
+            return []
+        ids = np.array(self.lean.encode_batch_fast([" ".join(parts)], add_special_tokens=False)[0].ids, "<u4")
+        ends = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
+        if len(ends) != len(parts):
+            return self._whole(parts)
+        packed = ids.tobytes()
+        return [packed[a:b] for a, b in zip([0, *ends], ends)]
+
+    def _ids(self, words: list[str]) -> list[bytes]:
+        new = [x for x in words if x not in self.known]
+        self.held += sum(map(len, new))
+        if len(self.known) + len(new) > self.most // 2 or self.held > 8 * self.most:  # the old half of the memory goes
+            self.old, self.known, self.held = self.known, {"": b""}, 0
+            new = [x for x in words if x]
+        known, old = self.known, self.old
+        known.update({x: old[x] for x in new if x in old})
+        parts = [x for x in new if x not in known and PART(x)]
+        known.update(zip(parts, self._parts(parts)))
+        others = [x for x in new if x not in known]
+        known.update(zip(others, self._whole(others)))
+        return [known[x] for x in words]
+
+    def of_all(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts (strings that aren't null), one after the other, and where each text's end."""
+        if not self.by_word:
+            found = self._whole(texts.to_pylist())
+            return np.frombuffer(b"".join(found), "<u4"), np.cumsum([len(x) // 4 for x in found], dtype=np.int64)
+        lists = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
+        coded = lists.flatten().dictionary_encode()
+        found = pc.extract_regex(coded.dictionary, LATIN_WORD)
+        first = pc.coalesce(pc.utf8_lower(pc.struct_field(found, "letters")), coded.dictionary)
+        units = pa.concat_arrays([first, pc.coalesce(pc.struct_field(found, "marks"), "")]).dictionary_encode()
+        packed = self._ids(units.dictionary.to_pylist())
+        size = np.fromiter(map(len, packed), np.int64, len(packed)) // 4
+        parts = units.indices.to_numpy().reshape(2, -1).T.ravel()  # two of each distinct word
+        flat, ends = gathered(np.frombuffer(b"".join(packed), "<u4"), size, parts)
+        ids, ends = gathered(flat, np.diff(ends[1::2], prepend=0), coded.indices.to_numpy())
+        last = lists.offsets.to_numpy()
+        return ids, np.concatenate([[0], ends])[last[1:] - last[0]]
 
     def of(self, text: str | None) -> bytes:
-        """The ids of a text."""
-        words = (text or "").replace("\n", " ").split(" ")
-        all_words = set(words)
-        new = all_words.difference(self.known)
-        if new:
-            if len(self.known) + len(new) > self.most // 2:  # the old half of the memory goes
-                self.old, self.known = self.known, {"": b""}
-                new = all_words.difference(self.known)
-            self._learn(new)
-        return b"".join(map(self.known.__getitem__, words))
+        """The packed ids of a text."""
+        return self.of_all(pa.array([text or ""]))[0].tobytes()
 
 
 @lru_cache(maxsize=2)
@@ -94,86 +167,90 @@ def word_ids(path: str) -> WordIds:
 
 def pieces(docs: DataFrame, tokenizer_path: str, *, max_tokens: int = MAX_TOKENS, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 of every piece, and its ids (packed 32-bit little-endian) if with_ids."""
-    end, width = struct.pack("<I", end_id), 4 * max_tokens
+    end, names = struct.pack("<I", end_id), ["doc_id", "piece", "start", "length", "ids_crc32", "ids"][: 5 + with_ids]
+    kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = word_ids(tokenizer_path)
-        for pdf in batches:
-            out = []
-            for doc, text in zip(pdf["doc_id"].tolist(), pdf["text"].tolist(), strict=True):
-                ids = known.of(text) + end
-                for k in range(0, len(ids), width):
-                    part = ids[k : k + width]
-                    out.append((doc, k // width, k // 4, len(part) // 4, zlib.crc32(part), part) if with_ids else (doc, k // width, k // 4, len(part) // 4, zlib.crc32(part)))
-            frame = pd.DataFrame(out, columns=["doc_id", "piece", "start", "length", "ids_crc32", "ids"][: 5 + with_ids])
-            yield frame.astype({"doc_id": "Int64"})
+        for batch in batches:
+            texts, docs_of = batch.column("text"), batch.column("doc_id").to_pylist()
+            for a, b in chunks(pc.binary_length(texts).to_pylist(), GROUP_BYTES):
+                ids, ends = known.of_all(texts.slice(a, b - a))
+                out, at = [], 0
+                for doc, last in zip(docs_of[a:b], ends.tolist(), strict=True):
+                    packed, at = ids[at:last].tobytes() + end, last
+                    for k in range(0, len(packed), 4 * max_tokens):
+                        part = packed[k : k + 4 * max_tokens]
+                        out.append((doc, k // (4 * max_tokens), k // 4, len(part) // 4, zlib.crc32(part), part))
+                columns = list(zip(*out))[: len(names)]
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, kinds)], names=names)
 
     kind = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids
-    return docs.select(docs[id_col].cast("long").alias("doc_id"), F.coalesce(docs[text_col], F.lit("")).alias("text")).mapInPandas(cut, kind)
-
-
-def fillings(counts: np.ndarray, room: int, branches: int) -> list[tuple[int, ...]]:
-    """The best undominated fillings of a room, by lengths available in counts (index is length), least waste first.
-
-    A single piece is dominated by a longer single one, and two by one as long as both, so each size enters with the
-    longest that fits. Three or more are tried only while no filling leaves nothing.
-    """
-    have = np.flatnonzero(counts[: room + 1])
-    if not len(have):
-        return [()]
-    below = np.zeros(room + 1, np.int64)  # the longest available at most this long; 0: none
-    below[have] = have
-    below = np.maximum.accumulate(below)
-    found: dict[tuple[int, ...], int] = {}
-
-    def add(fill: tuple[int, ...]) -> None:
-        used: dict[int, int] = {}
-        for x in fill:
-            used[x] = used.get(x, 0) + 1
-        if all(counts[x] >= k for x, k in used.items()):
-            found[tuple(sorted(fill, reverse=True))] = sum(fill)
-
-    def grown(fill: tuple[int, ...]) -> tuple[int, ...]:
-        """fill and the longest pieces that still fit, one after the other."""
-        left, used = room - sum(fill), list(fill)
-        while left > 0 and (x := int(below[left])):
-            k = min(left // x, int(counts[x]) - used.count(x))
-            if k <= 0:
-                smaller = have[have < x]
-                left = min(left, int(smaller[-1])) if len(smaller) else 0
+    return docs.select(docs[id_col].cast("long").alias("doc_id"), F.coalesce(docs[text_col], F.lit("")).alias("text")).mapInArrow(cut, kind)
+
+
+def _reach(lengths: list[int], counts: np.ndarray, room: int) -> list[int]:
+    """Bit sets of sums to room: item k has those of the lengths from k on (longest first), within their counts."""
+    full, sums = (1 << (room + 1)) - 1, [1]
+    for x in reversed(lengths):
+        now, left, step = sums[-1], min(int(counts[x]), room // x), 1
+        while left:
+            k = min(step, left)
+            now |= (now << (k * x)) & full
+            left, step = left - k, 2 * step
+        sums.append(now)
+    return sums[::-1]
+
+
+def dominated(fill: tuple[int, ...], counts: np.ndarray, room: int) -> bool:
+    """Whether one more piece fits as well, or one that is left could take the place of several or of shorter ones."""
+    spare = room - sum(fill)
+    one, more = 0, 0  # sums of one piece, and of two or more
+    for x in fill:
+        more |= (one | more) << x
+        one |= 1 << x
+    wide, reach = (1 | one | more) << 1, 1  # sums (none is 0) and up to spare above, by doubling
+    while reach < spare:
+        k = min(reach, spare - reach)
+        wide |= wide << k
+        reach += k
+    found = more | (wide if spare else 0)
+    if not found:
+        return False
+    left = np.flatnonzero(counts[: room + 1])
+    return any((found >> x) & 1 and counts[x] > fill.count(x) for x in left.tolist())
+
+
+def fillings(counts: np.ndarray, room: int, waste: int) -> Iterator[tuple[int, ...]]:
+    """All undominated fillings of a room that leave at most waste of it, by lengths available in counts (index is
+    length), least waste first and longer pieces before shorter ones. Sums that can't be reached are never entered."""
+    lengths = np.flatnonzero(counts[: room + 1])[::-1].tolist()
+    reach = _reach(lengths, counts, room)
+    for aim in range(room, max(0, room - waste) - 1, -1):
+        if not (reach[0] >> aim) & 1:
+            continue
+        stack: list[tuple[int, int, tuple[int, ...]]] = [(0, aim, ())]
+        while stack:
+            at, left, fill = stack.pop()
+            if not left:
+                if not dominated(fill, counts, room):
+                    yield fill
                 continue
-            used += [x] * k
-            left = left - k * x
-        return tuple(used)
-
-    one = int(below[room])
-    add((one,))
-    add(grown((one,)))
-    if one < room:
-        second = below[room - have]
-        total = np.where(second > 0, have + second, 0)
-        total[(have == second) & (counts[have] < 2)] = 0
-        total[second > have] = 0
-        for k in np.lexsort((-have, -total))[: 4 * branches]:
-            if total[k] > one:
-                add((int(have[k]), int(second[k])))
-                if total[k] < room:
-                    add(grown((int(have[k]), int(second[k]))))
-        if max(found.values(), default=0) < room:
-            for a in have[::-1][:64].tolist():
-                rest = room - a
-                mine = have[(have <= a) & (have < rest)]
-                if not len(mine):
-                    continue
-                third = below[rest - mine]
-                total = np.where((third > 0) & (third <= mine), a + mine + third, 0)
-                for k in np.argsort(-total, kind="stable")[:branches]:
-                    if total[k]:
-                        add(grown((a, int(mine[k]), int(third[k]))))
-                if max(found.values(), default=0) == room:
-                    break
-    best = sorted(found, key=lambda f: (-found[f], len(f), tuple(-x for x in f)))
-    return best[:branches] or [(one,)]
+            x = lengths[at]
+            for k in range(min(int(counts[x]), left // x) + 1):  # the last one pushed, most of the longest, comes first
+                if (reach[at + 1] >> (left - k * x)) & 1:
+                    stack.append((at + 1, left - k * x, fill + (x,) * k))
+
+
+def lower_bound(counts: np.ndarray, size: int) -> int:
+    """Sequences that any plan needs: by tokens, and by pieces that can't share a sequence with those above a limit."""
+    at = np.arange(size + 1)
+    n, tokens = np.concatenate([[0], np.cumsum(counts)]), np.concatenate([[0], np.cumsum(counts * at)])  # of lengths below
+    k = np.arange(size // 2 + 1)
+    large, half = n[size + 1] - n[size - k + 1], size // 2 + 1
+    middle, middle_tokens = n[size - k + 1] - n[half], tokens[size - k + 1] - tokens[half]
+    rest = tokens[half] - tokens[k] - (middle * size - middle_tokens)
+    return int((large + middle + np.maximum(0, -(-rest // size))).max())
 
 
 Pattern = tuple[tuple[int, ...], int]
@@ -202,34 +279,43 @@ def best_fit_decreasing(counts: np.ndarray, size: int) -> list[Pattern]:
     return [(held, many) for group in bins.values() for held, many in group]
 
 
-def plan(counts: np.ndarray, size: int = MAX_TOKENS, *, max_nodes: int = MAX_NODES, branches: int = BRANCHES) -> list[Pattern]:
-    """Patterns of lengths and how many sequences take each, using up counts (index is length, to size)."""
+class Plan(NamedTuple):
+    patterns: list[Pattern]  # lengths, and how many sequences take them
+    sequences: int
+    proved: bool  # no plan has fewer sequences
+    nodes: int  # of the search
+
+
+def plan(counts: np.ndarray, size: int = MAX_TOKENS, *, max_nodes: int = MAX_NODES) -> Plan:
+    """Patterns of lengths and how many sequences take each, using up counts (index is length, to size).
+
+    The fewest sequences where proved; the search is exhaustive unless it meets max_nodes."""
     counts = np.asarray(counts, np.int64).copy()
     whole = int(counts[size])
     counts[size] = 0
     head: list[Pattern] = [((size,), whole)] if whole else []
     total = int((counts * np.arange(size + 1)).sum())
     if not total:
-        return head
-    least = max(math.ceil(total / size), int(counts[size // 2 + 1 :].sum()))
+        return Plan(head, whole, True, 0)
+    least = lower_bound(counts, size)
     best = best_fit_decreasing(counts, size)
     most = sum(m for _, m in best)
-    nodes = 0
+    nodes, used, rest = 0, 0, total
+    seen: dict[bytes, int] = {}  # what was left, and the fewest sequences used before it
 
-    def options(c: np.ndarray) -> Iterator[tuple[tuple[int, ...], int]]:
+    def options(c: np.ndarray) -> Iterator[Pattern]:
         first = int(np.flatnonzero(c)[-1])
-        c[first] -= 1
-        found = fillings(c, size - first, branches) if first < size else [()]
-        c[first] += 1
-        for fill in found:
+        others = c.copy()
+        others[first] -= 1
+        for fill in fillings(others, size - first, (most - 1 - used) * size - rest):
             held = (first, *fill)
             lengths, k = np.unique(held, return_counts=True)
-            yield held, int((c[lengths] // k).min())
+            for many in range(int((c[lengths] // k).min()), 0, -1):
+                yield held, many
 
     # Depth first. A level holds the fillings not yet tried; what is used so far, in sequences and in waste, bounds it.
     path: list[Pattern] = []
     levels = [options(counts)]
-    used, rest = 0, total
     while levels and most > least and nodes < max_nodes:
         step = next(levels[-1], None)
         if step is None:
@@ -248,12 +334,17 @@ def plan(counts: np.ndarray, size: int = MAX_TOKENS, *, max_nodes: int = MAX_NOD
             counts[x] -= many
         path.append(step)
         used, rest = used + many, rest - many * sum(held)
-        if rest:
-            levels.append(options(counts))
-        else:
+        key = counts.tobytes() if rest else b""
+        if not rest:
             best, most = list(path), used
             levels.append(iter(()))
-    return head + best
+        elif seen.get(key, most) <= used or used + lower_bound(counts, size) >= most:
+            levels.append(iter(()))
+        else:
+            if len(seen) < MAX_SEEN:
+                seen[key] = used
+            levels.append(options(counts))
+    return Plan(head + best, whole + most, most <= least or not levels, nodes)
 
 
 def places(patterns: list[Pattern]) -> pd.DataFrame:
@@ -282,13 +373,14 @@ def ranked(rows: DataFrame, salts: int) -> DataFrame:
 
 
 def pack(docs: DataFrame, tokenizer_path: str, *, max_tokens: int = MAX_TOKENS, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
-    """The pieces of docs with sequence_id and offset."""
+    """The pieces of docs with sequence_id and offset; proved says whether no packing has fewer sequences."""
     found = pieces(docs, tokenizer_path, max_tokens=max_tokens, end_id=end_id, id_col=id_col, text_col=text_col, with_ids=with_ids)
     found = stored(found)
     counts = np.zeros(max_tokens + 1, np.int64)
     for length, n in found.groupBy("length").agg(F.count("*")).collect():  # max_tokens rows at most
         counts[length] = n
-    table = places(plan(counts, max_tokens))
+    best = plan(counts, max_tokens)
+    table = places(best.patterns)
     key = (table["length"].to_numpy() << 44) + table["first_rank"].to_numpy()  # ranks stay below 2 ** 44
     rank0, sequence0, offset = (table[c].to_numpy() for c in ("first_rank", "first_sequence", "offset"))
 
@@ -299,7 +391,7 @@ def pack(docs: DataFrame, tokenizer_path: str, *, max_tokens: int = MAX_TOKENS,
 
     columns = [c for c in found.columns]
     kind = ", ".join(f"{c} {t}" for c, t in found.dtypes) + ", sequence_id long, offset long"
-    return ranked(found, shuffle_partitions(docs.sparkSession)).select(*columns, "rank").mapInPandas(placed, kind)
+    return ranked(found, shuffle_partitions(docs.sparkSession)).select(*columns, "rank").mapInPandas(placed, kind).withColumn("proved", F.lit(best.proved))
 
 
 def sequences(packed: DataFrame) -> DataFrame:

@@ -4,6 +4,7 @@ import random
 import struct
 import zlib
 from collections import Counter
+from itertools import combinations
 
 import numpy as np
 import pytest
@@ -152,6 +153,28 @@ def test_packing_empty(spark):
     assert packing.pack(frame(spark, []), tokenizer_path()).count() == 0
 
 
+def test_letters_that_take_the_short_way_get_the_tokenizer_s_ids():
+    own = packing.WordIds(tokenizer_path())
+    assert own.by_word
+    texts = [x + t for k in range(1, 0x250) for x in [chr(k)] for t in ("", "a" + x + ",", " 's" + x)]
+    texts += ["a<|endoftext|>b", "don't it's x's 'll", "e\u0301a \u0301", "x\x1cy\x85z\xa0w", "12a-b ###x", "中文 テ"]
+    for t in texts:
+        ids = own.tokenizer.encode(t, add_special_tokens=False).ids
+        assert own.of(t) == struct.pack(f"<{len(ids)}I", *ids), t
+
+
+def test_packing_with_a_tokenizer_of_another_form(spark):
+    from tokenizers import Tokenizer
+
+    path = tokenizer_path("byte_bpe_50k.json")
+    assert not packing.WordIds(path).by_word
+    plain = Tokenizer.from_file(path)
+    for row in packing.pack(frame(spark, [(1, "Two  words\n"), (2, None), (3, " it's ÉÉ")]), path, with_ids=True).collect():
+        text = {1: "Two  words\n", 2: "", 3: " it's ÉÉ"}[row["doc_id"]]
+        ids = [*plain.encode(text, add_special_tokens=False).ids, 1]
+        assert bytes(row["ids"]) == struct.pack(f"<{len(ids)}I", *ids)
+
+
 def test_word_memory_turns_over():
     small = packing.WordIds(tokenizer_path(), most=40)
     for k in range(30):
@@ -165,7 +188,8 @@ def test_plan_uses_all_pieces_and_finds_small_optima(seed):
     size = 30
     lengths = [rng.randint(1, size) for _ in range(9)]
     counts = np.bincount(lengths, minlength=size + 1)
-    patterns = packing.plan(counts, size)
+    patterns, _, proved, _ = packing.plan(counts, size)
+    assert proved
     used = Counter()
     for held, many in patterns:
         assert sum(held) <= size
@@ -192,7 +216,52 @@ def test_plan_uses_all_pieces_and_finds_small_optima(seed):
 def test_plan_beats_best_fit_decreasing():
     counts = np.bincount([6, 6, 6, 5, 5, 5, 4, 4, 4, 3, 3, 3, 2, 2, 2] * 20 + [7, 3] * 9, minlength=21)
     total = int((counts * np.arange(21)).sum())
-    assert sum(m for _, m in packing.plan(counts, 20)) == -(-total // 20)
+    found = packing.plan(counts, 20)
+    assert found.sequences == sum(m for _, m in found.patterns) == -(-total // 20) and found.proved
+
+
+@pytest.mark.parametrize(("bins", "optimal"), [(10, True), (20, True), (60, False)])
+def test_plan_at_full_size_where_best_fit_decreasing_fails(bins, optimal):
+    """Triples that fill a sequence exactly, which best-fit decreasing misses."""
+    rng = random.Random(bins)
+    counts = np.zeros(4097, np.int64)
+    for _ in range(bins):
+        a, b = rng.randrange(1400, 2000), rng.randrange(900, 1300)
+        for x in (a, b, 4096 - a - b):
+            counts[x] += 1
+    found = packing.plan(counts)
+    used = Counter()
+    for held, many in found.patterns:
+        assert sum(held) <= 4096
+        used.update({x: many * held.count(x) for x in set(held)})
+    assert used == Counter({x: int(k) for x, k in enumerate(counts) if k})
+    assert bins <= found.sequences < sum(m for _, m in packing.best_fit_decreasing(counts, 4096))
+    assert packing.lower_bound(counts, 4096) == bins and found.proved == (found.sequences == bins)
+    assert found.sequences == bins or not optimal
+
+
+def test_fillings_are_all_undominated_ones():
+    rng = random.Random(4)
+    for _ in range(60):
+        room = rng.randint(4, 14)
+        counts = np.bincount([rng.randint(1, 9) for _ in range(rng.randint(1, 8))], minlength=20)
+        have = [x for x in range(1, 20) for _ in range(counts[x])]
+        feasible = {tuple(sorted(c, reverse=True)) for r in range(len(have) + 1) for c in combinations(have, r) if sum(c) <= room}
+
+        def beaten(fill):
+            """By the definition: some group of its pieces can give way to one piece that is left and at least as long."""
+            for r in range(len(fill) + 1):
+                for group in combinations(range(len(fill)), r):
+                    s = sum(fill[k] for k in group)
+                    for x in range(1, 20):
+                        better = x > s or (x == s and r > 1)
+                        if better and counts[x] > fill.count(x) and sum(fill) - s + x <= room:
+                            return True
+            return False
+
+        got = list(packing.fillings(counts, room, room))
+        assert len(got) == len(set(got)) and set(got) == {f for f in feasible if not beaten(f)}, (counts, room)
+        assert [room - sum(f) for f in got] == sorted(room - sum(f) for f in got)
 
 
 # -- decontamination ----------------------------------------------------------------------------------------------
