@@ -5,7 +5,7 @@ how many there are of each length: at most ``max_tokens`` counts, whatever the s
 on these counts: around the largest piece left it enumerates all undominated fillings that waste no more than the
 incumbent (best-fit decreasing at first) leaves to a better plan, applies one as often as the counts allow or less often, and
 goes on with the rest. The search ends when the incumbent meets a lower bound, when no filling is left (both prove the plan),
-or after ``MAX_NODES`` nodes (``proved`` is false then). The plan is a short list of patterns with repetitions. Each piece
+or after ``MAX_NODES`` nodes or ``MAX_STEPS`` steps within them (``proved`` is false then). The plan is a short list of patterns with repetitions. Each piece
 then finds its place by its rank among the pieces of its length, counted in salted groups, so that neither a common length nor
 the plan gathers pieces in one task.
 
@@ -17,6 +17,7 @@ whatever their names, don't enter.
 
 from __future__ import annotations
 
+import hashlib
 import json
 import math
 import re
@@ -24,6 +25,7 @@ import struct
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import islice
 from typing import NamedTuple
 
 import numpy as np
@@ -41,10 +43,9 @@ END_ID = 1
 CACHE_WORDS = 1_000_000
 #: Bytes of text whose words are looked up at once.
 GROUP_BYTES = 8_000_000
-#: Nodes of the search; beyond them the incumbent stands, and the plan says that it isn't proved.
-MAX_NODES = 20_000
-#: States that the search remembers, each a count for every length.
-MAX_SEEN = 5_000
+#: Nodes of the search, and steps of enumeration in all nodes; beyond them the incumbent stands, and the plan says that it
+#: isn't proved.
+MAX_NODES, MAX_STEPS = 10_000, 300_000
 
 # The parts of a tokenizer file that make it one that works word by word.
 WORD_END = "</w>"
@@ -202,44 +203,62 @@ def _reach(lengths: list[int], counts: np.ndarray, room: int) -> list[int]:
     return sums[::-1]
 
 
-def dominated(fill: tuple[int, ...], counts: np.ndarray, room: int) -> bool:
-    """Whether one more piece fits as well, or one that is left could take the place of several or of shorter ones."""
-    spare = room - sum(fill)
-    one, more = 0, 0  # sums of one piece, and of two or more
-    for x in fill:
-        more |= (one | more) << x
-        one |= 1 << x
-    wide, reach = (1 | one | more) << 1, 1  # sums (none is 0) and up to spare above, by doubling
+def _above(sums: int, spare: int) -> int:
+    """Each sum of a bit set plus 1 to spare."""
+    wide, reach = sums << 1, 1
     while reach < spare:
         k = min(reach, spare - reach)
         wide |= wide << k
         reach += k
-    found = more | (wide if spare else 0)
-    if not found:
-        return False
-    left = np.flatnonzero(counts[: room + 1])
-    return any((found >> x) & 1 and counts[x] > fill.count(x) for x in left.tolist())
+    return wide if spare else 0
 
 
-def fillings(counts: np.ndarray, room: int, waste: int) -> Iterator[tuple[int, ...]]:
+class Work:
+    """Steps that a search may still take."""
+
+    def __init__(self, steps: int):
+        self.left = steps
+
+
+def fillings(counts: np.ndarray, room: int, waste: int, work: Work | None = None) -> Iterator[tuple[int, ...]]:
     """All undominated fillings of a room that leave at most waste of it, by lengths available in counts (index is
-    length), least waste first and longer pieces before shorter ones. Sums that can't be reached are never entered."""
+    length), least waste first and longer pieces before shorter ones; fewer if the work runs out.
+
+    A filling is dominated where one more piece fits, or where a piece that it leaves could take the place of several of
+    its pieces or of a shorter one. A branch ends at a sum out of reach, and at the first pieces that are dominated."""
+    work = work or Work(1 << 62)
     lengths = np.flatnonzero(counts[: room + 1])[::-1].tolist()
     reach = _reach(lengths, counts, room)
+    work.left -= len(lengths)
+    open_from = [0]  # bit sets of the lengths from an index on
+    for x in reversed(lengths):
+        open_from.append(open_from[-1] | 1 << x)
+    open_from.reverse()
     for aim in range(room, max(0, room - waste) - 1, -1):
         if not (reach[0] >> aim) & 1:
             continue
-        stack: list[tuple[int, int, tuple[int, ...]]] = [(0, aim, ())]
-        while stack:
-            at, left, fill = stack.pop()
+        spare = room - aim
+        # index of the next length, room left, pieces, sums of one or more and of two or more, and longer lengths with pieces left
+        stack: list[tuple[int, int, tuple[int, ...], int, int, int]] = [(0, aim, (), 0, 0, 0)]
+        while stack and work.left > 0:
+            at, left, fill, one, more, free = stack.pop()
+            work.left -= 1
+            if (more | _above(one | more, spare)) & free:
+                continue
             if not left:
-                if not dominated(fill, counts, room):
+                if not (more | _above(1 | one | more, spare)) & (free | open_from[at]):
                     yield fill
                 continue
             x = lengths[at]
-            for k in range(min(int(counts[x]), left // x) + 1):  # the last one pushed, most of the longest, comes first
+            most = min(int(counts[x]), left // x)
+            pushed = []
+            for k in range(most + 1):
+                if k:
+                    more |= (one | more) << x
+                    one |= 1 << x
                 if (reach[at + 1] >> (left - k * x)) & 1:
-                    stack.append((at + 1, left - k * x, fill + (x,) * k))
+                    pushed.append((at + 1, left - k * x, fill + (x,) * k, one, more, free | (1 << x if counts[x] > k else 0)))
+            stack += pushed  # the last one pushed, most of the longest, comes first
 
 
 def lower_bound(counts: np.ndarray, size: int) -> int:
@@ -286,10 +305,10 @@ class Plan(NamedTuple):
     nodes: int  # of the search
 
 
-def plan(counts: np.ndarray, size: int = MAX_TOKENS, *, max_nodes: int = MAX_NODES) -> Plan:
+def plan(counts: np.ndarray, size: int = MAX_TOKENS, *, max_nodes: int = MAX_NODES, max_steps: int = MAX_STEPS) -> Plan:
     """Patterns of lengths and how many sequences take each, using up counts (index is length, to size).
 
-    The fewest sequences where proved; the search is exhaustive unless it meets max_nodes."""
+    The fewest sequences where proved; the search is exhaustive unless it meets max_nodes or max_steps."""
     counts = np.asarray(counts, np.int64).copy()
     whole = int(counts[size])
     counts[size] = 0
@@ -300,23 +319,31 @@ def plan(counts: np.ndarray, size: int = MAX_TOKENS, *, max_nodes: int = MAX_NOD
     least = lower_bound(counts, size)
     best = best_fit_decreasing(counts, size)
     most = sum(m for _, m in best)
-    nodes, used, rest = 0, 0, total
-    seen: dict[bytes, int] = {}  # what was left, and the fewest sequences used before it
+    nodes, used, rest, work = 0, 0, total, Work(max_steps)
+    seen: dict[bytes, int] = {}  # a digest of what was left, and the fewest sequences used before it
 
-    def options(c: np.ndarray) -> Iterator[Pattern]:
-        first = int(np.flatnonzero(c)[-1])
-        others = c.copy()
+    def steps() -> Iterator[Pattern]:
+        """The fillings around the longest piece left, each as often as the counts allow, then less often."""
+        first = int(np.flatnonzero(counts)[-1])
+        others = counts.copy()
         others[first] -= 1
-        for fill in fillings(others, size - first, (most - 1 - used) * size - rest):
+        for fill in fillings(others, size - first, (most - 1 - used) * size - rest, work):
             held = (first, *fill)
             lengths, k = np.unique(held, return_counts=True)
-            for many in range(int((c[lengths] // k).min()), 0, -1):
+            for many in range(int((counts[lengths] // k).min()), 0, -1):
                 yield held, many
 
+    def options() -> Iterator[Pattern]:
+        """steps(), some at a time: a level of the search that waits for those below holds few of them and no sums."""
+        done, some = 0, 4
+        while found := list(islice(steps(), done, done + some)):
+            yield from found
+            done, some = done + some, 4 * some
+
     # Depth first. A level holds the fillings not yet tried; what is used so far, in sequences and in waste, bounds it.
     path: list[Pattern] = []
-    levels = [options(counts)]
-    while levels and most > least and nodes < max_nodes:
+    levels = [options()]
+    while levels and most > least and nodes < max_nodes and work.left > 0:
         step = next(levels[-1], None)
         if step is None:
             levels.pop()
@@ -334,17 +361,16 @@ def plan(counts: np.ndarray, size: int = MAX_TOKENS, *, max_nodes: int = MAX_NOD
             counts[x] -= many
         path.append(step)
         used, rest = used + many, rest - many * sum(held)
-        key = counts.tobytes() if rest else b""
+        key = hashlib.blake2b(counts.tobytes(), digest_size=16).digest()
         if not rest:
             best, most = list(path), used
             levels.append(iter(()))
         elif seen.get(key, most) <= used or used + lower_bound(counts, size) >= most:
             levels.append(iter(()))
         else:
-            if len(seen) < MAX_SEEN:
-                seen[key] = used
-            levels.append(options(counts))
-    return Plan(head + best, whole + most, most <= least or not levels, nodes)
+            seen[key] = used
+            levels.append(options())
+    return Plan(head + best, whole + most, most <= least or (not levels and work.left > 0), nodes)
 
 
 def places(patterns: list[Pattern]) -> pd.DataFrame:
