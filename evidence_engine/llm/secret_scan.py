@@ -5,16 +5,21 @@ window of its own over the stretches of its characters; the window's Shannon ent
 one character in and one out. Stretches of windows above the class's limit, with the mix of characters that generated secrets have,
 become spans, unless an allow-list suppresses them. Base spans are never suppressed.
 
-Offsets are code points, ends exclusive. Defined cases: null and empty texts have no span; rows are scanned one by one, so repeated rows
-get equal results; a null doc_id is kept.
+Offsets are code points, ends exclusive. The time of a text grows with its length, also where it is one run or holds many spans.
+Defined cases: null and empty texts have no span; very long texts are scanned whole; rows are scanned one by one, so repeated rows
+get equal results; a null doc_id is kept, and an id is cast to long; an empty table gives no rows; other columns of docs,
+whatever their names, don't enter. Spans of one start come in the order of the kinds.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
+from itertools import accumulate
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
@@ -26,11 +31,12 @@ MIN_ASSIGN, MIN_ACCESS = 12, 18
 
 #: name, characters, window, least entropy in bits, least share of digits and of letters in a window
 CLASSES = (
-    ("hex", frozenset("0123456789abcdefABCDEF"), 20, 2.8, 0.2, 0.1),
-    ("alnum", frozenset("0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"), 20, 3.5, 0.15, 0.2),
-    ("base64", frozenset("0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ+/=_-"), 24, 3.8, 0.1, 0.2),
+    ("hex", "0123456789abcdefABCDEF", 20, 2.8, 0.2, 0.1),
+    ("alnum", "0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ", 20, 3.5, 0.15, 0.2),
+    ("base64", "0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ+/=_-", 24, 3.8, 0.1, 0.2),
 )
-_CANDIDATE = re.compile(r"(?=[A-Za-z+/=_-]*[0-9]|[a-z+/=_-]*[A-Z])[A-Za-z0-9+/=_-]{20,}")  # no class admits a window of one case alone
+_CANDIDATE = re.compile(r"[A-Za-z0-9+/=_-]{20,}")
+_MIXED = re.compile(r"[0-9A-Z]")  # no class admits a window of small letters alone
 #: Whole candidates that are known to be harmless: identifiers, dates and versions in words, one repeated unit.
 ALLOWED = (
     re.compile(r"[0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}"),
@@ -41,7 +47,6 @@ ALLOWED = (
 
 #: What a hot stretch itself may hold to be an example; the rest of its candidate doesn't matter.
 _EXAMPLE = re.compile(r"(?i:example|sample|placeholder|changeme|xxxx)")
-_CASE_CHANGE = re.compile(r"(?=[a-z][A-Z]|[A-Z][a-z])")
 
 Span = tuple[str, int, int]
 
@@ -52,36 +57,51 @@ def base_spans(text: str) -> list[Span]:
     return out + [("hex", m.start(), m.end()) for m in _HEX.finditer(text)]
 
 
-def hot_windows(run: str, window: int, least: float, digits: float, letters: float) -> Iterator[int]:
-    """Starts of the windows of run whose entropy and mix reach the limits."""
+def _runs(chars: str) -> re.Pattern:
+    return re.compile("[" + re.escape(chars) + "]+")
+
+
+_RUNS = {name: _runs(chars) for name, chars, *_ in CLASSES}
+
+
+def window_entropies(codes: np.ndarray, window: int) -> np.ndarray:
+    """Shannon entropy in bits of each window of codes.
+
+    With k log k summed over the counts k of a window, entropy is log2(window) less that sum over window. The sum changes by
+    one character in and one out; how often either occurs is counted over the distances within a window, for all at once."""
+    n = len(codes)
+    before, after = np.zeros(n, np.uint8), np.ones(n, np.uint8)  # of the character that comes in, and of the one that goes
+    for d in range(1, min(window, n - 1) + 1):
+        same = codes[d:] == codes[:-d]
+        before[d:] += same
+        after[:-d] += same
+    after = after[: n - window]
+    logs = np.concatenate([[0.0], np.arange(1, window + 2) * np.log2(np.arange(1, window + 2))])
+    change = logs[before + 1] - logs[before]
+    change[window:] += logs[after - 1] - logs[after]
+    return math.log2(window) - np.cumsum(change)[window - 1 :] / window
+
+
+def hot_windows(run: str, window: int, least: float, digits: float, letters: float, *, mixed: bool = False) -> np.ndarray:
+    """Starts of the windows of run whose entropy and mix reach the limits. mixed: in place of the share of digits, a digit and two
+    letters of each case will do, or many changes of case (names in camel case have fewer capitals)."""
     if len(run) < window:
-        return
-    logs = [0.0] + [k * math.log2(k) for k in range(1, window + 1)]
-    counts: dict[str, int] = {}
-    weight, n_digits, n_letters = 0.0, 0, 0  # entropy = log2(window) - weight / window
-    for i, c in enumerate(run):
-        k = counts.get(c, 0)
-        counts[c] = k + 1
-        weight += logs[k + 1] - logs[k]
-        n_digits += c.isdigit()
-        n_letters += c.isalpha()
-        if i >= window:
-            old = run[i - window]
-            k = counts[old]
-            counts[old] = k - 1
-            weight += logs[k - 1] - logs[k]
-            n_digits -= old.isdigit()
-            n_letters -= old.isalpha()
-        if i >= window - 1 and math.log2(window) - weight / window >= least and n_digits >= digits * window and n_letters >= letters * window:
-            yield i - window + 1
-
-
-def generated(part: str, digits: float) -> bool:
-    """Whether a window has the mix of generated secrets: the share of digits, or a digit and both cases, or many changes of case."""
-    n, lower, upper = (sum(a <= c <= b for c in part) for a, b in ("09", "az", "AZ"))
-    if n >= digits * len(part) or n and lower >= 2 and upper >= 2:
-        return True
-    return min(lower, upper) >= 0.35 * len(part) and len(_CASE_CHANGE.findall(part)) >= 6  # names in camel case have fewer capitals
+        return np.empty(0, np.int64)
+    codes = np.frombuffer(run.encode(), np.uint8)
+    digit, lower, upper = ((codes >= a) & (codes <= b) for a, b in (b"09", b"az", b"AZ"))
+    changes = np.concatenate([(lower[:-1] & upper[1:]) | (upper[:-1] & lower[1:]), [False]])
+
+    def held(which: np.ndarray, width: int = window) -> np.ndarray:
+        total = np.concatenate([[0], np.cumsum(which)])
+        return total[width : width + len(run) - window + 1] - total[: len(run) - window + 1]
+
+    n_digits, n_lower, n_upper = held(digit), held(lower), held(upper)
+    ok = (window_entropies(codes, window) >= least) & (n_lower + n_upper >= letters * window)
+    many = n_digits >= digits * window
+    if mixed:
+        many |= (n_digits > 0) & (n_lower >= 2) & (n_upper >= 2)
+        many |= (np.minimum(n_lower, n_upper) >= 0.35 * window) & (held(changes, window - 1) >= 6)
+    return np.flatnonzero(ok & many)
 
 
 def entropy_spans(text: str) -> list[Span]:
@@ -89,29 +109,17 @@ def entropy_spans(text: str) -> list[Span]:
     out: list[Span] = []
     for m in _CANDIDATE.finditer(text):
         whole = m.group()
-        if any(p.fullmatch(whole) for p in ALLOWED):
+        if not _MIXED.search(whole) or any(p.fullmatch(whole) for p in ALLOWED):
             continue
-        hot = set()
-        for name, chars, window, least, digits, letters in CLASSES:
-            at = 0
-            while at < len(whole):
-                end = at
-                while end < len(whole) and whole[end] in chars:
-                    end += 1
-                run = whole[at:end]
-                if name == "hex":  # of one case as a rule
-                    starts = hot_windows(run, window, least, digits, letters)
-                else:
-                    starts = (k for k in hot_windows(run, window, least, 0, letters) if generated(run[k : k + window], digits))
-                hot.update((at + k, at + k + window) for k in starts)
-                at = end + 1
-        merged: list[list[int]] = []
-        for a, b in sorted(hot):
-            if merged and a <= merged[-1][1]:
-                merged[-1][1] = max(merged[-1][1], b)
-            else:
-                merged.append([a, b])
-        out += [("entropy", m.start() + a, m.start() + b) for a, b in merged if not _EXAMPLE.search(whole, a, b)]
+        edges = np.zeros(len(whole) + 1, np.int64)
+        for name, _, window, least, digits, letters in CLASSES:
+            for part in _RUNS[name].finditer(whole):
+                starts = part.start() + hot_windows(part.group(), window, least, digits, letters, mixed=name != "hex")  # hex is of one case as a rule
+                edges[starts] += 1
+                edges[starts + window] -= 1
+        hot = np.concatenate([[False], np.cumsum(edges) > 0])
+        a, b = (np.flatnonzero(hot[1:] & ~hot[:-1]), np.flatnonzero(~hot[1:] & hot[:-1]))
+        out += [("entropy", m.start() + x, m.start() + y) for x, y in zip(a.tolist(), b.tolist(), strict=True) if not _EXAMPLE.search(whole, x, y)]
     return out
 
 
@@ -119,8 +127,9 @@ def scan(text: str | None) -> tuple[list[Span], list[Span]]:
     """The base spans, and the spans that entropy adds where no base span covers them; each by start, then kind."""
     text = text or ""
     base = sorted(base_spans(text), key=lambda s: (s[1], KINDS.index(s[0])))
-    more = [s for s in entropy_spans(text) if not any(b[1] <= s[1] and s[2] <= b[2] for b in base)]
-    return base, more
+    starts, reach = [s[1] for s in base], list(accumulate((s[2] for s in base), max))  # reach: the furthest end of a span so far
+    at = lambda s: bisect_right(starts, s[1])
+    return base, [s for s in entropy_spans(text) if not at(s) or reach[at(s) - 1] < s[2]]
 
 
 def secret_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
