@@ -40,9 +40,9 @@ from .common import chunks, shuffle_partitions, stored
 MAX_TOKENS = 4096
 END_ID = 1
 #: Words whose ids one Python worker remembers; half of them go at a time.
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 400_000
 #: Bytes of text whose words are looked up at once.
-GROUP_BYTES = 8_000_000
+GROUP_BYTES = 2_000_000
 #: Nodes of the search, and steps of enumeration in all nodes; beyond them the incumbent stands, and the plan says that it
 #: isn't proved.
 MAX_NODES, MAX_STEPS = 10_000, 300_000
