@@ -3,6 +3,10 @@
 Facts have the columns paper, paper_type, year (null if unknown), theme, tag, score (null if unknown), form, anchor and
 tie (any column that makes an order unique). An entity is a column of the facts, such as theme or tag. Years split at
 ``latest - recent_span + 1`` of their paper type. Rates are rounded to 4 digits before thresholds see them.
+
+Profiles and migrations start from ``entity_items``: facts counted per entity, paper and form. They read it more than once, so give
+``keep``, a function that stores a frame and reads it again, where facts are costly: they are then read once. What is
+known per paper type (a closed vocabulary) is one array, a scalar subquery, so no join meets the hot keys that types are.
 """
 
 from __future__ import annotations
@@ -28,39 +32,59 @@ def rate(numerator: Column, denominator: Column) -> Column:
 
 
 def year_dimension(facts: DataFrame, *, recent_span: int = 5) -> DataFrame:
-    """paper_type, latest, recent_start and years (sorted): one small row per paper type with a known year."""
-    years = facts.where("year IS NOT NULL").select("paper_type", "year").distinct()
-    return years.groupBy("paper_type").agg(
-        F.max("year").alias("latest"), (F.max("year") - recent_span + 1).alias("recent_start"), F.sort_array(F.collect_list("year")).alias("years")
-    )
+    """paper_type, latest, recent_start, years (sorted), h_years, r_years, h_papers, r_papers: one row per paper type with a known year."""
+    known = facts.where("year IS NOT NULL AND paper_type IS NOT NULL")
+    papers = known.groupBy("paper_type", "paper").agg(F.sort_array(F.collect_set("year")).alias("ys"))
+    kinds = papers.groupBy("paper_type", "ys").agg(F.count("*").alias("n"))  # papers have one year as a rule
+    d = kinds.groupBy("paper_type").agg(F.collect_list(F.struct("ys", "n")).alias("kinds"))
+    d = d.withColumn("years", F.array_sort(F.array_distinct(F.flatten(F.transform("kinds", lambda k: k["ys"])))))
+    start = F.array_max("years") - recent_span + 1
+    d = d.select("paper_type", F.array_max("years").alias("latest"), start.alias("recent_start"), "years", "kinds")
+    out = [F.col(c) for c in ("paper_type", "latest", "recent_start", "years")]
+    with_years = lambda here: F.filter("kinds", lambda k: F.exists(k["ys"], here))
+    for p, here in (("h", lambda y: y < F.col("recent_start")), ("r", lambda y: y >= F.col("recent_start"))):
+        mine = with_years(here)
+        out.append(F.size(F.filter("years", here)).cast("long").alias(f"{p}_years"))
+        out.append(F.aggregate(mine, F.lit(0).cast("long"), lambda a, k: a + k["n"]).alias(f"{p}_papers"))
+    return d.select(*out)
+
+
+def paper_types(facts: DataFrame, *, recent_span: int = 5) -> Column:
+    """The rows of year_dimension in one array, by paper type; a scalar subquery."""
+    d = year_dimension(facts, recent_span=recent_span)
+    return d.agg(F.array_sort(F.collect_list(F.struct(*d.columns)))).scalar()
 
 
 def with_period(facts: DataFrame, *, recent_span: int = 5) -> DataFrame:
     """facts with period: historical, recent, or null for an unknown year."""
-    starts = year_dimension(facts, recent_span=recent_span).select(F.col("paper_type").alias("__type"), "recent_start")
-    period = F.when(F.col("year") < F.col("recent_start"), "historical").when(F.col("year") >= F.col("recent_start"), "recent")
-    return facts.join(starts, facts["paper_type"] == starts["__type"], "left").withColumn("period", period).drop("__type", "recent_start")
-
-
-def period_sizes(facts: DataFrame, *, recent_span: int = 5) -> DataFrame:
-    """paper_type, h_years, r_years, h_papers, r_papers."""
-    d = with_period(facts, recent_span=recent_span).where("period IS NOT NULL").select("paper_type", "period", "year", "paper").distinct()
-    of = lambda c, p: F.count_distinct(F.when(F.col("period") == p, F.col(c)))
-    return d.groupBy("paper_type").agg(
-        of("year", "historical").alias("h_years"), of("year", "recent").alias("r_years"),
-        of("paper", "historical").alias("h_papers"), of("paper", "recent").alias("r_papers"),
-    )
+    dims = year_dimension(facts, recent_span=recent_span)
+    starts = dims.agg(F.map_from_entries(F.collect_list(F.struct("paper_type", "recent_start")))).scalar()
+    start = F.try_element_at(starts, F.col("paper_type"))
+    return facts.withColumn("period", F.when(F.col("year") < start, "historical").when(F.col("year") >= start, "recent"))
+
+
+def entity_items(facts: DataFrame, entity: str, *more: str) -> DataFrame:
+    """Facts counted (n) per entity, paper_type, year, paper and the columns more."""
+    own = facts.select(F.col(entity).alias("entity"), "paper_type", "year", "paper", *[F.col(c) for c in more], F.col("n") if "n" in facts.columns else F.lit(1).cast("long").alias("n"))
+    return own.groupBy("entity", "paper_type", "year", "paper", *more).agg(F.sum("n").alias("n"))
+
+
+def per_type(own: DataFrame, types: Column, values: list[str]) -> DataFrame:
+    """entity and every paper type with its columns of types, and in v the values of own (entity, paper_type, values) or null."""
+    d = own.groupBy("entity").agg(F.collect_list(F.struct("paper_type", *values)).alias("vs"))
+    mine = F.get(F.filter("vs", lambda v: v["paper_type"] == F.col("t.paper_type")), 0)
+    return d.select("entity", "vs", F.explode(types).alias("t")).select("entity", "t.*", mine.alias("v"))
 
 
 def presence(facts: DataFrame, entity: str, *, recent_span: int = 5) -> DataFrame:
     """entity, paper_type and series: an array of (year, present, n) over the type's observed years, for every pair."""
-    counts = facts.where("year IS NOT NULL").groupBy(F.col(entity).alias("entity"), "paper_type", "year").agg(F.count("*").alias("n"))
-    seen = counts.groupBy("entity", "paper_type").agg(F.map_from_entries(F.collect_list(F.struct("year", "n"))).alias("seen"))
-    # entities times paper types, as the view asks for; the years of a type stay in one array
-    pairs = facts.select(F.col(entity).alias("entity")).distinct().crossJoin(year_dimension(facts, recent_span=recent_span).select("paper_type", "years"))
-    n = lambda y: F.coalesce(F.element_at("seen", y), F.lit(0))
+    counts = facts.groupBy(F.col(entity).alias("entity"), "paper_type", "year").agg(F.count("*").alias("n"))
+    of = F.filter(F.collect_list(F.struct("year", "n")), lambda x: x["year"].isNotNull())  # an entity without a year stays
+    seen = counts.groupBy("entity", "paper_type").agg(F.map_from_entries(of).alias("seen"))
+    d = per_type(seen, paper_types(facts, recent_span=recent_span), ["seen"])
+    n = lambda y: F.coalesce(F.try_element_at(F.col("v")["seen"], y), F.lit(0))
     series = F.transform("years", lambda y: F.struct(y.alias("year"), (n(y) > 0).alias("present"), n(y).alias("n")))
-    return pairs.join(seen, ["entity", "paper_type"], "left").select("entity", "paper_type", series.alias("series"))
+    return d.select("entity", "paper_type", series.alias("series"))
 
 
 def presence_grid(facts: DataFrame, entity: str) -> DataFrame:
@@ -68,16 +92,20 @@ def presence_grid(facts: DataFrame, entity: str) -> DataFrame:
     return presence(facts, entity).select("entity", "paper_type", F.explode("series").alias("s")).select("entity", "paper_type", "s.year", "s.present", "s.n")
 
 
-def series_features(series: DataFrame) -> DataFrame:
-    """present_run and absent_run (at the end), transitions, has_return and latest_present of each series."""
-    flags = F.array_join(F.transform("series", lambda s: F.when(s["present"], "1").otherwise("0")), "")
-    d = series.withColumn("flags", flags)
+def flag_features() -> list[Column]:
+    """present_run and absent_run (at the end), transitions, has_return and latest_present, by the column flags."""
     tail = lambda p: F.length(F.regexp_extract("flags", p, 0))
-    return d.select(
-        "entity", "paper_type", "flags", tail("1*$").alias("present_run"), tail("0*$").alias("absent_run"),
+    return [
+        tail("1*$").alias("present_run"), tail("0*$").alias("absent_run"),
         (F.regexp_count("flags", F.lit("01")) + F.regexp_count("flags", F.lit("10"))).alias("transitions"),
         F.col("flags").rlike("1[01]*001{2,}$").alias("has_return"), F.col("flags").endswith("1").alias("latest_present"),
-    )
+    ]
+
+
+def series_features(series: DataFrame) -> DataFrame:
+    """flags (1 for each year present, else 0) and their features, of each series."""
+    flags = F.array_join(F.transform("series", lambda s: F.when(s["present"], "1").otherwise("0")), "")
+    return series.withColumn("flags", flags).select("entity", "paper_type", "flags", *flag_features())
 
 
 def equal_weight(facts: DataFrame, keys: list[str], value: str) -> DataFrame:
@@ -105,27 +133,43 @@ def long_ratio(distribution: DataFrame, long_forms: tuple[str, ...] = LONG_FORMS
     return distribution.groupBy("entity", "paper_type", "period").agg(rounded(share).alias("long_ratio"))
 
 
-def period_metrics(facts: DataFrame, entity: str, *, recent_span: int = 5, long_forms: tuple[str, ...] = LONG_FORMS, unknown: str = UNKNOWN_FORM) -> DataFrame:
-    """entity, paper_type and both periods' metrics side by side (prefix h_ and r_), for every pair of the two."""
-    own = with_period(facts, recent_span=recent_span).where("period IS NOT NULL")
-    keyed = own.withColumn("entity", F.col(entity))
+def long_shares(own: DataFrame, long_forms: tuple[str, ...], unknown: str) -> DataFrame:
+    """entity, paper_type, h_long, r_long: long_ratio of form_distribution, from entity_items with period, without the other forms."""
+    known = known_forms(own, unknown).where("period IS NOT NULL")
+    mine = [F.sum(F.when(F.col("form") == f, F.col("n")).otherwise(0)).alias(f"f{k}") for k, f in enumerate(long_forms)]
+    papers = known.groupBy("entity", "paper_type", "period", "paper").agg(F.sum("n").alias("total"), *mine)
+    ratio = lambda p: rounded(sum((rounded(F.avg(F.when(F.col("period") == p, F.col(f"f{k}") / F.col("total")))) for k in range(len(long_forms))), F.lit(0.0)))
+    some = lambda p: F.when(F.count_if(F.col("period") == p) > 0, ratio(p))
+    return papers.groupBy("entity", "paper_type").agg(some("historical").alias("h_long"), some("recent").alias("r_long"))
+
+
+def period_metrics(facts: DataFrame, entity: str, *, recent_span: int = 5, long_forms: tuple[str, ...] = LONG_FORMS, unknown: str = UNKNOWN_FORM, keep=None) -> DataFrame:
+    """entity, paper_type and both periods' metrics side by side (prefix h_ and r_), for every pair of the two, and flags."""
+    items = entity_items(facts, entity, "form", "score")
+    items = keep(items) if keep else items
+    types, own = paper_types(items, recent_span=recent_span), with_period(items, recent_span=recent_span)
     known = (F.col("form") != unknown) & F.col("form").isNotNull()
-    sums = []
+    sums, names = [], []
     for p, name in (("h", "historical"), ("r", "recent")):
         here = F.col("period") == name
+        count = lambda c: F.sum(F.when(c, F.col("n")).otherwise(0))
+        score = F.when(here, F.col("score"))
         sums += [
-            F.count_distinct(F.when(here, F.col("year"))).alias(f"{p}_hits"), F.count_if(here).alias(f"{p}_items"), F.count_if(here & known).alias(f"{p}_forms"),
-            F.count(F.when(here, F.col("score"))).alias(f"{p}_scores"), rounded(F.sum(F.when(here, F.col("score")))).alias(f"{p}_total"),
-            rounded(F.median(F.when(here, F.col("score")))).alias(f"{p}_median"),
+            count(here).alias(f"{p}_items"), count(here & known).alias(f"{p}_forms"), count(here & F.col("score").isNotNull()).alias(f"{p}_scores"),
+            rounded(F.sum(score * F.col("n"))).alias(f"{p}_total"), rounded(F.percentile(score, F.lit(0.5), F.col("n"))).alias(f"{p}_median"),
         ]
-    metrics = keyed.groupBy("entity", "paper_type").agg(*sums, F.min("year").alias("first_seen"), F.max("year").alias("last_seen"))
-    ratios = long_ratio(form_distribution(own, entity, unknown=unknown), long_forms).groupBy("entity", "paper_type").agg(
-        F.max(F.when(F.col("period") == "historical", F.col("long_ratio"))).alias("h_long"), F.max(F.when(F.col("period") == "recent", F.col("long_ratio"))).alias("r_long")
-    )
-    sizes = period_sizes(facts, recent_span=recent_span)
-    pairs = facts.select(F.col(entity).alias("entity")).distinct().crossJoin(sizes)  # sizes: a row per paper type
-    out = pairs.join(metrics, ["entity", "paper_type"], "left").join(ratios, ["entity", "paper_type"], "left")
-    out = out.na.fill(0, [f"{p}_{c}" for p in "hr" for c in ("hits", "items", "forms", "scores")]).na.fill(0.0, ["h_total", "r_total"])
+        names += [f"{p}_{c}" for c in ("items", "forms", "scores", "total", "median")]
+    metrics = own.groupBy("entity", "paper_type").agg(*sums, F.collect_set("year").alias("seen"))
+    both = metrics.join(long_shares(own, long_forms, unknown), ["entity", "paper_type"], "left")
+    d = per_type(both, types, [*names, "seen", "h_long", "r_long"])
+    seen = F.coalesce(F.col("v")["seen"], F.array().cast("array<int>"))
+    flags = F.array_join(F.transform("years", lambda y: F.when(F.array_contains(seen, y), "1").otherwise("0")), "")
+    hits = {"h": F.size(F.filter(seen, lambda y: y < F.col("recent_start"))), "r": F.size(F.filter(seen, lambda y: y >= F.col("recent_start")))}
+    zero = {"items": 0, "forms": 0, "scores": 0, "total": 0.0}
+    out = d.select(
+        "entity", "paper_type", "h_years", "r_years", "h_papers", "r_papers", F.array_min(seen).alias("first_seen"), F.array_max(seen).alias("last_seen"), flags.alias("flags"),
+        *[hits[p].cast("long").alias(f"{p}_hits") for p in "hr"], *[F.coalesce(F.col("v")[n], F.lit(zero[n[2:]])).alias(n) if n[2:] in zero else F.col("v")[n].alias(n) for n in [*names, "h_long", "r_long"]],
+    )
     for p in "hr":
         out = out.withColumn(f"{p}_rate", rate(F.col(f"{p}_hits"), F.col(f"{p}_years")))
         out = out.withColumn(f"{p}_per_paper", rate(F.col(f"{p}_items"), F.col(f"{p}_papers"))).withColumn(f"{p}_score_per_paper", rate(F.col(f"{p}_total"), F.col(f"{p}_papers")))
@@ -179,41 +223,59 @@ def dominant(distribution: DataFrame, value: str) -> DataFrame:
     return distribution.groupBy("entity", "paper_type", "period").agg(best.alias("b")).select("entity", "paper_type", "period", F.col(f"b.{value}").alias("dominant"), F.col("b.share").alias("share"))
 
 
-def migrations(facts: DataFrame, entity: str, tag: str, *, recent_span: int = 5) -> DataFrame:
+def migrations(facts: DataFrame, entity: str, tag: str, *, recent_span: int = 5, keep=None) -> DataFrame:
     """entity, paper_type, old_tag, old_share, new_tag, new_share, new_tag_years, migrated."""
-    own = with_period(facts, recent_span=recent_span).where("period IS NOT NULL").withColumn("entity", F.col(entity)).withColumn("of", F.col(tag))
-    shares = equal_weight(own, ["entity", "paper_type", "period"], "of")
-    best = dominant(shares, "of").groupBy("entity", "paper_type").agg(
-        *[F.max(F.when(F.col("period") == p, F.col(c))).alias(n) for p, c, n in (("historical", "dominant", "old_tag"), ("historical", "share", "old_share"), ("recent", "dominant", "new_tag"), ("recent", "share", "new_share"))]
-    )
-    before = shares.where("period = 'historical'").select("entity", "paper_type", F.col("of").alias("new_tag"), F.col("share").alias("was"))
-    years = own.where("period = 'recent'").groupBy("entity", "paper_type", F.col("of").alias("new_tag")).agg(F.count_distinct("year").alias("new_tag_years"))
-    sizes = own.groupBy("entity", "paper_type").agg(F.count_if(F.col("period") == "historical").alias("h"), F.count_if(F.col("period") == "recent").alias("r"))
-    d = best.join(before, ["entity", "paper_type", "new_tag"], "left").join(years, ["entity", "paper_type", "new_tag"], "left").join(sizes, ["entity", "paper_type"])
+    items = entity_items(facts.withColumn("of", F.col(tag)), entity, "of")
+    items = keep(items) if keep else items
+    own = with_period(items, recent_span=recent_span).where("period IS NOT NULL")
+    tagged = F.when(F.col("of").isNotNull(), F.struct("of", "year", "n"))
+    papers = own.groupBy("entity", "paper_type", "period", "paper").agg(F.sum("n").alias("all"), F.sum(F.when(F.col("of").isNotNull(), F.col("n"))).alias("total"), F.collect_list(tagged).alias("tags"))
+    # each paper gives its tags with their share of it, and a row without a tag that counts the paper
+    shares = F.transform("tags", lambda t: F.struct(t["of"].alias("of"), t["year"].alias("year"), (t["n"] / F.col("total")).alias("share"), F.lit(0).cast("long").alias("all")))
+    none = F.struct(F.lit(None).cast(dict(items.dtypes)["of"]).alias("of"), F.lit(None).cast("int").alias("year"), F.when(F.size("tags") > 0, 1.0).otherwise(0.0).alias("share"), F.col("all").alias("all"))
+    rows = papers.select("entity", "paper_type", "period", F.explode(F.concat(shares, F.array(none))).alias("x")).select("entity", "paper_type", "period", "x.*")
+    sums = []
+    for p, name in (("h", "historical"), ("r", "recent")):
+        here = F.col("period") == name
+        sums += [F.sum(F.when(here, F.col("share"))).alias(p), F.sum(F.when(here, F.col("all"))).alias(f"{p}_all"), F.size(F.collect_set(F.when(here, F.col("year")))).alias(f"{p}_years")]
+    tags = rows.groupBy("entity", "paper_type", "of").agg(*sums)
+    whole = Window.partitionBy("entity", "paper_type")
+    of_type = lambda c: F.max(F.when(F.col("of").isNull(), F.col(c))).over(whole)
+    tags = tags.withColumn("h_papers", of_type("h")).withColumn("r_papers", of_type("r")).withColumn("h_all", of_type("h_all")).withColumn("r_all", of_type("r_all"))
+    tags = tags.withColumn("h", rounded(F.col("h") / F.nullif("h_papers", F.lit(0.0)))).withColumn("r", rounded(F.col("r") / F.nullif("r_papers", F.lit(0.0))))
+    real = F.col("of").isNotNull()
+    first = lambda p: F.min(F.when(real & F.col(p).isNotNull(), F.struct((-F.col(p)).alias("order"), "of", "h", "r", "r_years")))
+    d = tags.groupBy("entity", "paper_type").agg(first("h").alias("old"), first("r").alias("new"), F.max("h_all").alias("h"), F.max("r_all").alias("r"))
     moved = (
-        (F.col("h") >= 5) & (F.col("r") >= 3) & (F.col("old_tag") != F.col("new_tag")) & (F.col("new_share") >= 0.4)
-        & (F.col("new_share") - F.coalesce("was", F.lit(0.0)) >= 0.25) & (F.col("new_tag_years") >= 2)
+        (F.col("h") >= 5) & (F.col("r") >= 3) & (F.col("old.of") != F.col("new.of")) & (F.col("new.r") >= 0.4)
+        & (F.col("new.r") - F.coalesce("new.h", F.lit(0.0)) >= 0.25) & (F.col("new.r_years") >= 2)
+    )
+    d = d.where("old IS NOT NULL OR new IS NOT NULL")
+    return d.select(
+        "entity", "paper_type", F.col("old.of").alias("old_tag"), F.col("old.h").alias("old_share"), F.col("new.of").alias("new_tag"), F.col("new.r").alias("new_share"),
+        F.coalesce("new.r_years", F.lit(0)).cast("long").alias("new_tag_years"), F.coalesce(moved, F.lit(False)).alias("migrated"),
     )
-    return d.select("entity", "paper_type", "old_tag", "old_share", "new_tag", "new_share", F.coalesce("new_tag_years", F.lit(0)).alias("new_tag_years"), F.coalesce(moved, F.lit(False)).alias("migrated"))
 
 
-def profiles(facts: DataFrame, entity: str, *, recent_span: int = 5, long_forms: tuple[str, ...] = LONG_FORMS, unknown: str = UNKNOWN_FORM, tag: str | None = None) -> DataFrame:
+def profiles(facts: DataFrame, entity: str, *, recent_span: int = 5, long_forms: tuple[str, ...] = LONG_FORMS, unknown: str = UNKNOWN_FORM, tag: str | None = None, keep=None) -> DataFrame:
     """Metrics, series features, trend, priority, role and secondary trends of every entity and paper type. tag: the
     column whose dominant value may migrate within the entity."""
-    m = period_metrics(facts, entity, recent_span=recent_span, long_forms=long_forms, unknown=unknown)
-    d = m.join(series_features(presence(facts, entity, recent_span=recent_span)), ["entity", "paper_type"])
+    m = period_metrics(facts, entity, recent_span=recent_span, long_forms=long_forms, unknown=unknown, keep=keep)
+    d = m.select("*", *flag_features())
     d = d.withColumn("trend", primary_trend()).withColumn("role", importance_role()).withColumn("secondary", size_shifts())
     if tag:
-        moved = migrations(facts, entity, tag, recent_span=recent_span).where("migrated").select("entity", "paper_type", "migrated")
+        moved = migrations(facts, entity, tag, recent_span=recent_span, keep=keep).where("migrated").select("entity", "paper_type", "migrated")
         more = F.when(F.col("migrated"), F.array(F.lit("MIGRATE"))).otherwise(F.array().cast("array<string>"))
         d = d.join(moved, ["entity", "paper_type"], "left").withColumn("secondary", F.concat("secondary", more)).drop("migrated")
     number = lambda c, of: F.element_at(F.create_map(*[x for k, v in of.items() for x in (F.lit(k), F.lit(v))]), F.col(c))
     return d.withColumn("trend_priority", number("trend", TREND_PRIORITY)).withColumn("role_priority", number("role", ROLE_PRIORITY))
 
 
-def profile_entities(facts: DataFrame, *, recent_span: int = 5, long_forms: tuple[str, ...] = LONG_FORMS, unknown: str = UNKNOWN_FORM) -> DataFrame:
+def profile_entities(facts: DataFrame, *, recent_span: int = 5, long_forms: tuple[str, ...] = LONG_FORMS, unknown: str = UNKNOWN_FORM, keep=None) -> DataFrame:
     """Profiles of themes and tags in one frame, with kind."""
-    how = {"recent_span": recent_span, "long_forms": long_forms, "unknown": unknown}
+    how = {"recent_span": recent_span, "long_forms": long_forms, "unknown": unknown, "keep": keep}
+    if keep:  # what the items of both kinds are counted from
+        facts = keep(facts.groupBy("theme", "tag", "paper_type", "year", "paper", "form", "score").agg(F.count("*").alias("n")))
     themes = profiles(facts, "theme", tag="tag", **how).withColumn("kind", F.lit("theme"))
     return themes.unionByName(profiles(facts, "tag", **how).withColumn("kind", F.lit("tag")))
 

@@ -1,19 +1,34 @@
-"""A new folder below the one that driver and executors share."""
+"""New folders below the one that driver and executors share, and frames kept there."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _own: dict[str, str] = {}
 
 
-def scratch(spark: SparkSession) -> str:
+def shared_dir(spark: SparkSession) -> str:
+    """spark.checkpoint.dir. Where it is unset, a folder of our own serves on one machine; a cluster must name one."""
     base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        app = spark.sparkContext.applicationId
-        base = _own.setdefault(app, "") or tempfile.mkdtemp(prefix="spark-shared-")
-        _own[app] = base
-    return f"{base.rstrip('/')}/scratch-{uuid.uuid4().hex}"
+    if base:
+        return base.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    app = spark.sparkContext.applicationId
+    if app not in _own:
+        _own[app] = tempfile.mkdtemp(prefix="spark-shared-")
+    return _own[app]
+
+
+def scratch(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/scratch-{uuid.uuid4().hex}"
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """df written to the shared folder and read again: its sources are read once, however many plans follow."""
+    path = scratch(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -8,8 +8,9 @@ from ..operators import trends as T
 from ..operators import views as V
 from .bindings import FACTS_SQL, LONG_FORMS, RECENT_SPAN, UNKNOWN_FORM, item_facts
 from .registry import Registry
+from .scratch import kept
 
-HOW = {"recent_span": RECENT_SPAN, "long_forms": LONG_FORMS, "unknown": UNKNOWN_FORM}
+HOW = {"recent_span": RECENT_SPAN, "long_forms": LONG_FORMS, "unknown": UNKNOWN_FORM, "keep": kept}
 query = Registry()
 
 
@@ -94,6 +95,11 @@ IMPORTANCE = "role_priority, trend_priority, coalesce(r_rate, 0) DESC, coalesce(
 TREND = "trend_priority, abs(delta) DESC, coalesce(r_rate, 0) DESC, coalesce(r_total, 0) DESC, entity"
 
 
+def facts_of(spark, d, *columns):
+    """Some columns of the facts, kept, for operators that read them more than once."""
+    return kept(item_facts(spark, d).select("paper", "paper_type", "year", *columns))
+
+
 def tags(spark, d):
     return T.profiles(item_facts(spark, d), "tag", **HOW)
 
@@ -102,6 +108,11 @@ def themes(spark, d):
     return T.profiles(item_facts(spark, d), "theme", **HOW)
 
 
+def both_kinds(spark, d):
+    facts = kept(item_facts(spark, d).select("theme", "tag", "paper_type", "year", "paper", "form", "score"))
+    return T.profiles(facts, "theme", **HOW).unionByName(T.profiles(facts, "tag", **HOW))
+
+
 @query(WITH_TAG + " SELECT entity, paper_type, h_rate, r_rate, delta, r_total, trend, role, trend_priority FROM prof")
 def flagship_trends(spark, d):
     return tags(spark, d).select("entity", "paper_type", "h_rate", "r_rate", "delta", "r_total", "trend", "role", "trend_priority")
@@ -109,34 +120,35 @@ def flagship_trends(spark, d):
 
 @query(f"WITH {FACTS_SQL}, ys AS (SELECT paper_type, year, max(year) OVER (PARTITION BY paper_type) AS latest FROM facts) SELECT DISTINCT paper_type, year, latest, CASE WHEN year < latest - 2 THEN 'historical' ELSE 'recent' END AS period FROM ys")
 def win1_periods(spark, d):
-    own = T.with_period(item_facts(spark, d), recent_span=RECENT_SPAN)
-    dims = T.year_dimension(item_facts(spark, d), recent_span=RECENT_SPAN).select("paper_type", "latest")
+    facts = facts_of(spark, d)
+    own = T.with_period(facts, recent_span=RECENT_SPAN)
+    dims = T.year_dimension(facts, recent_span=RECENT_SPAN).select("paper_type", "latest")
     return own.select("paper_type", "year", "period").distinct().join(dims, "paper_type").select("paper_type", "year", "latest", "period")
 
 
 @query(WITH_THEME + " SELECT entity, paper_type, year, n > 0 AS present, n FROM prof_grid")
 def jon4_presence_grid(spark, d):
-    return T.presence_grid(item_facts(spark, d), "theme")
+    return T.presence_grid(facts_of(spark, d, "theme"), "theme")
 
 
 @query(WITH_TAG + ", s AS (SELECT entity, paper_type, string_agg(CASE WHEN n > 0 THEN '1' ELSE '0' END, '' ORDER BY year) AS flags FROM prof_grid GROUP BY entity, paper_type) SELECT * FROM s")
 def win5_year_series(spark, d):
-    return T.series_features(T.presence(item_facts(spark, d), "tag")).select("entity", "paper_type", "flags")
+    return T.series_features(T.presence(facts_of(spark, d, "tag"), "tag")).select("entity", "paper_type", "flags")
 
 
 @query(WITH_TAG + " SELECT entity, paper_type, present_run, absent_run FROM prof_feat")
 def win2_trailing_runs(spark, d):
-    return T.series_features(T.presence(item_facts(spark, d), "tag")).select("entity", "paper_type", "present_run", "absent_run")
+    return T.series_features(T.presence(facts_of(spark, d, "tag"), "tag")).select("entity", "paper_type", "present_run", "absent_run")
 
 
 @query(WITH_TAG + " SELECT entity, paper_type, transitions FROM prof_feat")
 def win3_transitions(spark, d):
-    return T.series_features(T.presence(item_facts(spark, d), "tag")).select("entity", "paper_type", "transitions")
+    return T.series_features(T.presence(facts_of(spark, d, "tag"), "tag")).select("entity", "paper_type", "transitions")
 
 
 @query(WITH_TAG + " SELECT entity, paper_type, has_return FROM prof_feat")
 def win4_return_pattern(spark, d):
-    return T.series_features(T.presence(item_facts(spark, d), "tag")).select("entity", "paper_type", "has_return")
+    return T.series_features(T.presence(facts_of(spark, d, "tag"), "tag")).select("entity", "paper_type", "has_return")
 
 
 @query(WITH_TAG + " SELECT entity, paper_type, h_hits, h_years, h_rate, r_hits, r_years, r_rate FROM prof")
@@ -151,7 +163,7 @@ def agg3_items_per_paper(spark, d):
 
 @query(WITH_THEME + " SELECT * FROM prof_fd")
 def agg4_form_distribution(spark, d):
-    return T.form_distribution(T.with_period(item_facts(spark, d), recent_span=RECENT_SPAN), "theme", unknown=UNKNOWN_FORM)
+    return T.form_distribution(T.with_period(facts_of(spark, d, "theme", "form"), recent_span=RECENT_SPAN), "theme", unknown=UNKNOWN_FORM)
 
 
 TAG_SHARES = """
@@ -163,13 +175,13 @@ td AS (SELECT entity, paper_type, period, tag, round(sum(s) / max(papers), 4) AS
 
 @query(WITH_THEME + "," + TAG_SHARES + " SELECT * FROM td")
 def agg5_tag_distribution(spark, d):
-    own = T.with_period(item_facts(spark, d), recent_span=RECENT_SPAN).withColumn("entity", F.col("theme"))
+    own = T.with_period(facts_of(spark, d, "theme", "tag"), recent_span=RECENT_SPAN).withColumn("entity", F.col("theme"))
     return T.equal_weight(own, ["entity", "paper_type", "period"], "tag")
 
 
 @query(WITH_TAG + " SELECT entity, paper_type, period, l AS long_ratio FROM prof_long")
 def agg6_long_ratio(spark, d):
-    own = T.with_period(item_facts(spark, d), recent_span=RECENT_SPAN)
+    own = T.with_period(facts_of(spark, d, "tag", "form"), recent_span=RECENT_SPAN)
     return T.long_ratio(T.form_distribution(own, "tag", unknown=UNKNOWN_FORM), LONG_FORMS)
 
 
@@ -206,7 +218,7 @@ def agg15_first_last_seen(spark, d):
 
 @query(WITH_THEME + "," + TAG_SHARES + " SELECT entity, paper_type, period, tag AS dominant, share FROM td QUALIFY row_number() OVER (PARTITION BY entity, paper_type, period ORDER BY share DESC, tag) = 1")
 def agg14_dominant_tag(spark, d):
-    own = T.with_period(item_facts(spark, d), recent_span=RECENT_SPAN).withColumn("entity", F.col("theme"))
+    own = T.with_period(facts_of(spark, d, "theme", "tag"), recent_span=RECENT_SPAN).withColumn("entity", F.col("theme"))
     return T.dominant(T.equal_weight(own, ["entity", "paper_type", "period"], "tag"), "tag")
 
 
@@ -247,7 +259,7 @@ SELECT entity, paper_type, old_tag, old_share, new_tag, new_share, new_tag_years
 @query(MIGRATION)
 def cls4_method_migration(spark, d):
     facts = item_facts(spark, d).withColumn("flag", F.substring("form", 1, 1))
-    return T.migrations(facts, "tag", "flag", recent_span=RECENT_SPAN)
+    return T.migrations(facts, "tag", "flag", recent_span=RECENT_SPAN, keep=kept)
 
 
 @query(f"""WITH {PERIOD_SQL},
@@ -277,7 +289,7 @@ a AS (SELECT *, 'growth' AS alert FROM u WHERE trend IN ('FIRST', 'RETURN', 'WAR
 r AS (SELECT *, row_number() OVER (PARTITION BY paper_type, alert ORDER BY {TREND}) AS rank FROM a)
 SELECT alert, entity, paper_type, rank, trend, role, delta, r_rate, r_total FROM r WHERE rank <= 8""")
 def top3_alerts(spark, d):
-    return V.alerts(themes(spark, d).unionByName(tags(spark, d))).select("alert", *RANKED)
+    return V.alerts(both_kinds(spark, d)).select("alert", *RANKED)
 
 
 @query(WITH_THEME + f", r AS (SELECT *, row_number() OVER (PARTITION BY paper_type ORDER BY {IMPORTANCE}) AS rank FROM prof) SELECT {', '.join(RANKED)} FROM r WHERE rank <= 3")
@@ -310,11 +322,11 @@ FROM prof LEFT JOIN b h ON h.entity = prof.entity AND h.paper_type = prof.paper_
 LEFT JOIN b r ON r.entity = prof.entity AND r.paper_type = prof.paper_type AND r.period = 'recent'
 LEFT JOIN reps ON reps.entity = prof.entity AND reps.paper_type = prof.paper_type""")
 def top8_theme_view(spark, d):
-    facts = item_facts(spark, d)
-    moved = T.migrations(facts, "theme", "tag", recent_span=RECENT_SPAN).select("entity", "paper_type", "old_tag", "new_tag")
+    facts = kept(item_facts(spark, d).drop("chapter", "ocr"))
+    moved = T.migrations(facts, "theme", "tag", recent_span=RECENT_SPAN, keep=kept).select("entity", "paper_type", "old_tag", "new_tag")
     reps = T.representatives(facts, "theme", recent_span=RECENT_SPAN).where("period = 'recent'").groupBy("entity", "paper_type")
     reps = reps.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("position", "anchor"))), lambda x: x["anchor"]), ", ").alias("reps"))
-    out = themes(spark, d).join(moved, ["entity", "paper_type"], "left").join(reps, ["entity", "paper_type"], "left")
+    out = T.profiles(facts, "theme", **HOW).join(moved, ["entity", "paper_type"], "left").join(reps, ["entity", "paper_type"], "left")
     return out.select("entity", "paper_type", "role", "trend", "delta", "old_tag", "new_tag", F.coalesce("reps", F.lit("")).alias("reps"))
 
 
@@ -342,7 +354,7 @@ def prj24_presentation(spark, d):
 
 @query(WITH_THEME + " SELECT entity, paper_type, period, string_agg(form || ' ' || CAST(round(share * 100) AS INTEGER) || '%', '; ' ORDER BY share DESC, form) AS distribution FROM prof_fd GROUP BY entity, paper_type, period")
 def prj24_distribution_text(spark, d):
-    own = T.with_period(item_facts(spark, d), recent_span=RECENT_SPAN)
+    own = T.with_period(facts_of(spark, d, "theme", "form"), recent_span=RECENT_SPAN)
     return V.distribution_text(T.form_distribution(own, "theme", unknown=UNKNOWN_FORM), ["entity", "paper_type", "period"], "form")
 
 
@@ -360,7 +372,7 @@ def win14_entity_ids(spark, d):
 
 @query(BOTH + " SELECT entity, paper_type, trend FROM th UNION ALL SELECT entity, paper_type, trend FROM tg")
 def set1_union(spark, d):
-    return themes(spark, d).select("entity", "paper_type", "trend").unionByName(tags(spark, d).select("entity", "paper_type", "trend"))
+    return both_kinds(spark, d).select("entity", "paper_type", "trend")
 
 
 @query(WITH_TAG + " SELECT entity, paper_type, list_has_any(secondary, ['UPSIZE', 'DOWNSIZE', 'MIGRATE']) AS changed FROM prof")
