@@ -312,8 +312,16 @@ def test_decontamination_recall_and_precision(spark):
     texts = dict(rows)
     for (d, k), e in got.items():
         assert brute_distance(by[k], decontamination.item_words(texts[d])) <= e <= decontamination.allowed_edits(len(by[k]), 0.8)
-    left = decontamination.decontaminated(docs, bench)
-    assert {r["doc_id"] for r in left.collect()} == {d for d, _ in [*rows, (None, 0), (4000, 0)]} - {d for d, _ in got}
+    left = [r["doc_id"] for r in decontamination.decontaminated(docs, bench).collect()]
+    holds = {d for d, _ in got}  # the document without an id holds an item too
+    assert sorted(left) == sorted(d for d, _ in [*rows, (4000, 0), rows[-1]] if d not in holds)
+
+
+def test_decontamination_goes_by_text_not_id(spark):
+    item = " ".join(words(20, 5))
+    rows = [(1, "clean " + prose(9, 1)), (1, "x " + item), (None, item), (2, None), (2, "")]
+    left = decontamination.decontaminated(frame(spark, rows), spark.createDataFrame([(0, item)], "item_id long, text string"))
+    assert sorted(map(str, ((r["doc_id"], r["text"]) for r in left.collect()))) == sorted(map(str, [rows[0], rows[3], rows[4]]))
 
 
 def test_decontamination_in_passes_and_empty(spark):
@@ -329,9 +337,42 @@ def test_decontamination_in_passes_and_empty(spark):
 def test_embedding_bounds():
     rng = np.random.default_rng(1)
     x = rng.integers(0, 50, (5, 20))
-    bits = rng.integers(0, 2, (60, 52))
-    e = decontamination.embed(np.vstack([x, x]), bits)
+    symbols, steps = rng.integers(0, 1 << 64, 52, np.uint64), rng.integers(0, 1 << 64, 60, np.uint64) | np.uint64(1)
+    e = decontamination.embed(np.vstack([x, x]), symbols, steps)
     assert e.shape == (10, 60) and np.array_equal(e[:5], e[5:])
+    bits = (symbols[None, :] * steps[:, None]) >> np.uint64(63)
+    for row, out in zip(x.tolist(), e.tolist()):  # the walk, symbol by symbol
+        at = 0
+        for j in range(60):
+            symbol = row[at] if at < 20 else -1
+            assert out[j] == symbol
+            at = min(20, at + int(bits[j, symbol]))
+
+
+@pytest.mark.parametrize("n", [100, 101, 300, 301, 500])
+def test_decontamination_recall_on_long_items(n):
+    """At the most edits allowed, where the number of coordinates changes, and beyond."""
+    rng, k = random.Random(n), decontamination.allowed_edits(n, 0.8)
+    items = [(i, words(n, 1000 * i + n)) for i in range(4)]
+    own = decontamination.Items([(i, " ".join(w)) for i, w in items], 0.8)
+    wanted = [rng.choice(items) for _ in range(25)]
+    texts = [" ".join(words(30, t) + edited(rng, w, k) + words(30, t + 99)) for t, (_, w) in enumerate(wanted)]
+    got = {(d, i) for d, i, _ in own.matches(texts)}
+    assert sum((d, i) in got for d, (i, _) in enumerate(wanted)) >= 24
+
+
+def test_decontamination_memory_does_not_grow_with_vocabulary_times_sizes():
+    import tracemalloc
+
+    rng = random.Random(2)
+    vocabulary = [f"w{k}" for k in range(18_000)]
+    items = [(i, " ".join(rng.choices(vocabulary, k=rng.randint(5, 200)))) for i in range(3_000)]
+    texts = [" ".join(rng.choices(vocabulary, k=300)) + " " + items[d][1] for d in range(60)]
+    tracemalloc.start()
+    got = decontamination.Items(items, 0.8).matches(texts)
+    assert {(d, i) for d, i, _ in got} >= {(d, d) for d in range(60)}
+    assert tracemalloc.get_traced_memory()[1] < 300e6
+    tracemalloc.stop()
 
 
 # -- the pipeline -------------------------------------------------------------------------------------------------
