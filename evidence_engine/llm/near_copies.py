@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import stored
-from .simhash import components, fingerprint_of
+from .simhash import components, fingerprint_of, first_of_class
 from .simhash import links as simhash_links
 
 SHINGLE = 5
@@ -139,7 +139,6 @@ def near_copy_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
 
 
 def one_per_class(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs whose doc_id is the smallest of their class; rows without a doc_id stay."""
-    classes = near_copy_classes(docs, id_col=id_col, text_col=text_col)
-    gone = classes.where("doc_id <> component_id").select(F.col("doc_id").alias(id_col)).distinct()
-    return docs.join(gone, id_col, "left_anti")
+    """The rows of docs whose doc_id is the smallest of their class, one of rows that repeat it with its text; rows without a doc_id stay."""
+    classes = stored(near_copy_classes(docs, id_col=id_col, text_col=text_col))
+    return first_of_class(docs, classes, id_col=id_col, text_col=text_col)

@@ -206,8 +206,17 @@ def simhash_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     return rows.join(classes, "fp").select("doc_id", "fp", "component_id")
 
 
-def one_per_class(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
-    """The rows of docs whose doc_id is the smallest of their class; rows without a doc_id stay."""
-    classes = simhash_classes(docs, id_col=id_col, text_col=text_col, radius=radius)
+def first_of_class(docs: DataFrame, classes: DataFrame, *, id_col: str, text_col: str) -> DataFrame:
+    """The rows of docs whose id is the component_id of classes (doc_id, component_id), or null; of rows that repeat id and text one."""
     gone = classes.where("doc_id <> component_id").select(F.col("doc_id").alias(id_col)).distinct()
-    return docs.join(gone, id_col, "left_anti")
+    left = docs.join(gone, id_col, "left_anti")
+    again = classes.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias(id_col))
+    if again.isEmpty():  # as a rule; texts need no shuffle then
+        return left
+    return left.join(again, id_col, "left_anti").unionByName(left.join(again, id_col, "left_semi").dropDuplicates([id_col, text_col]))
+
+
+def one_per_class(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
+    """The rows of docs whose doc_id is the smallest of their class, one of rows that repeat it with its text; rows without a doc_id stay."""
+    classes = stored(simhash_classes(docs, id_col=id_col, text_col=text_col, radius=radius))
+    return first_of_class(docs, classes, id_col=id_col, text_col=text_col)
