@@ -2,6 +2,10 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of documents.
 run() writes each stage's rows as Parquet to the shared folder and reads them again for the next.
+
+Defined cases: a null text is scored like an empty one, becomes the empty text in line dedup, and so a copy of all other empty ones;
+rows without a doc_id are scored, deduplicated by line and checked for items like others, and stay in near-dedup; of rows that repeat
+id and text one stays; very long texts are read whole; an empty table gives no rows; other columns of documents pass through.
 """
 
 from __future__ import annotations
@@ -9,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evidence_engine.llm import decontamination, line_dedup, packing, simhash, toxicity
+from evidence_engine.llm import decontamination, line_dedup, near_copies, packing, toxicity
 from evidence_engine.llm.common import stored, table
 from evidence_engine.llm.queries import tokenizer_path, toxicity_learn
 
@@ -30,8 +34,8 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of each near-duplicate class."""
-    return simhash.one_per_class(docs).select(*docs.columns)
+    """The document with the smallest doc_id of each class that SimHash links or a similarity of 0.8 over 5-word shingles connect."""
+    return near_copies.one_per_class(docs).select(*docs.columns)
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
