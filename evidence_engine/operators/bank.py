@@ -90,12 +90,12 @@ def scope_counts(facts: DataFrame) -> DataFrame:
     return facts.agg(F.count("*").alias("items"), n("anchor").alias("anchors"), n("paper").alias("papers"), n("tag").alias("tags"), n("theme").alias("themes"), n("paper_type").alias("paper_types"))
 
 
-def quality_counts(facts: DataFrame, unknown: str) -> DataFrame:
+def quality_counts(facts: DataFrame, unknown: str, pending: str) -> DataFrame:
     """Per paper type: items with and without a form and a year, and items by status."""
     return facts.groupBy("paper_type").agg(
         F.count_if(F.col("form") != unknown).alias("known_forms"), F.count_if(F.col("form") == unknown).alias("unknown_forms"),
         F.count_distinct(F.when(F.col("year").isNull(), F.col("paper"))).alias("unknown_year_papers"), F.count_if(F.col("score").isNull()).alias("unknown_scores"),
-        F.count_if(F.col("ocr") == "P").alias("pending"),
+        F.count_if(F.col("ocr") == pending).alias("pending"),
     )
 
 
@@ -142,7 +142,7 @@ class QualityError(ValueError):
 
     def __init__(self, issues: DataFrame, count: int):
         super().__init__(f"{count} blocking findings")
-        self.issues = issues
+        self.issues, self.count = issues, count
 
 
 def quality_gate(issues: DataFrame) -> None:
@@ -192,7 +192,7 @@ def profile_sections(texts: DataFrame, required: list[str]) -> DataFrame:
     own = blocks(texts, r"^##\s+(.+?)\s*$")
     entries = F.filter(F.transform(F.split("body", "\n"), lambda x: F.regexp_replace(x, r"^\s*-\s*", "")), lambda x: stripped(x) != "")
     found = own.groupBy("file", F.col("anchor").alias("section")).agg(F.count("*").alias("n"), F.max("body").alias("body")).withColumn("items", entries)
-    wanted = texts.select("file").distinct().crossJoin(texts.sparkSession.createDataFrame([(x,) for x in required], "section string"))
+    wanted = texts.select("file").distinct().select("file", F.explode(F.array(*map(F.lit, required))).alias("section"))
     d = wanted.join(found, ["file", "section"], "left")
     issue = F.when(F.col("n").isNull(), "missing").when(F.col("n") > 1, "repeated").when(stripped(F.col("body")) == "", "empty")
     return d.select("file", "section", "items", stripped(F.col("body")).alias("text"), issue.alias("issue"))

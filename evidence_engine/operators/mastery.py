@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 RED = ("WRONG", "BLANK")
@@ -53,3 +53,9 @@ def stubborn(attempts: DataFrame, blockers: DataFrame, cause: str = "CONCEPT") -
 
 def untested(blockers: DataFrame, attempts: DataFrame) -> DataFrame:
     return blockers.select("item_type").distinct().join(attempts, "item_type", "left_anti")
+
+
+def cause_actions(cause: Column, plan: dict[str, list[str]]) -> Column:
+    """The actions that a wrong cause calls for, in the plan's order; none for a cause that it doesn't have."""
+    rows = [x for k, v in plan.items() for x in (F.lit(k), F.array(*map(F.lit, v)))]
+    return F.coalesce(F.try_element_at(F.create_map(*rows), cause), F.array().cast("array<string>"))

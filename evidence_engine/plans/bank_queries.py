@@ -105,9 +105,9 @@ def jon3_count_mismatch(spark, d):
     return B.reconcile_counts(dim, table(spark, d, "lineitem").select(F.col("l_partkey").cast("string").alias("tag")))
 
 
-@query(W + f", q AS (SELECT anchor, tie, paper FROM facts WHERE paper % 5 = 0) SELECT q.anchor, q.tie FROM q WHERE q.paper IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = '{PENDING}')")
+@query(W + f", q AS (SELECT anchor, tie, paper FROM facts) SELECT q.anchor, q.tie FROM q WHERE q.paper IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = '{PENDING}')")
 def jon7_consumption_guard(spark, d):
-    queue = item_facts(spark, d).where("paper % 5 = 0").select("anchor", "tie", "paper")
+    queue = item_facts(spark, d).select("anchor", "tie", "paper")
     pending = table(spark, d, "orders").where(F.col("o_orderstatus") == PENDING).select(F.col("o_orderkey").alias("paper"))
     return queue.join(pending, "paper", "left_semi").select("anchor", "tie")
 
@@ -172,13 +172,13 @@ def agg12_paper_series(spark, d):
 
 @query(W + f" SELECT paper_type, count(*) FILTER (WHERE form <> '{UNKNOWN_FORM}') AS known_forms, count(*) FILTER (WHERE form = '{UNKNOWN_FORM}') AS unknown_forms, count(DISTINCT CASE WHEN year IS NULL THEN paper END) AS unknown_year_papers, count(*) FILTER (WHERE score IS NULL) AS unknown_scores, count(*) FILTER (WHERE ocr = 'P') AS pending FROM facts GROUP BY paper_type")
 def agg13_quality_counts(spark, d):
-    return B.quality_counts(item_facts(spark, d), UNKNOWN_FORM)
+    return B.quality_counts(item_facts(spark, d), UNKNOWN_FORM, PENDING)
 
 
 @query("""SELECT CAST(p_partkey AS VARCHAR) AS tag, count(l_orderkey) AS items, count(DISTINCT l_orderkey) AS papers,
- coalesce(sum(CASE WHEN floor(l_quantity / 3) > 0 THEN floor(l_quantity / 3) END), 0)::DOUBLE AS score FROM part LEFT JOIN lineitem ON l_partkey = p_partkey AND l_orderkey % 9 = 0 GROUP BY p_partkey""")
+ coalesce(sum(CASE WHEN floor(l_quantity / 3) > 0 THEN floor(l_quantity / 3) END), 0)::DOUBLE AS score FROM part LEFT JOIN lineitem ON l_partkey = p_partkey GROUP BY p_partkey""")
 def agg16_entity_totals(spark, d):
-    return B.entity_totals(_dimension(spark, d), item_facts(spark, d).where("paper % 9 = 0"), "tag")
+    return B.entity_totals(_dimension(spark, d), item_facts(spark, d), "tag")
 
 
 @query(W + " SELECT paper_type, form, count(*) AS items, sum(score) AS points, grouping(paper_type, form) AS level FROM facts GROUP BY ROLLUP (paper_type, form)")
@@ -232,14 +232,14 @@ seen AS (SELECT DISTINCT item_type FROM ledger WHERE learner = 7)"""
 
 
 @query(f"""WITH {FACTS_SQL},{LEDGER_SQL},{MASTERY_TYPES},
-it AS (SELECT anchor, tie, paper, CAST(tag AS INTEGER) % 10 AS item_type, score FROM facts WHERE ocr <> 'P' AND CAST(tag AS INTEGER) % 10 <> 9 AND paper % 20 = 0),
+it AS (SELECT anchor, tie, paper, CAST(tag AS INTEGER) % 10 AS item_type, score FROM facts WHERE ocr <> 'P' AND CAST(tag AS INTEGER) % 10 <> 9),
 f AS (SELECT it.*, CASE WHEN item_type IN (SELECT item_type FROM red) THEN 1 ELSE 0 END AS is_red, CASE WHEN item_type IN (SELECT item_type FROM green) THEN 1 ELSE 0 END AS is_green,
       CASE WHEN item_type = 3 AND item_type NOT IN (SELECT item_type FROM seen) THEN 1 ELSE 0 END AS untested, CASE WHEN paper % 40 = 0 THEN 1 ELSE 0 END AS attempted FROM it),
 o AS (SELECT *, row_number() OVER (PARTITION BY is_green ORDER BY is_red DESC, untested DESC, attempted, coalesce(score, 0) DESC, anchor, tie) AS within FROM f),
 k AS (SELECT *, row_number() OVER (ORDER BY is_red DESC, untested DESC, is_green, attempted, coalesce(score, 0) DESC, anchor, tie) AS position FROM o WHERE is_green = 0 OR within <= floor(0.15 * 20))
 SELECT anchor, tie, item_type, is_red, is_green, attempted, position FROM k WHERE position <= 20""")
 def top11_practice_candidates(spark, d):
-    facts = item_facts(spark, d).where("paper % 20 = 0").withColumn("item_type", F.col("tag").cast("int") % 10)
+    facts = item_facts(spark, d).withColumn("item_type", F.col("tag").cast("int") % 10)
     return P.candidates(
         facts, ledger(spark, d).where("learner = 7"), attempted=(F.col("paper") % 40 == 0), blockers=[3], waived=[9], pending=PENDING, n=20
     ).select("anchor", "tie", "item_type", "is_red", "is_green", "attempted", "position")
@@ -286,7 +286,7 @@ def snk2_publish_views(spark, d):
     return views[0].unionByName(views[1])
 
 
-# -- Whole fact tables: the queries of the same ID above take a part of the papers --------------------------------
+# -- With an entity that has no item, and by other plans --------------------------------------------------------------
 
 
 @query(W + f" SELECT anchor, tie FROM facts WHERE paper IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = '{PENDING}')")

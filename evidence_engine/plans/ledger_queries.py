@@ -10,6 +10,7 @@ from ..operators import ledger as L
 from ..operators import mastery as M
 from .bindings import LEDGER_SQL, ledger, table
 from .registry import Registry
+from .scratch import scratch
 
 query = Registry()
 W = f"WITH {LEDGER_SQL}"
@@ -18,8 +19,15 @@ SLIM = "event_id, learner, item_type, judgement"
 
 @query(W + ", a AS (SELECT event_id, CAST(ts AS DATE) AS day, item_type, judgement, CASE WHEN judgement IN ('WRONG', 'BLANK') THEN 'CONCEPT' END AS cause FROM ledger) SELECT judgement, cause, count(*) AS n, count(DISTINCT day) AS days FROM a GROUP BY judgement, cause")
 def src3_attempt_log(spark, d):
-    a = ledger(spark, d).withColumn("cause", F.when(F.col("judgement").isin(*M.RED), "CONCEPT")).withColumn("day", F.to_date("ts"))
-    return a.groupBy("judgement", "cause").agg(F.count("*").alias("n"), F.count_distinct("day").alias("days"))
+    """The ledger as a log table in files, with other lines between its rows, read back."""
+    from ..sources.files import attempt_log, read_texts
+
+    cause = F.when(F.col("judgement").isin(*M.RED), " CONCEPT ").otherwise(" ")
+    row = F.concat(F.lit("| "), F.to_date("ts").cast("string"), F.lit(" | Q"), F.col("item_type").cast("string"), F.lit(" | "), "judgement", F.lit(" |"), cause, F.lit("| a \\| b | |\n| date | no row |"))
+    where = scratch(spark)
+    ledger(spark, d).select(row.alias("value")).write.text(where)
+    a = attempt_log(read_texts(spark, where, "*.txt")).withColumnRenamed("wrong_cause", "cause")
+    return a.groupBy("judgement", "cause").agg(F.count("*").alias("n"), F.count_distinct("date").alias("days"))
 
 
 @query(W + " SELECT event_id, k, event_id % 20 <> 0 AS parsed FROM (SELECT event_id, CASE WHEN event_id % 20 <> 0 THEN k END AS k FROM ledger)")
@@ -199,11 +207,8 @@ def cls6_next_action(spark, d):
 
 @query(W + " SELECT event_id, CASE judgement WHEN 'WRONG' THEN 'redo,review' WHEN 'BLANK' THEN 'starter' WHEN 'STUCK' THEN 'hint' WHEN 'SLOW' THEN 'timed' ELSE '' END AS actions FROM ledger")
 def cls7_cause_actions(spark, d):
-    plan = {"WRONG": "redo,review", "BLANK": "starter", "STUCK": "hint", "SLOW": "timed"}
-    out = F.lit("")
-    for k, v in plan.items():
-        out = F.when(F.col("judgement") == k, v).otherwise(out)
-    return ledger(spark, d).select("event_id", out.alias("actions"))
+    plan = {"WRONG": ["redo", "review"], "BLANK": ["starter"], "STUCK": ["hint"], "SLOW": ["timed"]}
+    return ledger(spark, d).select("event_id", F.array_join(M.cause_actions(F.col("judgement"), plan), ",").alias("actions"))
 
 
 @query(W + ", s AS (SELECT *, lag(judgement) OVER (PARTITION BY learner, item_type ORDER BY ts, event_id) AS before FROM ledger) SELECT learner, item_type, count(*) FILTER (WHERE judgement IN ('WRONG', 'BLANK') AND before IN ('WRONG', 'BLANK')) AS repeated, count(*) FILTER (WHERE judgement = 'OK' AND before IN ('WRONG', 'BLANK')) AS repaired, count(*) FILTER (WHERE judgement = 'OK' AND before = 'STUCK') AS answered FROM s GROUP BY learner, item_type")

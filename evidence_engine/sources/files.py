@@ -10,7 +10,7 @@ from ..functions.scalars import matched, stripped, text_lines
 
 def read_texts(spark: SparkSession, path: str, glob: str = "*.md") -> DataFrame:
     """file (name) and text of whole files; a byte-order mark goes."""
-    d = spark.read.option("pathGlobFilter", glob).option("recursiveFileLookup", "true").option("wholetext", "true").text(path)
+    d = spark.read.option("pathGlobFilter", glob).option("recursiveFileLookup", "true").text(path, wholetext=True)
     return d.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_name").alias("file"), F.regexp_replace("value", r"^\uFEFF", "").alias("text"))
 
 

@@ -10,10 +10,10 @@ from pathlib import Path
 
 import duckdb
 import pytest
-from evidence_engine.plans import bank_queries, ledger_queries, stream_queries, text_queries, trend_queries
+from evidence_engine.plans import bank_queries, file_queries, ledger_queries, stream_queries, text_queries, trend_queries
 
 DATA = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
-MODULES = (trend_queries, bank_queries, ledger_queries, text_queries, stream_queries)
+MODULES = (trend_queries, bank_queries, ledger_queries, text_queries, stream_queries, file_queries)
 QUERIES = {k: v for m in MODULES for k, v in m.QUERIES.items()}
 ORACLES = {k: v for m in MODULES for k, v in m.ORACLES.items()}
 
