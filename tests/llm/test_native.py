@@ -78,10 +78,21 @@ def test_quality_cascade_keeps_prose_and_drops_junk(spark):
 
 def test_quality_order_is_by_rejection_per_cost(spark):
     docs = frame(spark, [(i, prose(60, i).replace(" ", "* " if i % 2 else " ")) for i in range(40)])
-    never = ("never", lambda: F.col("n_words") < 0)
-    some = ("some", lambda: F.col("n_symbols") > 0)
+    one = lambda: F.lit(1)
+    never = ("never", lambda: F.col("n_words") < 0, one)
+    some = ("some", lambda: F.col("n_symbols") > 0, one)
     order = quality_rules.ordered_rules(quality_rules.with_base_measures(docs), [never, some])
     assert [x[0][0] for x in order] == ["some", "never"] and order[1][1] == 0
+    # half of the documents at a cost of 1, or all at the cost of their characters; what follows sees only what is left
+    all_of = ("all", lambda: F.col("n_words") > 0, lambda: F.length("text"))
+    order = quality_rules.ordered_rules(quality_rules.with_base_measures(docs), [all_of, some, never])
+    assert [(x[0][0], x[1]) for x in order] == [("some", 0.5), ("all", 1.0), ("never", 0.0)] and order[1][2] > 100
+
+
+def test_quality_order_is_the_same_on_each_run(spark):
+    docs = frame(spark, [(i, prose(60, i) + ("!" * 40 if i % 3 == 0 else "") + ("***" * 30 if i % 7 == 0 else "")) for i in range(200)])
+    runs = {tuple(x[0][0] for x in quality_rules.ordered_rules(quality_rules.with_base_measures(quality_rules.sampled(d, sample_rows=50)))) for d in (docs, docs.repartition(7), docs.orderBy(F.desc("doc_id")))}
+    assert len(runs) == 1 and quality_rules.sampled(docs, sample_rows=50).count() == 50
     assert quality_rules.quality_rules(frame(spark, [])).count() == 0
 
 
