@@ -1,14 +1,18 @@
 """Quality scores by compression.
 
-Two zstandard dictionaries are built, from good and from bad labelled texts. A text's compressed sizes with either, and
-their difference over the sum, tell which kind it resembles; a logistic calibration on labelled texts that built no dictionary turns that
-normalised difference, with the compression ratio and the length beside it, into a score.
-
-Dictionaries and calibration use ``max_rows`` labelled documents of each label at most, none longer than
-``max_chars``; all documents are scored, over whole texts, where they lie.
-
-Defined cases: null and empty texts compress to nothing but a header and get the calibrated score of that; without both labels every
-score is the share of good labels (one half if there are none); repeated label rows count once.
+Two zstandard dictionaries are built, from good and from bad labelled texts. The difference of a text's compressed sizes with
+either, over its length to the power ``POWER``, tells which kind it resembles (over the plain length, or the sum of the sizes, long
+texts all seem alike); a logistic calibration on labelled texts that built no dictionary turns that one number, with its square and
+cube, into a score. Nothing else of a text enters.
+
+Dictionaries and calibration use ``max_rows`` labelled documents of each label at most, of any length. A dictionary holds a stretch of
+``WINDOW`` characters, at a place by hash, of each of its documents; the others are compressed whole where they lie, and send
+back two numbers. All documents are scored, over whole texts, where they lie.
+
+Defined cases: null and empty texts have the difference 0 and get the calibrated score of that; very long texts are compressed whole;
+without both labels every score is the share of good labels (one half if there are none); repeated label rows count once, and of
+rows that repeat a learned doc_id one trains; a null doc_id is scored, never learned from; an empty table gives no rows, and
+trains nothing; other columns, whatever their names, pass through.
 """
 
 from __future__ import annotations
@@ -22,10 +26,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
+from .common import stored
+
 MAX_ROWS = 3_000
-MAX_CHARS = 50_000
-DICT_BYTES = 64 * 1024
-LEVEL = 3
+WINDOW = 200
+DICT_BYTES = 256 * 1024
+LEVEL = 7
+POWER = 0.7
 THRESHOLD = 0.3
 
 
@@ -43,21 +50,18 @@ class Sizes:
     """Compressed sizes with both dictionaries."""
 
     def __init__(self, good: bytes, bad: bytes, level: int = LEVEL):
-        self.pair = [
-            zstandard.ZstdCompressor(level=level, dict_data=zstandard.ZstdCompressionDict(d), write_content_size=False, write_dict_id=False)
-            for d in (good, bad)
-        ]
+        held = [zstandard.ZstdCompressionDict(d, dict_type=zstandard.DICT_TYPE_RAWCONTENT) for d in (good, bad)]
+        self.pair = [zstandard.ZstdCompressor(level=level, dict_data=d, write_content_size=False, write_dict_id=False) for d in held]
 
-    def of(self, text: str | None) -> tuple[float, float, float]:
-        """The normalised difference (positive: like good text), the compression ratio and the length."""
+    def of(self, text: str | None) -> float:
+        """The normalised difference; positive: like good text."""
         data = (text or "").encode("utf-8", "surrogatepass")
         g, b = (len(c.compress(data)) for c in self.pair)
-        return (b - g) / (b + g), min(g, b) / (len(data) + 16), float(len(data))
+        return (b - g) / (len(data) + 16) ** POWER
 
 
-def _expanded(x: np.ndarray) -> np.ndarray:
-    d, r, n = x[:, 0], np.log(x[:, 1]), np.log(x[:, 2] + 16)  # the two say less, the shorter a text is
-    return np.column_stack([d, r, n, d * d, r * r, n * n, d * r, d * n, r * n])
+def _expanded(d: np.ndarray) -> np.ndarray:
+    return np.column_stack([d, d * d, d**3])
 
 
 def _fit(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, rounds: int = 50) -> tuple[np.ndarray, float]:
@@ -74,50 +78,47 @@ def _fit(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, rounds: int = 50) ->
     return w[:-1], float(w[-1])
 
 
-def fit(texts: list[str], good: np.ndarray, *, dict_bytes: int = DICT_BYTES, share: float | None = None) -> Model:
-    """texts with their labels, in a fixed order; every other text builds the dictionaries, the rest calibrates. share:
-    of good texts in the labelled rows, where the sample given holds another."""
-    half = np.zeros(len(texts), bool)
-    for y in (False, True):
-        half[np.flatnonzero(good == y)[::2]] = True
-    data = [t.encode("utf-8", "surrogatepass") for t in texts]
-
-    def dictionary(y: bool) -> bytes:
-        mine = [d for d, h, g in zip(data, half, good, strict=True) if h and g == y and d]
-        try:
-            return zstandard.train_dictionary(dict_bytes, mine).as_bytes()
-        except zstandard.ZstdError:  # too few samples for training: their text itself serves as the dictionary
-            return b"".join(mine)[:dict_bytes].ljust(8, b" ")
-
-    pair = dictionary(True), dictionary(False)
-    sizes = Sizes(*pair)
-    rest = ~half if 0 < good[~half].sum() < (~half).sum() else np.ones(len(texts), bool)
-    x = _expanded(np.array([sizes.of(t) for t, r in zip(texts, rest, strict=True) if r]))
+def dictionary(texts: list[str], dict_bytes: int = DICT_BYTES) -> bytes:
+    return b"\n".join(t.encode("utf-8", "surrogatepass") for t in texts)[:dict_bytes].ljust(8, b" ")
+
+
+def calibrated(pair: tuple[bytes, bytes], differences: np.ndarray, good: np.ndarray, share: float) -> Model:
+    """share: of good texts in the labelled rows, where the sample given holds another."""
+    x, y = _expanded(differences), good.astype(float)
     mean, scale = x.mean(axis=0), x.std(axis=0) + 1e-9
-    y = good[rest].astype(float)
     w, b = _fit((x - mean) / scale, y, ridge=1e-4)
-    if share is not None and 0 < share < 1:  # from the sample's shares to those of the rows
+    if 0 < share < 1:  # from the sample's shares to those of the rows
         b += float(np.log(share / (1 - share)) - np.log(y.mean() / (1 - y.mean())))
     return Model(*pair, tuple(mean), tuple(scale), tuple(w), b)
 
 
-def train(docs: DataFrame, labels: DataFrame, learn: Column, *, id_col: str = "doc_id", text_col: str = "text", max_rows: int = MAX_ROWS, max_chars: int = MAX_CHARS) -> Model | float:
+def train(docs: DataFrame, labels: DataFrame, learn: Column, *, id_col: str = "doc_id", text_col: str = "text", max_rows: int = MAX_ROWS) -> Model | float:
     """labels: doc_id and quality (1 good, 0 bad); learn: a condition over doc_id. A number where one label is missing."""
     own = labels.where(learn & F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1)).groupBy("doc_id").agg(F.max("quality").alias("quality"))
     n = {r["quality"]: r["count"] for r in own.groupBy("quality").count().collect()}
     share = n.get(1, 0) / sum(n.values()) if n else 0.5
     some = [own.where(F.col("quality") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows) for y in (0, 1)]
     picked = some[0].unionAll(some[1])
-    text = F.coalesce(docs[text_col], F.lit(""))
-    mine = docs.where(F.length(text) <= max_chars).select(docs[id_col].alias("doc_id"), text.alias("text"))
-    # picked has 2 * max_rows rows of two columns at most; what comes back, as many texts of max_chars at most
-    rows = mine.join(F.broadcast(picked), "doc_id").toPandas()
-    rows = rows.sort_values(["doc_id", "text"], kind="stable")
-    rows = rows.iloc[np.argsort([(x * 0x9E3779B97F4A7C15) % (1 << 64) for x in rows["doc_id"].tolist()], kind="stable")]
-    good = rows["quality"].to_numpy() == 1
-    if not 0 < good.sum() < len(good):
-        return share
-    return fit(rows["text"].tolist(), good, share=share)
+    mine = docs.select(docs[id_col].alias("doc_id"), F.coalesce(docs[text_col], F.lit("")).alias("text"))
+    # picked has 2 * max_rows rows of two columns at most; of rows that share an id one stays
+    rows = mine.join(F.broadcast(picked), "doc_id").groupBy("doc_id", "quality").agg(F.min("text").alias("text"))
+    rows = stored(rows.withColumn("builds", F.pmod(F.xxhash64(F.lit("half"), "doc_id"), F.lit(2)) == 0))
+    start = F.pmod(F.xxhash64(F.lit("place"), "doc_id"), F.greatest(F.lit(1), F.length("text") - WINDOW + 1)).cast("int") + 1
+    parts = rows.where("builds").select("doc_id", "quality", F.substr("text", start, F.lit(WINDOW)).alias("part")).where("part <> ''").toPandas()
+    parts = parts.sort_values("doc_id", kind="stable")
+    pair = tuple(dictionary(parts["part"][parts["quality"] == y].tolist()) for y in (1, 0))
+
+    @pandas_udf("double")
+    def difference(texts: pd.Series) -> pd.Series:
+        sizes = Sizes(*pair)
+        return texts.map(sizes.of).astype(float)
+
+    for rest in (rows.where("NOT builds"), rows):  # too few labels leave the other half without one
+        found = rest.select("doc_id", "quality", difference("text").alias("d")).toPandas().sort_values("doc_id", kind="stable")
+        good = found["quality"].to_numpy() == 1
+        if 0 < good.sum() < len(good):
+            return calibrated(pair, found["d"].to_numpy(float), good, share)
+    return share
 
 
 def scored(docs: DataFrame, model: Model | float, *, text_col: str = "text", score_col: str = "score") -> DataFrame:

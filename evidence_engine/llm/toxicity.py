@@ -8,8 +8,10 @@ The model is fitted in numpy on a bounded sample (``max_positive`` and ``max_unl
 vocabulary is chosen by Spark from all words of that sample and has ``max_words`` words at most. All documents are
 scored where they lie.
 
-Defined cases: null and blank texts hold no word and get the score of the intercept; without a positive or
-an unlabelled example every score is the prior; repeated label rows count once; a null doc_id is scored, never learned from.
+Defined cases: null and blank texts hold no word and get the score of the intercept; very long texts count each word once; without a
+positive or an unlabelled example every score is the prior; repeated label rows count once, and of rows that repeat a learned
+doc_id one trains; a null doc_id is scored, never learned from; equally telling words enter by name; an empty table gives no rows, and
+trains nothing; other columns, whatever their names, pass through.
 """
 
 from __future__ import annotations
@@ -55,26 +57,32 @@ def _sums(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return total[starts[1:]] - total[starts[:-1]]
 
 
+def descent(g: np.ndarray, positive: np.ndarray, prior: float) -> tuple[float, np.ndarray]:
+    """What a step lowers, given the scores g (before the logistic function), and its slope for each score: the risk, or, where
+    the corrected part is negative, that part with its sign turned."""
+    p, u = positive, ~positive
+    s = 1 / (1 + np.exp(-np.clip(g, -30, 30)))
+    minus = np.logaddexp(0, g)  # the loss of g as a negative; its slope is s, the slope of the positive loss s - 1
+    corrected = minus[u].mean() - prior * minus[p].mean()
+    slope = np.zeros(len(g))
+    if corrected >= 0:
+        slope[p] = prior * ((s[p] - 1) - s[p]) / p.sum()
+        slope[u] = s[u] / u.sum()
+        return float(prior * np.logaddexp(0, -g[p]).mean() + corrected), slope
+    slope[p] = prior * s[p] / p.sum()
+    slope[u] = -s[u] / u.sum()
+    return float(-corrected), slope
+
+
 def fit_nnpu(features: list[np.ndarray], positive: np.ndarray, n_words: int, prior: float, *, rounds: int = 400, rate: float = 0.05, ridge: float = 1e-5) -> tuple[np.ndarray, float]:
     """Weights and intercept. features: the word numbers of each document; positive: which documents are confirmed."""
     sizes = np.array([len(f) for f in features])
     starts = np.concatenate([[0], np.cumsum(sizes)])
     flat = np.concatenate([*features, np.empty(0, np.int64)]).astype(np.int64)
-    p, u = positive, ~positive
     w, b = np.zeros(n_words), float(np.log(prior / (1 - prior)))
     m, v, mb, vb = np.zeros(n_words), np.zeros(n_words), 0.0, 0.0
     for t in range(1, rounds + 1):
-        g = _sums(w[flat], starts) + b
-        s = 1 / (1 + np.exp(-np.clip(g, -30, 30)))
-        minus = np.logaddexp(0, g)  # the loss of g as a negative; its slope is s, the slope of the positive loss s - 1
-        corrected = minus[u].mean() - prior * minus[p].mean()
-        slope = np.zeros(len(g))
-        if corrected >= 0:
-            slope[p] = prior * ((s[p] - 1) - s[p]) / p.sum()
-            slope[u] = s[u] / u.sum()
-        else:
-            slope[p] = prior * s[p] / p.sum()
-            slope[u] = -s[u] / u.sum()
+        _, slope = descent(_sums(w[flat], starts) + b, positive, prior)
         gw = np.bincount(flat, np.repeat(slope, sizes), n_words) + ridge * w
         gb = slope.sum()
         m, v = 0.9 * m + 0.1 * gw, 0.999 * v + 0.001 * gw * gw
@@ -99,7 +107,8 @@ def train(docs: DataFrame, positive: DataFrame, learn: Column, *, prior: float =
             yield pd.DataFrame({"positive": pdf["positive"], "words": [sorted(text_words(t)) for t in pdf["text"]]})
 
     # picked has max_positive + max_unlabelled rows of two columns at most
-    sample = stored(own.join(F.broadcast(picked), "doc_id").select("positive", "text").mapInPandas(sets, "positive boolean, words array<string>"))
+    rows = own.join(F.broadcast(picked), "doc_id").groupBy("doc_id", "positive").agg(F.min("text").alias("text"))  # of rows that share an id one
+    sample = stored(rows.select("positive", "text").mapInPandas(sets, "positive boolean, words array<string>"))
     n = sample.agg(F.count_if("positive"), F.count_if(~F.col("positive"))).first()
     if not n[0] or not n[1]:
         return Model({}, float(np.log(prior / (1 - prior))))

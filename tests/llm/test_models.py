@@ -178,3 +178,66 @@ def test_entropy_finds_the_planted_keys_of_documents_before_suppression(spark):
                 keys += 1
                 found += any(x < b and a < y for _, x, y in hot)
     assert keys > 10 and found >= 0.9 * keys, (found, keys)
+
+
+def test_toxicity_slope_against_finite_differences():
+    rng = np.random.default_rng(3)
+    for prior in (0.05, 0.4, 0.9):
+        turned = 0
+        for k in range(20):
+            g, positive = rng.normal(rng.choice([-6, 0, 3]), 2, 30), np.arange(30) < 8
+            value, slope = toxicity.descent(g, positive, prior)
+            # the risk as published, by plain loops
+            loss = lambda x, y: math.log1p(math.exp(-x * y))
+            r_p, r_p_minus, r_u = (sum(loss(x, y) for x in xs) / len(xs) for xs, y in ((g[:8], 1), (g[:8], -1), (g[8:], -1)))
+            corrected = r_u - prior * r_p_minus
+            turned += corrected < 0
+            assert abs(value - (prior * r_p + corrected if corrected >= 0 else -corrected)) < 1e-9
+            for i in range(30):
+                step = np.zeros(30)
+                step[i] = 1e-5
+                near = (toxicity.descent(g + step, positive, prior)[0] - toxicity.descent(g - step, positive, prior)[0]) / 2e-5
+                assert abs(near - slope[i]) < 1e-6
+        assert turned or prior < 0.9
+
+
+def test_quality_calibration_against_slow_gradient_descent():
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(300, 3))
+    y = (x @ [1.5, -2.0, 0.5] + 0.3 + rng.logistic(size=300) > 0).astype(float)
+    w, b = quality_classifier._fit(x, y, ridge=1e-2)
+    v, c = np.zeros(3), 0.0
+    for _ in range(20_000):
+        p = 1 / (1 + np.exp(-(x @ v + c)))
+        v -= 0.5 * (x.T @ (p - y) / 300 + 1e-2 * v)
+        c -= 0.5 * ((p - y).mean() + 1e-2 * c)
+    assert np.allclose(w, v, atol=1e-5) and abs(b - c) < 1e-5
+
+
+def test_quality_difference_against_plain_compression(spark):
+    import zstandard
+
+    good, bad = prose(2000, 1).encode(), ("!!! ### " * 500).encode()
+    own = quality_classifier.Sizes(good, bad)
+    for text in (None, "", "é\U0001f600", prose(50, 1), "!!! " * 30, prose(30_000, 9)):
+        data = (text or "").encode()
+        sizes = []
+        for d in (good, bad):
+            c = zstandard.ZstdCompressor(level=7, dict_data=zstandard.ZstdCompressionDict(d, dict_type=zstandard.DICT_TYPE_RAWCONTENT), write_content_size=False, write_dict_id=False)
+            packed = c.compress(data)
+            back = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(d, dict_type=zstandard.DICT_TYPE_RAWCONTENT))
+            assert back.decompress(packed, max_output_size=len(data) + 1) == data
+            sizes.append(len(packed))
+        assert abs(own.of(text) - (sizes[1] - sizes[0]) / (len(data) + 16) ** 0.7) < 1e-12
+    assert own.of(prose(60, 1)) > 0 > own.of("!!! ### " * 9)
+
+
+def test_training_takes_one_of_rows_that_repeat_an_id(spark):
+    rows, labels = toxic_corpus(120)
+    docs, marks = frame(spark, rows + rows[:60] * 3), labelled(spark, [(i, int(not t), t) for i, _, t in labels])
+    plain = frame(spark, rows)
+    once, again = (toxicity.train(d, toxicity.confirmed(marks), F.lit(True), prior=0.2) for d in (plain, docs))
+    assert once.weights.keys() == again.weights.keys() and all(abs(once.weights[k] - again.weights[k]) < 1e-9 for k in once.weights)
+    once, again = (quality_classifier.train(d, marks, F.lit(True)) for d in (plain, docs))
+    assert once == again
+    assert quality_classifier.train(frame(spark, []), marks, F.lit(True)) == sum(not t for _, _, t in labels) / len(labels)
