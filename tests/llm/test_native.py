@@ -160,6 +160,63 @@ def test_license_scan_wrapped_and_reworded(spark):
     assert got == [(i, at, f) for i, (_, f, at) in enumerate(texts)]
 
 
+#: Wordings that neither train nor stand among the templates, wrapped as published or reworded.
+HELD_OUT = {
+    "agpl": ["This file is part of a program under the\nGNU Affero General Public License, either version 3", "Distributed under the GNU AGPL v3."],
+    "apache": ["Distributed under the Apache License 2.0.", "   Licensed to you under the Apache License, Version 2.0\n   (the \"License\")"],
+    "bsd": ["Use of this source code is governed by a BSD 3-Clause license.", "This project is under the BSD license found in the root directory."],
+    "bsl": ["Licensor grants the rights of the Business Source License 1.1 only.", "// SPDX-License-Identifier: BUSL-1.1"],
+    "cc_by": ["Text available under CC BY 3.0 unless noted.", "published with a Creative Commons\nAttribution 2.5 licence"],
+    "cc_by_nc": ["Images: CC BY-NC 2.0", "Creative Commons Attribution-NonCommercial 3.0 Unported"],
+    "cc_by_nc_nd": ["Shared as CC BY-NC-ND 3.0", "Creative Commons Attribution-NonCommercial-NoDerivatives licence"],
+    "cc_by_nc_sa": ["Shared as CC BY-NC-SA 3.0", "Creative Commons Attribution-NonCommercial-ShareAlike licence"],
+    "cc_by_nd": ["Shared as CC BY-ND 3.0", "Creative Commons Attribution-NoDerivatives licence"],
+    "cc_by_sa": ["Content is CC BY-SA 3.0 like its source", "Creative Commons Attribution-ShareAlike\n3.0 Unported"],
+    "gpl": ["Released under the terms of the GNU General\nPublic License v2", "GNU GPL version 2 or any later version"],
+    "isc": ["ISC License", "Permission to use, copy, modify, and/or distribute this software for any purpose"],
+    "lgpl": ["linked under the GNU Lesser General\nPublic License, version 2.1", "GNU LGPL 3 applies to this library"],
+    "mit": ["The MIT License (MIT)", "Permission is hereby granted, free of charge, to anyone\nobtaining copies of the files"],
+    "mpl": ["under the Mozilla Public License 1.1", "Mozilla Public License Version 2.0 applies"],
+    "public_domain": ["The author puts this text into the public domain.", "This file is dedicated to the public domain."],
+}
+OTHERS = [
+    "This is not licensed under the Apache License.", "The code isn't released under the MIT License.", "A general public license fee is due in spring.", "The public was granted permission to copy the map.",
+    "His driving license was from the common domain of the crown.", "The work is subject to terms of the software company.", "All rights reserved by the creative team, by attribution.",
+]
+
+
+def test_license_precision_and_recall_on_held_out_wordings(spark):
+    known = [(f, t) for f, ts in HELD_OUT.items() for t in ts]
+    assert not {t for _, t in known} & {t for ts in license_scan.TEMPLATES.values() for t in ts}
+    rows = [(i, f"{prose(20, i)}\n\n{t}\n\n{prose(20, i + 50)}") for i, (_, t) in enumerate(known)] + [(500 + i, f"{prose(20, i)}\n\n{t}") for i, t in enumerate(OTHERS)]
+    rows += [(700 + i, prose(60, 900 + i)) for i in range(60)]
+    got = {(r["doc_id"], r["family"]) for r in license_scan.license_paragraphs(frame(spark, rows)).collect()}
+    assert not [x for x in got if x[0] >= 500]
+    for family in HELD_OUT:
+        wanted = {(i, f) for i, (f, _) in enumerate(known) if f == family}
+        found = {x for x in got if x[1] == family}
+        assert found <= wanted and len(found & wanted) >= len(wanted) - 1, (family, found, wanted)
+    assert len(got) >= 0.9 * len(known)
+
+
+def test_license_features_and_similarity_against_plain_python(spark):
+    import re
+
+    texts = ["Licensed under CC BY 4.0.", "", "a", "Permission is hereby granted, free, to a person", "GNU  General\nPublic License", "not licensed under the MIT License", "the terms of the software foundation"]
+    d = spark.createDataFrame([(t,) for t in texts], "text string")
+    rows = d.select("text", license_scan.grams(license_scan._tokens(F.col("text"))).alias("g"), license_scan.shares(license_scan._tokens(F.col("text"))).alias("s")).collect()
+    for r in rows:
+        w = [x for x in re.split("[^a-z0-9]+", r["text"].lower()) if x]
+        assert r["g"] == w + [f"{a} {b}" for a, b in zip(w, w[1:])]
+        told = " " + " ".join(w) + " "
+        for (family, templates), share in zip(sorted(license_scan.TEMPLATES.items()), r["s"]):
+            longer = [p for f, ps in license_scan.PHRASES.items() if f != family for p in ps]
+            named = any(told.startswith(f" {p} ", k) and not any(q.startswith(p + " ") and told.startswith(f" {q} ", k) for q in longer) for p in license_scan.PHRASES[family] for k in range(len(told)))
+            best = max(len(set(c) & set(w)) / len(c) for c in map(license_scan.content_words, templates))
+            want = 0.0 if re.search(license_scan.DENIED, told) else 1.0 if named else best
+            assert abs(share - want) < 1e-12, (r["text"], family)
+
+
 def test_license_limit_is_calibrated_on_hard_negatives(spark):
     rows = [(i, f"{prose(20, i)}\nthe public {prose(3, 700 + i)} has a general license for software {prose(2, 800 + i)}\n{prose(20, i + 50)}") for i in range(80)]
     rows += [(500 + i, f"{prose(10, i)}\nReleased under the MIT License.\n{prose(10, 90 + i)}") for i in range(10)]
