@@ -24,7 +24,8 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def scratch(spark: SparkSession) -> str:
-    return f"{shared_dir(spark)}/scratch-{uuid.uuid4().hex}"
+    """A new folder below one of the application's own, which may go as a whole when the application has ended."""
+    return f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/scratch-{uuid.uuid4().hex}"
 
 
 def kept(df: DataFrame) -> DataFrame:
