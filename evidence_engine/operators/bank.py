@@ -90,6 +90,10 @@ def scope_counts(facts: DataFrame) -> DataFrame:
     return facts.agg(F.count("*").alias("items"), n("anchor").alias("anchors"), n("paper").alias("papers"), n("tag").alias("tags"), n("theme").alias("themes"), n("paper_type").alias("paper_types"))
 
 
+def papers_per_type(facts: DataFrame) -> DataFrame:
+    return facts.groupBy("paper_type").agg(F.count_distinct("paper").alias("papers"))
+
+
 def quality_counts(facts: DataFrame, unknown: str, pending: str) -> DataFrame:
     """Per paper type: items with and without a form and a year, and items by status."""
     return facts.groupBy("paper_type").agg(

@@ -86,6 +86,23 @@ def quote_issues(quotes: DataFrame, docs: DataFrame, *, key: str = "doc_id", tex
     return d.withColumn("issue", issue).drop("lines")
 
 
+def part_issues(chunks: DataFrame, segments: DataFrame, key: str, *, allow_unrepaired: bool = False) -> DataFrame:
+    """key, issue, part: chunks (key, part, status) that aren't done, and segments (key, part, repaired) without a repaired text, where those aren't allowed."""
+    open_ = chunks.where(F.coalesce("status", F.lit("")) != "done").select(key, F.lit("chunk_not_done").alias("issue"), "part")
+    if allow_unrepaired:
+        return open_
+    return open_.unionByName(segments.where(~F.coalesce("repaired", F.lit(False))).select(key, F.lit("segment_unrepaired").alias("issue"), "part"))
+
+
+def bind_issues(outputs: DataFrame, sources: DataFrame, root: str, key: str) -> DataFrame:
+    """key, issue of intakes: an output outside the folder root or without an anchor (outputs: key, path, anchors), or a source
+    whose content an earlier key has (sources: key, sha256)."""
+    checks = {"outside": ~F.col("path").startswith(root) | F.col("path").contains("/../"), "no_anchor": F.coalesce(F.size("anchors"), F.lit(0)) <= 0}
+    own = outputs.select(key, F.explode(F.filter(F.array(*[F.when(c, F.lit(n)) for n, c in checks.items()]), lambda x: x.isNotNull())).alias("issue"))
+    again = duplicate_content(sources, key).where(F.col(key) > F.col("first")).select(key, F.lit("duplicate_source").alias("issue"))
+    return own.unionByName(again)
+
+
 def certificate_issues(certificates: DataFrame, live: DataFrame, key: str) -> DataFrame:
     """key, issue of certificates (status, unresolved, sha256): every rule that one breaks."""
     d = certificates.join(live.select(key, F.col("sha256").alias("now")), key, "left")
@@ -107,6 +124,27 @@ def scoped(docs: DataFrame, rules: DataFrame, column: str) -> DataFrame:
     return docs.join(rules, F.col(column).startswith(F.col("prefix"))).select("scope", *docs.columns).distinct()
 
 
+def blocker_quote_issues(blockers: DataFrame, *, final_type: str, types: list[str], max_lines: int = 25) -> DataFrame:
+    """file, line_no, issue: a type that isn't known, a marker that was there before, and, for items of the final type, missing
+    quote fields, quote lines that aren't one range, and a long quote without a reason."""
+    from .ledger import line_ranges
+
+    field = lambda n: F.col("fields").getItem(n)
+    no = lambda c: F.coalesce(F.trim(c), F.lit("")) == ""
+    final = F.coalesce(F.col("item_type") == final_type, F.lit(False))
+    lacks = F.exists(F.array(*[field(n).isNull() for n in ("quote_source", "quote_source_sha256", "quote_lines", "quote_sha256")]), lambda x: x)
+    first = F.row_number().over(Window.partitionBy("sha", "item_type", "ranges").orderBy("file", "line_no"))
+    d = blockers.withColumn("__seq", first).withColumn("__q", line_ranges(field("quote_lines")))
+    one = F.coalesce(F.size("__q") == 1, F.lit(False))
+    long = one & (F.get("__q", 0)["end"] - F.get("__q", 0)["start"] + 1 > max_lines)
+    checks = {
+        "unknown_type": ~F.col("item_type").isin(*types), "repeated": F.col("__seq") > 1, "no_quote_fields": final & lacks,
+        "bad_quote_lines": final & ~lacks & ~one, "long_quote_without_reason": final & ~lacks & long & no(field("quote_scope_reason")),
+    }
+    found = F.filter(F.array(*[F.when(F.coalesce(c, F.lit(False)), F.lit(n)) for n, c in checks.items()]), lambda x: x.isNotNull())
+    return d.select("file", "line_no", F.explode(found).alias("issue"))
+
+
 def blocker_issues(blockers: DataFrame, docs: DataFrame, *, max_lines: int = 25) -> DataFrame:
     """file, line_no, issue of blocker items: every rule that a marker or its fields break.
 

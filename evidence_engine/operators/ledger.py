@@ -5,9 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: The vocabularies of an event.
-ORIGINS = ("student", "tutor", "system")
-JUDGEMENTS = ("OK", "SLOW", "STUCK", "WRONG", "BLANK")
+#: The vocabularies of an event, and the fields that an event of a machine's origin may not have.
+VOCABULARY = {
+    "event_type": ("attempt", "question", "explanation", "probe", "repair", "variant", "reflection", "state_update"),
+    "origin": ("s3", "s10", "manual", "import"),
+    "created_by": ("main_agent", "subagent", "user", "script"),
+    "outcome": ("not_tested", "observed", "repaired_independently", "repaired_with_hint", "needs_followup", "not_repaired", "deferred"),
+    "confidence": ("low", "medium", "high"),
+    "judgement": ("对", "对但慢", "卡", "错", "空"),
+    "wrong_cause": ("概念错", "起手错", "计算错", "审题错", "没思路"),
+}
+MACHINE, ATTEMPT = "s3", "attempt"
+MACHINE_FORBIDDEN = ("hypothesis", "probe", "tutor_action", "hint_level")
 SIGNED = ("time", "event_type", "origin", "evidence", "outcome")
 SEPARATOR = "␟"
 
@@ -55,25 +64,47 @@ def valid_time(c: Column) -> Column:
     return c.rlike(r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}(:\d{2}(\.\d+)?)?(Z|[+-]\d{2}:\d{2})?$") & F.try_to_timestamp(c).isNotNull()
 
 
-def event_rules() -> Column:
-    """The names of all rules that an event breaks (columns time, event_type, origin, evidence, judgement, hypothesis, confidence, probe)."""
-    c = F.col
+def event_rules(columns: list[str], vocabulary: dict[str, tuple[str, ...]] = VOCABULARY) -> Column:
+    """The names of all rules that an event breaks. columns: those it has, of time, event_type, origin, evidence (required),
+    created_by, outcome, confidence, judgement, wrong_cause, hypothesis, probe, tutor_action and hint_level."""
+    c = lambda n: F.col(n) if n in columns else F.lit(None).cast("string")
+    given = lambda n: c(n).isNotNull()
+    machine = F.coalesce(c("origin") == MACHINE, F.lit(False))
+    other = ~F.coalesce(c("event_type") == ATTEMPT, F.lit(False))
     checks = {
-        "missing_time": blank(c("time")),
-        "bad_time": ~blank(c("time")) & ~F.coalesce(valid_time(c("time")), F.lit(False)),
-        "bad_origin": ~F.coalesce(c("origin").isin(*ORIGINS), F.lit(False)),
-        "no_evidence": blank(c("evidence")),
-        "judgement_on_non_attempt": c("judgement").isNotNull() & (c("event_type") != "attempt"),
-        "bad_judgement": c("judgement").isNotNull() & ~c("judgement").isin(*JUDGEMENTS),
-        "hypothesis_without_confidence": c("hypothesis").isNotNull() & c("confidence").isNull(),
-        "hypothesis_without_probe": c("hypothesis").isNotNull() & blank(c("probe")),
-    }
+        "missing_time": blank(c("time")), "bad_time": ~blank(c("time")) & ~F.coalesce(valid_time(c("time")), F.lit(False)),
+        "missing_type": ~given("event_type"), "missing_origin": ~given("origin"), "no_evidence": blank(c("evidence")),
+        **{f"bad_{n}": given(n) & ~c(n).isin(*known) for n, known in vocabulary.items()},
+        "machine_writes_other_event": machine & other,
+        "machine_writes_forbidden": machine & F.exists(F.array(*[given(n) for n in MACHINE_FORBIDDEN]), lambda x: x),
+        "judgement_on_non_attempt": given("judgement") & other, "cause_on_non_attempt": given("wrong_cause") & other,
+        "hypothesis_without_confidence": ~blank(c("hypothesis")) & blank(c("confidence")), "hypothesis_without_probe": ~blank(c("hypothesis")) & blank(c("probe")),
+    }
     return F.filter(F.array(*[F.when(x, F.lit(n)) for n, x in checks.items()]), lambda x: x.isNotNull())
 
 
-def event_issues(df: DataFrame, key: str = "event_id") -> DataFrame:
+def event_issues(df: DataFrame, key: str = "event_id", vocabulary: dict[str, tuple[str, ...]] = VOCABULARY) -> DataFrame:
     """key, rule: one row per finding, from one pass over the events."""
-    return df.select(key, F.explode(event_rules()).alias("rule"))
+    return df.select(key, F.explode(event_rules(df.columns, vocabulary)).alias("rule"))
+
+
+def ref_issues(refs: DataFrame, targets: DataFrame, headings: DataFrame, key: str = "event_id") -> DataFrame:
+    """key, ref, issue of source references (key, ref) that are no link, lead nowhere, or to a heading that isn't there.
+
+    targets: path; headings: path, heading. A link within the own page (#heading) is not followed."""
+    from .integrity import resolve_links
+
+    inner = F.regexp_extract(F.trim("ref"), r"^!?\[\[([^\]]+)\]\]$", 1)
+    d = refs.select(key, "ref", F.trim(F.split_part(inner, F.lit("|"), F.lit(1))).alias("__link"))
+    d = d.select(key, "ref", "__link", F.split_part("__link", F.lit("#"), F.lit(1)).alias("target"), F.nullif(F.split_part("__link", F.lit("#"), F.lit(2)), F.lit("")).alias("heading"))
+    d = resolve_links(d, targets)
+    known = headings.select(F.regexp_replace("path", r"\.md$", "").alias("target"), "heading", F.lit(True).alias("__has")).distinct()
+    d = d.withColumn("target", F.regexp_replace("target", r"\.md$", "")).join(known, ["target", "heading"], "left")
+    issue = (
+        F.when(F.col("__link") == "", "no_link").when(F.col("__link").startswith("#"), None).when(F.col("how") == "broken", "broken")
+        .when(F.col("heading").isNotNull() & F.col("__has").isNull(), "no_heading")
+    )
+    return d.select(key, "ref", issue.alias("issue")).where("issue IS NOT NULL")
 
 
 def unresolved_refs(refs: DataFrame, known: DataFrame, key: str) -> DataFrame:

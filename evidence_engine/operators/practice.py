@@ -63,9 +63,31 @@ def cram_list(events: DataFrame, starters: DataFrame, *, k: int) -> DataFrame:
     return top.withColumn("position", F.row_number().over(Window.orderBy(F.desc("n"), "item_type")))
 
 
+def starter_list(events: DataFrame, starters: DataFrame) -> DataFrame:
+    """item_type, colour, starter (or a placeholder) of the red and yellow types."""
+    own = mastery(events, ["item_type"]).where("colour IN ('red', 'yellow')").select("item_type", "colour")
+    return own.join(starters, "item_type", "left").select("item_type", "colour", F.coalesce("starter", F.lit("pending")).alias("starter"))
+
+
+def top_causes(errors: DataFrame, cause: str, *, k: int) -> DataFrame:
+    """The k causes with most errors, ties by name."""
+    n = errors.groupBy(F.col(cause).alias("cause")).agg(F.count("*").alias("errors")).orderBy(F.desc("errors"), "cause").limit(k)
+    return n.withColumn("position", F.row_number().over(Window.orderBy(F.desc("errors"), "cause")))
+
+
+#: Groups that each form's items are dealt to before its first ones are taken.
+SALTS = 64
+
+
 def mock_paper(items: DataFrame, template: DataFrame) -> DataFrame:
-    """Items not of the template's paper, as many of each form as it has."""
+    """Items not of the template's paper, as many of each form as it has.
+
+    Forms are few and may hold any share of the items, so each group of a form's items gives its first ones, up to the largest
+    quota (the size of one paper at most), and the final order runs over those."""
     quota = template.groupBy("form").agg(F.count("*").alias("quota"))
-    own = items.join(template.select("paper").distinct(), "paper", "left_anti")
-    d = own.withColumn("position", F.row_number().over(Window.partitionBy("form").orderBy("anchor", "tie")))
+    most = quota.agg(F.max("quota")).first()[0] or 0
+    own = items.join(template.select("paper").distinct(), "paper", "left_anti").withColumn("__salt", F.pmod(F.xxhash64("anchor", "tie"), F.lit(SALTS)))
+    order = ["anchor", "tie"]
+    some = own.withColumn("__k", F.row_number().over(Window.partitionBy("form", "__salt").orderBy(*order))).where(F.col("__k") <= most).drop("__k", "__salt")
+    d = some.withColumn("position", F.row_number().over(Window.partitionBy("form").orderBy(*order)))
     return d.join(quota, "form").where(F.col("position") <= F.col("quota"))

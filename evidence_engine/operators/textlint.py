@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -122,6 +124,55 @@ def grounding_issues(docs: DataFrame, *, headings: list[str], probes: list[str],
     return _issues(docs, key, [(~sourced, "sources", "warning"), (lacks, "probes", "warning")])
 
 
+def headings(c: Column) -> Column:
+    """The titles of all headings, in order."""
+    heads = F.filter(F.split(c, "\n", -1), lambda x: x.rlike(r"^#{1,6}\s+\S"))
+    return F.transform(heads, lambda x: F.trim(F.regexp_replace(x, r"^#{1,6}\s+", "")))
+
+
+def _bare(c: Column) -> Column:
+    """A title without white space and punctuation."""
+    return F.regexp_replace(c, r"[\s`/／：:、，,。.!！?？（）()]+", "")
+
+
+def template_count(titles: Column, template: list[str]) -> Column:
+    """How often a template's headings follow one another."""
+    starts = F.sequence(F.lit(0), F.size(titles) - len(template))
+    wanted = [_bare(F.lit(t)) for t in template]
+    hit = lambda i: reduce(lambda a, b: a & b, [F.contains(_bare(F.get(titles, i + k)), w) for k, w in enumerate(wanted)])
+    return F.when(F.size(titles) < len(template), 0).otherwise(F.size(F.filter(starts, hit)))
+
+
+def unexplained_math(c: Column, char_class: str, words: list[str], *, least: int = 20, around: int = 2) -> Column:
+    """Whether display math stands in a text, and no line of it has an explanation within some lines: enough characters and a word."""
+    lines = F.split(c, "\n", -1)
+    shown = F.filter(F.sequence(F.lit(0), F.size(lines) - 1), lambda i: F.get(lines, i).rlike(r"\$\$|\\\[|\\\]"))
+
+    def told(i: Column) -> Column:
+        low = F.greatest(F.lit(0), i - around)
+        near = F.array_join(F.slice(lines, low + 1, i + around + 1 - low), "\n")
+        return (F.regexp_count(near, F.lit(char_class)) >= least) & F.exists(F.array(*map(F.lit, words)), lambda w: F.contains(near, w))
+
+    return (F.size(shown) > 0) & ~F.exists(shown, told)
+
+
+def structure_issues(
+    docs: DataFrame, *, groups: dict[str, list[str]], entry: list[str], phrases: list[str], template: list[str], char_class: str, words: list[str], key: str = "doc_id", text_col: str = "text",
+) -> DataFrame:
+    """key, rule, severity: phrases of a bare checklist, a missing group of headings, a template once or repeated, math that nothing
+    explains, and no heading to enter by. A null text is empty."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    has = lambda names: reduce(lambda a, b: a | b, [has_heading(text, h) for h in names])
+    d = docs.withColumn("__n", template_count(headings(text), template))
+    checks = [
+        (F.exists(F.array(*map(F.lit, phrases)), lambda x: F.contains(text, x)), "checklist", "error"),
+        *[(~has(names), f"no_{name}", "error") for name, names in groups.items()],
+        (F.col("__n") >= 2, "template_repeated", "error"), (F.col("__n") == 1, "template_once", "warning"),
+        (unexplained_math(text, char_class, words), "unexplained_math", "warning"), (~has(entry), "no_entry", "warning"),
+    ]
+    return _issues(d, key, checks)
+
+
 def issue_summary(issues: DataFrame) -> DataFrame:
     return issues.groupBy("rule", "severity").agg(F.count("*").alias("n"))
 
@@ -135,7 +186,12 @@ def chapter_role(name: Column, suffixes: dict[str, str], default: str = "main")
     return F.struct(key.alias("key"), role.alias("role"))
 
 
-def role_completeness(files: DataFrame, required: str, *, single_ok: bool = False) -> DataFrame:
-    """key, roles, complete: whether a key has the required role, or one role alone where that is allowed."""
+def role_completeness(files: DataFrame, required: str, *, single_ok: bool = False, exempt: DataFrame | None = None) -> DataFrame:
+    """key, roles, complete: whether a key has the required role, or one role alone where that is allowed, for all keys or for
+    those that a manifest exempts (exempt: key)."""
     g = files.groupBy("key").agg(F.sort_array(F.collect_set("role")).alias("roles"))
-    return g.select("key", F.array_join("roles", ",").alias("roles"), (F.array_contains("roles", required) | ((F.size("roles") == 1) & F.lit(single_ok))).alias("complete"))
+    single = F.lit(single_ok)
+    if exempt is not None:
+        g = g.join(exempt.select("key", F.lit(True).alias("__exempt")).distinct(), "key", "left")
+        single = single | F.coalesce("__exempt", F.lit(False))
+    return g.select("key", F.array_join("roles", ",").alias("roles"), (F.array_contains("roles", required) | ((F.size("roles") == 1) & single)).alias("complete"))

@@ -50,6 +50,20 @@ def low_signals(profiles: DataFrame) -> DataFrame:
     return ranking(profiles.where(F.col("role").isin("LOWRISK", "LOWWATCH", "NONE") | (F.col("trend") == "COOL")))
 
 
+def trend_appendix(profiles: DataFrame) -> DataFrame:
+    """All entities in trend order with their trends as text and the years they were met in, before and now."""
+    d = ranking(profiles, by="trend").withColumn("text", trend_text())
+    return d.withColumn("before", F.concat_ws("/", "h_hits", "h_years")).withColumn("now", F.concat_ws("/", "r_hits", "r_years"))
+
+
+def paper_evidence(facts: DataFrame, unknown: str) -> DataFrame:
+    """What each paper holds: items, those with a score and with a form, and its themes."""
+    return facts.groupBy("paper").agg(
+        F.min("paper_type").alias("paper_type"), F.min("year").alias("year"), F.count("*").alias("items"), F.count("score").alias("scored"),
+        F.count_if(F.col("form") != unknown).alias("forms"), F.array_join(F.array_sort(F.collect_set("theme")), ", ").alias("themes"),
+    )
+
+
 def chart_series(profiles: DataFrame) -> DataFrame:
     """Percentages for a chart per entity, with the score axis of its paper type: at least 10, five above the largest."""
     tops = profiles.groupBy("paper_type").agg(F.greatest(F.lit(10.0), F.round(F.max(zero("r_total")) + 5)).cast("long").alias("axis_max"))

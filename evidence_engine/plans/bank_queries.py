@@ -153,6 +153,11 @@ def agg1_scope_counts(spark, d):
     return B.scope_counts(item_facts(spark, d))
 
 
+@query(W + " SELECT paper_type, count(DISTINCT paper) AS papers FROM facts GROUP BY paper_type")
+def agg1_papers_per_type(spark, d):
+    return B.papers_per_type(item_facts(spark, d))
+
+
 SERIES = "SELECT {k}, sum(n)::BIGINT AS items, string_agg({v} || '=' || n, ',' ORDER BY {v}) AS counts FROM c GROUP BY {k}"
 
 
@@ -254,6 +259,21 @@ def top12_cram_list(spark, d):
     return P.cram_list(events, known, k=5)
 
 
+@query(f"""WITH {LEDGER_SQL}, att AS (SELECT *, row_number() OVER (PARTITION BY item_type ORDER BY ts DESC, event_id DESC) AS back FROM ledger),
+c AS (SELECT item_type, bool_or(back = 1 AND judgement IN ('WRONG', 'BLANK')) AS red, bool_and(judgement = 'OK') FILTER (WHERE back <= 2) AND count(DISTINCT CAST(ts AS DATE)) FILTER (WHERE back <= 2) = 2 AS green FROM att GROUP BY item_type),
+s AS (SELECT item_type, min_by(event_id, (ts, event_id)) AS starter FROM ledger WHERE judgement = 'OK' AND item_type <> 4 GROUP BY item_type)
+SELECT item_type, CASE WHEN red THEN 'red' ELSE 'yellow' END AS colour, coalesce('event ' || starter, 'pending') AS starter FROM c LEFT JOIN s USING (item_type) WHERE red OR NOT green""")
+def top12_starter_list(spark, d):
+    events = ledger(spark, d)
+    known = events.where("judgement = 'OK' AND item_type <> 4").groupBy("item_type").agg(F.concat(F.lit("event "), F.min_by("event_id", F.struct("ts", "event_id")).cast("string")).alias("starter"))
+    return P.starter_list(events, known)
+
+
+@query(f"WITH {LEDGER_SQL}, n AS (SELECT event_type AS cause, count(*) AS errors FROM ledger WHERE judgement IN ('WRONG', 'BLANK', 'STUCK') GROUP BY event_type) SELECT cause, errors, row_number() OVER (ORDER BY errors DESC, cause) AS position FROM n QUALIFY position <= 2")
+def top12_wrong_causes(spark, d):
+    return P.top_causes(ledger(spark, d).where("judgement IN ('WRONG', 'BLANK', 'STUCK')"), "event_type", k=2)
+
+
 @query(W + """, q AS (SELECT form, count(*) AS quota FROM facts WHERE paper = (SELECT min(paper) FROM facts) GROUP BY form),
 c AS (SELECT form, anchor, tie, row_number() OVER (PARTITION BY form ORDER BY anchor, tie) AS position FROM facts WHERE paper % 3 <> 0 AND paper <> (SELECT min(paper) FROM facts))
 SELECT form, anchor, tie, position FROM c JOIN q USING (form) WHERE position <= quota""")

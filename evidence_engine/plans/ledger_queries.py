@@ -216,13 +216,70 @@ def cls9_snapshot_triggers(spark, d):
     return L.snapshot_triggers(ledger(spark, d))
 
 
+#: The vocabularies of events on the given tables.
+EVENT_VOCABULARY = {
+    "event_type": ("attempt", "note", "probe"), "origin": ("student", "tutor", "system", "s3"), "created_by": ("agent", "student"), "outcome": ("recorded", "observed"),
+    "confidence": ("high",), "judgement": ("OK", "SLOW", "STUCK", "WRONG", "BLANK"), "wrong_cause": ("CONCEPT",),
+}
+
+
+def _full_events(spark, d):
+    """Events with all fields that rules look at."""
+    i, k, c = F.col("event_id"), F.col("k"), F.col
+    return ledger(spark, d).select(
+        "event_id", F.when(k % 13 == 0, "yesterday").when(k % 17 != 0, F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'")).alias("time"),
+        F.when(i % 3 == 0, "attempt").when(i % 3 == 1, "probe").when(k % 4 == 0, "gossip").when(k % 4 == 1, None).otherwise("note").alias("event_type"),
+        F.when(i % 5 == 0, " ").when(i % 5 == 1, "s3").when(i % 5 == 2, "tutor").when(i % 5 == 3, "robot").alias("origin"), F.when(k != 5, F.concat(F.lit("k"), k.cast("string"))).otherwise(" ").alias("evidence"),
+        F.when(i % 4 == 0, "agent").when(i % 4 == 1, "robot").alias("created_by"), F.when(k % 8 == 0, "lost").when(k % 8 == 1, "observed").alias("outcome"),
+        F.when(k % 14 == 0, "high").when(k % 14 == 7, "sure").alias("confidence"), F.when(i % 7 == 0, "HM").when(i % 7 < 4, c("judgement")).alias("judgement"),
+        F.when(k % 9 == 0, "CONCEPT").when(k % 9 == 1, "odd").alias("wrong_cause"), F.when(k % 7 == 0, "h").alias("hypothesis"), F.when(i % 2 == 0, "p").alias("probe"), F.when(k % 11 == 0, "hint").alias("tutor_action"),
+    )
+
+
+FULL_EVENTS_SQL = """, ev AS (SELECT event_id, CASE WHEN k % 13 = 0 THEN 'yesterday' WHEN k % 17 <> 0 THEN 'ok' END AS time,
+ CASE WHEN event_id % 3 = 0 THEN 'attempt' WHEN event_id % 3 = 1 THEN 'probe' WHEN k % 4 = 0 THEN 'gossip' WHEN k % 4 = 1 THEN NULL ELSE 'note' END AS event_type,
+ CASE event_id % 5 WHEN 0 THEN ' ' WHEN 1 THEN 's3' WHEN 2 THEN 'tutor' WHEN 3 THEN 'robot' END AS origin, k,
+ CASE event_id % 4 WHEN 0 THEN 'agent' WHEN 1 THEN 'robot' END AS created_by, CASE k % 8 WHEN 0 THEN 'lost' WHEN 1 THEN 'observed' END AS outcome, CASE k % 14 WHEN 0 THEN 'high' WHEN 7 THEN 'sure' END AS confidence,
+ CASE WHEN event_id % 7 = 0 THEN 'HM' WHEN event_id % 7 < 4 THEN judgement END AS judgement, CASE k % 9 WHEN 0 THEN 'CONCEPT' WHEN 1 THEN 'odd' END AS cause,
+ k % 7 = 0 AS hyp, event_id % 2 = 0 AS probe, k % 11 = 0 AS action FROM ledger),
+i AS (SELECT event_id, 'missing_time' AS rule FROM ev WHERE time IS NULL UNION ALL SELECT event_id, 'bad_time' FROM ev WHERE time = 'yesterday'
+ UNION ALL SELECT event_id, 'missing_type' FROM ev WHERE event_type IS NULL UNION ALL SELECT event_id, 'bad_event_type' FROM ev WHERE event_type = 'gossip'
+ UNION ALL SELECT event_id, 'missing_origin' FROM ev WHERE origin IS NULL UNION ALL SELECT event_id, 'bad_origin' FROM ev WHERE origin IN (' ', 'robot') UNION ALL SELECT event_id, 'no_evidence' FROM ev WHERE k = 5
+ UNION ALL SELECT event_id, 'bad_created_by' FROM ev WHERE created_by = 'robot' UNION ALL SELECT event_id, 'bad_outcome' FROM ev WHERE outcome = 'lost' UNION ALL SELECT event_id, 'bad_confidence' FROM ev WHERE confidence = 'sure'
+ UNION ALL SELECT event_id, 'bad_judgement' FROM ev WHERE judgement = 'HM' UNION ALL SELECT event_id, 'bad_wrong_cause' FROM ev WHERE cause = 'odd'
+ UNION ALL SELECT event_id, 'machine_writes_other_event' FROM ev WHERE origin = 's3' AND event_type IS DISTINCT FROM 'attempt'
+ UNION ALL SELECT event_id, 'machine_writes_forbidden' FROM ev WHERE origin = 's3' AND (hyp OR probe OR action)
+ UNION ALL SELECT event_id, 'judgement_on_non_attempt' FROM ev WHERE judgement IS NOT NULL AND event_type IS DISTINCT FROM 'attempt' UNION ALL SELECT event_id, 'cause_on_non_attempt' FROM ev WHERE cause IS NOT NULL AND event_type IS DISTINCT FROM 'attempt'
+ UNION ALL SELECT event_id, 'hypothesis_without_confidence' FROM ev WHERE hyp AND confidence IS NULL UNION ALL SELECT event_id, 'hypothesis_without_probe' FROM ev WHERE hyp AND NOT probe)"""
+
+
+@query(W + FULL_EVENTS_SQL + " SELECT event_id, rule FROM i")
+def dq8_all_event_rules(spark, d):
+    return L.event_issues(_full_events(spark, d), vocabulary=EVENT_VOCABULARY)
+
+
+@query(W + """, r AS (SELECT event_id, k, CASE k % 6 WHEN 0 THEN 'no link ' || k WHEN 1 THEN '[[d' || k || ']]' WHEN 2 THEN '![[d' || k || '#part 1|shown]]' WHEN 3 THEN '[[#own]]' WHEN 4 THEN ' [[d' || k || '.md#part 2]] ' ELSE '[[x/d' || k || ']]' END AS ref FROM ledger),
+t AS (SELECT doc_id AS k, doc_id % 5 = 0 AS gone, doc_id % 3 = 0 AS headed FROM documents WHERE doc_id < 100)
+SELECT event_id, ref, CASE WHEN r.k % 6 = 0 THEN 'no_link' WHEN r.k % 6 = 3 THEN NULL WHEN t.k IS NULL OR gone THEN 'broken' WHEN r.k % 6 = 2 AND NOT headed THEN 'no_heading' WHEN r.k % 6 = 4 THEN 'no_heading' END AS issue
+FROM r LEFT JOIN t ON t.k = r.k WHERE issue IS NOT NULL""")
+def dq8_source_refs(spark, d):
+    k = F.col("k").cast("string")
+    text = lambda *p: F.concat(*[x if not isinstance(x, str) else F.lit(x) for x in p])
+    kind = F.col("k") % 6
+    ref = F.when(kind == 0, text("no link ", k)).when(kind == 1, text("[[d", k, "]]")).when(kind == 2, text("![[d", k, "#part 1|shown]]")).when(kind == 3, "[[#own]]").when(kind == 4, text(" [[d", k, ".md#part 2]] ")).otherwise(text("[[x/d", k, "]]"))
+    refs = ledger(spark, d).select("event_id", ref.alias("ref"))
+    docs = table(spark, d, "documents").where("doc_id < 100 AND doc_id % 5 <> 0").select("doc_id", F.concat(F.lit("d"), F.col("doc_id").cast("string"), F.lit(".md")).alias("path"))
+    headings = docs.where("doc_id % 3 = 0").select("path", F.lit("part 1").alias("heading"))
+    return L.ref_issues(refs, docs.select("path"), headings)
+
+
 @query(W + EV + """, i AS (
  SELECT event_id, 'bad_origin' AS rule FROM ev WHERE origin NOT IN ('student', 'tutor', 'system') UNION ALL SELECT event_id, 'no_evidence' FROM ev WHERE trim(evidence) = ''
  UNION ALL SELECT event_id, 'judgement_on_non_attempt' FROM ev WHERE judgement IS NOT NULL AND event_type <> 'attempt'
  UNION ALL SELECT event_id, 'hypothesis_without_confidence' FROM ev WHERE hypothesis IS NOT NULL AND confidence IS NULL
  UNION ALL SELECT event_id, 'hypothesis_without_probe' FROM ev WHERE hypothesis IS NOT NULL AND probe IS NULL) SELECT event_id, rule FROM i""")
 def dq8_event_rules(spark, d):
-    return L.event_issues(_events(spark, d))
+    return L.event_issues(_events(spark, d).drop("created_by", "outcome"), vocabulary=EVENT_VOCABULARY)
 
 
 @query(W + """, rec AS (SELECT DISTINCT item_type, CAST(ts AS DATE) AS day FROM ledger WHERE judgement = 'OK' AND k > 60),

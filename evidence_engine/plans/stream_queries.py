@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..streaming import streams as S
 from .bindings import LEDGER_SQL, ledger
-from .ledger_queries import EV, MASTERY_SQL, _events
+from .ledger_queries import EV, EVENT_VOCABULARY, MASTERY_SQL, _events
 from .registry import Registry
 from .scratch import scratch
 
@@ -40,10 +40,24 @@ def str2_batch_append(spark, d):
     return spark.read.parquet(f"{where}/ledger").select("event_id", F.col("batch_id").cast("long").alias("batch_id"))
 
 
+@query(W + " SELECT event_id, learner % 3 AS batch, CASE learner % 3 WHEN 0 THEN 'appended,skipped' WHEN 1 THEN 'appended' ELSE 'resumed' END AS told FROM ledger")
+def str2_batch_journal(spark, d):
+    """Three batches: one that comes again, one that comes once, and one whose first try stopped before its rows were complete."""
+    where = scratch(spark)
+    rows = ledger(spark, d).select("event_id", (F.col("learner") % 3).alias("b"))
+    told: dict[int, list[str]] = {0: [], 1: [], 2: []}
+    spark.range(1).select(F.lit(1).alias("number"), F.lit("prepared").alias("state")).write.parquet(f"{where}/journal/batch=2/step=1")
+    rows.where("b = 2 AND event_id % 2 = 0").select("event_id").write.parquet(f"{where}/ledger/batch=2")
+    for b in (0, 1, 2, 0):
+        told[b].append(S.append_batch(rows.where(F.col("b") == b).select("event_id"), f"{where}/ledger", f"{where}/journal", str(b)))
+    said = F.element_at(F.create_map(*[F.lit(x) for b, t in told.items() for x in (b, ",".join(t))]), F.col("batch"))
+    return spark.read.parquet(f"{where}/ledger").select("event_id", F.col("batch").cast("long").alias("batch"), said.alias("told"))
+
+
 @query(W + EV + """ SELECT event_id, NOT (origin NOT IN ('student', 'tutor', 'system') OR trim(evidence) = '' OR (judgement IS NOT NULL AND event_type <> 'attempt') OR (hypothesis IS NOT NULL AND (confidence IS NULL OR probe IS NULL))) AS good FROM ev""")
 def str3_stream_validated(spark, d):
     stream, where = _source(spark, _events(spark, d))
-    S.stream_validated(stream, f"{where}/good", f"{where}/bad", f"{where}/checkpoint")
+    S.stream_validated(stream, f"{where}/good", f"{where}/bad", f"{where}/checkpoint", EVENT_VOCABULARY)
     sink = lambda n, ok: spark.read.parquet(f"{where}/{n}").select("event_id", F.lit(ok).alias("good"))
     return sink("good", True).unionByName(sink("bad", False))
 

@@ -383,4 +383,55 @@ def dq11_start_card_issues(spark, d):
     return card.unionByName(X.grounding_issues(d, headings=["Sources and limits", "Open scope"], probes=["the", "un"]))
 
 
+STRUCTURED = r"""WITH t AS (SELECT doc_id, coalesce(text, '') || CASE WHEN doc_id % 2 = 0 THEN chr(10) || '# The  whole picture' ELSE '' END || CASE WHEN doc_id % 5 = 0 THEN chr(10) || '## Intuition' || chr(10) || 'x' || chr(10) || '## Formula / terms' ELSE '' END
+ || CASE WHEN doc_id % 10 = 0 THEN chr(10) || '### 1. Intuition' || chr(10) || '### Formula, terms' ELSE '' END || CASE WHEN doc_id % 3 = 0 THEN chr(10) || '## Ask here' ELSE '' END || CASE WHEN doc_id % 4 = 0 THEN chr(10) || 'line' || chr(10) || '$$a$$' || CASE WHEN doc_id % 8 = 0 THEN chr(10) || 'because aeiou aeiou aeiou aeiou' ELSE '' END ELSE '' END
+ || CASE WHEN doc_id % 7 = 0 THEN chr(10) || 'in one sentence' ELSE '' END AS text FROM documents WHERE text IS NULL OR NOT contains(text, '$$')),
+u AS (SELECT * FROM t)"""
+
+
+@query(STRUCTURED + r""" SELECT doc_id, 'checklist' AS rule, 'error' AS severity FROM u WHERE doc_id % 7 = 0 UNION ALL SELECT doc_id, 'no_picture', 'error' FROM u WHERE doc_id % 2 <> 0
+UNION ALL SELECT doc_id, 'template_repeated', 'error' FROM u WHERE doc_id % 10 = 0 UNION ALL SELECT doc_id, 'template_once', 'warning' FROM u WHERE doc_id % 5 = 0 AND doc_id % 10 <> 0
+UNION ALL SELECT doc_id, 'unexplained_math', 'warning' FROM u WHERE doc_id % 8 = 4 UNION ALL SELECT doc_id, 'no_entry', 'warning' FROM u WHERE doc_id % 3 <> 0""")
+def dq10_structure(spark, d):
+    """Headings, math and phrases added by id to the documents without display math of their own."""
+    i = F.col("doc_id")
+    add = lambda n, t, r=0: F.when(i % n == r, F.lit(t)).otherwise("")
+    text = F.concat(
+        F.coalesce("text", F.lit("")), add(2, "\n# The  whole picture"), add(5, "\n## Intuition\nx\n## Formula / terms"), add(10, "\n### 1. Intuition\n### Formula, terms"), add(3, "\n## Ask here"),
+        add(4, "\nline\n$$a$$"), add(8, "\nbecause aeiou aeiou aeiou aeiou"), add(7, "\nin one sentence"),
+    )
+    own = docs(spark, d).where("text IS NULL OR NOT contains(text, '$$')").select("doc_id", text.alias("text"))
+    return X.structure_issues(own, groups={"picture": ["The whole picture", "Overview"]}, entry=["Ask here"], phrases=["in one sentence"], template=["Intuition", "Formula terms"], char_class="[aeiou]", words=["because", "where"])
+
+
+@query("""WITH f AS (SELECT split_part(url, '/', 3) AS key, CASE WHEN url LIKE '%#top' THEN 'top' ELSE 'side' END AS role FROM pages), g AS (SELECT key, string_agg(DISTINCT role, ',' ORDER BY role) AS roles FROM f GROUP BY key)
+SELECT key, roles, contains(roles, 'top') OR (NOT contains(roles, ',') AND length(key) % 2 = 0) AS complete FROM g""")
+def dq12_manifest_exemption(spark, d):
+    f = pages(spark, d).select(F.split_part("url", F.lit("/"), F.lit(3)).alias("key"), F.when(F.col("url").endswith("#top"), "top").otherwise("side").alias("role"))
+    return X.role_completeness(f, "top", exempt=f.where("length(key) % 2 = 0"))
+
+
+@query("""SELECT conv_id, 'chunk_not_done' AS issue, turn AS part FROM conversations WHERE turn % 4 = 1 AND conv_id % 3 = 0
+UNION ALL SELECT conv_id, 'segment_unrepaired', turn FROM conversations WHERE length(text) % 5 = 0 OR text IS NULL""")
+def dq14_chunks_and_segments(spark, d):
+    c = table(spark, d, "conversations").withColumnRenamed("turn", "part")
+    chunks = c.select("conv_id", "part", F.when((F.col("part") % 4 == 1) & (F.col("conv_id") % 3 == 0), F.when(F.col("conv_id") % 2 == 0, "failed")).otherwise("done").alias("status"))
+    return I.part_issues(chunks, c.select("conv_id", "part", (F.length("text") % 5 != 0).alias("repaired")), "conv_id")
+
+
+@query("""WITH h AS (SELECT doc_id, sha256(text) AS h FROM documents), o AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY h) AS first FROM h)
+SELECT doc_id, 'outside' AS issue FROM documents WHERE doc_id % 13 = 0 UNION ALL SELECT doc_id, 'no_anchor' FROM documents WHERE NOT regexp_matches(text, '[0-9]{4}') UNION ALL SELECT doc_id, 'duplicate_source' FROM o WHERE doc_id > first""")
+def dq15_bind_rules(spark, d):
+    """Anchors are the years of a text; the folder goes by id."""
+    own = docs(spark, d)
+    path = F.concat(F.when(F.col("doc_id") % 13 == 0, "/elsewhere/").otherwise("/course/"), F.col("doc_id").cast("string"))
+    outputs = own.select("doc_id", path.alias("path"), F.regexp_extract_all("text", F.lit("[0-9]{4}"), 0).alias("anchors"))
+    return I.bind_issues(outputs, I.fingerprints(own, "doc_id", "text"), "/course/", "doc_id")
+
+
+@query("SELECT conv_id, turn AS part FROM conversations WHERE turn % 4 = 1 AND conv_id % 3 = 0 UNION SELECT conv_id, turn FROM conversations WHERE length(text) % 5 = 0 OR text IS NULL")
+def flt8_unresolved_parts(spark, d):
+    return dq14_chunks_and_segments(spark, d).select("conv_id", "part").distinct()
+
+
 QUERIES, ORACLES = query.queries, query.oracles

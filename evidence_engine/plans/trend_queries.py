@@ -312,6 +312,16 @@ def top7_year_buckets(spark, d):
     return item_facts(spark, d).where("year IS NOT NULL").groupBy("paper_type", "year").agg(F.count_distinct("paper").alias("papers"), F.count("*").alias("items"))
 
 
+@query(WITH_THEME + f" SELECT entity, paper_type, row_number() OVER (PARTITION BY paper_type ORDER BY {TREND}) AS rank, array_to_string(list_concat([trend], secondary), ' · ') AS text, h_hits || '/' || h_years AS before, r_hits || '/' || r_years AS now FROM prof")
+def top7_trend_appendix(spark, d):
+    return V.trend_appendix(themes(spark, d)).select("entity", "paper_type", "rank", "text", "before", "now")
+
+
+@query(f"WITH {FACTS_SQL} SELECT paper, min(paper_type) AS paper_type, min(year) AS year, count(*) AS items, count(score) AS scored, count(*) FILTER (WHERE form <> '{UNKNOWN_FORM}') AS forms, string_agg(DISTINCT theme, ', ' ORDER BY theme) AS themes FROM facts GROUP BY paper")
+def top7_paper_evidence(spark, d):
+    return V.paper_evidence(item_facts(spark, d), UNKNOWN_FORM)
+
+
 @query(WITH_THEME + "," + TAG_SHARES + """,
 b AS (SELECT * FROM td QUALIFY row_number() OVER (PARTITION BY entity, paper_type, period ORDER BY share DESC, tag) = 1),
 o AS (SELECT theme AS entity, paper_type, anchor, tag, year, tie, coalesce(score, 0) AS points, row_number() OVER (PARTITION BY theme, paper_type, tag ORDER BY year DESC, coalesce(score, 0) DESC, anchor, tie) AS of_tag FROM own WHERE period = 'recent'),

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..operators.ledger import event_rules, progress_deltas
+from ..operators.ledger import VOCABULARY, event_rules, progress_deltas
 
 
 def read_stream(spark: SparkSession, path: str, schema, *, files_per_batch: int = 1000) -> DataFrame:
@@ -49,11 +49,28 @@ def append_batches(rows: DataFrame, ledger: str, batch: str = "batch_id") -> Non
     rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(batch).parquet(ledger)
 
 
-def stream_validated(stream: DataFrame, good: str, quarantine: str, checkpoint: str) -> None:
+def append_batch(rows: DataFrame, ledger: str, journal: str, batch_id: str) -> str:
+    """Appends a batch once, with its states in a journal: prepared, records_appended, complete. A retry goes on where the batch
+    stopped: rows are written to the batch's own folder, which replaces what a broken try left; a complete batch stays as it is."""
+    spark = rows.sparkSession
+    own = f"{journal}/batch={batch_id}"
+    state = spark.read.parquet(own).agg(F.max_by("state", "number")).first()[0] if _exists(spark, own) else None
+    note = lambda number, name: spark.range(1).select(F.lit(number).alias("number"), F.lit(name).alias("state")).coalesce(1).write.mode("overwrite").parquet(f"{own}/step={number}")
+    if state == "complete":
+        return "skipped"
+    note(1, "prepared")
+    if state != "records_appended":
+        rows.write.mode("overwrite").parquet(f"{ledger}/batch={batch_id}")
+    note(2, "records_appended")
+    note(3, "complete")
+    return "appended" if state is None else "resumed"
+
+
+def stream_validated(stream: DataFrame, good: str, quarantine: str, checkpoint: str, vocabulary: dict[str, tuple[str, ...]] = VOCABULARY) -> None:
     """Events that break no rule to one sink, the others with their rules to another."""
 
     def each(batch: DataFrame, number: int) -> None:
-        judged = batch.withColumn("rules", event_rules()).persist()
+        judged = batch.withColumn("rules", event_rules(batch.columns, vocabulary)).persist()
         judged.where(F.size("rules") == 0).drop("rules").write.mode("overwrite").parquet(f"{good}/batch={number}")
         judged.where(F.size("rules") > 0).write.mode("overwrite").parquet(f"{quarantine}/batch={number}")
         judged.unpersist()
