@@ -4,7 +4,8 @@ A template names the control strings around a turn, the roles under the loss and
 and backslashes are doubled, so an escaped text never holds a control string and unescaping restores it exactly.
 
 Defined cases: turns sort by turn, then role and text (nulls first), so ties have one order and repeated rows stay;
-null texts and roles are empty; rows with a null conv_id form one conversation; a conversation whose roles break the
+null texts and roles are empty; each row with a null conv_id is a conversation of its own, so that such rows never gather; very
+long texts are kept whole; an empty table gives no rows; other columns, whatever their names, don't enter; a conversation whose roles break the
 machine is formatted all the same, with the state it failed in. One conversation is one row of the result, since its
 digests need all of its text.
 """
@@ -74,8 +75,9 @@ def end_state(roles: Column, template: Template) -> Column:
 def format_chats(turns: DataFrame, template: Template = CHAT, *, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
     """conv_id, segments (array of text and loss, in order), state (where the machine ended) and valid."""
     empty = lambda c: F.coalesce(turns[c].cast("string"), F.lit(""))
-    one = turns.select(turns[conv_col].alias("conv_id"), F.struct(turns[turn_col].alias("turn"), empty(role_col).alias("role"), empty(text_col).alias("text")).alias("turn"))
-    chats = one.groupBy("conv_id").agg(F.sort_array(F.collect_list("turn")).alias("turns"))
+    alone = F.when(turns[conv_col].isNull(), F.monotonically_increasing_id()).alias("alone")
+    one = turns.select(turns[conv_col].alias("conv_id"), alone, F.struct(turns[turn_col].alias("turn"), empty(role_col).alias("role"), empty(text_col).alias("text")).alias("turn"))
+    chats = one.groupBy("conv_id", "alone").agg(F.sort_array(F.collect_list("turn")).alias("turns"))
     part = lambda text, loss: F.struct(text.alias("text"), loss.alias("loss"))
     controls = (template.open, template.close)
     segments = F.flatten(

@@ -11,7 +11,9 @@ bitmap of kept lines in run-length form, and texts move once, to meet their bitm
 
 Defined cases: a null text is one empty line; rows with a null doc_id keep all their lines and drop no other's; rows
 that share a doc_id are one document, so they drop no lines of each other, and each row is judged by its own text.
-Keys are compared by 128 bits of hash.
+Keys are compared by 128 bits of hash. Very long texts and lines are read whole, and only their hashes and positions are sorted;
+repeated lines of a document go or stay together; an empty table gives no rows; other columns pass through, and those made have a prefix
+that the caller chooses, so that no name clashes.
 """
 
 from __future__ import annotations

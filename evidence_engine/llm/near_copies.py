@@ -9,7 +9,8 @@ member set is compared. Buckets are cut into chunks, each pair of chunks a task,
 Sets are computed again for members of buckets alone, so those of other texts are never written.
 
 Defined cases are those of SimHash: a text of fewer words than a shingle is one shingle; texts without words are copies of one
-another; rows without a doc_id stay, and link others like any row.
+another; rows without a doc_id stay, and link others like any row; very long texts are read whole; an empty table gives no rows; other
+columns, whatever their names, don't enter the classes.
 """
 
 from __future__ import annotations

@@ -12,7 +12,9 @@ a time, and a word whose lanes have all overflowed is abandoned. A bucket return
 Stars are joined by alternating large-star and small-star rounds on tables written to the shared folder.
 
 Defined cases: null and blank texts have fingerprint zero, linked like any other; repeated rows get equal results; a row
-with a null doc_id has a class, whose id is the smallest doc_id that is not null (null if there is none).
+with a null doc_id has a class, whose id is the smallest doc_id that is not null (null if there is none). Very long texts are read
+whole, their hashes some at a time; an empty table gives no rows; other columns, whatever their names, don't enter the classes. Ids
+are cast to long.
 """
 
 from __future__ import annotations
@@ -77,7 +79,7 @@ def masks(n: int, radius: int = RADIUS, bucket: int = BUCKET) -> list[int]:
     for chosen in combinations(range(blocks), blocks - radius):
         bits = [i for b in chosen for i in range(cuts[b], cuts[b + 1])][:wanted]
         out.append(sum(1 << i for i in bits))
-    return out
+    return list(dict.fromkeys(out))  # few fingerprints take no key bits, and one table
 
 
 def _planes(prints: np.ndarray) -> np.ndarray:

@@ -124,6 +124,12 @@ def test_chat_machine(spark):
     assert got[4]["state"] == chat_format.FAILED
 
 
+def test_chat_rows_without_a_conversation_stand_alone(spark):
+    out = chat_format.format_chats(chats(spark, [(None, 0, "user", "a", "x", 1), (None, 1, "user", "b", "x", 1), (None, 1, "user", "b", "x", 1), (1, 0, "user", "c", "x", 1)]))
+    told = [(r["conv_id"], [x["text"] for x in r["segments"]][1]) for r in out.collect()]
+    assert sorted(told, key=str) == [(1, "c"), (None, "a"), (None, "b"), (None, "b")]
+
+
 def test_chat_ties_repeats_and_empty(spark):
     got = read(spark, [(1, 0, "user", "b"), (1, 0, "user", "a"), (1, 0, "user", "a"), (1, None, "system", "s")])
     assert [x["text"] for x in got[1]["read"]] == ["s", "a", "a", "b"]
