@@ -10,15 +10,28 @@ def fingerprints(df: DataFrame, key: str, content: str) -> DataFrame:
     return df.select(key, F.sha2(content, 256).alias("sha256"))
 
 
-def dataset_fingerprint(df: DataFrame, key: str, buckets: int = 4096) -> DataFrame:
+#: Rows that an array of the dataset's fingerprint holds on average, at most.
+PER_BUCKET = 10_000
+
+
+def dataset_fingerprint(df: DataFrame, key: str, buckets: int = 4096, per_bucket: int = PER_BUCKET) -> DataFrame:
     """One hash of all (key, sha256) rows, whatever their order.
 
-    Hashes of a bucket are joined in key order and hashed, then the buckets' hashes: no task holds all rows.
+    A tree of hashes: those of a bucket are joined in key order and hashed, then the hashes of each ``buckets`` buckets, up to one. The
+    tree gets a level more where a bucket would hold over ``per_bucket`` rows, so no array grows with the data.
     """
-    b = df.withColumn("b", F.conv(F.substring(F.sha2(F.col(key).cast("string"), 256), 1, 8), 16, 10).cast("long") % buckets)
-    row = F.struct(F.col(key).cast("string").alias("k"), "sha256")
-    one = b.groupBy("b").agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(row)), lambda x: F.concat_ws(":", x["k"], x["sha256"])), "\n"), 256).alias("h"), F.count("*").alias("n"))
-    return one.agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("b", "h"))), lambda x: x["h"]), "\n"), 256).alias("fingerprint"), F.sum("n").alias("n"))
+    n, levels = df.count(), 1
+    while n > per_bucket * buckets**levels:
+        levels += 1
+    digest = F.sha2(F.col(key).cast("string"), 256)
+    at = [F.conv(F.substring(digest, 1 + 8 * k, 8), 16, 10).cast("long") % buckets for k in range(levels)]
+    b = df.select(F.struct(F.concat_ws(":", F.col(key).cast("string"), "sha256").alias("h"), F.col(key).cast("string").alias("k"), "sha256").alias("x"), *[c.alias(f"b{k}") for k, c in enumerate(at)])
+    own = F.transform(F.array_sort(F.collect_list(F.struct(F.col("x.k").alias("k"), F.col("x.sha256").alias("s"), F.col("x.h").alias("h")))), lambda x: x["h"])
+    one = b.groupBy(*[f"b{k}" for k in range(levels)]).agg(F.sha2(F.array_join(own, "\n"), 256).alias("h"), F.count("*").alias("n"))
+    for k in range(levels - 1, -1, -1):
+        joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(f"b{k}", "h"))), lambda x: x["h"]), "\n")
+        one = one.groupBy(*[f"b{j}" for j in range(k)]).agg(F.sha2(joined, 256).alias("h"), F.sum("n").alias("n"))
+    return one.select(F.col("h").alias("fingerprint"), "n")
 
 
 def verify_hashes(stored: DataFrame, live: DataFrame, key: str) -> DataFrame:

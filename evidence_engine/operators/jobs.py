@@ -32,9 +32,10 @@ def failure_report(jobs: DataFrame, *keys: str, threshold: float = 0.2) -> DataF
 
 def progress(snapshots: DataFrame, *keys: str) -> DataFrame:
     """keys, completed, distinct pages reviewed, blockers (rows: done, pages array, n_blockers)."""
-    return snapshots.groupBy(*keys).agg(
-        F.count_if("done").alias("completed"), F.size(F.array_distinct(F.flatten(F.collect_list("pages")))).alias("pages"), F.sum("n_blockers").alias("blockers")
-    )
+    sums = snapshots.groupBy(*keys).agg(F.count_if("done").alias("completed"), F.sum("n_blockers").alias("blockers"))
+    # pages are told apart by rows, not in one array of a key
+    pages = snapshots.select(*keys, F.explode("pages").alias("page")).distinct().groupBy(*keys).agg(F.count("*").cast("int").alias("pages"))
+    return sums.join(pages, list(keys), "left").select(*keys, "completed", F.coalesce("pages", F.lit(0)).alias("pages"), "blockers")
 
 
 def page_ranges(docs: DataFrame, units: Column, size: int) -> DataFrame:

@@ -31,17 +31,13 @@ def _exists(spark: SparkSession, path: str) -> bool:
 
 
 def stream_ledger(stream: DataFrame, ledger: str, checkpoint: str, key: str = "signature") -> None:
-    """Appends rows whose key the ledger lacks. A batch writes its own folder by overwriting it, and looks for keys in
-    the folders of earlier batches only, so a batch that runs twice leaves the same rows."""
+    """Appends rows whose key hasn't come before. The keys so far are the query's state, so a batch costs what it holds, not what
+    the ledger does. A batch writes its own folder by overwriting it, so one that runs twice leaves the same rows."""
 
     def each(batch: DataFrame, number: int) -> None:
-        spark, fresh = batch.sparkSession, batch.dropDuplicates([key])
-        if number and _exists(spark, ledger):
-            before = spark.read.option("basePath", ledger).parquet(f"{ledger}/batch=*").where(F.col("batch") < number)
-            fresh = fresh.join(before.select(key), key, "left_anti")
-        fresh.write.mode("overwrite").parquet(f"{ledger}/batch={number}")
+        batch.write.mode("overwrite").parquet(f"{ledger}/batch={number}")
 
-    drain(stream, checkpoint, each)
+    drain(stream.dropDuplicates([key]), checkpoint, each)
 
 
 def append_batches(rows: DataFrame, ledger: str, batch: str = "batch_id") -> None:

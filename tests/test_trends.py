@@ -105,3 +105,15 @@ def test_late_facts_are_counted_in_totals_only(spark):
     d = facts(spark, [(1, "A", None, "t", "x", 2.0, "proof", "a", "1"), (2, "A", 2000, "t", "x", 3.0, "proof", "b", "2")])
     m = T.period_metrics(d, "theme").first()
     assert (m["r_items"], m["r_total"]) == (1, 3.0) and d.groupBy("theme").agg(F.sum("score")).first()[1] == 5.0
+
+
+def test_dataset_fingerprint_with_more_levels(spark):
+    from evidence_engine.operators.integrity import dataset_fingerprint
+
+    d = spark.range(500).select("id", F.sha2(F.col("id").cast("string"), 256).alias("sha256"))
+    one = [dataset_fingerprint(x, "id", 4, 20).first() for x in (d, d.repartition(7), d.orderBy(F.desc("id")))]  # three levels
+    assert one[0]["n"] == 500 and len({r["fingerprint"] for r in one}) == 1
+    changed = d.withColumn("sha256", F.when(F.col("id") == 77, "x").otherwise(F.col("sha256")))
+    assert dataset_fingerprint(changed, "id", 4, 20).first()["fingerprint"] != one[0]["fingerprint"]
+    swapped = d.withColumn("id", F.when(F.col("id") == 1, 2).when(F.col("id") == 2, 1).otherwise(F.col("id")))
+    assert dataset_fingerprint(swapped, "id", 4, 20).first()["fingerprint"] != one[0]["fingerprint"]
