@@ -6,7 +6,7 @@ texts all seem alike); a logistic calibration on labelled texts that built no di
 cube, into a score. Nothing else of a text enters.
 
 Dictionaries and calibration use ``max_rows`` labelled documents of each label at most, of any length. A dictionary holds a stretch of
-``WINDOW`` characters, at a place by hash, of each of its documents; the others are compressed whole where they lie, and send
+each of its documents, at a place by hash: ``WINDOW`` characters, or more where its documents are too few to fill ``DICT_BYTES``; the others are compressed whole where they lie, and send
 back two numbers. All documents are scored, over whole texts, where they lie.
 
 Defined cases: null and empty texts have the difference 0 and get the calibrated score of that; very long texts are compressed whole;
@@ -103,8 +103,11 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, *, id_col: str = "d
     # picked has 2 * max_rows rows of two columns at most; of rows that share an id one stays
     rows = mine.join(F.broadcast(picked), "doc_id").groupBy("doc_id", "quality").agg(F.min("text").alias("text"))
     rows = stored(rows.withColumn("builds", F.pmod(F.xxhash64(F.lit("half"), "doc_id"), F.lit(2)) == 0))
-    start = F.pmod(F.xxhash64(F.lit("place"), "doc_id"), F.greatest(F.lit(1), F.length("text") - WINDOW + 1)).cast("int") + 1
-    parts = rows.where("builds").select("doc_id", "quality", F.substr("text", start, F.lit(WINDOW)).alias("part")).where("part <> ''").toPandas()
+    wide = [max(WINDOW, 2 * DICT_BYTES // max(1, min(max_rows, n.get(y, 0)))) for y in (0, 1)]  # half of the documents build
+    width = F.when(F.col("quality") == 0, wide[0]).otherwise(wide[1])
+    start = F.pmod(F.xxhash64(F.lit("place"), "doc_id"), F.greatest(F.lit(1), F.length("text") - width + 1)).cast("int") + 1
+    # some 2 * DICT_BYTES characters for each label
+    parts = rows.where("builds").select("doc_id", "quality", F.substr("text", start, width).alias("part")).where("part <> ''").toPandas()
     parts = parts.sort_values("doc_id", kind="stable")
     pair = tuple(dictionary(parts["part"][parts["quality"] == y].tolist()) for y in (1, 0))
 
