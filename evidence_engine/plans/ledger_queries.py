@@ -128,10 +128,10 @@ def agg17_error_stats(spark, d):
     return M.error_stats(ledger(spark, d).withColumn("why", F.col("judgement")), "why", "item_type", "learner")
 
 
-@query(W + EV + ", g AS (SELECT learner, hypothesis, count(*) AS times, string_agg(CAST(event_id AS VARCHAR), ',' ORDER BY ts, event_id) AS evidence, max_by(coalesce(probe, ''), (ts, event_id)) AS latest_probe FROM ev WHERE hypothesis IS NOT NULL GROUP BY learner, hypothesis) SELECT * FROM g WHERE times >= 2")
+@query(W + EV + ", g AS (SELECT learner, hypothesis, count(*) AS times, string_agg(CAST(event_id AS VARCHAR), ',' ORDER BY ts, event_id) AS evidence, max_by(coalesce(probe, ''), (ts, event_id)) AS latest_probe, max_by(coalesce(confidence, ''), (ts, event_id)) AS confidence FROM ev WHERE hypothesis IS NOT NULL GROUP BY learner, hypothesis) SELECT * FROM g WHERE times >= 2")
 def agg18_hypotheses(spark, d):
-    h = M.hypotheses(_events(spark, d).withColumn("probe", F.coalesce("probe", F.lit(""))))
-    return h.select("learner", "hypothesis", "times", F.array_join(F.transform("evidence", lambda x: x.cast("string")), ",").alias("evidence"), "latest_probe")
+    h = M.hypotheses(_events(spark, d).na.fill("", ["probe", "confidence"]))
+    return h.select("learner", "hypothesis", "times", F.array_join(F.transform("evidence", lambda x: x.cast("string")), ",").alias("evidence"), "latest_probe", "confidence")
 
 
 @query(W + " SELECT learner, count(*) FILTER (WHERE judgement = 'OK') AS completed, count(DISTINCT k) AS pages, CAST(sum(CASE WHEN judgement = 'STUCK' THEN 1 ELSE 0 END) AS BIGINT) AS blockers FROM ledger GROUP BY learner")

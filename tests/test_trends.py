@@ -117,3 +117,17 @@ def test_dataset_fingerprint_with_more_levels(spark):
     assert dataset_fingerprint(changed, "id", 4, 20).first()["fingerprint"] != one[0]["fingerprint"]
     swapped = d.withColumn("id", F.when(F.col("id") == 1, 2).when(F.col("id") == 2, 1).otherwise(F.col("id")))
     assert dataset_fingerprint(swapped, "id", 4, 20).first()["fingerprint"] != one[0]["fingerprint"]
+
+
+def test_stream_windows_count_late_rows_within_the_delay_only(spark, tmp_path):
+    import time
+
+    src, kind = str(tmp_path / "src"), "event_id long, ts timestamp, event_type string"
+    batches = [["2024-01-10 12:00:00"], ["2024-01-09 23:00:00"], ["2024-01-11 00:00:00", "2024-01-02 00:00:00", "2024-01-10 01:00:00"]]
+    for k, times in enumerate(batches):
+        rows = spark.createDataFrame([(10 * k + i, t, "a") for i, t in enumerate(times)], "event_id long, ts string, event_type string")
+        rows.withColumn("ts", F.col("ts").cast("timestamp")).coalesce(1).write.mode("append").parquet(src)
+        time.sleep(1.1)  # files come in the order of their times
+    S.stream_windows(S.read_stream(spark, src, kind, files_per_batch=1), str(tmp_path / "out"), str(tmp_path / "checkpoint"), delay="1 day")
+    got = {str(r["start"])[:10]: r["n"] for r in S.latest_windows(spark, str(tmp_path / "out")).collect()}
+    assert got == {"2024-01-10": 2, "2024-01-09": 1, "2024-01-11": 1}  # rows are late by what batches before the last one showed
