@@ -64,17 +64,26 @@ def _expanded(d: np.ndarray) -> np.ndarray:
     return np.column_stack([d, d * d, d**3])
 
 
-def _fit(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, rounds: int = 50) -> tuple[np.ndarray, float]:
-    """Logistic regression by Newton steps."""
+def _fit(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, rounds: int = 100) -> tuple[np.ndarray, float]:
+    """Logistic regression by Newton steps, each halved until it lowers the penalised loss."""
     a = np.column_stack([x, np.ones(len(x))])
     w = np.zeros(a.shape[1])
+
+    def loss(w: np.ndarray) -> float:
+        z = a @ w
+        return float((np.logaddexp(0, z) - y * z).mean() + ridge / 2 * w @ w)
+
+    now = loss(w)
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
-        h = a.T @ (a * (p * (1 - p) + 1e-9)[:, None]) + ridge * np.eye(len(w)) * len(x)
-        step = np.linalg.solve(h, a.T @ (p - y) + ridge * len(x) * w)
-        w -= step
-        if np.abs(step).max() < 1e-8:
+        h = a.T @ (a * (p * (1 - p) + 1e-9)[:, None]) / len(x) + ridge * np.eye(len(w))
+        step = np.linalg.solve(h, a.T @ (p - y) / len(x) + ridge * w)
+        t = 1.0
+        while t > 1e-9 and (new := loss(w - t * step)) > now:
+            t /= 2
+        if t <= 1e-9 or np.abs(t * step).max() < 1e-9:
             break
+        w, now = w - t * step, new
     return w[:-1], float(w[-1])
 
 

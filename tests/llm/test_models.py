@@ -214,6 +214,16 @@ def test_quality_calibration_against_slow_gradient_descent():
     assert np.allclose(w, v, atol=1e-5) and abs(b - c) < 1e-5
 
 
+def test_quality_calibration_where_plain_newton_steps_diverge():
+    rng = np.random.default_rng(5)
+    for k in range(30):
+        d = np.concatenate([rng.normal(1, 0.3, 900), rng.normal(-1.5, 1.5, 150)])
+        good = np.arange(1050) < 900
+        model = quality_classifier.calibrated((b"", b""), d, good, 0.86)
+        z = ((quality_classifier._expanded(d) - model.mean) / model.scale) @ np.array(model.weights) + model.intercept
+        assert ((z > 0) == good).mean() > 0.95 and np.abs(model.weights).max() < 100
+
+
 def test_quality_difference_against_plain_compression(spark):
     import zstandard
 
