@@ -17,6 +17,7 @@ from . import (
     quality_rules,
     secret_scan,
     simhash,
+    substring_dedup,
     toxicity,
 )
 from .common import table
@@ -119,6 +120,11 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.benchmark_matches(_documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
 
 
+def op12_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = substring_dedup.substring_dedup(_documents(spark, sf_dir))
+    return kept.select("doc_id", F.col("kept_words").alias("n_words"), F.col("kept_removed").alias("n_removed"), F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -132,6 +138,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_secret_scan,
         op9_simhash,
         op10_decontamination,
+        op12_substring_dedup,
     )
 }
 

@@ -72,4 +72,21 @@ SELECT conv_id, count(*) AS n_turns,
 FROM f GROUP BY conv_id
 """
 
-ORACLES = {"op1_line_dedup": OP1, "op2_quality_rules": OP2, "op3_chat_format": OP3}
+OP12 = r"""
+WITH docs AS (
+  SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+wins AS (SELECT doc_id, unnest(range(1, len(w) - 33)) AS i, w FROM docs WHERE len(w) >= 35),
+keys AS (SELECT doc_id, i, array_to_string(list_slice(w, i, i + 34), ' ') AS k FROM wins),
+again AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY k) AS n FROM keys) WHERE n >= 2),
+placed AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM docs),
+marked AS (
+  SELECT p.doc_id, p.word, p.i, coalesce(p.i - max(a.i) OVER (PARTITION BY p.doc_id ORDER BY p.i ROWS UNBOUNDED PRECEDING) < 35, false) AS gone
+  FROM placed p LEFT JOIN again a ON p.doc_id = a.doc_id AND p.i = a.i),
+told AS (
+  SELECT doc_id, CAST(count(*) FILTER (WHERE gone) AS BIGINT) AS n_removed, string_agg(word, ' ' ORDER BY i) FILTER (WHERE NOT gone) AS kept
+  FROM marked GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, coalesce(t.n_removed, 0) AS n_removed, sha256(coalesce(t.kept, '')) AS kept_sha256
+FROM docs d LEFT JOIN told t ON d.doc_id = t.doc_id
+"""
+
+ORACLES = {"op1_line_dedup": OP1, "op2_quality_rules": OP2, "op3_chat_format": OP3, "op12_substring_dedup": OP12}
