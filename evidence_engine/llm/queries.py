@@ -12,6 +12,7 @@ from . import (
     decontamination,
     license_scan,
     line_dedup,
+    merkle_manifest,
     packing,
     quality_classifier,
     quality_rules,
@@ -20,7 +21,7 @@ from . import (
     substring_dedup,
     toxicity,
 )
-from .common import table
+from .common import ascii_lower, table
 from .sql import ORACLES
 
 TOKENIZER = "word_bpe_49k.json"
@@ -125,6 +126,14 @@ def op12_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", F.col("kept_words").alias("n_words"), F.col("kept_removed").alias("n_removed"), F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where 3 divides the id's checksum, the text is tampered with after the tree was built: its A-Z are lower-cased."""
+    fields = lambda text: [F.col("doc_id"), F.col("source"), F.col("lang"), F.col("n_chars"), text]
+    tampered = F.when(_fold(3) == 0, merkle_manifest.leaf_hash(*fields(ascii_lower(F.col("text")))))
+    out = merkle_manifest.manifest(table(spark, sf_dir, "documents"), merkle_manifest.leaf_hash(*fields(F.col("text"))), replaced=tampered)
+    return out.withColumnRenamed("id", "doc_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -139,6 +148,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op9_simhash,
         op10_decontamination,
         op12_substring_dedup,
+        op13_merkle_manifest,
     )
 }
 

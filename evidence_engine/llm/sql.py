@@ -89,4 +89,57 @@ SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, coalesce(t.n_removed, 0) A
 FROM docs d LEFT JOIN told t ON d.doc_id = t.doc_id
 """
 
-ORACLES = {"op1_line_dedup": OP1, "op2_quality_rules": OP2, "op3_chat_format": OP3, "op12_substring_dedup": OP12}
+OP13 = r"""
+WITH RECURSIVE crc AS (
+  SELECT list_transform(range(256), lambda i: list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i)) AS tab),
+docs AS (
+  SELECT *, xor(list_reduce(list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT)),
+                            lambda c, b: xor(c >> 8, tab[xor(c & 255, b) + 1]), 4294967295), 4294967295) % 3 = 0 AS bad,
+         translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS low
+  FROM documents, crc),
+hashed AS (
+  SELECT doc_id, lang, bad, unnest([text, low]) AS t, unnest(['leaf', 'changed']) AS kind, source, n_chars FROM docs),
+leaves AS (
+  SELECT doc_id, lang, kind, bad,
+         sha256(concat(coalesce(strlen(CAST(doc_id AS VARCHAR)) || ':' || doc_id, '-'), coalesce(strlen(source) || ':' || source, '-'), coalesce(strlen(lang) || ':' || lang, '-'),
+                       coalesce(strlen(CAST(n_chars AS VARCHAR)) || ':' || n_chars, '-'), coalesce(strlen(t) || ':' || t, '-'))) AS h
+  FROM hashed),
+own AS (
+  SELECT doc_id, lang, bad, max(h) FILTER (WHERE kind = 'leaf') AS leaf, max(h) FILTER (WHERE kind = 'changed') AS changed FROM leaves GROUP BY doc_id, lang, bad),
+numbered AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST) - 1 AS i, count(*) OVER (PARTITION BY lang) AS n FROM own),
+nodes AS (
+  SELECT lang, 0 AS lvl, i, leaf AS h, n FROM numbered
+  UNION ALL
+  SELECT lang, lvl + 1, i // 8, sha256(string_agg(h, '' ORDER BY i)), (any_value(n) + 7) // 8 FROM nodes WHERE n > 1 GROUP BY lang, lvl, i // 8),
+subroots AS (SELECT lang, h AS subroot, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS g, count(*) OVER () AS groups FROM nodes WHERE n = 1),
+tops AS (
+  SELECT 0 AS lvl, g AS i, subroot AS h, groups AS n FROM subroots
+  UNION ALL
+  SELECT lvl + 1, i // 8, sha256(string_agg(h, '' ORDER BY i)), (any_value(n) + 7) // 8 FROM tops WHERE n > 1 GROUP BY lvl, i // 8),
+beside AS (
+  SELECT lang, lvl, i, n,
+         coalesce(string_agg(h, '') OVER (PARTITION BY lang, lvl, i // 8 ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS l,
+         coalesce(string_agg(h, '') OVER (PARTITION BY lang, lvl, i // 8 ORDER BY i ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS r FROM nodes),
+over_tops AS (
+  SELECT lvl, i, n,
+         coalesce(string_agg(h, '') OVER (PARTITION BY lvl, i // 8 ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS l,
+         coalesce(string_agg(h, '') OVER (PARTITION BY lvl, i // 8 ORDER BY i ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS r FROM tops),
+walk AS (
+  SELECT doc_id, lang, 0 AS lvl, i, CASE WHEN bad THEN changed ELSE leaf END AS v, '' AS proof FROM numbered
+  UNION ALL
+  SELECT w.doc_id, w.lang, w.lvl + 1, w.i // 8, sha256(b.l || w.v || b.r), w.proof || b.l || b.r
+  FROM walk w JOIN beside b ON w.lang IS NOT DISTINCT FROM b.lang AND w.lvl = b.lvl AND w.i = b.i WHERE b.n > 1),
+climbed AS (
+  SELECT w.doc_id, w.v, w.proof, s.g, s.subroot FROM walk w JOIN subroots s ON w.lang IS NOT DISTINCT FROM s.lang
+  QUALIFY w.lvl = max(w.lvl) OVER (PARTITION BY w.doc_id)),
+rise AS (
+  SELECT doc_id, 0 AS lvl, g AS i, v, proof FROM climbed
+  UNION ALL
+  SELECT w.doc_id, w.lvl + 1, w.i // 8, sha256(b.l || w.v || b.r), w.proof || b.l || b.r FROM rise w JOIN over_tops b ON w.lvl = b.lvl AND w.i = b.i WHERE b.n > 1),
+ended AS (SELECT * FROM rise QUALIFY lvl = max(lvl) OVER (PARTITION BY doc_id))
+SELECT o.doc_id, o.leaf, c.subroot, t.h AS root, sha256(e.proof) AS proof_sha256, e.v AS folded_root, e.v = t.h AS verified
+FROM own o JOIN climbed c ON o.doc_id = c.doc_id JOIN ended e ON o.doc_id = e.doc_id, (SELECT h FROM tops WHERE n = 1) t
+"""
+
+ORACLES = {"op1_line_dedup": OP1, "op2_quality_rules": OP2, "op3_chat_format": OP3, "op12_substring_dedup": OP12, "op13_merkle_manifest": OP13}
