@@ -26,9 +26,8 @@ from pyspark.sql import functions as F
 from .common import stored
 
 FAN = 8
-#: Levels that a task builds at once, and the nodes that they take.
+#: Levels that a task builds at once, over FAN**DEEP nodes; any number gives the same tree.
 DEEP = 4
-SPAN = FAN**DEEP
 
 _PATH = "array<struct<left: array<string>, right: array<string>>>"
 _LEVEL = pa.struct([("left", pa.list_(pa.string())), ("right", pa.list_(pa.string()))])
@@ -123,54 +122,60 @@ def ranked(df: DataFrame, group: list[str], order: list[str]) -> tuple[DataFrame
     return placed.join(own, on).select(*df.columns, "n", (F.col("__before") + F.col("__at") - F.col("__first")).alias("at")), groups
 
 
-def _blocks(nodes: DataFrame):
-    return nodes.groupBy("g", F.floor(F.col("at") / SPAN).alias("block"))
+def _blocks(nodes: DataFrame, deep: int):
+    return nodes.groupBy("g", F.floor(F.col("at") / FAN**deep).alias("block"))
 
 
-def _tree(table: pa.Table) -> tuple[list[int], Tree]:
+def _tree(table: pa.Table, deep: int) -> tuple[list[int], Tree]:
     """The rows of a block in order, and its tree."""
     at, n = table.column("at").to_pylist(), table.column("n")[0].as_py()
     order = sorted(range(len(at)), key=at.__getitem__)
     hashes = table.column("hash").to_pylist()
-    return order, Tree([hashes[k].encode() for k in order], min(DEEP, height(n)))
+    return order, Tree([hashes[k].encode() for k in order], min(deep, height(n)))
 
 
-def _reduced(key: tuple, table: pa.Table) -> pa.Table:
-    _, tree = _tree(table)
-    (top,) = tree.levels[-1]
-    n = -(-table.column("n")[0].as_py() // SPAN)
-    return pa.table({"g": [key[0].as_py()], "at": [key[1].as_py()], "n": [n], "hash": [top.decode()]})
+def _reduced(deep: int):
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        _, tree = _tree(table, deep)
+        (top,) = tree.levels[-1]
+        n = -(-table.column("n")[0].as_py() // FAN**deep)
+        return pa.table({"g": [key[0].as_py()], "at": [key[1].as_py()], "n": [n], "hash": [top.decode()]})
+
+    return run
 
 
-def _grown(nodes: DataFrame) -> list[DataFrame]:
-    """The nodes (g, at, n, hash), and those DEEP levels above, and so on, to one of each g."""
+def _grown(nodes: DataFrame, deep: int) -> list[DataFrame]:
+    """The nodes (g, at, n, hash), and those some levels above, and so on, to one of each g."""
     out = [nodes]
     while len(out) == 1 or (out[-1].agg(F.max("n")).first()[0] or 1) > 1:
-        out.append(stored(_blocks(out[-1].select("g", "at", "n", "hash")).applyInArrow(_reduced, "g long, at long, n long, hash string")))
+        out.append(stored(_blocks(out[-1].select("g", "at", "n", "hash"), deep).applyInArrow(_reduced(deep), "g long, at long, n long, hash string")))
     return out
 
 
-def _paths_of(key: tuple, nodes: pa.Table, above: pa.Table) -> pa.Table:
-    order, tree = _tree(nodes)
-    (up,) = above.to_pylist()
-    paths = [[{"left": _apart(x), "right": _apart(y)} for x, y in tree.siblings(k)] + up["path"] for k in range(len(order))]
-    g, block = key[0].as_py(), key[1].as_py()
-    own = {"g": [g] * len(order), "at": [block * SPAN + k for k in range(len(order))], "path": pa.array(paths, pa.list_(_LEVEL))}
-    return pa.table(own | {"subroot": pa.array([up["subroot"]] * len(order), pa.string()), "root": pa.array([up["root"]] * len(order), pa.string())})
+def _paths_of(deep: int):
+    def run(key: tuple, nodes: pa.Table, above: pa.Table) -> pa.Table:
+        order, tree = _tree(nodes, deep)
+        (up,) = above.to_pylist()
+        paths = [[{"left": _apart(x), "right": _apart(y)} for x, y in tree.siblings(k)] + up["path"] for k in range(len(order))]
+        g, block = key[0].as_py(), key[1].as_py()
+        own = {"g": [g] * len(order), "at": [block * FAN**deep + k for k in range(len(order))], "path": pa.array(paths, pa.list_(_LEVEL))}
+        return pa.table(own | {"subroot": pa.array([up["subroot"]] * len(order), pa.string()), "root": pa.array([up["root"]] * len(order), pa.string())})
+
+    return run
 
 
-def _paths(levels: list[DataFrame], top: DataFrame) -> DataFrame:
+def _paths(levels: list[DataFrame], top: DataFrame, deep: int) -> DataFrame:
     """g, at, path, subroot, root of each node of the first level, from the path, subroot and root of those of the last."""
     out = top
     for nodes in reversed(levels[:-1]):
         keyed = out.groupBy("g", F.col("at").alias("block"))
-        out = stored(_blocks(nodes).cogroup(keyed).applyInArrow(_paths_of, f"g long, at long, path {_PATH}, subroot string, root string"))
+        out = stored(_blocks(nodes, deep).cogroup(keyed).applyInArrow(_paths_of(deep), f"g long, at long, path {_PATH}, subroot string, root string"))
     return out
 
 
-def _leaf_rows(proofs: bool):
+def _leaf_rows(deep: int, proofs: bool):
     def run(key: tuple, leaves: pa.Table, above: pa.Table) -> pa.Table:
-        order, tree = _tree(leaves)
+        order, tree = _tree(leaves, deep)
         (up,) = above.to_pylist()
         path = Path(_joined(up["path"]))
         ids, replaced = leaves.column("id"), leaves.column("replaced").to_pylist()
@@ -190,7 +195,7 @@ def _leaf_rows(proofs: bool):
     return run
 
 
-def manifest(docs: DataFrame, leaf: Column, *, replaced: Column | None = None, id_col: str = "doc_id", group_col: str = "lang", proofs: bool = False) -> DataFrame:
+def manifest(docs: DataFrame, leaf: Column, *, replaced: Column | None = None, id_col: str = "doc_id", group_col: str = "lang", proofs: bool = False, deep: int = DEEP) -> DataFrame:
     """One row per row of docs: id, leaf, subroot, root, proof_sha256 (of all siblings on its way to the root), folded_root and verified.
 
     folded_root is recomputed from the siblings and the leaf, or the digest ``replaced`` where it isn't null; proofs adds the siblings themselves, by level."""
@@ -200,15 +205,15 @@ def manifest(docs: DataFrame, leaf: Column, *, replaced: Column | None = None, i
     places, _ = ranked(groups.select("group"), [], ["group"])
     places = stored(places.select(F.col("group").alias("__group"), F.col("at").alias("g"), F.col("n").alias("groups")))
     numbered = stored(numbered.join(places, F.col("group").eqNullSafe(F.col("__group"))).select("g", "at", "n", "hash", "id", "replaced"))
-    levels = _grown(numbered)
+    levels = _grown(numbered, deep)
     tops = levels[-1].join(places.select("g", "groups"), "g")
     roots = stored(tops.select(F.lit(0).cast("long").alias("g"), F.col("g").alias("at"), F.col("groups").alias("n"), "hash"))
-    upper = _grown(roots)
+    upper = _grown(roots, deep)
     root = upper[-1].select("g", "at", F.array().cast(_PATH).alias("path"), F.lit(None).cast("string").alias("subroot"), F.col("hash").alias("root"))
-    above = _paths(upper, root).select(F.col("at").alias("g"), F.lit(0).cast("long").alias("at"), "path", "root")
+    above = _paths(upper, root, deep).select(F.col("at").alias("g"), F.lit(0).cast("long").alias("at"), "path", "root")
     above = above.join(levels[-1].select("g", F.col("hash").alias("subroot")), "g").select("g", "at", "path", "subroot", "root")
-    above = _paths(levels[1:], above)
+    above = _paths(levels[1:], above, deep)
     kind = numbered.schema["id"].dataType.simpleString()
     schema = f"id {kind}, leaf string, subroot string, root string, proof_sha256 string, folded_root string" + (f", proof {_PATH}" if proofs else "")
-    out = _blocks(numbered).cogroup(above.groupBy("g", F.col("at").alias("block"))).applyInArrow(_leaf_rows(proofs), schema)
+    out = _blocks(numbered, deep).cogroup(above.groupBy("g", F.col("at").alias("block"))).applyInArrow(_leaf_rows(deep, proofs), schema)
     return out.withColumn("verified", F.col("folded_root") == F.col("root"))

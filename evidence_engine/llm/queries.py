@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from . import (
     chat_format,
+    conversation_repair,
     decontamination,
     license_scan,
     line_dedup,
@@ -121,6 +122,11 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.benchmark_matches(_documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = conversation_repair.damaged(table(spark, sf_dir, "conversations"))
+    return conversation_repair.repair_reports(conversation_repair.repair_edits(turns, here=turns["here"]))
+
+
 def op12_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = substring_dedup.substring_dedup(_documents(spark, sf_dir))
     return kept.select("doc_id", F.col("kept_words").alias("n_words"), F.col("kept_removed").alias("n_removed"), F.sha2("kept_text", 256).alias("kept_sha256"))
@@ -147,6 +153,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_secret_scan,
         op9_simhash,
         op10_decontamination,
+        op11_conversation_repair,
         op12_substring_dedup,
         op13_merkle_manifest,
     )

@@ -127,6 +127,8 @@ def hashed_documents(column: pa.Array, lanes: int = 1, size: int = PIECE) -> Ite
 
 def _packed(x: np.ndarray) -> bytes:
     """Numbers as planes of bytes, which compress where the high ones are equal."""
+    if not len(x):
+        return b""
     return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T).tobytes()
 
 
