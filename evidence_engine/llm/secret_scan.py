@@ -2,8 +2,9 @@
 
 A candidate string is a run of token characters. Each character class (hexadecimal, alphanumeric, base64) slides a
 window of its own over the stretches of its characters; the window's Shannon entropy follows from counts that change by
-one character in and one out. Stretches of windows above the class's limit, with the mix of characters that generated secrets have,
-become spans, unless an allow-list suppresses them. Base spans are never suppressed.
+one character in and one out, for the stretches of many texts at a time. Windows above the class's limit are merged to
+spans, unless an allow-list suppresses them: whole candidates of known forms, windows with the mix of characters that numbers, words and
+names have, and examples. Base spans are never suppressed.
 
 Offsets are code points, ends exclusive. The time of a text grows with its length, also where it is one run or holds many spans.
 Defined cases: null and empty texts have no span; very long texts are scanned whole; rows are scanned one by one, so repeated rows
@@ -57,79 +58,153 @@ def base_spans(text: str) -> list[Span]:
     return out + [("hex", m.start(), m.end()) for m in _HEX.finditer(text)]
 
 
-def _runs(chars: str) -> re.Pattern:
-    return re.compile("[" + re.escape(chars) + "]+")
-
+#: Windows that one run of counts covers; longer runs are cut, so that a batch takes few steps.
+STRETCH = 256
+#: Characters of candidates that are scanned at a time.
+TOGETHER = 1 << 21
+_LOGS = np.concatenate([[0.0], np.arange(1, 256) * np.log2(np.arange(1, 256))])
+
+
+def window_entropies(codes: np.ndarray, starts: np.ndarray, windows: np.ndarray, window: int) -> np.ndarray:
+    """Shannon entropy in bits of the windows of some runs of codes (below 128): run k has windows[k] of them, from starts[k] on. Results come run by run.
+
+    Each run holds its counts of characters. A step moves the windows of all runs on by one: one character goes out and one comes in, and
+    the sum of k log k over the counts k changes by these two counts alone; entropy is log2(window) less that sum over window."""
+    pieces = -(-windows // STRETCH)
+    run = np.repeat(np.arange(len(windows)), pieces)
+    nth = np.arange(len(run)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+    begin, size = starts[run] + nth * STRETCH, np.minimum(STRETCH, windows[run] - nth * STRETCH)
+    place = np.cumsum(size) - size
+    order = np.argsort(-size, kind="stable")
+    begin, size, place = begin[order], size[order], place[order]
+    counts, total = np.zeros((len(run), 128), np.uint8), np.zeros(len(run))
+    out, rows = np.empty(int(size.sum())), np.arange(len(run))
+
+    def moved(n: int, at: np.ndarray, by: int) -> None:
+        was = counts[rows[:n], at]
+        counts[rows[:n], at] = was + by if by > 0 else was - 1
+        total[:n] += _LOGS[was + by if by > 0 else was - 1] - _LOGS[was]
+
+    for k in range(window):
+        moved(len(run), codes[begin + k], 1)
+    out[place] = total
+    alive = np.searchsorted(-size, -np.arange(1, int(size.max(initial=0)) + 1), "left")  # runs with more windows than so many
+    for t in range(1, int(size.max(initial=0))):
+        n = int(alive[t - 1])
+        moved(n, codes[begin[:n] + t - 1], -1)
+        moved(n, codes[begin[:n] + t + window - 1], 1)
+        out[place[:n] + t] = total[:n]
+    return math.log2(window) - out / window
+
+
+def _held(which: np.ndarray, at: np.ndarray, width: int) -> np.ndarray:
+    """How many of the width places from each of at on are set."""
+    total = np.concatenate([[0], np.cumsum(which)])
+    return total[at + width] - total[at]
+
+
+def _like_words(codes: np.ndarray, at: np.ndarray, window: int, digits: float, letters: float, mixed: bool) -> np.ndarray:
+    """The allow-list's rule on the mix of characters: windows that have too few letters, or too few digits (mixed: and neither a digit with
+    two letters of each case nor many changes of case, as names in camel case don't) are numbers, words or names."""
+    digit, lower, upper = ((codes >= a) & (codes <= b) for a, b in (b"09", b"az", b"AZ"))
+    n_digits, n_lower, n_upper = (_held(x, at, window) for x in (digit, lower, upper))
+    many = n_digits >= digits * window
+    if mixed:
+        changes = np.concatenate([(lower[:-1] & upper[1:]) | (upper[:-1] & lower[1:]), [False]])
+        many |= (n_digits > 0) & (n_lower >= 2) & (n_upper >= 2)
+        many |= (np.minimum(n_lower, n_upper) >= 0.35 * window) & (_held(changes, at, window - 1) >= 6)
+    return ~many | (n_lower + n_upper < letters * window)
 
-_RUNS = {name: _runs(chars) for name, chars, *_ in CLASSES}
 
+def _hot(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray, window: int, least: float, digits: float, letters: float, mixed: bool) -> np.ndarray:
+    """Starts of the windows of the runs whose entropy reaches the limit and that the allow-list doesn't know."""
+    fit = ends - starts >= window
+    starts, windows = starts[fit], (ends - starts)[fit] - window + 1
+    if not len(starts):
+        return np.empty(0, np.int64)
+    at = np.repeat(starts - np.cumsum(windows) + windows, windows) + np.arange(int(windows.sum()))
+    at = at[window_entropies(codes, starts, windows, window) >= least - 1e-9]
+    return at[~_like_words(codes, at, window, digits, letters, mixed)]
 
-def window_entropies(codes: np.ndarray, window: int) -> np.ndarray:
-    """Shannon entropy in bits of each window of codes.
 
-    With k log k summed over the counts k of a window, entropy is log2(window) less that sum over window. The sum changes by
-    one character in and one out; how often either occurs is counted over the distances within a window, for all at once."""
-    n = len(codes)
-    before, after = np.zeros(n, np.uint8), np.ones(n, np.uint8)  # of the character that comes in, and of the one that goes
-    for d in range(1, min(window, n - 1) + 1):
-        same = codes[d:] == codes[:-d]
-        before[d:] += same
-        after[:-d] += same
-    after = after[: n - window]
-    logs = np.concatenate([[0.0], np.arange(1, window + 2) * np.log2(np.arange(1, window + 2))])
-    change = logs[before + 1] - logs[before]
-    change[window:] += logs[after - 1] - logs[after]
-    return math.log2(window) - np.cumsum(change)[window - 1 :] / window
+def hot_windows(run: str, window: int, least: float, digits: float, letters: float, *, mixed: bool = False) -> np.ndarray:
+    """Starts of the windows of one run that become part of a span."""
+    return _hot(np.frombuffer(run.encode(), np.uint8), np.array([0]), np.array([len(run)]), window, least, digits, letters, mixed)
 
 
-def hot_windows(run: str, window: int, least: float, digits: float, letters: float, *, mixed: bool = False) -> np.ndarray:
-    """Starts of the windows of run whose entropy and mix reach the limits. mixed: in place of the share of digits, a digit and two
-    letters of each case will do, or many changes of case (names in camel case have fewer capitals)."""
-    if len(run) < window:
-        return np.empty(0, np.int64)
-    codes = np.frombuffer(run.encode(), np.uint8)
-    digit, lower, upper = ((codes >= a) & (codes <= b) for a, b in (b"09", b"az", b"AZ"))
-    changes = np.concatenate([(lower[:-1] & upper[1:]) | (upper[:-1] & lower[1:]), [False]])
+def _members(chars: str) -> np.ndarray:
+    out = np.zeros(256, bool)
+    out[list(chars.encode())] = True
+    return out
 
-    def held(which: np.ndarray, width: int = window) -> np.ndarray:
-        total = np.concatenate([[0], np.cumsum(which)])
-        return total[width : width + len(run) - window + 1] - total[: len(run) - window + 1]
 
-    n_digits, n_lower, n_upper = held(digit), held(lower), held(upper)
-    ok = (window_entropies(codes, window) >= least) & (n_lower + n_upper >= letters * window)
-    many = n_digits >= digits * window
-    if mixed:
-        many |= (n_digits > 0) & (n_lower >= 2) & (n_upper >= 2)
-        many |= (np.minimum(n_lower, n_upper) >= 0.35 * window) & (held(changes, window - 1) >= 6)
-    return np.flatnonzero(ok & many)
+_MEMBERS = {name: _members(chars) for name, chars, *_ in CLASSES}
+
+
+def _stretches(which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    edges = np.diff(np.concatenate([[False], which, [False]]).astype(np.int8))
+    return np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)
+
+
+def _hot_stretches(candidates: list[str]) -> list[tuple[int, int, int]]:
+    """(candidate, start, end) of the merged hot windows of any class, over all candidates at once."""
+    codes = np.frombuffer("\0".join([*candidates, ""]).encode(), np.uint8)  # windows never cross the zeros
+    first = np.cumsum([0, *(len(c) + 1 for c in candidates)])
+    edges = np.zeros(len(codes) + 1, np.int64)
+    for name, _, window, least, digits, letters in CLASSES:
+        starts = _hot(codes, *_stretches(_MEMBERS[name][codes]), window, least, digits, letters, name != "hex")  # hex is of one case as a rule
+        np.add.at(edges, starts, 1)
+        np.add.at(edges, starts + window, -1)
+    a, b = _stretches(np.cumsum(edges) > 0)
+    of = np.searchsorted(first, a, "right") - 1
+    return list(zip(of.tolist(), (a - first[of]).tolist(), (b - first[of]).tolist(), strict=True))
+
+
+def entropy_spans_of(texts: list[str]) -> list[list[Span]]:
+    """Of each text, the merged stretches of hot windows that are no examples. Candidates of all texts are scanned together."""
+    out: list[list[Span]] = [[] for _ in texts]
+    held: list[tuple[int, int, str]] = []
+    size = 0
+
+    def scanned() -> None:
+        nonlocal size
+        for k, x, y in _hot_stretches([w for _, _, w in held]):
+            row, at, whole = held[k]
+            if not _EXAMPLE.search(whole, x, y):
+                out[row].append(("entropy", at + x, at + y))
+        held.clear()
+        size = 0
+
+    for row, text in enumerate(texts):
+        for m in _CANDIDATE.finditer(text):
+            whole = m.group()
+            if _MIXED.search(whole) and not any(p.fullmatch(whole) for p in ALLOWED):
+                held.append((row, m.start(), whole))
+                size += len(whole)
+                if size >= TOGETHER:
+                    scanned()
+    if held:
+        scanned()
+    return out
 
 
 def entropy_spans(text: str) -> list[Span]:
-    """Merged stretches of hot windows of any class."""
-    out: list[Span] = []
-    for m in _CANDIDATE.finditer(text):
-        whole = m.group()
-        if not _MIXED.search(whole) or any(p.fullmatch(whole) for p in ALLOWED):
-            continue
-        edges = np.zeros(len(whole) + 1, np.int64)
-        for name, _, window, least, digits, letters in CLASSES:
-            for part in _RUNS[name].finditer(whole):
-                starts = part.start() + hot_windows(part.group(), window, least, digits, letters, mixed=name != "hex")  # hex is of one case as a rule
-                edges[starts] += 1
-                edges[starts + window] -= 1
-        hot = np.concatenate([[False], np.cumsum(edges) > 0])
-        a, b = (np.flatnonzero(hot[1:] & ~hot[:-1]), np.flatnonzero(~hot[1:] & hot[:-1]))
-        out += [("entropy", m.start() + x, m.start() + y) for x, y in zip(a.tolist(), b.tolist(), strict=True) if not _EXAMPLE.search(whole, x, y)]
+    return entropy_spans_of([text])[0]
+
+
+def scans(texts: list[str | None]) -> list[tuple[list[Span], list[Span]]]:
+    """Of each text the base spans, and the spans that entropy adds where no base span covers them; each by start, then kind."""
+    texts, out = [t or "" for t in texts], []
+    for text, hot in zip(texts, entropy_spans_of(texts), strict=True):
+        base = sorted(base_spans(text), key=lambda s: (s[1], KINDS.index(s[0])))
+        starts, reach = [s[1] for s in base], list(accumulate((s[2] for s in base), max))  # reach: the furthest end of a span so far
+        at = lambda s: bisect_right(starts, s[1])  # noqa: B023, E731
+        out.append((base, [s for s in hot if not at(s) or reach[at(s) - 1] < s[2]]))
     return out
 
 
 def scan(text: str | None) -> tuple[list[Span], list[Span]]:
-    """The base spans, and the spans that entropy adds where no base span covers them; each by start, then kind."""
-    text = text or ""
-    base = sorted(base_spans(text), key=lambda s: (s[1], KINDS.index(s[0])))
-    starts, reach = [s[1] for s in base], list(accumulate((s[2] for s in base), max))  # reach: the furthest end of a span so far
-    at = lambda s: bisect_right(starts, s[1])
-    return base, [s for s in entropy_spans(text) if not at(s) or reach[at(s) - 1] < s[2]]
+    return scans([text])[0]
 
 
 def secret_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -139,8 +214,7 @@ def secret_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             found = []
-            for text in pdf["text"]:
-                base, more = scan(text)
+            for base, more in scans(pdf["text"].tolist()):
                 found.append([{"kind": k, "start": a, "end": b} for k, a, b in sorted(base + more, key=lambda s: (s[1], order.index(s[0])))])
             yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "spans": found})
 
