@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import ledger as L
 from ..streaming import streams as S
+from ..streaming.batches import Batch
+from ..streaming.key_index import read_ledger
 from .bindings import LEDGER_SQL, ledger
 from .ledger_queries import EV, EVENT_VOCABULARY, MASTERY_SQL, _events
 from .registry import Registry
@@ -24,10 +27,14 @@ def _source(spark: SparkSession, rows: DataFrame) -> tuple[DataFrame, str]:
 
 @query(W + " SELECT DISTINCT learner || '|' || event_type || '|' || CAST(ts AS DATE) || '|' || k AS signature FROM ledger")
 def str1_stream_ledger(spark, d):
+    """Into a ledger that append_new has begun, by one checkpoint to the middle and by a new one over all rows."""
     rows = ledger(spark, d).select("event_id", F.concat_ws("|", "learner", "event_type", F.to_date("ts"), "k").alias("signature"))
     stream, where = _source(spark, rows)
+    L.append_new(rows.limit(0), rows.where("event_id % 5 = 0")).write.parquet(f"{where}/ledger/first")
+    rows.where("event_id % 2 = 0").repartition(2, "event_id").write.parquet(f"{where}/half")
+    S.stream_ledger(S.read_stream(spark, f"{where}/half", rows.schema), f"{where}/ledger", f"{where}/lost")
     S.stream_ledger(stream, f"{where}/ledger", f"{where}/checkpoint")
-    return spark.read.parquet(f"{where}/ledger").select("signature")
+    return read_ledger(spark, f"{where}/ledger").select("signature")
 
 
 @query(W + " SELECT event_id, learner % 10 AS batch_id FROM ledger")
@@ -40,18 +47,31 @@ def str2_batch_append(spark, d):
     return spark.read.parquet(f"{where}/ledger").select("event_id", F.col("batch_id").cast("long").alias("batch_id"))
 
 
-@query(W + " SELECT event_id, learner % 3 AS batch, CASE learner % 3 WHEN 0 THEN 'appended,skipped' WHEN 1 THEN 'appended' ELSE 'resumed' END AS told FROM ledger")
+@query(W + " SELECT event_id, learner % 3 AS batch, CASE learner % 3 WHEN 0 THEN 'appended,skipped' WHEN 1 THEN 'appended' ELSE 'resumed' END AS told, true AS archived FROM ledger")
 def str2_batch_journal(spark, d):
-    """Three batches: one that comes again, one that comes once, and one whose first try stopped before its rows were complete."""
+    """Three batches of files of events: one that comes again, one that comes once, and one that stopped after a file had moved. archived:
+    whether the event stands in the archived files, from which nothing may be missing."""
     where = scratch(spark)
     rows = ledger(spark, d).select("event_id", (F.col("learner") % 3).alias("b"))
+    rows.repartition(4, "event_id").write.partitionBy("b").parquet(f"{where}/inbox")
+    read = lambda paths: spark.read.schema("event_id long").parquet(*paths)
+
+    def batch(b: int) -> tuple[Batch, list[str]]:
+        out = Batch(spark, f"{where}/journal", f"b{b}", inbox=f"{where}/inbox", archive=f"{where}/archive", ledger=f"{where}/ledger")
+        return out, [f"{where}/inbox/b={b}/{n}" for n in out.store.names(f"{where}/inbox/b={b}")]
+
+    broken, files = batch(2)
+    broken.prepare(files)
+    broken.append(read(files))
+    broken.move(0)
     told: dict[int, list[str]] = {0: [], 1: [], 2: []}
-    spark.range(1).select(F.lit(1).alias("number"), F.lit("prepared").alias("state")).write.parquet(f"{where}/journal/batch=2/step=1")
-    rows.where("b = 2 AND event_id % 2 = 0").select("event_id").write.parquet(f"{where}/ledger/batch=2")
+    known = {b: batch(b)[1] for b in told}
     for b in (0, 1, 2, 0):
-        told[b].append(S.append_batch(rows.where(F.col("b") == b).select("event_id"), f"{where}/ledger", f"{where}/journal", str(b)))
+        told[b].append(batch(b)[0].run(known[b], read))
     said = F.element_at(F.create_map(*[F.lit(x) for b, t in told.items() for x in (b, ",".join(t))]), F.col("batch"))
-    return spark.read.parquet(f"{where}/ledger").select("event_id", F.col("batch").cast("long").alias("batch"), said.alias("told"))
+    kept = read_ledger(spark, f"{where}/ledger").where("batch_row > 0").select("event_id", F.substring("batch_id", 2, 1).cast("long").alias("batch"))
+    there = spark.read.schema("event_id long").option("recursiveFileLookup", "true").parquet(f"{where}/archive").select("event_id", F.lit(True).alias("there"))
+    return kept.withColumn("told", said).join(there, "event_id", "left").withColumn("archived", F.coalesce("there", F.lit(False))).drop("there")
 
 
 @query(W + EV + """ SELECT event_id, NOT (origin NOT IN ('student', 'tutor', 'system') OR trim(evidence) = '' OR (judgement IS NOT NULL AND event_type <> 'attempt') OR (hypothesis IS NOT NULL AND (confidence IS NULL OR probe IS NULL))) AS good FROM ev""")

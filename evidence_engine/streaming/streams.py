@@ -5,11 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.ledger import VOCABULARY, event_rules, progress_deltas
+from .key_index import BUCKETS, KeyIndex, append_fresh
 
 
 def read_stream(spark: SparkSession, path: str, schema, *, files_per_batch: int = 1000) -> DataFrame:
@@ -24,20 +25,24 @@ def drain(stream: DataFrame, checkpoint: str, each: Callable[[DataFrame, int], N
         raise q.exception()
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+def run_id(spark: SparkSession, checkpoint: str) -> str:
+    """The identity of a checkpoint's query; a new checkpoint has another."""
+    return spark.read.schema("id string").json(f"{checkpoint}/metadata").first()["id"]
 
 
-def stream_ledger(stream: DataFrame, ledger: str, checkpoint: str, key: str = "signature") -> None:
-    """Appends rows whose key hasn't come before. The keys so far are the query's state, so a batch costs what it holds, not what
-    the ledger does. A batch writes its own folder by overwriting it, so one that runs twice leaves the same rows."""
+def stream_ledger(stream: DataFrame, ledger: str, checkpoint: str, key: str = "signature", *, sign: Column | None = None, buckets: int = BUCKETS) -> None:
+    """Appends rows whose key the ledger doesn't hold, whoever wrote it: another checkpoint, ``append_new``, or a time when rows had no key
+    (sign: the key of such rows). An index of keys lies beside the ledger (``key_index``), so no state grows with it, and a batch reads
+    the buckets that it touches. An entry's name holds checkpoint and batch: one that runs twice replaces its own entry alone.
+    One stream at a time may write a ledger."""
+    spark = stream.sparkSession
+    index = KeyIndex(spark, ledger, key, sign=sign, buckets=buckets)
 
     def each(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{ledger}/batch={number}")
+        index.spark = batch.sparkSession
+        append_fresh(batch, index, f"batch={run_id(batch.sparkSession, checkpoint)}-{number}")
 
-    drain(stream.dropDuplicates([key]), checkpoint, each)
+    drain(stream, checkpoint, each)
 
 
 def append_batches(rows: DataFrame, ledger: str, batch: str = "batch_id") -> None:
@@ -45,23 +50,6 @@ def append_batches(rows: DataFrame, ledger: str, batch: str = "batch_id") -> Non
     rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(batch).parquet(ledger)
 
 
-def append_batch(rows: DataFrame, ledger: str, journal: str, batch_id: str) -> str:
-    """Appends a batch once, with its states in a journal: prepared, records_appended, complete. A retry goes on where the batch
-    stopped: rows are written to the batch's own folder, which replaces what a broken try left; a complete batch stays as it is."""
-    spark = rows.sparkSession
-    own = f"{journal}/batch={batch_id}"
-    state = spark.read.parquet(own).agg(F.max_by("state", "number")).first()[0] if _exists(spark, own) else None
-    note = lambda number, name: spark.range(1).select(F.lit(number).alias("number"), F.lit(name).alias("state")).coalesce(1).write.mode("overwrite").parquet(f"{own}/step={number}")
-    if state == "complete":
-        return "skipped"
-    note(1, "prepared")
-    if state != "records_appended":
-        rows.write.mode("overwrite").parquet(f"{ledger}/batch={batch_id}")
-    note(2, "records_appended")
-    note(3, "complete")
-    return "appended" if state is None else "resumed"
-
-
 def stream_validated(stream: DataFrame, good: str, quarantine: str, checkpoint: str, vocabulary: dict[str, tuple[str, ...]] = VOCABULARY) -> None:
     """Events that break no rule to one sink, the others with their rules to another."""
 
