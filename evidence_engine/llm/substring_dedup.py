@@ -32,7 +32,7 @@ WINDOW = 35
 #: Words of a reference block: each window of WINDOW words holds a whole one.
 BLOCK = (WINDOW + 1) // 2
 #: Bytes of text whose windows a bucket holds on average, at most; words of a chunk; bytes that are hashed at a time.
-BUCKET, CHUNK_WORDS, PIECE = 1 << 21, 1 << 20, 1 << 22
+BUCKET, CHUNK_WORDS, PIECE = 1 << 21, 1 << 20, 1 << 20
 _BASES = (0x9E3779B97F4A7C15, 0xD1B54A32D192ED03)
 _EXCHANGE = "key long, chunk long, kind int, a binary, b binary"
 
