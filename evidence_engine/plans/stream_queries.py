@@ -101,9 +101,9 @@ def str5_job_states(spark, d):
 def str6_stream_progress(spark, d):
     rows = ledger(spark, d).select("learner", "event_id", "ts", "value", F.floor(F.col("k") / 50).alias("run"))
     stream, where = _source(spark, rows)
-    S.stream_progress(stream, f"{where}/out", f"{where}/checkpoint", ["learner"], ["ts", "event_id"], "value", "run")
-    out = spark.read.parquet(f"{where}/out/status")
-    return out.groupBy("learner", "event_id").agg(F.max_by("status", "version").alias("status"))
+    # files hold rows of all days, so the delay covers the table's span
+    S.stream_progress(stream, f"{where}/out", f"{where}/checkpoint", ["learner"], ["ts", "event_id"], "value", "run", delay="60 days")
+    return S.latest_progress(spark, f"{where}/out", ["learner", "event_id"]).select("learner", "event_id", "status")
 
 
 @query(W + " SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS day, event_type, count(*) AS n FROM ledger GROUP BY CAST(ts AS DATE), event_type")

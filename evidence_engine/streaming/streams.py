@@ -8,8 +8,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor
+from pyspark.sql.types import StringType, StructField, StructType
 
-from ..operators.ledger import VOCABULARY, event_rules, progress_deltas
+from ..operators.ledger import VOCABULARY, event_rules
 from .key_index import BUCKETS, KeyIndex, append_fresh
 
 
@@ -123,15 +125,90 @@ def stream_job_states(stream: DataFrame, out: str, checkpoint: str) -> None:
     drain(rows, checkpoint, each, mode="update")
 
 
-def stream_progress(stream: DataFrame, out: str, checkpoint: str, keys: list[str], order: list[str], value: str, run: str) -> None:
-    """Status of each snapshot against the one before. The snapshots so far are kept as a table; each batch adds its
-    own and compares the keys it touches."""
+def _plain(snapshot) -> tuple:
+    """A row's values as Python's own."""
+    return tuple(None if x is None or x != x else x.to_pydatetime() if isinstance(x, pd.Timestamp) else x.item() if hasattr(x, "item") else x for x in snapshot)
+
+
+class _Progress(StatefulProcessor):
+    """A key's open snapshots (those a late one may still come before) and the last one before them, in order."""
+
+    def __init__(self, schema: StructType, keys: list[str], time: str):
+        self.schema, self.keys, self.time = schema, keys, time
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.open, self.before = handle.getListState("open", self.schema), handle.getValueState("before", self.schema)
+
+    def _place(self, snapshot: tuple) -> tuple:
+        return snapshot[:-2]  # all but value and run
+
+    def _closed(self, snapshots: list[tuple], watermark: int) -> list[tuple]:
+        """Keeps what is open; of the rest only the last counts for what follows."""
+        time = self.schema.fieldNames().index(self.time)
+        closed = [s for s in snapshots if pd.Timestamp(s[time]).timestamp() * 1000 <= watermark]
+        if closed:
+            self.before.update(closed[-1])
+        return snapshots[len(closed) :]
+
+    def handleInputRows(self, key, rows, timerValues):  # noqa: N802, N803
+        names = self.schema.fieldNames()
+        known = set(map(_plain, self.open.get()))
+        fresh = {_plain(x) for pdf in rows for x in pdf[names].astype(object).itertuples(index=False)} - known
+        snapshots = sorted(known | fresh, key=self._place)
+        last = _plain(self.before.get()) if self.before.exists() else None
+        out = []
+        for k, s in enumerate(snapshots):
+            was = snapshots[k - 1] if k else last
+            if s in fresh or was in fresh:
+                same = was is not None and was[-1] == s[-1]
+                delta = None if was is None or s[-2] is None or was[-2] is None else s[-2] - was[-2]
+                status = "first" if delta is None else "other_run" if not same else "advanced" if delta > 0 else "stalled"
+                out.append((*key, *s, delta if same else None, status))
+        watermark = timerValues.getCurrentWatermarkInMs()
+        left = self._closed(snapshots, watermark)
+        self.open.put(left) if left else self.open.clear()
+        if left:
+            time = names.index(self.time)
+            self.handle.registerTimer(int(max(pd.Timestamp(s[time]).timestamp() for s in left) * 1000))
+        yield pd.DataFrame(out, columns=[*self.keys, *names, "delta", "status"])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):  # noqa: N802, N803
+        left = self._closed(sorted(map(_plain, self.open.get()), key=self._place), timerValues.getCurrentWatermarkInMs())
+        self.open.put(left) if left else self.open.clear()
+        yield pd.DataFrame(columns=[*self.keys, *self.schema.fieldNames(), "delta", "status"])
+
+    def close(self) -> None:
+        pass
+
+
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def stream_progress(stream: DataFrame, out: str, checkpoint: str, keys: list[str], order: list[str], value: str, run: str, *, delay: str = "1 day") -> None:
+    """Status of each snapshot against the one before (as ``progress_deltas``), in versions: a late snapshot is put between its neighbours,
+    and the one after it gets a new status. The first of order is the time. A key's state is its snapshots within the delay and one before, which a timer
+    drops, so a batch costs what it touches, not the history. Snapshots later than the delay are left out by the watermark."""
+    names = [*order, value, run]
+    kind = {f.name: f.dataType for f in stream.schema}
+    schema = StructType([StructField(n, kind[n]) for n in names])
+    result = StructType([*[StructField(k, kind[k]) for k in keys], *schema.fields, StructField("delta", kind[value]), StructField("status", StringType())])
+    spark = stream.sparkSession
+    rows = stream.select(*keys, *names).withWatermark(order[0], delay).groupBy(*keys)
+    changed = rows.transformWithStateInPandas(_Progress(schema, keys, order[0]), result, "update", "eventTime")
 
     def each(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        batch.write.mode("overwrite").parquet(f"{out}/seen/batch={number}")
-        seen = spark.read.option("basePath", f"{out}/seen").parquet(f"{out}/seen/batch=*").where(F.col("batch") <= number)
-        touched = seen.join(batch.select(*keys).distinct(), keys, "left_semi")
-        progress_deltas(touched, keys, order, value, run).withColumn("version", F.lit(number)).drop("batch").write.mode("overwrite").parquet(f"{out}/status/batch={number}")
+        batch.withColumn("version", F.lit(number)).write.mode("overwrite").parquet(f"{out}/batch={number}")
 
-    drain(stream, checkpoint, each)
+    setting = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, ROCKS)  # the only store that holds lists and timers
+    try:
+        drain(changed, checkpoint, each, mode="update")
+    finally:
+        spark.conf.set(setting, before)
+
+
+def latest_progress(spark: SparkSession, out: str, keys: list[str]) -> DataFrame:
+    """The newest status of each snapshot."""
+    return spark.read.parquet(out).groupBy(*keys).agg(F.max_by(F.struct("delta", "status"), "version").alias("s")).select(*keys, "s.delta", "s.status")

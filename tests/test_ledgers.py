@@ -155,3 +155,92 @@ def test_state_is_set_by_one_of_two(spark, tmp_path):
     store = batch.store
     a, b = (store.move(f"{batch.home}/state/prepared", f"{batch.home}/state/records_appended") for _ in range(2))
     assert (a, b) == (True, False)
+
+
+# progress by state
+
+
+def test_progress_out_of_order_equals_the_window(spark, tmp_path):
+    import datetime
+    import random
+
+    rng = random.Random(1)
+    day = datetime.datetime(2024, 1, 1)
+    rows = [(rng.randint(1, 3), day + datetime.timedelta(hours=rng.randint(0, 200)), n, float(rng.randint(0, 5)) if rng.random() < 0.9 else None, rng.randint(0, 2)) for n in range(120)]
+    kind = "learner long, ts timestamp, event_id long, value double, run long"
+    src, out = str(tmp_path / "src"), str(tmp_path / "out")
+    for k in range(4):
+        spark.createDataFrame(rows[30 * k : 30 * k + 30], kind).coalesce(1).write.mode("append").parquet(src)
+        S.stream_progress(S.read_stream(spark, src, spark.createDataFrame([], kind).schema, files_per_batch=1), out, str(tmp_path / "c"), ["learner"], ["ts", "event_id"], "value", "run", delay="30 days")
+    d = L.progress_deltas(spark.createDataFrame(rows, kind), ["learner"], ["ts", "event_id"], "value", "run")
+    want = sorted((r["learner"], r["event_id"], r["status"], r["delta"]) for r in d.collect())
+    got = sorted((r["learner"], r["event_id"], r["status"], r["delta"]) for r in S.latest_progress(spark, out, ["learner", "event_id"]).collect())
+    assert list(map(str, got)) == list(map(str, want))
+
+
+class _List:
+    def __init__(self):
+        self.rows = []
+
+    def get(self):
+        return iter(self.rows)
+
+    def put(self, rows):
+        self.rows = list(rows)
+
+    def clear(self):
+        self.rows = []
+
+
+class _Value:
+    def __init__(self):
+        self.row = None
+
+    def get(self):
+        return self.row
+
+    def update(self, row):
+        self.row = row
+
+    def exists(self):
+        return self.row is not None
+
+
+def test_progress_state_holds_what_the_delay_leaves_open():
+    import datetime
+
+    import pandas as pd
+    from pyspark.sql.types import DoubleType, LongType, StructField, StructType, TimestampType
+
+    class Handle:
+        timers: list = []
+
+        def getListState(self, name, schema):  # noqa: N802
+            return _List()
+
+        def getValueState(self, name, schema):  # noqa: N802
+            return _Value()
+
+        def registerTimer(self, at):  # noqa: N802
+            self.timers.append(at)
+
+    class Clock:
+        now = 0
+
+        def getCurrentWatermarkInMs(self):  # noqa: N802
+            return self.now
+
+    names = {"ts": TimestampType(), "event_id": LongType(), "value": DoubleType(), "run": LongType()}
+    p = S._Progress(StructType([StructField(n, t) for n, t in names.items()]), ["learner"], "ts")
+    p.init(Handle())
+    clock, day, told = Clock(), datetime.datetime(2024, 1, 1), {}
+    for k in range(200):
+        at = day + datetime.timedelta(hours=k)
+        clock.now = int(pd.Timestamp(at).timestamp() * 1000) - 3 * 3_600_000
+        (out,) = p.handleInputRows((1,), iter([pd.DataFrame([(at, k, float(k), 1)], columns=list(names))]), clock)
+        told |= dict(zip(out["event_id"], out["status"], strict=True))
+        assert len(p.open.rows) <= 3
+    assert told[0] == "first" and set(told.values()) == {"first", "advanced"} and len(told) == 200
+    clock.now += 10 * 3_600_000
+    list(p.handleExpiredTimer((1,), clock, None))
+    assert p.open.rows == [] and p.before.row[1] == 199
