@@ -94,13 +94,16 @@ def papers_per_type(facts: DataFrame) -> DataFrame:
     return facts.groupBy("paper_type").agg(F.count_distinct("paper").alias("papers"))
 
 
-def quality_counts(facts: DataFrame, unknown: str, pending: str) -> DataFrame:
-    """Per paper type: items with and without a form and a year, and items by status."""
-    return facts.groupBy("paper_type").agg(
-        F.count_if(F.col("form") != unknown).alias("known_forms"), F.count_if(F.col("form") == unknown).alias("unknown_forms"),
+def quality_counts(facts: DataFrame, *, explicit: str = "explicit", inferred: str = "anchor", unknown: str = "unknown", legacy: str = "legacy_default") -> DataFrame:
+    """Per paper type: items by where their form (form_source) and status (ocr_source) come from, by status (ocr; a map), without a score, and papers without a year."""
+    f, o = F.col("form_source"), F.col("ocr_source")
+    keys = facts.groupBy("paper_type").agg(
+        F.count_if(f == explicit).alias("form_explicit"), F.count_if(f == inferred).alias("form_inferred"), F.count_if(f == unknown).alias("form_unknown"),
+        F.count_if(o == explicit).alias("status_explicit"), F.count_if(o == legacy).alias("status_legacy_default"),
         F.count_distinct(F.when(F.col("year").isNull(), F.col("paper"))).alias("unknown_year_papers"), F.count_if(F.col("score").isNull()).alias("unknown_scores"),
-        F.count_if(F.col("ocr") == pending).alias("pending"),
     )
+    statuses = series_counts(facts, ["paper_type"], "ocr").select("paper_type", F.col("counts").alias("statuses"))
+    return keys.join(statuses, "paper_type")
 
 
 def series_counts(facts: DataFrame, keys: list[str], value: str) -> DataFrame:
@@ -218,3 +221,45 @@ def intake_completeness(block: DataFrame, paper_fields: list[str], item_fields:
     missing = F.when(F.col("paper"), lacking(paper_fields, "meta")).otherwise(lacking(item_fields, "meta", "head"))
     level = F.when(F.col("paper"), "paper").otherwise("item")
     return d.select("file", "anchor", level.alias("level"), missing.alias("missing")).where(F.size("missing") > 0)
+
+
+def dated(year: Column) -> Column:
+    """Whether an item counts by year; others count in totals only."""
+    return year.isNotNull()
+
+
+def has_form(form: Column, unknown: str) -> Column:
+    return F.coalesce(form, F.lit(unknown)) != unknown
+
+
+def is_long(form: Column, forms: tuple[str, ...]) -> Column:
+    """Whether a form asks for a long answer."""
+    return F.coalesce(form.isin(*forms), F.lit(False))
+
+
+def without_pending(facts: DataFrame, pending: str, status: str = "ocr") -> DataFrame:
+    """Items whose text is settled; an unknown status is."""
+    return facts.where(~F.coalesce(F.col(status) == pending, F.lit(False)))
+
+
+def consumption_guard(queue: DataFrame, papers: DataFrame, pending: str, *, key: str = "paper", status: str = "status") -> DataFrame:
+    """Rows of a queue that take items of papers whose status is pending: these block it."""
+    return queue.join(papers.where(F.col(status) == pending).select(key).distinct(), key, "left_semi")
+
+
+def type_order(types: DataFrame, first: tuple[str, ...], column: str = "paper_type") -> DataFrame:
+    """Distinct types with their position: those of first come before others. A closed vocabulary, so one window over a few rows."""
+    own = types.select(column).distinct()
+    return own.withColumn("position", F.row_number().over(Window.orderBy(F.when(F.col(column).isin(*first), 0).otherwise(1), column)))
+
+
+def shared_keys(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
+    """The distinct keys that both frames hold."""
+    return a.select(*keys).intersect(b.select(*keys))
+
+
+def same_lists(now: DataFrame, was: DataFrame, key: str, order: list[str], value: str) -> DataFrame:
+    """key, same: whether each key's values, in order, are those that it had."""
+    listed = lambda df, n: df.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct(*order, F.col(value).alias("__v")))), lambda x: x["__v"]).alias(n))
+    both = listed(now, "__now").join(listed(was, "__was"), key, "left")
+    return both.select(key, F.coalesce(F.col("__now") == F.col("__was"), F.lit(False)).alias("same"))

@@ -83,8 +83,9 @@ def missing_headings(links: DataFrame, headings: DataFrame) -> DataFrame:
 
 
 def link_style(target: Column) -> Column:
-    """Whether a link to another document is root-relative."""
-    return target.startswith("/")
+    """Whether a link says its file from the vault's root on: with a folder, and neither absolute nor relative to where it stands. A link within the page is."""
+    path = F.trim(F.replace(F.split_part(target, F.lit("#"), F.lit(1)), F.lit("\\"), F.lit("/")))
+    return F.trim(target).startswith("#") | ~(path.rlike(r"^(\.\./|\./|/|[A-Za-z]:/)") | ~F.contains(path, F.lit("/")))
 
 
 def quote_issues(quotes: DataFrame, docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -138,8 +139,8 @@ def scoped(docs: DataFrame, rules: DataFrame, column: str) -> DataFrame:
 
 
 def blocker_quote_issues(blockers: DataFrame, *, final_type: str, types: list[str], max_lines: int = 25) -> DataFrame:
-    """file, line_no, issue: a type that isn't known, a marker that was there before, and, for items of the final type, missing
-    quote fields, quote lines that aren't one range, and a long quote without a reason."""
+    """file, line_no, issue: a type that isn't known, an item of another type than its marker, a marker that was there before, and, for items of the
+    final type, missing quote fields, no quote, quote lines that aren't one range, and a long quote without a reason."""
     from .ledger import line_ranges
 
     field = lambda n: F.col("fields").getItem(n)
@@ -151,8 +152,9 @@ def blocker_quote_issues(blockers: DataFrame, *, final_type: str, types: list[st
     one = F.coalesce(F.size("__q") == 1, F.lit(False))
     long = one & (F.get("__q", 0)["end"] - F.get("__q", 0)["start"] + 1 > max_lines)
     checks = {
-        "unknown_type": ~F.col("item_type").isin(*types), "repeated": F.col("__seq") > 1, "no_quote_fields": final & lacks,
-        "bad_quote_lines": final & ~lacks & ~one, "long_quote_without_reason": final & ~lacks & long & no(field("quote_scope_reason")),
+        "unknown_type": ~F.col("item_type").isin(*types), "type_differs": field("type") != F.col("item_type"), "repeated": F.col("__seq") > 1, "no_quote_fields": final & lacks,
+        "no_quote": final & ~lacks & ~F.col("has_quote"),
+        "bad_quote_lines": final & ~lacks & F.col("has_quote") & ~one, "long_quote_without_reason": final & ~lacks & F.col("has_quote") & long & no(field("quote_scope_reason")),
     }
     found = F.filter(F.array(*[F.when(F.coalesce(c, F.lit(False)), F.lit(n)) for n, c in checks.items()]), lambda x: x.isNotNull())
     return d.select("file", "line_no", F.explode(found).alias("issue"))

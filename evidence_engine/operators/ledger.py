@@ -17,7 +17,10 @@ VOCABULARY = {
 }
 MACHINE, ATTEMPT = "s3", "attempt"
 MACHINE_FORBIDDEN = ("hypothesis", "probe", "tutor_action", "hint_level")
-SIGNED = ("time", "event_type", "origin", "evidence", "outcome")
+#: The fields that make an event what it is.
+SIGNED = ("event_type", "anchor", "hypothesis", "evidence", "probe")
+#: Who wrote an event, by its origin, where it doesn't say so; others are a user's.
+WRITERS = {"s10": "main_agent", "s3": "script"}
 SEPARATOR = "␟"
 
 
@@ -26,11 +29,14 @@ def blank(c: Column) -> Column:
     return F.coalesce(F.regexp_replace(c, r"(?U)\s+", ""), F.lit("")) == ""
 
 
-def normalize_events(df: DataFrame, *, time: str = "time") -> DataFrame:
-    """df with origin, created_by (by origin) and outcome filled in."""
-    origin = F.coalesce(F.nullif(F.trim("origin"), F.lit("")), F.lit("tutor"))
-    by = F.when(F.col("origin") == "student", "student").otherwise("agent")
-    return df.withColumn("origin", origin).withColumn("created_by", F.coalesce("created_by", by)).withColumn("outcome", F.coalesce("outcome", F.lit("recorded")))
+def normalize_events(df: DataFrame, *, origin: str = "s10", writers: dict[str, str] = WRITERS, writer: str = "user", outcome: str = "observed") -> DataFrame:
+    """df with origin, created_by (by origin) and outcome where they are null; what an event says itself stays."""
+    had = {n: F.col(n) if n in df.columns else F.lit(None).cast("string") for n in ("origin", "created_by", "outcome")}
+    d = df.withColumn("origin", F.coalesce(had["origin"], F.lit(origin)))
+    by = F.lit(writer)
+    for o, w in writers.items():
+        by = F.when(F.col("origin") == o, w).otherwise(by)
+    return d.withColumn("created_by", F.coalesce(had["created_by"], by)).withColumn("outcome", F.coalesce(had["outcome"], F.lit(outcome)))
 
 
 def signature(*fields: Column) -> Column:
@@ -38,6 +44,11 @@ def signature(*fields: Column) -> Column:
     return F.substring(F.sha2(F.concat_ws(SEPARATOR, *[F.coalesce(f.cast("string"), F.lit("")) for f in fields]), 256), 1, 16)
 
 
+def event_signature(columns: list[str]) -> Column:
+    """The signature of an event over SIGNED; a column that isn't there is empty."""
+    return signature(*[F.col(n) if n in columns else F.lit(None) for n in SIGNED])
+
+
 def event_identity(time: Column, payload: Column) -> Column:
     """Time prefix and 6 hexadecimal digits of the payload's digest."""
     return F.concat(F.date_format(time, "yyyyMMdd'T'HHmmss"), F.lit("-"), F.substring(F.sha2(payload, 256), 1, 6))
@@ -49,6 +60,14 @@ def append_new(ledger: DataFrame, df: DataFrame, key: str = "signature") -> Data
     return fresh.dropDuplicates([key])
 
 
+def in_vocabulary(row: dict[str, Column], vocabulary: dict[str, tuple[str, ...]]) -> Column:
+    """Whether every field of the vocabulary is one of its words."""
+    out = F.lit(True)
+    for n, words in vocabulary.items():
+        out = out & F.coalesce(row[n].isin(*words), F.lit(False))
+    return out
+
+
 def missing_fields(row: dict[str, Column], required: list[str]) -> Column:
     present = F.filter(F.array(*[F.when(~blank(c.cast("string")), F.lit(n)) for n, c in row.items()]), lambda x: x.isNotNull())
     return F.array_except(F.array(*map(F.lit, required)), present)

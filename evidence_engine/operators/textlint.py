@@ -7,7 +7,15 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .textprep import strip_code
+
 BULLET = r"^\s*[-*+]\s"
+#: What broken math looks like, and math that wants delimiters.
+BROKEN_MATH = r"\$\$\$|\\left\$\$|\\right\$\$|(?<!\\)\b(?:frac|qquad|quad|left|right)\{"
+BARE_MATH = r"\\(?:frac|dfrac|tfrac|sqrt|int|iint|iiint|sum|prod|lim|partial|nabla|infty|alpha|beta|gamma|theta)\b|[A-Za-z0-9)]\^[{A-Za-z0-9]"
+#: Headings and callouts carry no content of their own.
+NO_CONTENT = r"^\s*#|^\s*> \[!"
+ARROWS = ("→", "->", "\\rightarrow")
 
 
 def ordered(key: str = "doc_id") -> Window:
@@ -22,11 +30,11 @@ def longest_run(lines: DataFrame, flag: Column, *, key: str = "doc_id", breaks:
     return runs.groupBy(key).agg(F.max("n").alias("longest"))
 
 
-def paragraphs(lines: DataFrame, *, key: str = "doc_id") -> DataFrame:
-    """key, block, chars of each group of plain lines in a row; blank lines, headings, tables and bullets break."""
-    plain = (F.trim("content") != "") & ~F.col("content").rlike(r"^\s*(#|\||[-*+]\s)")
+def paragraphs(lines: DataFrame, *, char_class: str = "(?s).", key: str = "doc_id", bullet: str = BULLET) -> DataFrame:
+    """key, block, chars (characters of a class) of each group of plain lines in a row; blank lines, headings, tables and bullets break."""
+    plain = (F.trim("content") != "") & ~F.col("content").rlike(r"^\s*(#|\|)") & ~F.col("content").rlike(bullet)
     d = lines.withColumn("plain", plain).withColumn("block", F.sum((~F.col("plain")).cast("int")).over(ordered(key).rowsBetween(Window.unboundedPreceding, 0)))
-    return d.where("plain").groupBy(key, "block").agg(F.sum(F.length("content")).alias("chars"))
+    return d.where("plain").groupBy(key, "block").agg(F.sum(F.regexp_count(F.trim("content"), F.lit(char_class))).alias("chars"))
 
 
 def context_flag(lines: DataFrame, flag: Column, wanted: Column, n: int = 2, *, key: str = "doc_id") -> DataFrame:
@@ -53,43 +61,60 @@ def signals(docs: DataFrame, char_class: str, *, key: str = "doc_id", text_col:
 
 
 def control_characters(c: Column) -> Column:
-    return c.rlike(r"[\x00-\x08\x0B\x0C\x0E-\x1F]")
+    return c.rlike(r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]")
 
 
 def delimiter_rules(c: Column) -> Column:
-    """Names of the broken balance rules of math delimiters."""
+    """Names of the broken rules of math delimiters, code aside: broken patterns, and \\left, $$ and $ without a partner. Escaped dollars don't count."""
+    clean = strip_code(c)
     odd = lambda x: x % 2 == 1
+    single = F.regexp_replace(clean, r"(?s)(?<!\\)\$\$.*?(?<!\\)\$\$", "")
     checks = {
-        "left_right": F.regexp_count(c, F.lit(r"\\left\b")) != F.regexp_count(c, F.lit(r"\\right\b")),
-        "odd_display": odd(F.regexp_count(c, F.lit(r"\$\$"))),
-        "odd_inline": odd(F.regexp_count(F.regexp_replace(c, r"(?s)\$\$.*?\$\$", ""), F.lit(r"\$"))),
-        "bracket_math": c.rlike(r"\\\[|\\\]|\\\(|\\\)"),
+        "known_bad": clean.rlike(BROKEN_MATH),
+        "left_right": F.regexp_count(clean, F.lit(r"\\left(?![A-Za-z])")) != F.regexp_count(clean, F.lit(r"\\right(?![A-Za-z])")),
+        "odd_display": odd(F.regexp_count(clean, F.lit(r"(?<!\\)\$\$"))),
+        "odd_inline": odd(F.regexp_count(single, F.lit(r"(?<!\\)(?<!\$)\$(?!\$)"))),
     }
     return F.filter(F.array(*[F.when(x, F.lit(n)) for n, x in checks.items()]), lambda x: x.isNotNull())
 
 
 def bare_math(c: Column) -> Column:
-    """Whether something like a_1 = b stands outside math."""
-    return F.regexp_replace(F.regexp_replace(c, r"(?s)\$\$.*?\$\$", ""), r"\$[^$\n]*\$", "").rlike(r"[A-Za-z]_[0-9A-Za-z]+\s*=")
+    """Whether a command or a power stands outside math and code."""
+    clean = F.regexp_replace(strip_code(c), r"(?s)(?<!\\)\$\$.*?(?<!\\)\$\$", "")
+    return F.regexp_replace(clean, r"(?d)(?<!\\)(?<!\$)\$.*?(?<!\\)\$(?!\$)", "").rlike(BARE_MATH)
 
 
 def first_line_is(c: Column, marker: str) -> Column:
     return F.element_at(F.split(c, "\n", -1), 1) == marker
 
 
-def lint(docs: DataFrame, lines: DataFrame, *, char_class: str, limits: dict[str, float], key: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """key, rule, severity: length bands, bullet share, bullet runs, paragraph lengths, missing chain."""
-    s = signals(docs, char_class, key=key, text_col=text_col)
-    run = longest_run(lines, F.col("content").rlike(BULLET), key=key, breaks=F.col("content").rlike(r"^#"))
-    long = paragraphs(lines, key=key).groupBy(key).agg(F.max("chars").alias("paragraph"))
-    d = s.join(run, key, "left").join(long, key, "left")
+def has_chain(c: Column, words: tuple[str, ...] = (), *, least: int = 3) -> Column:
+    """Whether a text shows a chain: enough arrows, or one of some words."""
+    arrows = reduce(lambda a, b: a + b, [(F.length(c) - F.length(F.replace(c, F.lit(x), F.lit("")))) / len(x) for x in ARROWS])
+    return reduce(lambda a, b: a | b, [F.contains(c, F.lit(w)) for w in words], arrows >= least)
+
+
+def lint(docs: DataFrame, lines: DataFrame, *, char_class: str, limits: dict[str, float], key: str = "doc_id", text_col: str = "text", chain: tuple[str, ...] = (), bullet: str = BULLET) -> DataFrame:
+    """key, rule, severity: length bands, no paragraph of prose, bullet share and runs, long paragraphs, missing chain.
+
+    Lengths count the characters of a class. Content lines are those that are neither blank nor headings nor callouts. limits: short_error, short_warning,
+    prose (length that one paragraph has at least, in a text that isn't too short), bullet_share, bullet_run, paragraph. chain: words that stand for one."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    s = docs.select(key, F.regexp_count(text, F.lit(char_class)).alias("chars"), has_chain(text, chain).alias("chain"))
+    own = lines.where(F.trim("content") != "")
+    content = ~F.col("content").rlike(NO_CONTENT)
+    share = own.where(content).groupBy(key).agg((F.count_if(F.col("content").rlike(bullet)) / F.count("*")).alias("bullet_share"))
+    run = longest_run(lines, F.col("content").rlike(bullet), key=key, breaks=~content)
+    long = paragraphs(lines, char_class=char_class, key=key, bullet=bullet).groupBy(key).agg(F.max("chars").alias("paragraph"))
+    d = s.join(share, key, "left").join(run, key, "left").join(long, key, "left")
     level = lambda n, sev: F.struct(F.lit(n).alias("rule"), F.lit(sev).alias("severity"))
     checks = [
         F.when(F.col("chars") < limits["short_error"], level("short", "error")).when(F.col("chars") < limits["short_warning"], level("short", "warning")),
-        F.when(F.col("bullet_share") > limits["bullet_share"], level("bullets", "warning")),
+        F.when((F.col("chars") >= limits["short_error"]) & (F.coalesce("paragraph", F.lit(0)) < limits["prose"]), level("no_prose", "error")),
+        F.when(F.coalesce("bullet_share", F.lit(0.0)) > limits["bullet_share"], level("bullets", "warning")),
         F.when(F.coalesce("longest", F.lit(0)) > limits["bullet_run"], level("bullet_run", "warning")),
         F.when(F.coalesce("paragraph", F.lit(0)) > limits["paragraph"], level("long_paragraph", "warning")),
-        F.when(F.col("arrows") == 0, level("no_chain", "warning")),
+        F.when(~F.col("chain"), level("no_chain", "warning")),
     ]
     return d.select(key, F.explode(F.filter(F.array(*checks), lambda x: x.isNotNull())).alias("r")).select(key, "r.rule", "r.severity")
 

@@ -23,11 +23,52 @@ def normalize_newlines(c: Column) -> Column:
     return F.concat(F.regexp_replace(F.regexp_replace(c, "\r\n?", "\n"), r"\s+$", ""), F.lit("\n"))
 
 
+def replaced_each(c: Column, pattern: str, f) -> Column:
+    """c with each match m of a pattern (in order, none overlapping) replaced by f(m). The pattern matches no empty text."""
+    between, found = F.split(c, pattern, -1), F.regexp_extract_all(c, F.lit(pattern), F.lit(0))
+    return F.array_join(F.transform(between, lambda x, k: F.concat(x, F.when(k < F.size(found), f(F.get(found, k))).otherwise(""))), "")
+
+
+#: Spans of a text in the order of their scan: a fence, inline code, display math, inline math, and math in LaTeX's delimiters.
+_SPANS = {
+    "fence": r"```.*?```", "code": r"`[^`\n]*`", "display": r"(?<!\\)\$\$.*?(?<!\\)\$\$", "inline": r"(?<!\\)(?<!\$)\$(?!\$)[^\n]*?(?<!\\)\$(?!\$)",
+    "paren": r"\\\(.+?\\\)", "bracket": r"\\\[.+?\\\]",
+}
+
+
+def math_segments(c: Column) -> Column:
+    """A text as an array of (kind, text) that joins to it: the spans above where they stand, and ``text`` between them. One scan from left to right, so
+    an escaped dollar opens nothing, and code hides the math in it."""
+    pattern = "(?s)" + "|".join(_SPANS.values())
+    between, found = F.split(c, pattern, -1), F.regexp_extract_all(c, F.lit(pattern), F.lit(0))
+    kind = lambda m: F.when(m.startswith("```"), "fence").when(m.startswith("`"), "code").when(m.startswith("$$"), "display").when(m.startswith("$"), "inline").when(m.startswith("\\("), "paren").otherwise("bracket")
+    part = lambda k, t: F.struct(k.alias("kind"), t.alias("text"))
+    both = F.transform(between, lambda x, k: F.array(part(F.lit("text"), x), part(kind(F.get(found, k)), F.get(found, k))))
+    return F.filter(F.flatten(both), lambda x: F.coalesce(x["text"], F.lit("")) != "")
+
+
+def repair_brackets(c: Column) -> Column:
+    """Brackets with a sign of math inside become display math on lines of its own; others stay."""
+    pattern = r"(?dU)\[\s*(.+?)\s*\]"
+
+    def repaired(m: Column) -> Column:
+        inner = F.regexp_replace(F.regexp_extract(m, pattern, 1), r"(?U)^\s+|\s+$", "")
+        return F.when(inner.rlike(r"[\\_^=]"), F.concat(F.lit("$$\n"), inner, F.lit("\n$$"))).otherwise(m)
+
+    return replaced_each(c, pattern, repaired)
+
+
+def repair_delimiters(c: Column) -> Column:
+    """``\\(..\\)`` becomes ``$..$``, and ``\\[..\\]`` display math on lines of its own, both over any number of lines."""
+    bare = lambda m, pattern: F.regexp_replace(F.regexp_extract(m, pattern, 1), r"(?U)^\s+|\s+$", "")
+    inline, display = r"(?sU)\\\(\s*(.+?)\s*\\\)", r"(?sU)\\\[\s*(.+?)\s*\\\]"
+    c = replaced_each(c, inline, lambda m: F.concat(F.lit("$"), bare(m, inline), F.lit("$")))
+    return replaced_each(c, display, lambda m: F.concat(F.lit("$$\n"), bare(m, display), F.lit("\n$$")))
+
+
 def repair_math(c: Column) -> Column:
-    """``\\(..\\)`` becomes ``$..$``, ``\\[..\\]`` and brackets with math inside become ``$$``."""
-    c = F.regexp_replace(c, r"\\\((.+?)\\\)", r"\$$1\$")
-    c = F.regexp_replace(c, r"(?s)\\\[(.+?)\\\]", r"\$\$$1\$\$")
-    return F.regexp_replace(c, r"(?<!\])\[(?=[^\[\]\n]*[=_^\\])([^\[\]\n]+)\](?!\(|\[)", r"\$\$$1\$\$")
+    """Brackets first, then delimiters."""
+    return repair_delimiters(repair_brackets(c))
 
 
 def slug(c: Column, default: str = "chunk") -> Column:

@@ -4,9 +4,10 @@ Facts have the columns paper, paper_type, year (null if unknown), theme, tag, sc
 tie (any column that makes an order unique). An entity is a column of the facts, such as theme or tag. Years split at
 ``latest - recent_span + 1`` of their paper type. Rates are rounded to 4 digits before thresholds see them.
 
-Profiles and migrations start from ``entity_items``: facts counted per entity, paper and form. They read it more than once, so give
-``keep``, a function that stores a frame and reads it again, where facts are costly: they are then read once. What is
-known per paper type (a closed vocabulary) is one array, a scalar subquery, so no join meets the hot keys that types are.
+Facts are read twice and never copied: once for what is known per paper type, a closed vocabulary (``year_dimension``; ``keep`` stores those few
+rows, so that no plan computes them again), and once for everything else. That pass sums an entity's items of a paper, spreads the paper's scores
+to rows again and sums them at once, so that counts, papers, forms and medians come from two shuffles, for all kinds of entities together. What is
+known per paper type is a scalar subquery, so no join meets the hot keys that types are.
 """
 
 from __future__ import annotations
@@ -49,31 +50,29 @@ def year_dimension(facts: DataFrame, *, recent_span: int = 5) -> DataFrame:
     return d.select(*out)
 
 
-def paper_types(facts: DataFrame, *, recent_span: int = 5) -> Column:
+def paper_types(dims: DataFrame) -> Column:
     """The rows of year_dimension in one array, by paper type; a scalar subquery."""
-    d = year_dimension(facts, recent_span=recent_span)
-    return d.agg(F.array_sort(F.collect_list(F.struct(*d.columns)))).scalar()
+    return dims.agg(F.array_sort(F.collect_list(F.struct(*dims.columns)))).scalar()
 
 
-def with_period(facts: DataFrame, *, recent_span: int = 5) -> DataFrame:
-    """facts with period: historical, recent, or null for an unknown year."""
+def dimension_of(facts: DataFrame, recent_span: int, keep=None) -> DataFrame:
     dims = year_dimension(facts, recent_span=recent_span)
+    return keep(dims) if keep else dims
+
+
+def with_period(facts: DataFrame, *, recent_span: int = 5, dims: DataFrame | None = None) -> DataFrame:
+    """facts with period: historical, recent, or null for an unknown year. dims: their year_dimension, where it is known already."""
+    dims = year_dimension(facts, recent_span=recent_span) if dims is None else dims
     starts = dims.agg(F.map_from_entries(F.collect_list(F.struct("paper_type", "recent_start")))).scalar()
     start = F.try_element_at(starts, F.col("paper_type"))
     return facts.withColumn("period", F.when(F.col("year") < start, "historical").when(F.col("year") >= start, "recent"))
 
 
-def entity_items(facts: DataFrame, entity: str, *more: str) -> DataFrame:
-    """Facts counted (n) per entity, paper_type, year, paper and the columns more."""
-    own = facts.select(F.col(entity).alias("entity"), "paper_type", "year", "paper", *[F.col(c) for c in more], F.col("n") if "n" in facts.columns else F.lit(1).cast("long").alias("n"))
-    return own.groupBy("entity", "paper_type", "year", "paper", *more).agg(F.sum("n").alias("n"))
-
-
-def per_type(own: DataFrame, types: Column, values: list[str]) -> DataFrame:
-    """entity and every paper type with its columns of types, and in v the values of own (entity, paper_type, values) or null."""
-    d = own.groupBy("entity").agg(F.collect_list(F.struct("paper_type", *values)).alias("vs"))
+def per_type(own: DataFrame, types: Column, values: list[str], keys: tuple[str, ...] = ("entity",)) -> DataFrame:
+    """keys and every paper type with its columns of types, and in v the values of own (keys, paper_type, values) or null."""
+    d = own.groupBy(*keys).agg(F.collect_list(F.struct("paper_type", *values)).alias("vs"))
     mine = F.get(F.filter("vs", lambda v: v["paper_type"] == F.col("t.paper_type")), 0)
-    return d.select("entity", "vs", F.explode(types).alias("t")).select("entity", "t.*", mine.alias("v"))
+    return d.select(*keys, "vs", F.explode(types).alias("t")).select(*keys, "t.*", mine.alias("v"))
 
 
 def presence(facts: DataFrame, entity: str, *, recent_span: int = 5) -> DataFrame:
@@ -81,7 +80,7 @@ def presence(facts: DataFrame, entity: str, *, recent_span: int = 5) -> DataFram
     counts = facts.groupBy(F.col(entity).alias("entity"), "paper_type", "year").agg(F.count("*").alias("n"))
     of = F.filter(F.collect_list(F.struct("year", "n")), lambda x: x["year"].isNotNull())  # an entity without a year stays
     seen = counts.groupBy("entity", "paper_type").agg(F.map_from_entries(of).alias("seen"))
-    d = per_type(seen, paper_types(facts, recent_span=recent_span), ["seen"])
+    d = per_type(seen, paper_types(year_dimension(facts, recent_span=recent_span)), ["seen"])
     n = lambda y: F.coalesce(F.try_element_at(F.col("v")["seen"], y), F.lit(0))
     series = F.transform("years", lambda y: F.struct(y.alias("year"), (n(y) > 0).alias("present"), n(y).alias("n")))
     return d.select("entity", "paper_type", series.alias("series"))
@@ -133,42 +132,48 @@ def long_ratio(distribution: DataFrame, long_forms: tuple[str, ...] = LONG_FORMS
     return distribution.groupBy("entity", "paper_type", "period").agg(rounded(share).alias("long_ratio"))
 
 
-def long_shares(own: DataFrame, long_forms: tuple[str, ...], unknown: str) -> DataFrame:
-    """entity, paper_type, h_long, r_long: long_ratio of form_distribution, from entity_items with period, without the other forms."""
-    known = known_forms(own, unknown).where("period IS NOT NULL")
-    mine = [F.sum(F.when(F.col("form") == f, F.col("n")).otherwise(0)).alias(f"f{k}") for k, f in enumerate(long_forms)]
-    papers = known.groupBy("entity", "paper_type", "period", "paper").agg(F.sum("n").alias("total"), *mine)
-    ratio = lambda p: rounded(sum((rounded(F.avg(F.when(F.col("period") == p, F.col(f"f{k}") / F.col("total")))) for k in range(len(long_forms))), F.lit(0.0)))
-    some = lambda p: F.when(F.count_if(F.col("period") == p) > 0, ratio(p))
-    return papers.groupBy("entity", "paper_type").agg(some("historical").alias("h_long"), some("recent").alias("r_long"))
+def entity_papers(own: DataFrame, kinds: dict[str, str], long_forms: tuple[str, ...], unknown: str) -> DataFrame:
+    """Facts with period, summed per kind of entity (name and column), entity, paper type, period and paper: n, known forms, each long form (f0 on),
+    score total, scores (of a paper's items), years."""
+    known = (F.col("form") != unknown) & F.col("form").isNotNull()
+    as_text = (lambda c: F.col(c).cast("string")) if len(kinds) > 1 else F.col
+    entity = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), as_text(c).alias("entity")) for k, c in kinds.items()])).alias("e")
+    d = own.select(entity, "paper_type", "period", "paper", "year", "score", "form").select("e.kind", "e.entity", "paper_type", "period", "paper", "year", "score", "form")
+    mine = [F.count_if(F.col("form") == f).alias(f"f{k}") for k, f in enumerate(long_forms)]
+    return d.groupBy("kind", "entity", "paper_type", "period", "paper").agg(
+        F.count("*").alias("n"), F.count_if(known).alias("known"), *mine, F.sum("score").alias("total"), F.collect_list("score").alias("scores"), F.collect_set("year").alias("years"),
+    )
 
 
-def period_metrics(facts: DataFrame, entity: str, *, recent_span: int = 5, long_forms: tuple[str, ...] = LONG_FORMS, unknown: str = UNKNOWN_FORM, keep=None) -> DataFrame:
-    """entity, paper_type and both periods' metrics side by side (prefix h_ and r_), for every pair of the two, and flags."""
-    items = entity_items(facts, entity, "form", "score")
-    items = keep(items) if keep else items
-    types, own = paper_types(items, recent_span=recent_span), with_period(items, recent_span=recent_span)
-    known = (F.col("form") != unknown) & F.col("form").isNotNull()
+def kind_metrics(facts: DataFrame, kinds: dict[str, str], *, recent_span: int = 5, long_forms: tuple[str, ...] = LONG_FORMS, unknown: str = UNKNOWN_FORM, keep=None) -> DataFrame:
+    """kind, entity, paper_type and both periods' metrics side by side (prefix h_ and r_), for every pair of an entity and a type, and flags."""
+    dims = dimension_of(facts, recent_span, keep)
+    papers = entity_papers(with_period(facts, dims=dims), kinds, long_forms, unknown)
+    # a paper's own row counts it; its scores are rows besides, which the next aggregate takes at once
+    head, score = F.col("x.head"), F.col("x.score")
+    paper = F.array(F.struct(F.lit(None).cast("double").alias("score"), F.lit(True).alias("head")))
+    rows = papers.withColumn("x", F.explode(F.concat(paper, F.transform("scores", lambda s: F.struct(s.cast("double").alias("score"), F.lit(False).alias("head"))))))
     sums, names = [], []
     for p, name in (("h", "historical"), ("r", "recent")):
-        here = F.col("period") == name
-        count = lambda c: F.sum(F.when(c, F.col("n")).otherwise(0))
-        score = F.when(here, F.col("score"))
+        here = F.coalesce(F.col("period") == name, F.lit(False))
+        count = lambda c: F.coalesce(F.sum(F.when(here & head, F.col(c))), F.lit(0))  # noqa: B023, E731
+        share = lambda k: rounded(F.avg(F.when(here & head & (F.col("known") > 0), F.col(f"f{k}") / F.col("known"))))  # noqa: B023, E731
+        some = F.count_if(here & head & (F.col("known") > 0)) > 0
         sums += [
-            count(here).alias(f"{p}_items"), count(here & known).alias(f"{p}_forms"), count(here & F.col("score").isNotNull()).alias(f"{p}_scores"),
-            rounded(F.sum(score * F.col("n"))).alias(f"{p}_total"), rounded(F.percentile(score, F.lit(0.5), F.col("n"))).alias(f"{p}_median"),
+            count("n").alias(f"{p}_items"), count("known").alias(f"{p}_forms"), F.count_if(here & ~head).alias(f"{p}_scores"), rounded(F.sum(F.when(here & head, F.col("total")))).alias(f"{p}_total"),
+            rounded(F.percentile(F.when(here, score), 0.5)).alias(f"{p}_median"), F.when(some, rounded(sum((share(k) for k in range(len(long_forms))), F.lit(0.0)))).alias(f"{p}_long"),
         ]
-        names += [f"{p}_{c}" for c in ("items", "forms", "scores", "total", "median")]
-    metrics = own.groupBy("entity", "paper_type").agg(*sums, F.collect_set("year").alias("seen"))
-    both = metrics.join(long_shares(own, long_forms, unknown), ["entity", "paper_type"], "left")
-    d = per_type(both, types, [*names, "seen", "h_long", "r_long"])
+        names += [f"{p}_{c}" for c in ("items", "forms", "scores", "total", "median", "long")]
+    keys = ("kind", "entity")
+    seen = F.array_distinct(F.flatten(F.collect_set(F.when(head, F.col("years"))))).alias("seen")
+    d = per_type(rows.groupBy(*keys, "paper_type").agg(*sums, seen), paper_types(dims), [*names, "seen"], keys)
     seen = F.coalesce(F.col("v")["seen"], F.array().cast("array<int>"))
     flags = F.array_join(F.transform("years", lambda y: F.when(F.array_contains(seen, y), "1").otherwise("0")), "")
     hits = {"h": F.size(F.filter(seen, lambda y: y < F.col("recent_start"))), "r": F.size(F.filter(seen, lambda y: y >= F.col("recent_start")))}
     zero = {"items": 0, "forms": 0, "scores": 0, "total": 0.0}
     out = d.select(
-        "entity", "paper_type", "h_years", "r_years", "h_papers", "r_papers", F.array_min(seen).alias("first_seen"), F.array_max(seen).alias("last_seen"), flags.alias("flags"),
-        *[hits[p].cast("long").alias(f"{p}_hits") for p in "hr"], *[F.coalesce(F.col("v")[n], F.lit(zero[n[2:]])).alias(n) if n[2:] in zero else F.col("v")[n].alias(n) for n in [*names, "h_long", "r_long"]],
+        *keys, "paper_type", "h_years", "r_years", "h_papers", "r_papers", F.array_min(seen).alias("first_seen"), F.array_max(seen).alias("last_seen"), flags.alias("flags"),
+        *[hits[p].cast("long").alias(f"{p}_hits") for p in "hr"], *[F.coalesce(F.col("v")[n], F.lit(zero[n[2:]])).alias(n) if n[2:] in zero else F.col("v")[n].alias(n) for n in names],
     )
     for p in "hr":
         out = out.withColumn(f"{p}_rate", rate(F.col(f"{p}_hits"), F.col(f"{p}_years")))
@@ -176,6 +181,11 @@ def period_metrics(facts: DataFrame, entity: str, *, recent_span: int = 5, long_
     return out.withColumn("delta", rounded(F.coalesce("r_rate", F.lit(0.0)) - F.coalesce("h_rate", F.lit(0.0))))
 
 
+def period_metrics(facts: DataFrame, entity: str, **how) -> DataFrame:
+    """kind_metrics of one kind of entity."""
+    return kind_metrics(facts, {entity: entity}, **how).drop("kind")
+
+
 def primary_trend() -> Column:
     """The first rule that holds; see TREND_PRIORITY for the names."""
     h, r = F.coalesce("h_rate", F.lit(0.0)), F.coalesce("r_rate", F.lit(0.0))
@@ -225,14 +235,13 @@ def dominant(distribution: DataFrame, value: str) -> DataFrame:
 
 def migrations(facts: DataFrame, entity: str, tag: str, *, recent_span: int = 5, keep=None) -> DataFrame:
     """entity, paper_type, old_tag, old_share, new_tag, new_share, new_tag_years, migrated."""
-    items = entity_items(facts.withColumn("of", F.col(tag)), entity, "of")
-    items = keep(items) if keep else items
-    own = with_period(items, recent_span=recent_span).where("period IS NOT NULL")
-    tagged = F.when(F.col("of").isNotNull(), F.struct("of", "year", "n"))
-    papers = own.groupBy("entity", "paper_type", "period", "paper").agg(F.sum("n").alias("all"), F.sum(F.when(F.col("of").isNotNull(), F.col("n"))).alias("total"), F.collect_list(tagged).alias("tags"))
-    # each paper gives its tags with their share of it, and a row without a tag that counts the paper
-    shares = F.transform("tags", lambda t: F.struct(t["of"].alias("of"), t["year"].alias("year"), (t["n"] / F.col("total")).alias("share"), F.lit(0).cast("long").alias("all")))
-    none = F.struct(F.lit(None).cast(dict(items.dtypes)["of"]).alias("of"), F.lit(None).cast("int").alias("year"), F.when(F.size("tags") > 0, 1.0).otherwise(0.0).alias("share"), F.col("all").alias("all"))
+    dims = dimension_of(facts, recent_span, keep)
+    own = with_period(facts.select(F.col(entity).alias("entity"), "paper_type", "year", "paper", F.col(tag).alias("of")), dims=dims).where("period IS NOT NULL")
+    tagged = F.when(F.col("of").isNotNull(), F.struct("of", "year"))
+    papers = own.groupBy("entity", "paper_type", "period", "paper").agg(F.count("*").alias("all"), F.count("of").alias("total"), F.collect_list(tagged).alias("tags"))
+    # each item of a paper gives its tag with its share of it, and a row without a tag counts the paper
+    shares = F.transform("tags", lambda t: F.struct(t["of"].alias("of"), t["year"].alias("year"), (F.lit(1.0) / F.col("total")).alias("share"), F.lit(0).cast("long").alias("all")))
+    none = F.struct(F.lit(None).cast(dict(own.dtypes)["of"]).alias("of"), F.lit(None).cast("int").alias("year"), F.when(F.size("tags") > 0, 1.0).otherwise(0.0).alias("share"), F.col("all").alias("all"))
     rows = papers.select("entity", "paper_type", "period", F.explode(F.concat(shares, F.array(none))).alias("x")).select("entity", "paper_type", "period", "x.*")
     sums = []
     for p, name in (("h", "historical"), ("r", "recent")):
@@ -257,32 +266,39 @@ def migrations(facts: DataFrame, entity: str, tag: str, *, recent_span: int = 5,
     )
 
 
+def classified(metrics: DataFrame, moved: DataFrame | None = None) -> DataFrame:
+    """Metrics with series features, trend, priority, role and secondary trends. moved: entity, paper_type that have migrated (with kind, where metrics have it)."""
+    d = metrics.select("*", *flag_features())
+    d = d.withColumn("trend", primary_trend()).withColumn("role", importance_role()).withColumn("secondary", size_shifts())
+    if moved is not None:
+        d = d.join(moved.withColumn("__moved", F.lit(True)), moved.columns, "left")
+        d = d.withColumn("secondary", F.when(F.col("__moved"), F.concat("secondary", F.array(F.lit("MIGRATE")))).otherwise(F.col("secondary"))).drop("__moved")
+    number = lambda c, of: F.element_at(F.create_map(*[x for k, v in of.items() for x in (F.lit(k), F.lit(v))]), F.col(c))
+    return d.withColumn("trend_priority", number("trend", TREND_PRIORITY)).withColumn("role_priority", number("role", ROLE_PRIORITY))
+
+
+def moved_entities(facts: DataFrame, entity: str, tag: str, recent_span: int, keep=None) -> DataFrame:
+    return migrations(facts, entity, tag, recent_span=recent_span, keep=keep).where("migrated").select("entity", "paper_type")
+
+
 def profiles(facts: DataFrame, entity: str, *, recent_span: int = 5, long_forms: tuple[str, ...] = LONG_FORMS, unknown: str = UNKNOWN_FORM, tag: str | None = None, keep=None) -> DataFrame:
     """Metrics, series features, trend, priority, role and secondary trends of every entity and paper type. tag: the
     column whose dominant value may migrate within the entity."""
     m = period_metrics(facts, entity, recent_span=recent_span, long_forms=long_forms, unknown=unknown, keep=keep)
-    d = m.select("*", *flag_features())
-    d = d.withColumn("trend", primary_trend()).withColumn("role", importance_role()).withColumn("secondary", size_shifts())
-    if tag:
-        moved = migrations(facts, entity, tag, recent_span=recent_span, keep=keep).where("migrated").select("entity", "paper_type", "migrated")
-        more = F.when(F.col("migrated"), F.array(F.lit("MIGRATE"))).otherwise(F.array().cast("array<string>"))
-        d = d.join(moved, ["entity", "paper_type"], "left").withColumn("secondary", F.concat("secondary", more)).drop("migrated")
-    number = lambda c, of: F.element_at(F.create_map(*[x for k, v in of.items() for x in (F.lit(k), F.lit(v))]), F.col(c))
-    return d.withColumn("trend_priority", number("trend", TREND_PRIORITY)).withColumn("role_priority", number("role", ROLE_PRIORITY))
+    return classified(m, moved_entities(facts, entity, tag, recent_span, keep) if tag else None)
 
 
-def profile_entities(facts: DataFrame, *, recent_span: int = 5, long_forms: tuple[str, ...] = LONG_FORMS, unknown: str = UNKNOWN_FORM, keep=None) -> DataFrame:
-    """Profiles of themes and tags in one frame, with kind."""
-    how = {"recent_span": recent_span, "long_forms": long_forms, "unknown": unknown, "keep": keep}
-    if keep:  # what the items of both kinds are counted from
-        facts = keep(facts.groupBy("theme", "tag", "paper_type", "year", "paper", "form", "score").agg(F.count("*").alias("n")))
-    themes = profiles(facts, "theme", tag="tag", **how).withColumn("kind", F.lit("theme"))
-    return themes.unionByName(profiles(facts, "tag", **how).withColumn("kind", F.lit("tag")))
+def profile_entities(facts: DataFrame, *, recent_span: int = 5, long_forms: tuple[str, ...] = LONG_FORMS, unknown: str = UNKNOWN_FORM, keep=None, migrate: bool = True) -> DataFrame:
+    """Profiles of themes and tags in one frame, with kind, from one pass over the facts, and one more for the themes' tags, where those may migrate."""
+    m = kind_metrics(facts, {"theme": "theme", "tag": "tag"}, recent_span=recent_span, long_forms=long_forms, unknown=unknown, keep=keep)
+    moved = moved_entities(facts, "theme", "tag", recent_span, keep).select(F.lit("theme").alias("kind"), F.col("entity").cast("string").alias("entity"), "paper_type") if migrate else None
+    return classified(m, moved)
 
 
-def representatives(facts: DataFrame, entity: str, *, recent_span: int = 5, n_hist: int = 1, n_recent: int = 2) -> DataFrame:
-    """Newest items of each entity, paper type and period: highest score, then anchor; recent ones of different tags first."""
-    own = with_period(facts, recent_span=recent_span).where("period IS NOT NULL").withColumn("entity", F.col(entity))
+def representatives(facts: DataFrame, entity: str, *, recent_span: int = 5, n_hist: int = 1, n_recent: int = 2, keep=None) -> DataFrame:
+    """Newest items of each entity, paper type and period: highest score, then anchor; recent ones of different tags first. Both windows end
+    in a limit, so each task keeps the first rows of a key alone before any are shuffled."""
+    own = with_period(facts, dims=dimension_of(facts, recent_span, keep)).where("period IS NOT NULL").withColumn("entity", F.col(entity))
     order = [F.desc("year"), F.desc("points"), F.asc("anchor"), F.asc("tie")]
     own = own.withColumn("points", F.coalesce("score", F.lit(0.0)))
     keys = ["entity", "paper_type", "period"]

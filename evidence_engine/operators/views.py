@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranks import ranked
 from .trends import GROWTH, METHOD
 
 
@@ -21,14 +22,20 @@ def importance_order() -> list[Column]:
 
 
 def ranking(profiles: DataFrame, *, by: str = "importance", keys: tuple[str, ...] = ("paper_type",)) -> DataFrame:
-    """profiles with rank within keys, by importance or trend."""
+    """profiles with rank within keys, by importance or trend; by ranges, since a few paper types hold all entities."""
+    d, _ = ranked(profiles, list(keys), importance_order() if by == "importance" else trend_order())
+    return d.select(*profiles.columns, (F.col("at") + 1).cast("int").alias("rank"))
+
+
+def leading(profiles: DataFrame, k: int, *, by: str = "importance", keys: tuple[str, ...] = ("paper_type",)) -> DataFrame:
+    """The first k of each of keys with their rank. Each task keeps k rows of a key before any are shuffled."""
     order = importance_order() if by == "importance" else trend_order()
-    return profiles.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+    return profiles.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("rank") <= k)
 
 
 def focus(profiles: DataFrame, *, k: int = 3) -> DataFrame:
     """The k most important entities of each paper type."""
-    return ranking(profiles).where(F.col("rank") <= k)
+    return leading(profiles, k)
 
 
 def alerts(profiles: DataFrame, *, per_class: int = 8) -> DataFrame:
@@ -42,7 +49,7 @@ def alerts(profiles: DataFrame, *, per_class: int = 8) -> DataFrame:
         lambda c: c.isNotNull(),
     )
     found = profiles.withColumn("alert", F.explode(classes))
-    return ranking(found, by="trend", keys=("paper_type", "alert")).where(F.col("rank") <= per_class)
+    return leading(found, per_class, by="trend", keys=("paper_type", "alert"))
 
 
 def low_signals(profiles: DataFrame) -> DataFrame:

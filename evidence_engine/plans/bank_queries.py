@@ -9,6 +9,7 @@ from ..operators import practice as P
 from ..operators import trends as T
 from .bindings import FACTS_SQL, LEDGER_SQL, LONG_FORMS, PENDING, RECENT_SPAN, UNKNOWN_FORM, item_facts, ledger, table
 from .registry import Registry
+from .scratch import kept
 
 query = Registry()
 W = f"WITH {FACTS_SQL}"
@@ -66,17 +67,17 @@ def prj17_partial_update(spark, d):
 @query(W + " SELECT paper_type, count(year) AS dated, count(*) AS items FROM (SELECT paper_type, CASE WHEN paper % 10 <> 0 THEN year END AS year FROM facts) GROUP BY paper_type")
 def flt1_known_year(spark, d):
     facts = item_facts(spark, d).select("paper_type", F.when(F.col("paper") % 10 != 0, F.col("year")).alias("year"))
-    return facts.groupBy("paper_type").agg(F.count("year").alias("dated"), F.count("*").alias("items"))
+    return facts.groupBy("paper_type").agg(F.count_if(B.dated(F.col("year"))).alias("dated"), F.count("*").alias("items"))
 
 
 @query(W + f" SELECT paper_type, count(*) FILTER (WHERE form <> '{UNKNOWN_FORM}') AS known, count(*) FILTER (WHERE form IN ('AF', 'AO')) AS long FROM facts GROUP BY paper_type")
 def flt2_form_predicates(spark, d):
-    return item_facts(spark, d).groupBy("paper_type").agg(F.count_if(F.col("form") != UNKNOWN_FORM).alias("known"), F.count_if(F.col("form").isin(*LONG_FORMS)).alias("long"))
+    return item_facts(spark, d).groupBy("paper_type").agg(F.count_if(B.has_form(F.col("form"), UNKNOWN_FORM)).alias("known"), F.count_if(B.is_long(F.col("form"), LONG_FORMS)).alias("long"))
 
 
 @query(W + f" SELECT anchor, tie FROM facts WHERE ocr <> '{PENDING}'")
 def flt3_exclude_pending(spark, d):
-    return item_facts(spark, d).where(F.col("ocr") != PENDING).select("anchor", "tie")
+    return B.without_pending(item_facts(spark, d), PENDING).select("anchor", "tie")
 
 
 DIM_SQL = "dim AS (SELECT CAST(p_partkey AS VARCHAR) AS tag, p_brand AS theme, p_type AS chapter, p_size FROM part)"
@@ -108,8 +109,8 @@ def jon3_count_mismatch(spark, d):
 @query(W + f", q AS (SELECT anchor, tie, paper FROM facts) SELECT q.anchor, q.tie FROM q WHERE q.paper IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = '{PENDING}')")
 def jon7_consumption_guard(spark, d):
     queue = item_facts(spark, d).select("anchor", "tie", "paper")
-    pending = table(spark, d, "orders").where(F.col("o_orderstatus") == PENDING).select(F.col("o_orderkey").alias("paper"))
-    return queue.join(pending, "paper", "left_semi").select("anchor", "tie")
+    papers = table(spark, d, "orders").select(F.col("o_orderkey").alias("paper"), F.col("o_orderstatus").alias("status"))
+    return B.consumption_guard(queue, papers, PENDING).select("anchor", "tie")
 
 
 @query("""WITH req AS (SELECT o_orderkey AS id, 'n' || o_custkey AS name FROM orders),
@@ -128,7 +129,7 @@ o AS (SELECT theme AS entity, paper_type, anchor, tag, year, tie, coalesce(score
 p AS (SELECT *, row_number() OVER (PARTITION BY entity, paper_type ORDER BY CASE WHEN of_tag > 1 THEN 1 ELSE 0 END, year DESC, points DESC, anchor, tie) AS position FROM o)
 SELECT entity, paper_type, p.anchor, 'start with ' || substr(comment, 1, 8) AS starter FROM p JOIN (SELECT CAST(p_partkey AS VARCHAR) AS tag, p_name AS comment FROM part WHERE p_partkey % 2 = 0) s ON s.tag = p.tag WHERE position <= 2""")
 def jon15_representative_starters(spark, d):
-    reps = T.representatives(item_facts(spark, d), "theme", recent_span=RECENT_SPAN).where("period = 'recent'")
+    reps = T.representatives(item_facts(spark, d), "theme", recent_span=RECENT_SPAN, keep=kept).where("period = 'recent'")
     known = table(spark, d, "part").where("p_partkey % 2 = 0").select(F.col("p_partkey").cast("string").alias("tag"), F.concat(F.lit("start with "), F.substring("p_name", 1, 8)).alias("starter"))
     return reps.join(known, "tag", "left").where("starter IS NOT NULL").select("entity", "paper_type", "anchor", "starter")
 
@@ -175,9 +176,19 @@ def agg12_paper_series(spark, d):
     return _flat(B.series_counts(item_facts(spark, d), ["paper"], "theme"), "paper")
 
 
-@query(W + f" SELECT paper_type, count(*) FILTER (WHERE form <> '{UNKNOWN_FORM}') AS known_forms, count(*) FILTER (WHERE form = '{UNKNOWN_FORM}') AS unknown_forms, count(DISTINCT CASE WHEN year IS NULL THEN paper END) AS unknown_year_papers, count(*) FILTER (WHERE score IS NULL) AS unknown_scores, count(*) FILTER (WHERE ocr = 'P') AS pending FROM facts GROUP BY paper_type")
+SOURCED = f""", s AS (SELECT *, CASE WHEN form = '{UNKNOWN_FORM}' THEN 'unknown' WHEN form LIKE 'R%' THEN 'anchor' ELSE 'explicit' END AS form_source, CASE WHEN ocr = 'F' THEN 'legacy_default' ELSE 'explicit' END AS ocr_source FROM facts),
+o AS (SELECT paper_type, string_agg(ocr || '=' || n, ';' ORDER BY ocr) AS statuses FROM (SELECT paper_type, ocr, count(*) AS n FROM facts GROUP BY paper_type, ocr) GROUP BY paper_type)"""
+
+
+@query(W + SOURCED + """ SELECT paper_type, count(*) FILTER (WHERE form_source = 'explicit') AS form_explicit, count(*) FILTER (WHERE form_source = 'anchor') AS form_inferred, count(*) FILTER (WHERE form_source = 'unknown') AS form_unknown,
+ count(*) FILTER (WHERE ocr_source = 'explicit') AS status_explicit, count(*) FILTER (WHERE ocr_source = 'legacy_default') AS status_legacy_default,
+ count(DISTINCT CASE WHEN year IS NULL THEN paper END) AS unknown_year_papers, count(*) FILTER (WHERE score IS NULL) AS unknown_scores, any_value(statuses) AS statuses FROM s JOIN o USING (paper_type) GROUP BY paper_type""")
 def agg13_quality_counts(spark, d):
-    return B.quality_counts(item_facts(spark, d), UNKNOWN_FORM, PENDING)
+    """Returned items count as inferred from their anchor, filled orders as of a time without a status."""
+    form = F.when(F.col("form") == UNKNOWN_FORM, "unknown").when(F.col("form").startswith("R"), "anchor").otherwise("explicit")
+    facts = item_facts(spark, d).withColumn("form_source", form).withColumn("ocr_source", F.when(F.col("ocr") == "F", "legacy_default").otherwise("explicit"))
+    told = F.array_join(F.transform(F.map_entries("statuses"), lambda e: F.concat_ws("=", e["key"], e["value"].cast("string"))), ";")
+    return B.quality_counts(facts).withColumn("statuses", told)
 
 
 @query("""SELECT CAST(p_partkey AS VARCHAR) AS tag, count(l_orderkey) AS items, count(DISTINCT l_orderkey) AS papers,
@@ -216,7 +227,7 @@ def dq1_intake_rules(spark, d):
 def set5_shared_anchors(spark, d):
     own = table(spark, d, "lineitem").select("l_orderkey", "l_partkey").distinct()
     after = own.select((F.col("l_orderkey") - 1).alias("l_orderkey"), "l_partkey")
-    return own.intersect(after).select(F.col("l_orderkey").alias("a"), (F.col("l_orderkey") + 1).alias("b"), "l_partkey")
+    return B.shared_keys(own, after, ["l_orderkey", "l_partkey"]).select(F.col("l_orderkey").alias("a"), (F.col("l_orderkey") + 1).alias("b"), "l_partkey")
 
 
 @query("""WITH now AS (SELECT l_orderkey, list(l_linenumber ORDER BY l_linenumber, l_partkey) AS a FROM lineitem GROUP BY l_orderkey),
@@ -224,9 +235,7 @@ was AS (SELECT l_orderkey, list(l_linenumber ORDER BY l_linenumber, l_partkey) A
 SELECT now.l_orderkey, coalesce(now.a = was.a, false) AS same FROM now LEFT JOIN was USING (l_orderkey)""")
 def set6_ordered_list_equality(spark, d):
     line = table(spark, d, "lineitem")
-    listed = lambda df, n: df.groupBy("l_orderkey").agg(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey"))), lambda x: x["l_linenumber"]).alias(n))
-    was = listed(line.where("NOT (l_orderkey % 13 = 0 AND l_linenumber = 1)"), "was")
-    return listed(line, "now").join(was, "l_orderkey", "left").select("l_orderkey", F.coalesce(F.col("now") == F.col("was"), F.lit(False)).alias("same"))
+    return B.same_lists(line, line.where("NOT (l_orderkey % 13 = 0 AND l_linenumber = 1)"), "l_orderkey", ["l_linenumber", "l_partkey"], "l_linenumber")
 
 
 MASTERY_TYPES = """

@@ -175,16 +175,18 @@ def dq9_blocker_issues(spark, d):
     return I.blocker_issues(_blockers(spark, d), live).groupBy("issue").agg(F.count("*").alias("n"))
 
 
-@query("""WITH b AS (SELECT doc_id, doc_id % 6 AS k, sha256(text) AS h FROM documents), r AS (SELECT *, row_number() OVER (PARTITION BY h, k ORDER BY doc_id) AS seq, count(*) OVER (PARTITION BY h, k) AS n FROM b)
+@query("""WITH b AS (SELECT doc_id, doc_id % 6 AS k, doc_id % 4 <> 3 AS q, sha256(text) AS h FROM documents), r AS (SELECT *, row_number() OVER (PARTITION BY h, k ORDER BY doc_id) AS seq, count(*) OVER (PARTITION BY h, k) AS n FROM b)
 SELECT 'unknown_type' AS issue, count(*) AS n FROM r WHERE k = 5 HAVING count(*) > 0 UNION ALL SELECT 'repeated', count(*) FROM r WHERE seq > 1 HAVING count(*) > 0
-UNION ALL SELECT 'no_quote_fields', count(*) FROM r WHERE k = 1 HAVING count(*) > 0 UNION ALL SELECT 'bad_quote_lines', count(*) FROM r WHERE k = 2 HAVING count(*) > 0
-UNION ALL SELECT 'long_quote_without_reason', count(*) FROM r WHERE k = 3 HAVING count(*) > 0""")
+UNION ALL SELECT 'type_differs', count(*) FROM r WHERE doc_id % 9 = 0 HAVING count(*) > 0 UNION ALL SELECT 'no_quote', count(*) FROM r WHERE k NOT IN (1, 5) AND NOT q HAVING count(*) > 0
+UNION ALL SELECT 'no_quote_fields', count(*) FROM r WHERE k = 1 HAVING count(*) > 0 UNION ALL SELECT 'bad_quote_lines', count(*) FROM r WHERE k = 2 AND q HAVING count(*) > 0
+UNION ALL SELECT 'long_quote_without_reason', count(*) FROM r WHERE k = 3 AND q HAVING count(*) > 0""")
 def dq9_quote_rules(spark, d):
-    """Items by id: 0 sound, 1 without quote fields, 2 with two ranges, 3 long, 4 long with a reason, 5 of an unknown type."""
-    k = F.col("doc_id") % 6
+    """Items by id: 0 sound, 1 without quote fields, 2 with two ranges, 3 long, 4 long with a reason, 5 of an unknown type; some without the quote, some of another type than the marker's."""
+    k, c = F.col("doc_id") % 6, F.col("doc_id")
     lines = F.when(k == 2, "1-2, 4-5").when(k.isin(3, 4), "1-40").otherwise("3-9")
     quote = _text("\n- quote_source: s\n- quote_source_sha256: x\n- quote_lines: ", lines, "\n- quote_sha256: y", F.when(k == 4, "\n- quote_scope_reason: whole proof").otherwise(""))
-    text = _text("<!-- item sha=", F.sha2("text", 256), " type=", F.when(k == 5, "odd").otherwise("final"), " lines=1-", k + 1, " -->\n- lines: 1-", k + 1, F.when(k == 1, "").otherwise(quote))
+    kind = F.when(k == 5, "odd").otherwise("final")
+    text = _text("<!-- item sha=", F.sha2("text", 256), " type=", kind, " lines=1-", k + 1, " -->\n- type: ", F.when(c % 9 == 0, "open").otherwise(kind), "\n- lines: 1-", k + 1, F.when(k == 1, "").otherwise(quote), F.when(c % 4 == 3, "").otherwise("\n  quote:\n  > said"))
     found = S.blockers(_written(table(spark, d, "documents").select("doc_id", "text"), text))
     return I.blocker_quote_issues(found, final_type="final", types=["final", "open"]).groupBy("issue").agg(F.count("*").alias("n"))
 

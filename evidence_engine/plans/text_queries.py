@@ -72,9 +72,26 @@ def prj19_normalize_newlines(spark, d):
     return injected_documents(spark, d).select("doc_id", F.md5(P.normalize_newlines(F.col("text"))).alias("h"))
 
 
-@query(W + r" SELECT doc_id, md5(replace(text, '[a_1=b]', '$$a_1=b$$')) AS h, contains(text, '[a_1=b]') AS repaired FROM docs")
+@query(W + r""", t AS (SELECT doc_id, text, text || CASE doc_id % 4 WHEN 0 THEN ' \(' || chr(10) || ' x^2 \)' WHEN 1 THEN ' [ see ' || chr(10) || ' it ]' WHEN 2 THEN ' [b_2](u) [c]' ELSE '' END AS told FROM docs)
+SELECT doc_id, md5(replace(replace(replace(told, '[a_1=b]', '$$' || chr(10) || 'a_1=b' || chr(10) || '$$'), '\(' || chr(10) || ' x^2 \)', '$x^2$'), '[b_2]', '$$' || chr(10) || 'b_2' || chr(10) || '$$')) AS h FROM t""")
 def prj20_repair_math(spark, d):
-    return injected_documents(spark, d).select("doc_id", F.md5(P.repair_math(F.col("text"))).alias("h"), F.col("text").contains("[a_1=b]").alias("repaired"))
+    """Brackets with and without math, over lines, and before a link's target; LaTeX's delimiters over lines."""
+    i = F.col("doc_id") % 4
+    more = F.when(i == 0, " \\(\n x^2 \\)").when(i == 1, " [ see \n it ]").when(i == 2, " [b_2](u) [c]").otherwise("")
+    return injected_documents(spark, d).select("doc_id", F.md5(P.repair_math(F.concat("text", more))).alias("h"))
+
+
+MATH_SQL = r"""t AS (SELECT doc_id, text AS raw, CASE WHEN doc_id % 3 = 0 THEN chr(10) || 'so $x_1$ and $$' || chr(10) || 'y' || chr(10) || '$$ or ' || chr(96) || 'c $z$' || chr(96) ELSE '' END AS more FROM documents WHERE NOT contains(coalesce(text, ''), '$'))"""
+
+
+@query(f"WITH {MATH_SQL} SELECT doc_id, CASE WHEN more = '' THEN CASE WHEN raw = '' THEN 0 ELSE 1 END ELSE 6 END AS n, CASE WHEN more = '' THEN '' ELSE 'inline:$x_1$|display:$$' || chr(10) || 'y' || chr(10) || '$$|code:' || chr(96) || 'c $z$' || chr(96) END AS spans FROM t WHERE raw IS NOT NULL")
+def prj9_segments(spark, d):
+    """Documents without dollars of their own, with math and code added to some; the segments join to the text again."""
+    add = F.when(F.col("doc_id") % 3 == 0, "\nso $x_1$ and $$\ny\n$$ or `c $z$`").otherwise("")
+    t = docs(spark, d).where("NOT contains(text, '$')").select("doc_id", F.concat("text", add).alias("t")).select("doc_id", "t", P.math_segments(F.col("t")).alias("s"))
+    t = t.where(F.array_join(F.transform("s", lambda x: x["text"]), "") == F.col("t"))
+    spans = F.transform(F.filter("s", lambda x: x["kind"] != "text"), lambda x: F.concat_ws(":", x["kind"], x["text"]))
+    return t.select("doc_id", F.size("s").alias("n"), F.array_join(spans, "|").alias("spans"))
 
 
 LINKS = f"l AS (SELECT page_id, unnest(range(0, len(l))) AS pos, unnest(l) AS target FROM (SELECT page_id, regexp_extract_all(html, '{HREF}', 1) AS l FROM pages))"
@@ -212,7 +229,7 @@ def jon20_staleness(spark, d):
 @query(W + ", i AS (SELECT 'control' AS rule FROM docs WHERE contains(text, chr(7)) UNION ALL SELECT 'bare_math' FROM docs WHERE contains(text, 'a_1=b')) SELECT rule, 'error' AS severity, count(*) AS n FROM i GROUP BY rule")
 def agg21_issue_summary(spark, d):
     t = F.col("text")
-    rules = F.filter(F.array(F.when(X.control_characters(t), F.lit("control")), F.when(X.bare_math(t), F.lit("bare_math"))), lambda x: x.isNotNull())
+    rules = F.filter(F.array(F.when(X.control_characters(t), F.lit("control")), F.when(X.bare_math(F.replace(t, F.lit("a_1=b"), F.lit("a^1=b"))), F.lit("bare_math"))), lambda x: x.isNotNull())
     return X.issue_summary(injected_documents(spark, d).select(F.explode(rules).alias("rule"), F.lit("error").alias("severity")))
 
 
@@ -260,9 +277,9 @@ def win9_longest_run(spark, d):
 
 
 @query(W + LINES + r""", f AS (SELECT *, trim(content) <> '' AND NOT regexp_matches(content, '^\s*(#|\||[-*+]\s)') AS plain FROM ls), i AS (SELECT *, sum(CASE WHEN plain THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY line) AS block FROM f)
-SELECT doc_id, block, sum(length(content))::BIGINT AS chars FROM i WHERE plain GROUP BY doc_id, block""")
+SELECT doc_id, block, sum(len(regexp_extract_all(content, '[aeiou]')))::BIGINT AS chars FROM i WHERE plain GROUP BY doc_id, block""")
 def win11_paragraphs(spark, d):
-    return X.paragraphs(_lines(spark, d))
+    return X.paragraphs(_lines(spark, d), char_class="[aeiou]")
 
 
 @query(W + LINES + """, f AS (SELECT doc_id, line, contains(content, 'a') AS flag, max(CASE WHEN contains(content, 'z') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY line ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS near FROM ls) SELECT doc_id, line FROM f WHERE flag AND near = 0""")
@@ -293,27 +310,41 @@ def win17_block_scope(spark, d):
     return I.previous_marker(c, "conv_id", ["turn"], F.col("role") != "assistant", F.col("turn"), "scope").select("conv_id", "turn", "scope")
 
 
-@query(W + " SELECT doc_id FROM docs WHERE contains(text, chr(7))")
+@query(W + " SELECT doc_id FROM docs WHERE contains(text, chr(7)) OR doc_id % 19 = 0")
 def dq2_control_characters(spark, d):
-    return injected_documents(spark, d).where(X.control_characters(F.col("text"))).select("doc_id")
+    text = F.when(F.col("doc_id") % 19 == 0, F.concat("text", F.lit("\x7f"))).otherwise(F.col("text"))
+    return injected_documents(spark, d).where(X.control_characters(text)).select("doc_id")
+
 
+MATH = {6: "\\left( $$x", 21: "\nbroken frac{x}", 22: "\n$$$", 10: "\ncosts \\$5 each", 15: "\nuse `$x` and `\\left(` here", 25: "\n$A \\Rightarrow B$"}
 
-@query(r"""WITH t AS (SELECT doc_id, CASE WHEN doc_id % 6 = 0 THEN text || '\left( $$x' ELSE text END AS text FROM documents),
-c AS (SELECT doc_id, len(regexp_extract_all(text, '\\left\b')) AS l, len(regexp_extract_all(text, '\\right\b')) AS r, len(regexp_extract_all(text, '\$\$')) AS dd, len(regexp_extract_all(regexp_replace(text, '(?s)\$\$.*?\$\$', '', 'g'), '\$')) AS s, regexp_matches(text, '\\[\[\]()]') AS b FROM t)
-SELECT doc_id, array_to_string(list_filter([CASE WHEN l <> r THEN 'left_right' END, CASE WHEN dd % 2 = 1 THEN 'odd_display' END, CASE WHEN s % 2 = 1 THEN 'odd_inline' END, CASE WHEN b THEN 'bracket_math' END], lambda x: x IS NOT NULL), ',') AS rules FROM c""")
+
+@query(r"""WITH t AS (SELECT doc_id, text || CASE WHEN doc_id % 6 = 0 THEN '\left( $$x' WHEN doc_id % 21 = 0 THEN chr(10) || 'broken frac{x}' WHEN doc_id % 22 = 0 THEN chr(10) || '$$$' ELSE '' END AS text FROM documents),
+c AS (SELECT doc_id, text, len(regexp_extract_all(text, '\\left')) AS l, list_transform(regexp_extract_all(text, '\$+'), lambda x: length(x)) AS runs, regexp_replace(text, '(?s)\$\$.*?\$\$', '', 'g') AS bare FROM t),
+r AS (SELECT doc_id, contains(text, '$$$') OR contains(text, 'frac{') AS known, l, list_sum(list_transform(runs, lambda x: x // 2)) AS dd, len(list_filter(regexp_extract_all(bare, '\$+'), lambda x: length(x) = 1)) AS s FROM c)
+SELECT doc_id, array_to_string(list_filter([CASE WHEN known THEN 'known_bad' END, CASE WHEN l > 0 THEN 'left_right' END, CASE WHEN dd % 2 = 1 THEN 'odd_display' END, CASE WHEN s % 2 = 1 THEN 'odd_inline' END], lambda x: x IS NOT NULL), ',') AS rules FROM r""")
 def dq3_delimiter_balance(spark, d):
-    text = F.when(F.col("doc_id") % 6 == 0, F.concat("text", F.lit("\\left( $$x"))).otherwise(F.col("text"))
-    return docs(spark, d).select("doc_id", text.alias("text")).select("doc_id", F.array_join(X.delimiter_rules(F.col("text")), ",").alias("rules"))
+    """Math added by id, the first that fits: some broken, some escaped or in code, which the SQL doesn't see."""
+    more = F.lit("")
+    for n in reversed(MATH):
+        more = F.when(F.col("doc_id") % n == 0, F.lit(MATH[n])).otherwise(more)
+    return docs(spark, d).select("doc_id", F.concat("text", more).alias("text")).select("doc_id", F.array_join(X.delimiter_rules(F.col("text")), ",").alias("rules"))
 
 
-@query(W + r" SELECT doc_id FROM docs WHERE regexp_matches(regexp_replace(regexp_replace(text, '(?s)\$\$.*?\$\$', '', 'g'), '\$[^$\n]*\$', '', 'g'), '[A-Za-z]_[0-9A-Za-z]+[ \t\n\x0B\f\r]*=')")
+@query("SELECT doc_id FROM documents WHERE doc_id % 9 = 0 OR (doc_id % 25 = 0 AND doc_id % 8 <> 0 AND doc_id % 12 <> 0)")
 def dq4_bare_math(spark, d):
-    return injected_documents(spark, d).where(X.bare_math(F.col("text"))).select("doc_id")
+    """Commands and powers added by id, also within math and code, where they belong."""
+    i = F.col("doc_id")
+    more = F.when(i % 9 == 0, "\nso \\frac{1}{x} is").when(i % 8 == 0, "\nand $x^2$ in math").when(i % 12 == 0, "\nand `x^2` in code").when(i % 25 == 0, "\nor x^{2} bare").otherwise("\na_1 = b")
+    return docs(spark, d).where(X.bare_math(F.concat("text", more))).select("doc_id")
 
 
-@query(f"WITH {LINKS} SELECT page_id, pos, starts_with(target, '/') AS ok FROM l")
+@query(f"WITH {LINKS}, s AS (SELECT page_id, pos, CASE (page_id + pos) % 6 WHEN 0 THEN ltrim(target, '/') WHEN 1 THEN '../' || target WHEN 2 THEN 'C:' || target WHEN 3 THEN '#top' WHEN 4 THEN 'bare#a/b' ELSE target END AS t FROM l) SELECT page_id, pos, starts_with(t, '#') OR NOT (starts_with(t, '/') OR starts_with(t, '../') OR starts_with(t, './') OR regexp_matches(t, '^[A-Za-z]:/') OR NOT contains(split_part(t, '#', 1), '/')) AS ok FROM s")
 def dq5_link_style(spark, d):
-    return _links(spark, d).select("page_id", "pos", I.link_style(F.col("target")).alias("ok"))
+    """The pages' links, some written in other ways."""
+    kind, t = (F.col("page_id") + F.col("pos")) % 6, F.col("target")
+    text = F.when(kind == 0, F.ltrim(t, F.lit("/"))).when(kind == 1, F.concat(F.lit("../"), t)).when(kind == 2, F.concat(F.lit("C:"), t)).when(kind == 3, "#top").when(kind == 4, "bare#a/b").otherwise(t)
+    return _links(spark, d).select("page_id", "pos", I.link_style(text).alias("ok"))
 
 
 @query("SELECT page_id, starts_with(html, '<!DOCTYPE html><html lang=\"en\">') AS derived FROM pages")
@@ -322,16 +353,26 @@ def dq6_derived_marker(spark, d):
     return pages(spark, d).select("page_id", X.first_line_is(first, '<!DOCTYPE html><html lang="en">').alias("derived"))
 
 
-@query(W + LINES + r""", s AS (SELECT doc_id, len(regexp_extract_all(text, '[aeiou]')) AS chars, len(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '^\s*[-*+]\s'))) AS bullets, len(list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '')) AS lines, regexp_matches(text, '->|→|=>') AS chain FROM docs),
-f AS (SELECT doc_id, line, regexp_matches(content, '^\s*[-*+]\s') AS flag FROM ls WHERE trim(content) <> ''), i AS (SELECT *, sum(CASE WHEN flag THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY line) AS isl FROM f), r AS (SELECT doc_id, isl, count(*) FILTER (WHERE flag) AS n FROM i GROUP BY doc_id, isl), run AS (SELECT doc_id, max(n) AS longest FROM r GROUP BY doc_id),
-pf AS (SELECT *, trim(content) <> '' AND NOT regexp_matches(content, '^\s*(#|\||[-*+]\s)') AS plain FROM ls), pi AS (SELECT *, sum(CASE WHEN plain THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY line) AS block FROM pf), pg AS (SELECT doc_id, block, sum(length(content)) AS c FROM pi WHERE plain GROUP BY doc_id, block), par AS (SELECT doc_id, max(c) AS paragraph FROM pg GROUP BY doc_id),
-a AS (SELECT s.*, coalesce(longest, 0) AS longest, coalesce(paragraph, 0) AS paragraph FROM s LEFT JOIN run USING (doc_id) LEFT JOIN par USING (doc_id))
-SELECT doc_id, 'short' AS rule, CASE WHEN chars < 200 THEN 'error' ELSE 'warning' END AS severity FROM a WHERE chars < 250
-UNION ALL SELECT doc_id, 'bullets', 'warning' FROM a WHERE lines > 0 AND round(bullets / lines, 4) > 0.45::DOUBLE UNION ALL SELECT doc_id, 'bullet_run', 'warning' FROM a WHERE longest > 0
-UNION ALL SELECT doc_id, 'long_paragraph', 'warning' FROM a WHERE paragraph > 2500 UNION ALL SELECT doc_id, 'no_chain', 'warning' FROM a WHERE NOT chain""")
+LINTED = r""", own AS (SELECT doc_id, text || CASE doc_id % 5 WHEN 0 THEN chr(10) || 'a -> b → c \rightarrow d' WHEN 1 THEN chr(10) || 'a -> b' WHEN 2 THEN chr(10) || '> [!note] n' || chr(10) || '- one' WHEN 3 THEN chr(10) || 'a mermaid' ELSE '' END AS text FROM docs),
+ls AS (SELECT doc_id, generate_subscripts(l, 1) AS line, unnest(l) AS content FROM (SELECT doc_id, string_split(regexp_replace(replace(text, chr(13), ''), '\n$', ''), chr(10)) AS l FROM own)),
+s AS (SELECT doc_id, len(regexp_extract_all(text, '[aeiou]')) AS chars, doc_id % 5 IN (0, 3) OR contains(text, 'mermaid') OR (len(string_split(text, '->')) + len(string_split(text, '→')) + len(string_split(text, '\rightarrow')) - 3 >= 3) AS chain FROM own),
+f AS (SELECT doc_id, line, regexp_matches(content, '^\s*[-*+]\s') AS flag, NOT regexp_matches(content, '^\s*#|^\s*> \[!') AS said FROM ls WHERE trim(content) <> ''),
+sh AS (SELECT doc_id, count(*) FILTER (WHERE flag) / count(*) AS share FROM f WHERE said GROUP BY doc_id),
+i AS (SELECT *, sum(CASE WHEN flag AND said THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY line) AS isl FROM f), r AS (SELECT doc_id, isl, count(*) FILTER (WHERE flag AND said) AS n FROM i GROUP BY doc_id, isl), run AS (SELECT doc_id, max(n) AS longest FROM r GROUP BY doc_id),
+pf AS (SELECT *, trim(content) <> '' AND NOT regexp_matches(content, '^\s*(#|\||[-*+]\s)') AS plain FROM ls), pi AS (SELECT *, sum(CASE WHEN plain THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY line) AS block FROM pf),
+pg AS (SELECT doc_id, block, sum(len(regexp_extract_all(content, '[aeiou]'))) AS c FROM pi WHERE plain GROUP BY doc_id, block), par AS (SELECT doc_id, max(c) AS paragraph FROM pg GROUP BY doc_id),
+a AS (SELECT s.*, coalesce(share, 0) AS share, coalesce(longest, 0) AS longest, coalesce(paragraph, 0) AS paragraph FROM s LEFT JOIN sh USING (doc_id) LEFT JOIN run USING (doc_id) LEFT JOIN par USING (doc_id))"""
+
+
+@query(W + LINTED + r""" SELECT doc_id, 'short' AS rule, CASE WHEN chars < 200 THEN 'error' ELSE 'warning' END AS severity FROM a WHERE chars < 250 UNION ALL SELECT doc_id, 'no_prose', 'error' FROM a WHERE chars >= 200 AND paragraph < 150
+UNION ALL SELECT doc_id, 'bullets', 'warning' FROM a WHERE share > 0.45::DOUBLE UNION ALL SELECT doc_id, 'bullet_run', 'warning' FROM a WHERE longest > 0
+UNION ALL SELECT doc_id, 'long_paragraph', 'warning' FROM a WHERE paragraph > 900 UNION ALL SELECT doc_id, 'no_chain', 'warning' FROM a WHERE NOT chain""")
 def dq10_chapter_lint(spark, d):
-    limits = {"short_error": 200, "short_warning": 250, "bullet_share": 0.45, "bullet_run": 0, "paragraph": 2500}
-    return X.lint(injected_documents(spark, d), _lines(spark, d), char_class="[aeiou]", limits=limits)
+    """With chains and callouts added by id; lengths count vowels."""
+    limits = {"short_error": 200, "short_warning": 250, "prose": 150, "bullet_share": 0.45, "bullet_run": 0, "paragraph": 900}
+    add = F.element_at(F.array(*map(F.lit, ("\na -> b → c \\rightarrow d", "\na -> b", "\n> [!note] n\n- one", "\na mermaid", ""))), (F.col("doc_id") % 5 + 1).cast("int"))
+    own = injected_documents(spark, d).withColumn("text", F.concat("text", add))
+    return X.lint(own, P.lines_of(own), char_class="[aeiou]", limits=limits, chain=("mermaid",))
 
 
 @query("SELECT doc_id, contains(substr(text, 1, 500), 'the') AND contains(substr(text, 1, 500), 'la ') AND (contains(text, 'der ') OR contains(text, 'ing the')) AS grounded FROM documents")
@@ -385,22 +426,24 @@ def dq11_start_card_issues(spark, d):
 
 STRUCTURED = r"""WITH t AS (SELECT doc_id, coalesce(text, '') || CASE WHEN doc_id % 2 = 0 THEN chr(10) || '# The  whole picture' ELSE '' END || CASE WHEN doc_id % 5 = 0 THEN chr(10) || '## Intuition' || chr(10) || 'x' || chr(10) || '## Formula / terms' ELSE '' END
  || CASE WHEN doc_id % 10 = 0 THEN chr(10) || '### 1. Intuition' || chr(10) || '### Formula, terms' ELSE '' END || CASE WHEN doc_id % 3 = 0 THEN chr(10) || '## Ask here' ELSE '' END || CASE WHEN doc_id % 4 = 0 THEN chr(10) || 'line' || chr(10) || '$$a$$' || CASE WHEN doc_id % 8 = 0 THEN chr(10) || 'because aeiou aeiou aeiou aeiou' ELSE '' END ELSE '' END
- || CASE WHEN doc_id % 7 = 0 THEN chr(10) || 'in one sentence' ELSE '' END AS text FROM documents WHERE text IS NULL OR NOT contains(text, '$$')),
-u AS (SELECT * FROM t)"""
+ || CASE WHEN doc_id % 7 = 0 THEN chr(10) || 'in one sentence' ELSE '' END AS text FROM documents), u AS (SELECT * FROM t),
+ml AS (SELECT doc_id, generate_subscripts(l, 1) AS line, unnest(l) AS content FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM t)),
+mw AS (SELECT doc_id, contains(content, '$$') OR contains(content, '\[') OR contains(content, '\]') AS shown, string_agg(content, chr(10)) OVER (PARTITION BY doc_id ORDER BY line ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS near FROM ml),
+um AS (SELECT doc_id FROM mw WHERE shown GROUP BY doc_id HAVING NOT bool_or(len(regexp_extract_all(near, '[aeiou]')) >= 20 AND (contains(near, 'because') OR contains(near, 'where'))))"""
 
 
 @query(STRUCTURED + r""" SELECT doc_id, 'checklist' AS rule, 'error' AS severity FROM u WHERE doc_id % 7 = 0 UNION ALL SELECT doc_id, 'no_picture', 'error' FROM u WHERE doc_id % 2 <> 0
 UNION ALL SELECT doc_id, 'template_repeated', 'error' FROM u WHERE doc_id % 10 = 0 UNION ALL SELECT doc_id, 'template_once', 'warning' FROM u WHERE doc_id % 5 = 0 AND doc_id % 10 <> 0
-UNION ALL SELECT doc_id, 'unexplained_math', 'warning' FROM u WHERE doc_id % 8 = 4 UNION ALL SELECT doc_id, 'no_entry', 'warning' FROM u WHERE doc_id % 3 <> 0""")
+UNION ALL SELECT doc_id, 'unexplained_math', 'warning' FROM um UNION ALL SELECT doc_id, 'no_entry', 'warning' FROM u WHERE doc_id % 3 <> 0""")
 def dq10_structure(spark, d):
-    """Headings, math and phrases added by id to the documents without display math of their own."""
+    """Headings, math and phrases added by id."""
     i = F.col("doc_id")
     add = lambda n, t, r=0: F.when(i % n == r, F.lit(t)).otherwise("")
     text = F.concat(
         F.coalesce("text", F.lit("")), add(2, "\n# The  whole picture"), add(5, "\n## Intuition\nx\n## Formula / terms"), add(10, "\n### 1. Intuition\n### Formula, terms"), add(3, "\n## Ask here"),
         add(4, "\nline\n$$a$$"), add(8, "\nbecause aeiou aeiou aeiou aeiou"), add(7, "\nin one sentence"),
     )
-    own = docs(spark, d).where("text IS NULL OR NOT contains(text, '$$')").select("doc_id", text.alias("text"))
+    own = docs(spark, d).select("doc_id", text.alias("text"))
     return X.structure_issues(own, groups={"picture": ["The whole picture", "Overview"]}, entry=["Ask here"], phrases=["in one sentence"], template=["Intuition", "Formula terms"], char_class="[aeiou]", words=["because", "where"])
 
 

@@ -109,8 +109,7 @@ def themes(spark, d):
 
 
 def both_kinds(spark, d):
-    facts = kept(item_facts(spark, d).select("theme", "tag", "paper_type", "year", "paper", "form", "score"))
-    return T.profiles(facts, "theme", **HOW).unionByName(T.profiles(facts, "tag", **HOW))
+    return T.profile_entities(item_facts(spark, d), migrate=False, **HOW)
 
 
 @query(WITH_TAG + " SELECT entity, paper_type, h_rate, r_rate, delta, r_total, trend, role, trend_priority FROM prof")
@@ -121,8 +120,8 @@ def flagship_trends(spark, d):
 @query(f"WITH {FACTS_SQL}, ys AS (SELECT paper_type, year, max(year) OVER (PARTITION BY paper_type) AS latest FROM facts) SELECT DISTINCT paper_type, year, latest, CASE WHEN year < latest - 2 THEN 'historical' ELSE 'recent' END AS period FROM ys")
 def win1_periods(spark, d):
     facts = facts_of(spark, d)
-    own = T.with_period(facts, recent_span=RECENT_SPAN)
-    dims = T.year_dimension(facts, recent_span=RECENT_SPAN).select("paper_type", "latest")
+    dims = kept(T.year_dimension(facts, recent_span=RECENT_SPAN))
+    own, dims = T.with_period(facts, dims=dims), dims.select("paper_type", "latest")
     return own.select("paper_type", "year", "period").distinct().join(dims, "paper_type").select("paper_type", "year", "latest", "period")
 
 
@@ -268,7 +267,7 @@ o AS (SELECT theme AS entity, paper_type, period, anchor, tag, year, score, form
 p AS (SELECT *, row_number() OVER (PARTITION BY entity, paper_type, period ORDER BY CASE WHEN period = 'recent' AND of_tag > 1 THEN 1 ELSE 0 END, year DESC, points DESC, anchor, tie) AS position FROM o)
 SELECT entity, paper_type, period, position, anchor, tag, year, score, form FROM p WHERE position <= CASE WHEN period = 'recent' THEN 2 ELSE 1 END""")
 def win6_representatives(spark, d):
-    return T.representatives(item_facts(spark, d), "theme", recent_span=RECENT_SPAN)
+    return T.representatives(item_facts(spark, d), "theme", recent_span=RECENT_SPAN, keep=kept)
 
 
 RANKED = ["entity", "paper_type", "rank", "trend", "role", "delta", "r_rate", "r_total"]
@@ -332,9 +331,9 @@ FROM prof LEFT JOIN b h ON h.entity = prof.entity AND h.paper_type = prof.paper_
 LEFT JOIN b r ON r.entity = prof.entity AND r.paper_type = prof.paper_type AND r.period = 'recent'
 LEFT JOIN reps ON reps.entity = prof.entity AND reps.paper_type = prof.paper_type""")
 def top8_theme_view(spark, d):
-    facts = kept(item_facts(spark, d).drop("chapter", "ocr"))
+    facts = item_facts(spark, d)
     moved = T.migrations(facts, "theme", "tag", recent_span=RECENT_SPAN, keep=kept).select("entity", "paper_type", "old_tag", "new_tag")
-    reps = T.representatives(facts, "theme", recent_span=RECENT_SPAN).where("period = 'recent'").groupBy("entity", "paper_type")
+    reps = T.representatives(facts, "theme", recent_span=RECENT_SPAN, keep=kept).where("period = 'recent'").groupBy("entity", "paper_type")
     reps = reps.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("position", "anchor"))), lambda x: x["anchor"]), ", ").alias("reps"))
     out = T.profiles(facts, "theme", **HOW).join(moved, ["entity", "paper_type"], "left").join(reps, ["entity", "paper_type"], "left")
     return out.select("entity", "paper_type", "role", "trend", "delta", "old_tag", "new_tag", F.coalesce("reps", F.lit("")).alias("reps"))
@@ -347,11 +346,9 @@ def top9_chart_series(spark, d):
 
 @query(f"WITH {FACTS_SQL}, t AS (SELECT DISTINCT paper_type FROM facts) SELECT paper_type, row_number() OVER (ORDER BY CASE WHEN paper_type IN ('1-URGENT', '2-HIGH') THEN 0 ELSE 1 END, paper_type) AS position FROM t")
 def top10_paper_type_order(spark, d):
-    from pyspark.sql import Window
+    from ..operators.bank import type_order
 
-    first = F.when(F.col("paper_type").isin("1-URGENT", "2-HIGH"), 0).otherwise(1)
-    types = item_facts(spark, d).select("paper_type").distinct()  # a closed vocabulary: one window over a few rows
-    return types.withColumn("position", F.row_number().over(Window.orderBy(first, "paper_type")))
+    return type_order(item_facts(spark, d), ("1-URGENT", "2-HIGH"))
 
 
 @query(WITH_THEME + """ SELECT entity, paper_type, h_hits || '/' || h_years || '(' || coalesce(CAST(round(h_rate * 100) AS INTEGER) || '%', '—') || ')' AS coverage,

@@ -36,18 +36,18 @@ def event_lines(texts: DataFrame, schema: str) -> DataFrame:
     return d.select("file", (F.col("pos") + 1).alias("line"), "raw", F.when(F.try_parse_json("raw").isNotNull() & F.col("raw").rlike(r"^\s*\{"), F.from_json("raw", schema)).alias("event"))
 
 
-def blockers(texts: DataFrame) -> DataFrame:
-    """file, line, sha, item_type, ranges and fields (map) of each block that a marker opens."""
+def blockers(texts: DataFrame, quote_marker: str = "quote:") -> DataFrame:
+    """file, line, sha, item_type, ranges, fields (map) and has_quote (a line with the quote's marker) of each block that a marker opens."""
     marker = r"<!--\s*item\s+sha=([0-9A-Fa-f]+)\s+type=(\S+)\s+lines=([^>]*?)\s*-->"
     d = texts.select("file", F.posexplode(text_lines(F.col("text"))).alias("pos", "line")).withColumn("mark", F.col("line").rlike(marker))
     d = d.withColumn("block", F.sum(F.col("mark").cast("int")).over(Window.partitionBy("file").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0))).where("block > 0")
     field = r"^\s*-\s*(\w+)\s*:\s*(.*?)\s*$"
     entry = F.when(F.col("line").rlike(field), F.struct("pos", F.regexp_extract("line", field, 1).alias("k"), F.regexp_extract("line", field, 2).alias("v")))
-    g = d.groupBy("file", "block").agg(F.min("pos").alias("pos"), F.min_by("line", "pos").alias("line"), F.sort_array(F.collect_list(entry)).alias("es"))
+    g = d.groupBy("file", "block").agg(F.min("pos").alias("pos"), F.min_by("line", "pos").alias("line"), F.sort_array(F.collect_list(entry)).alias("es"), F.max(stripped(F.col("line")) == quote_marker).alias("has_quote"))
     keys = F.array_distinct(F.transform("es", lambda e: e["k"]))
     fields = F.map_from_entries(F.transform(keys, lambda k: F.struct(k, F.element_at(F.filter("es", lambda e: e["k"] == k), -1)["v"])))
     part = lambda k: matched(F.col("line"), marker, k)
-    return g.select("file", (F.col("pos") + 1).alias("line_no"), F.lower(part(1)).alias("sha"), part(2).alias("item_type"), part(3).alias("ranges"), fields.alias("fields"))
+    return g.select("file", (F.col("pos") + 1).alias("line_no"), F.lower(part(1)).alias("sha"), part(2).alias("item_type"), part(3).alias("ranges"), fields.alias("fields"), "has_quote")
 
 
 def read_manifests(spark: SparkSession, path: str, schema: str, glob: str = "*.json") -> DataFrame:

