@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..plans.scratch import kept
+
 
 def fingerprints(df: DataFrame, key: str, content: str) -> DataFrame:
     return df.select(key, F.sha2(content, 256).alias("sha256"))
@@ -34,6 +36,77 @@ def dataset_fingerprint(df: DataFrame, key: str, buckets: int = 4096, per_bucket
     return one.select(F.col("h").alias("fingerprint"), "n")
 
 
+class HashTree:
+    """A stored tree of hashes over rows (key, sha256), whose versions are compared from the top: only subtrees that differ are opened.
+
+    A row lies in the leaf bucket that its key's digest names by ``levels`` bytes of ``fan`` values each, so equal keys lie alike in all
+    versions. A level's file holds node (its path of bucket numbers as text), hash and n, sorted and split by node, so that a read of some nodes skips the rest;
+    rows are stored in the order of their buckets, for the same reason. Hashes of a node are those of its children in order, of a leaf those of its rows."""
+
+    def __init__(self, spark: SparkSession, path: str, key: str, levels: int, fan: int):
+        self.spark, self.path, self.key, self.levels, self.fan = spark, path.rstrip("/"), key, levels, fan
+        self.opened = 0  # rows that comparisons have read
+
+    @staticmethod
+    def _node(key: str, depth: int, fan: int) -> Column:
+        digest = F.sha2(F.col(key).cast("string"), 256)
+        return F.array_join(F.array(*[F.lpad((F.conv(F.substring(digest, 1 + 8 * k, 8), 16, 10).cast("long") % fan).cast("string"), 4, "0") for k in range(depth)]), "/")
+
+    @classmethod
+    def write(cls, df: DataFrame, path: str, key: str, *, levels: int | None = None, fan: int = 64, per_leaf: int = 1000) -> HashTree:
+        """Stores the tree of df; levels follow from its rows where they aren't given (of another version, to be compared with)."""
+        spark = df.sparkSession
+        if levels is None:
+            n, levels = df.count(), 1
+            while n > per_leaf * fan**levels:
+                levels += 1
+        rows = df.select(cls._node(key, levels, fan).alias("node"), F.col(key), "sha256")
+        rows.repartitionByRange("node", key).sortWithinPartitions("node", key).write.mode("overwrite").parquet(f"{path}/rows")
+        stored = spark.read.parquet(f"{path}/rows")
+        told = F.transform(F.array_sort(F.collect_list(F.struct(F.col(key).cast("string").alias("k"), "sha256"))), lambda x: F.concat_ws(":", x["k"], x["sha256"]))
+        one = stored.groupBy("node").agg(F.sha2(F.array_join(told, "\n"), 256).alias("hash"), F.count("*").alias("n"))
+        for depth in range(levels, -1, -1):
+            one.repartitionByRange("node").sortWithinPartitions("node").write.mode("overwrite").parquet(f"{path}/level={depth}")
+            below = spark.read.parquet(f"{path}/level={depth}")
+            up = F.substring("node", 1, max(0, 5 * (depth - 1) - 1))
+            hashes = F.transform(F.array_sort(F.collect_list(F.struct("node", "hash"))), lambda x: x["hash"])
+            one = below.groupBy(up.alias("node")).agg(F.sha2(F.array_join(hashes, "\n"), 256).alias("hash"), F.sum("n").alias("n"))
+        return cls(spark, path, key, levels, fan)
+
+    def root(self) -> tuple[str | None, int]:
+        r = self.spark.read.parquet(f"{self.path}/level=0").first()
+        return (r["hash"], r["n"]) if r else (None, 0)
+
+    def _read(self, what: str, within: DataFrame | None, depth: int) -> DataFrame:
+        """The nodes or rows below some nodes of the level above."""
+        d = self.spark.read.parquet(f"{self.path}/{what}")
+        if within is None:
+            return d
+        few = within.agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.count("*").alias("n")).first()
+        if few["n"] == 0:
+            return d.limit(0)
+        d = d.where((F.col("node") >= few["lo"]) & (F.col("node") <= few["hi"] + "/~"))  # row groups beside these aren't read
+        return d.join(within.select(F.col("node").alias("__up")), F.substring("node", 1, max(0, 5 * depth - 1)) == F.col("__up"), "left_semi")
+
+    def diff(self, other: HashTree) -> DataFrame:
+        """key, change (added, missing or changed: in other against this one) of every row that differs."""
+        if (self.levels, self.fan) != (other.levels, other.fan):
+            raise ValueError("trees of different shapes can't be compared")
+        none = self.spark.read.parquet(f"{self.path}/rows").limit(0).select(self.key, F.lit("").alias("change"))
+        if self.root()[0] == other.root()[0]:
+            return none
+        within: DataFrame | None = None
+        for depth in range(1, self.levels + 1):
+            a, b = (t._read(f"level={depth}", within, depth - 1).select("node", "hash") for t in (self, other))
+            both = a.join(b.withColumnRenamed("hash", "now"), "node", "full_outer")
+            within = kept(both.where("NOT (hash <=> now)").select("node"))
+        a, b = (kept(t._read("rows", within, self.levels).select(self.key, "sha256")) for t in (self, other))
+        self.opened, other.opened = a.count(), b.count()
+        both = a.join(b.withColumnRenamed("sha256", "now"), self.key, "full_outer")
+        change = F.when(F.col("sha256").isNull(), "added").when(F.col("now").isNull(), "missing").when(F.col("sha256") != F.col("now"), "changed")
+        return both.select(self.key, change.alias("change")).where("change IS NOT NULL")
+
+
 def verify_hashes(stored: DataFrame, live: DataFrame, key: str) -> DataFrame:
     """key, verdict of each stored hash: ok, missing or mismatch."""
     now = live.select(key, F.col("sha256").alias("now"))
@@ -64,17 +137,38 @@ def certified_path(path: Column, bad_names: list[str], bad_parts: list[str], suf
     return ~draft & low.endswith(suffix) & ~F.arrays_overlap(F.split(low, "/"), F.array(*map(F.lit, bad_parts)))
 
 
-def resolve_links(links: DataFrame, targets: DataFrame) -> DataFrame:
-    """links (with target) and how they resolve: exact, suffixed (with .md), basename (if unique), or broken."""
+#: Links of one target in a task, at most about so many times the tasks' mean.
+SALTS = 64
+
+
+def target_index(targets: DataFrame) -> DataFrame:
+    """name, order: the best way in which a spelling leads to a path: 1 the path, 2 the path without .md, 3 its last part, if no other path has it, 4 that
+    without .md. Spellings without .md have no suffix of another kind."""
     paths = targets.select("path").distinct()
-    exact = paths.select(F.col("path").alias("target"), F.lit(True).alias("exact"))
-    suffixed = paths.where(F.col("path").endswith(".md")).select(F.regexp_replace("path", r"\.md$", "").alias("target"), F.lit(True).alias("suffixed"))
-    base = paths.select(F.element_at(F.split("path", "/"), -1).alias("name")).groupBy("name").agg(F.count("*").alias("n")).where("n = 1")
-    base = base.select(F.regexp_replace("name", r"\.md$", "").alias("name"), F.lit(True).alias("basename")).distinct()
-    d = links.withColumn("name", F.regexp_replace(F.element_at(F.split("target", "/"), -1), r"\.md$", ""))
-    d = d.join(exact, "target", "left").join(suffixed, "target", "left").join(base, "name", "left")
-    how = F.when(F.col("exact"), "exact").when(F.col("suffixed"), "suffixed").when(F.col("basename"), "basename").otherwise("broken")
-    return d.withColumn("how", how).drop("exact", "suffixed", "basename", "name")
+    last = F.element_at(F.split("path", "/"), -1)
+    bare = lambda c: F.regexp_replace(c, r"\.md$", "")
+    plain = lambda c: c.rlike(r"(^|/)[^./][^./]*\.md$")
+    spelled = lambda d, name, order: d.select(name.alias("name"), F.lit(order).alias("order"))
+    only = paths.groupBy(last.alias("last")).agg(F.count("*").alias("n")).where("n = 1")
+    p, q = F.col("path"), F.col("last")
+    ways = spelled(paths, p, 1).unionAll(spelled(paths.where(plain(p)), bare(p), 2)).unionAll(spelled(only, q, 3)).unionAll(spelled(only.where(plain(q)), bare(q), 4))
+    return ways.groupBy("name").agg(F.min("order").alias("order"))
+
+
+def resolve_links(links: DataFrame, targets: DataFrame) -> DataFrame:
+    """links (with target) and how they resolve: exact, suffixed (with .md), basename (a target without a folder, if one path alone ends so), or broken.
+
+    Targets that are linked are resolved once each, however many links have them. The way back goes by salted target: links of one target are dealt to ``SALTS`` keys,
+    and each resolved target stands once for each salt that its links take, so a popular one doesn't meet in one task."""
+    salt = F.pmod(F.xxhash64(*links.columns), F.lit(SALTS)).cast("int")
+    dealt = links.withColumn("__salt", salt)
+    asked = dealt.groupBy("target", "__salt").agg(F.lit(1).alias("__one"))
+    distinct = asked.groupBy("target").agg(F.collect_set("__salt").alias("__salts"))
+    found = distinct.join(target_index(targets).withColumnRenamed("name", "target"), "target", "left")
+    how = F.when(F.col("order") == 1, "exact").when(F.col("order") == 2, "suffixed").when((F.col("order") > 2) & ~F.contains("target", F.lit("/")), "basename").otherwise("broken")
+    found = found.select("target", how.alias("how"), F.explode("__salts").alias("__salt"))
+    missing = F.coalesce("how", F.lit("broken"))  # a null target
+    return dealt.join(found, ["target", "__salt"], "left").select(*links.columns, missing.alias("how"))
 
 
 def missing_headings(links: DataFrame, headings: DataFrame) -> DataFrame:

@@ -5,9 +5,8 @@ tie (any column that makes an order unique). An entity is a column of the facts,
 ``latest - recent_span + 1`` of their paper type. Rates are rounded to 4 digits before thresholds see them.
 
 Facts are read twice and never copied: once for what is known per paper type, a closed vocabulary (``year_dimension``; ``keep`` stores those few
-rows, so that no plan computes them again), and once for everything else. That pass sums an entity's items of a paper, spreads the paper's scores
-to rows again and sums them at once, so that counts, papers, forms and medians come from two shuffles, for all kinds of entities together. What is
-known per paper type is a scalar subquery, so no join meets the hot keys that types are.
+rows, so that no plan computes them again), and once for everything else. That pass is one grouping-sets aggregate for all kinds of entities, per
+paper and per score, with years as bit sets; counts, forms, medians and series come from its sums. What is known per paper type is a scalar subquery, so no join meets the hot keys that types are.
 """
 
 from __future__ import annotations
@@ -33,20 +32,21 @@ def rate(numerator: Column, denominator: Column) -> Column:
 
 
 def year_dimension(facts: DataFrame, *, recent_span: int = 5) -> DataFrame:
-    """paper_type, latest, recent_start, years (sorted), h_years, r_years, h_papers, r_papers: one row per paper type with a known year."""
-    known = facts.where("year IS NOT NULL AND paper_type IS NOT NULL")
-    papers = known.groupBy("paper_type", "paper").agg(F.sort_array(F.collect_set("year")).alias("ys"))
-    kinds = papers.groupBy("paper_type", "ys").agg(F.count("*").alias("n"))  # papers have one year as a rule
-    d = kinds.groupBy("paper_type").agg(F.collect_list(F.struct("ys", "n")).alias("kinds"))
-    d = d.withColumn("years", F.array_sort(F.array_distinct(F.flatten(F.transform("kinds", lambda k: k["ys"])))))
+    """paper_type, latest, recent_start, years (sorted), h_years, r_years, h_papers, r_papers: one row per paper type with a known year.
+
+    A paper counts before the split if its first year does, and after it if its last year does; papers' spans and the years come from one aggregate."""
+    known = facts.where("year IS NOT NULL AND paper_type IS NOT NULL").select("paper_type", "paper", "year")
+    first, last, one = F.min("year").alias("lo"), F.max("year").alias("hi"), F.grouping("paper").alias("year_row")
+    spans = known.groupingSets([["paper_type", "paper"], ["paper_type", "year"]], "paper_type", "paper", "year").agg(first, last, one)
+    kinds = spans.groupBy("paper_type", "year_row", "lo", "hi").agg(F.count("*").alias("n"))
+    d = kinds.groupBy("paper_type").agg(F.collect_list(F.struct("year_row", "lo", "hi", "n")).alias("kinds"))
+    d = d.withColumn("years", F.array_sort(F.transform(F.filter("kinds", lambda k: k["year_row"] == 1), lambda k: k["lo"])))
     start = F.array_max("years") - recent_span + 1
-    d = d.select("paper_type", F.array_max("years").alias("latest"), start.alias("recent_start"), "years", "kinds")
+    d = d.select("paper_type", F.array_max("years").alias("latest"), start.alias("recent_start"), "years", F.filter("kinds", lambda k: k["year_row"] == 0).alias("papers"))
     out = [F.col(c) for c in ("paper_type", "latest", "recent_start", "years")]
-    with_years = lambda here: F.filter("kinds", lambda k: F.exists(k["ys"], here))
-    for p, here in (("h", lambda y: y < F.col("recent_start")), ("r", lambda y: y >= F.col("recent_start"))):
-        mine = with_years(here)
+    for p, here, paper in (("h", lambda y: y < F.col("recent_start"), lambda k: k["lo"] < F.col("recent_start")), ("r", lambda y: y >= F.col("recent_start"), lambda k: k["hi"] >= F.col("recent_start"))):
         out.append(F.size(F.filter("years", here)).cast("long").alias(f"{p}_years"))
-        out.append(F.aggregate(mine, F.lit(0).cast("long"), lambda a, k: a + k["n"]).alias(f"{p}_papers"))
+        out.append(F.aggregate(F.filter("papers", paper), F.lit(0).cast("long"), lambda a, k: a + k["n"]).alias(f"{p}_papers"))
     return d.select(*out)
 
 
@@ -60,11 +60,14 @@ def dimension_of(facts: DataFrame, recent_span: int, keep=None) -> DataFrame:
     return keep(dims) if keep else dims
 
 
+def of_type(dims: DataFrame, value: str) -> Column:
+    """A column of year_dimension for the paper type of a row, by a map in a scalar subquery."""
+    return F.try_element_at(dims.agg(F.map_from_entries(F.collect_list(F.struct("paper_type", value)))).scalar(), F.col("paper_type"))
+
+
 def with_period(facts: DataFrame, *, recent_span: int = 5, dims: DataFrame | None = None) -> DataFrame:
     """facts with period: historical, recent, or null for an unknown year. dims: their year_dimension, where it is known already."""
-    dims = year_dimension(facts, recent_span=recent_span) if dims is None else dims
-    starts = dims.agg(F.map_from_entries(F.collect_list(F.struct("paper_type", "recent_start")))).scalar()
-    start = F.try_element_at(starts, F.col("paper_type"))
+    start = of_type(year_dimension(facts, recent_span=recent_span) if dims is None else dims, "recent_start")
     return facts.withColumn("period", F.when(F.col("year") < start, "historical").when(F.col("year") >= start, "recent"))
 
 
@@ -132,47 +135,67 @@ def long_ratio(distribution: DataFrame, long_forms: tuple[str, ...] = LONG_FORMS
     return distribution.groupBy("entity", "paper_type", "period").agg(rounded(share).alias("long_ratio"))
 
 
-def entity_papers(own: DataFrame, kinds: dict[str, str], long_forms: tuple[str, ...], unknown: str) -> DataFrame:
-    """Facts with period, summed per kind of entity (name and column), entity, paper type, period and paper: n, known forms, each long form (f0 on),
-    score total, scores (of a paper's items), years."""
+#: Years that a word of a year bit set holds.
+WORD = 62
+
+
+def year_bits(dims: DataFrame, words: int) -> list[Column]:
+    """For an item, the bit of its year among its type's years, as words of a bit set; merged by bit_or."""
+    at = F.array_position(of_type(dims, "years"), F.col("year")).cast("int") - 1
+    return [F.when((at >= WORD * w) & (at < WORD * (w + 1)), F.call_function("shiftleft", F.lit(1).cast("long"), at - WORD * w)).otherwise(F.lit(0).cast("long")) for w in range(words)]
+
+
+def entity_sums(own: DataFrame, dims: DataFrame, kinds: dict[str, str], long_forms: tuple[str, ...], unknown: str, words: int) -> DataFrame:
+    """Facts with period, summed by one grouping-sets aggregate for each kind of entity (name and column) in two ways: per entity, paper type, period and
+    paper (score_row 0), and per entity, paper type, period and score. n, known forms, each long form (f0 on), score total, year bits (b0 on)."""
     known = (F.col("form") != unknown) & F.col("form").isNotNull()
-    as_text = (lambda c: F.col(c).cast("string")) if len(kinds) > 1 else F.col
-    entity = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), as_text(c).alias("entity")) for k, c in kinds.items()])).alias("e")
-    d = own.select(entity, "paper_type", "period", "paper", "year", "score", "form").select("e.kind", "e.entity", "paper_type", "period", "paper", "year", "score", "form")
     mine = [F.count_if(F.col("form") == f).alias(f"f{k}") for k, f in enumerate(long_forms)]
-    return d.groupBy("kind", "entity", "paper_type", "period", "paper").agg(
-        F.count("*").alias("n"), F.count_if(known).alias("known"), *mine, F.sum("score").alias("total"), F.collect_list("score").alias("scores"), F.collect_set("year").alias("years"),
+    names = {k: f"__{k}" for k in kinds}
+    kind_of = {dict(own.dtypes)[c] for c in kinds.values()}
+    one = kind_of.pop() if len(kind_of) == 1 else "string"
+    bits = [c.alias(f"b{w}") for w, c in enumerate(year_bits(dims, words))]
+    d = own.select(*[F.col(c).cast(one).alias(names[k]) for k, c in kinds.items()], "paper_type", "period", "paper", F.col("score").cast("double").alias("score"), "form", *bits)
+    sets = [[n, "paper_type", "period", x] for n in names.values() for x in ("paper", "score")]
+    level = F.grouping("paper").alias("score_row")
+    sums = d.groupingSets(sets, *names.values(), "paper_type", "period", "paper", "score").agg(
+        F.count("*").alias("n"), F.count_if(known).alias("known"), *mine, F.sum("score").alias("total"), *[F.bit_or(f"b{w}").alias(f"b{w}") for w in range(words)],
+        level, *[F.grouping(n).alias(f"without{n}") for n in names.values()],
     )
+    kind, entity = F.lit(None).cast("string"), F.lit(None).cast(one)
+    for k, n in names.items():
+        kind, entity = F.when(F.col(f"without{n}") == 0, k).otherwise(kind), F.when(F.col(f"without{n}") == 0, F.col(n)).otherwise(entity)
+    return sums.select(kind.alias("kind"), entity.alias("entity"), "paper_type", "period", "score_row", "score", "n", "known", *[f"f{k}" for k in range(len(long_forms))], "total", *[f"b{w}" for w in range(words)])
 
 
 def kind_metrics(facts: DataFrame, kinds: dict[str, str], *, recent_span: int = 5, long_forms: tuple[str, ...] = LONG_FORMS, unknown: str = UNKNOWN_FORM, keep=None) -> DataFrame:
     """kind, entity, paper_type and both periods' metrics side by side (prefix h_ and r_), for every pair of an entity and a type, and flags."""
     dims = dimension_of(facts, recent_span, keep)
-    papers = entity_papers(with_period(facts, dims=dims), kinds, long_forms, unknown)
-    # a paper's own row counts it; its scores are rows besides, which the next aggregate takes at once
-    head, score = F.col("x.head"), F.col("x.score")
-    paper = F.array(F.struct(F.lit(None).cast("double").alias("score"), F.lit(True).alias("head")))
-    rows = papers.withColumn("x", F.explode(F.concat(paper, F.transform("scores", lambda s: F.struct(s.cast("double").alias("score"), F.lit(False).alias("head"))))))
+    types = paper_types(dims)
+    words = max(1, -(-(dims.agg(F.max(F.size("years"))).first()[0] or 1) // WORD))
+    rows = entity_sums(with_period(facts, dims=dims), dims, kinds, long_forms, unknown, words)
+    paper, score = F.col("score_row") == 0, (F.col("score_row") == 1) & F.col("score").isNotNull()
     sums, names = [], []
     for p, name in (("h", "historical"), ("r", "recent")):
         here = F.coalesce(F.col("period") == name, F.lit(False))
-        count = lambda c: F.coalesce(F.sum(F.when(here & head, F.col(c))), F.lit(0))  # noqa: B023, E731
-        share = lambda k: rounded(F.avg(F.when(here & head & (F.col("known") > 0), F.col(f"f{k}") / F.col("known"))))  # noqa: B023, E731
-        some = F.count_if(here & head & (F.col("known") > 0)) > 0
+        count = lambda c, of: F.coalesce(F.sum(F.when(here & of, F.col(c))), F.lit(0))  # noqa: B023, E731
+        share = lambda k: rounded(F.avg(F.when(here & paper & (F.col("known") > 0), F.col(f"f{k}") / F.col("known"))))  # noqa: B023, E731
+        some = F.count_if(here & paper & (F.col("known") > 0)) > 0
         sums += [
-            count("n").alias(f"{p}_items"), count("known").alias(f"{p}_forms"), F.count_if(here & ~head).alias(f"{p}_scores"), rounded(F.sum(F.when(here & head, F.col("total")))).alias(f"{p}_total"),
-            rounded(F.percentile(F.when(here, score), 0.5)).alias(f"{p}_median"), F.when(some, rounded(sum((share(k) for k in range(len(long_forms))), F.lit(0.0)))).alias(f"{p}_long"),
+            count("n", paper).alias(f"{p}_items"), count("known", paper).alias(f"{p}_forms"), count("n", score).alias(f"{p}_scores"), rounded(F.sum(F.when(here & paper, F.col("total")))).alias(f"{p}_total"),
+            rounded(F.percentile(F.when(here & score, F.col("score")), F.lit(0.5), F.col("n"))).alias(f"{p}_median"), F.when(some, rounded(sum((share(k) for k in range(len(long_forms))), F.lit(0.0)))).alias(f"{p}_long"),
         ]
         names += [f"{p}_{c}" for c in ("items", "forms", "scores", "total", "median", "long")]
-    keys = ("kind", "entity")
-    seen = F.array_distinct(F.flatten(F.collect_set(F.when(head, F.col("years"))))).alias("seen")
-    d = per_type(rows.groupBy(*keys, "paper_type").agg(*sums, seen), paper_types(dims), [*names, "seen"], keys)
-    seen = F.coalesce(F.col("v")["seen"], F.array().cast("array<int>"))
-    flags = F.array_join(F.transform("years", lambda y: F.when(F.array_contains(seen, y), "1").otherwise("0")), "")
-    hits = {"h": F.size(F.filter(seen, lambda y: y < F.col("recent_start"))), "r": F.size(F.filter(seen, lambda y: y >= F.col("recent_start")))}
+    keys, bits = ("kind", "entity"), [f"b{w}" for w in range(words)]
+    d = per_type(rows.groupBy(*keys, "paper_type").agg(*sums, *[F.bit_or(b).alias(b) for b in bits]), types, [*names, *bits], keys)
+    # the year bit set as flags: bit k tells the type's k-th year
+    bit = lambda k: F.coalesce(F.get(F.array(*[F.col("v")[b] for b in bits]), F.floor(k / WORD).cast("int")), F.lit(0).cast("long"))
+    present = F.transform("years", lambda y, k: F.call_function("shiftright", bit(k), k % WORD).bitwiseAND(F.lit(1).cast("long")) == 1)
+    d = d.withColumn("seen", F.filter(F.transform(present, lambda x, k: F.when(x, F.get("years", k))), lambda y: y.isNotNull()))
+    flags = F.array_join(F.transform(present, lambda x: F.when(x, "1").otherwise("0")), "")
+    hits = {"h": F.size(F.filter("seen", lambda y: y < F.col("recent_start"))), "r": F.size(F.filter("seen", lambda y: y >= F.col("recent_start")))}
     zero = {"items": 0, "forms": 0, "scores": 0, "total": 0.0}
     out = d.select(
-        *keys, "paper_type", "h_years", "r_years", "h_papers", "r_papers", F.array_min(seen).alias("first_seen"), F.array_max(seen).alias("last_seen"), flags.alias("flags"),
+        *keys, "paper_type", "h_years", "r_years", "h_papers", "r_papers", F.array_min("seen").alias("first_seen"), F.array_max("seen").alias("last_seen"), flags.alias("flags"),
         *[hits[p].cast("long").alias(f"{p}_hits") for p in "hr"], *[F.coalesce(F.col("v")[n], F.lit(zero[n[2:]])).alias(n) if n[2:] in zero else F.col("v")[n].alias(n) for n in names],
     )
     for p in "hr":

@@ -270,7 +270,7 @@ def dq8_all_event_rules(spark, d):
 
 @query(W + """, r AS (SELECT event_id, k, CASE k % 6 WHEN 0 THEN 'no link ' || k WHEN 1 THEN '[[d' || k || ']]' WHEN 2 THEN '![[d' || k || '#part 1|shown]]' WHEN 3 THEN '[[#own]]' WHEN 4 THEN ' [[d' || k || '.md#part 2]] ' ELSE '[[x/d' || k || ']]' END AS ref FROM ledger),
 t AS (SELECT doc_id AS k, doc_id % 5 = 0 AS gone, doc_id % 3 = 0 AS headed FROM documents)
-SELECT event_id, ref, CASE WHEN r.k % 6 = 0 THEN 'no_link' WHEN r.k % 6 = 3 THEN NULL WHEN t.k IS NULL OR gone THEN 'broken' WHEN r.k % 6 = 2 AND NOT headed THEN 'no_heading' WHEN r.k % 6 = 4 THEN 'no_heading' END AS issue
+SELECT event_id, ref, CASE WHEN r.k % 6 = 0 THEN 'no_link' WHEN r.k % 6 = 3 THEN NULL WHEN r.k % 6 = 5 OR t.k IS NULL OR gone THEN 'broken' WHEN r.k % 6 = 2 AND NOT headed THEN 'no_heading' WHEN r.k % 6 = 4 THEN 'no_heading' END AS issue
 FROM r LEFT JOIN t ON t.k = r.k WHERE issue IS NOT NULL""")
 def dq8_source_refs(spark, d):
     k = F.col("k").cast("string")

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import time
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import matched, stripped, text_lines
+from .store import Store
 
 
 def read_texts(spark: SparkSession, path: str, glob: str = "*.md") -> DataFrame:
@@ -62,21 +66,59 @@ def file_fingerprints(spark: SparkSession, path: str, glob: str = "*") -> DataFr
     return d.select("path", "length", F.sha2("content", 256).alias("sha256"))
 
 
-def publish(df: DataFrame, path: str, fmt: str = "parquet") -> None:
-    """Replaces a result as a whole; the committer makes it visible when all tasks are done."""
-    df.write.mode("overwrite").format(fmt).save(path)
+#: Versions of a published folder that stay, the current one included; readers of older ones must have ended.
+VERSIONS = 2
+
+
+def _publish(spark: SparkSession, folder: str, write, version: str | None, keep: int) -> str:
+    """A new version below folder by write(path), then the pointer moves to it, then old versions go. Whatever breaks leaves the pointer at a whole version."""
+    store = Store(spark, folder)
+    version = version or f"{int(time.time() * 1000):013d}-{uuid.uuid4().hex[:8]}"
+    if "/" in version or version[0] in "._":
+        raise ValueError(f"not a version's name: {version}")
+    current = store.read(f"{folder}/_current")
+    if current == version:
+        raise ValueError(f"version {version} is the current one")
+    store.delete(f"{folder}/{version}")  # of a try that broke
+    write(f"{folder}/{version}")
+    store.write(f"{folder}/_previous", "\n".join([*(store.read(f"{folder}/_previous") or "").split("\n"), current or ""]).strip())
+    store.write(f"{folder}/_current", version)
+    # of the versions that were current, so many stay; what was never current is a broken try of before
+    known = [v for v in (store.read(f"{folder}/_previous") or "").split("\n") if v]
+    old = known[: len(known) - (keep - 1)]
+    for v in old:
+        if v != version:
+            store.delete(f"{folder}/{v}")
+    store.write(f"{folder}/_previous", "\n".join(v for v in known if v not in old))
+    return version
+
+
+def _current(spark: SparkSession, folder: str) -> str:
+    version = Store(spark, folder).read(f"{folder}/_current")
+    if version is None:
+        raise FileNotFoundError(f"nothing is published below {folder}")
+    return f"{folder}/{version}"
+
 
+def publish(df: DataFrame, folder: str, fmt: str = "parquet", *, version: str | None = None, keep: int = VERSIONS) -> str:
+    """Replaces a result as a whole: a new version is written beside the old one, and one rename of a pointer makes it the result."""
+    return _publish(df.sparkSession, folder, lambda path: df.write.format(fmt).save(path), version, keep)
 
-def publish_views(views: dict[str, DataFrame], folder: str, version: str) -> DataFrame:
+
+def published(spark: SparkSession, folder: str, fmt: str = "parquet") -> DataFrame:
+    """The result that the pointer names."""
+    return spark.read.format(fmt).load(_current(spark, folder))
+
+
+def publish_views(views: dict[str, DataFrame], folder: str, version: str | None = None, *, keep: int = VERSIONS) -> str:
     """Writes all views below a new version, then points to it; readers follow the pointer, so they see all or none."""
-    for name, df in views.items():
-        df.write.mode("overwrite").parquet(f"{folder}/{version}/{name}")
-    spark = next(iter(views.values())).sparkSession
-    pointer = spark.range(1).select(F.lit(version).alias("version"), F.array(*map(F.lit, sorted(views))).alias("views"))
-    pointer.coalesce(1).write.mode("overwrite").parquet(f"{folder}/current")
-    return pointer
+
+    def write(path: str) -> None:
+        for name, df in views.items():
+            df.write.parquet(f"{path}/{name}")
+
+    return _publish(next(iter(views.values())).sparkSession, folder, write, version, keep)
 
 
 def published_view(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    version = spark.read.parquet(f"{folder}/current").first()["version"]
-    return spark.read.parquet(f"{folder}/{version}/{name}")
+    return spark.read.parquet(f"{_current(spark, folder)}/{name}")

@@ -126,6 +126,8 @@ def test_publish_views_and_gate(spark, tmp_path):
     S.publish_views({"x": d, "y": d.where("id > 0")}, str(tmp_path / "v"), "v1")
     S.publish_views({"x": d.where("id > 1"), "y": d}, str(tmp_path / "v"), "v2")
     assert S.published_view(spark, str(tmp_path / "v"), "x").count() == 1
+    S.publish_views({"x": d}, str(tmp_path / "v"), "v3")
+    assert not (tmp_path / "v/v1").exists() and (tmp_path / "v/v2").exists()  # the one before stays for its readers
     B.quality_gate(d.where("id > 9"))
     with pytest.raises(B.QualityError) as e:
         B.quality_gate(d)

@@ -244,3 +244,60 @@ def test_progress_state_holds_what_the_delay_leaves_open():
     clock.now += 10 * 3_600_000
     list(p.handleExpiredTimer((1,), clock, None))
     assert p.open.rows == [] and p.before.row[1] == 199
+
+
+# publishing
+
+
+def test_a_broken_publication_leaves_the_old_result(spark, tmp_path):
+    from evidence_engine.sources.files import publish, publish_views, published, published_view
+
+    fail = F.udf(lambda x: 1 // (x - x), "long")
+    where, d = str(tmp_path / "one"), spark.range(5)
+    publish(d, where)
+    with pytest.raises(Exception, match="ZeroDivision"):
+        publish(d.select(fail("id").alias("id")), where)
+    assert published(spark, where).count() == 5
+    publish(spark.range(7), where)
+    assert published(spark, where).count() == 7
+    views = str(tmp_path / "views")
+    publish_views({"a": d, "b": d}, views)
+    with pytest.raises(Exception, match="ZeroDivision"):
+        publish_views({"a": spark.range(9), "b": d.select(fail("id").alias("id"))}, views)
+    assert published_view(spark, views, "a").count() == published_view(spark, views, "b").count() == 5
+    with pytest.raises(FileNotFoundError):
+        published(spark, str(tmp_path / "none"))
+    for k in range(4):
+        publish(spark.range(k), where)
+    assert len(Store(spark, where).names(where)) <= 3 and published(spark, where).count() == 3
+
+
+# trees of hashes
+
+
+def test_tree_diff_opens_what_differs(spark, tmp_path):
+    from evidence_engine.operators.integrity import HashTree, fingerprints
+
+    rows = spark.range(20_000).select("id", F.concat(F.lit("text "), "id").alias("text"))
+    old = HashTree.write(fingerprints(rows, "id", "text"), str(tmp_path / "a"), "id", fan=16, per_leaf=100)
+    assert old.levels == 2 and old.root()[1] == 20_000
+    same = HashTree.write(fingerprints(rows.repartition(7), "id", "text"), str(tmp_path / "b"), "id", levels=2, fan=16)
+    assert old.root() == same.root() and old.diff(same).count() == 0
+    changed = rows.where("id NOT IN (5, 17)").withColumn("text", F.when(F.col("id").isin(3, 4, 9000), "other").otherwise(F.col("text"))).unionByName(spark.createDataFrame([(50_000, "new")], "id long, text string"))
+    new = HashTree.write(fingerprints(changed, "id", "text"), str(tmp_path / "c"), "id", levels=2, fan=16)
+    assert {(r["id"], r["change"]) for r in old.diff(new).collect()} == {(5, "missing"), (17, "missing"), (3, "changed"), (4, "changed"), (9000, "changed"), (50_000, "added")}
+    assert 0 < old.opened < 1000  # 6 leaves of 256
+    empty = HashTree.write(fingerprints(rows.limit(0), "id", "text"), str(tmp_path / "d"), "id", levels=2, fan=16)
+    assert empty.diff(old).where("change = 'added'").count() == 20_000
+
+
+def test_links_of_one_target_are_dealt_out(spark):
+    from evidence_engine.operators.integrity import resolve_links
+
+    targets = spark.createDataFrame([("a/x.md",), ("b/y.md",), ("c/y.md",), ("d/z",), ("x",)], "path string")
+    asked = ["a/x.md", "a/x", "x", "x.md", "q/x", "y", "b/y", "z", "d/z", "none", None, ""]
+    links = spark.createDataFrame([(k, t) for k, t in enumerate(asked)] + [(1000 + k, "a/x") for k in range(2000)], "id long, target string")
+    out = resolve_links(links, targets)
+    got = {r["id"]: r["how"] for r in out.collect()}
+    assert [got[k] for k in range(12)] == ["exact", "suffixed", "exact", "basename", "broken", "broken", "suffixed", "basename", "exact", "broken", "broken", "broken"]
+    assert len(got) == 2012 and out.columns == ["id", "target", "how"]
