@@ -229,6 +229,9 @@ def test_quality_calibration_where_plain_newton_steps_diverge():
         model = quality_classifier.calibrated((b"", b""), d, good, 0.86)
         z = ((quality_classifier._expanded(d) - model.mean) / model.scale) @ np.array(model.weights) + model.intercept
         assert ((z > 0) == good).mean() > 0.95 and np.abs(model.weights).max() < 100
+        low = np.linspace(-3, 3, 200)
+        z = ((quality_classifier._expanded(low) - model.mean) / model.scale) @ np.array(model.weights)
+        assert (np.diff(z) > 0).all()  # a better difference never scores lower
 
 
 def test_quality_difference_against_plain_compression(spark):
