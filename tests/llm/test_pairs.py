@@ -408,6 +408,33 @@ def test_pipeline_against_its_stages(spark, tmp_path):
     assert {r["doc_id"] for r in out} == set(kept) and all(r["length"] == len(exact_ids(kept[r["doc_id"]]["text"])) for r in out)
 
 
+def test_pipeline_takes_edge_rows_empty_tables_and_clashing_columns(spark, tmp_path):
+    import corpus_pipeline
+
+    kind = "doc_id long, text string, lang string, source string, n_chars long, __toxicity string, __kept_text string, __kept_lines int, fp long, node long, length int"
+    long = " ".join(prose(200, 7000 + k) for k in range(100))
+    rows = [(*r, "en", None, None, "t", "old", 7, 1, 2, 3) for r in [(None, None), (None, "no id but a line of text"), (1, None), (2, ""), (3, " \t"), (4, long), (5, prose(40, 2)), (5, prose(40, 2)), (6, prose(50, 3))]]
+    rows += [(100 + i, prose(40, 600 + i) + (" scumzo idiotzu" if i % 5 == 0 else ""), "en", "s", 1, "t", "old", 7, 1, 2, 3) for i in range(60)]
+    for name, some in (("full", rows), ("empty", [])):
+        d = tmp_path / name
+        spark.createDataFrame(some, kind).write.parquet(str(d / "documents.parquet"))
+        spark.createDataFrame([(100 + i, 1, int(i % 5 == 0)) for i in range(60)], "doc_id long, quality int, toxic int").write.parquet(str(d / "labels.parquet"))
+        spark.createDataFrame([(0, prose(30, 77)), (1, None)], "item_id long, text string").write.parquet(str(d / "benchmark.parquet"))
+        at = docs = spark.read.parquet(str(d / "documents.parquet"))
+        for stage, f in corpus_pipeline.STAGES[:-1]:
+            at = f(spark, at, str(d))
+            assert at.columns == docs.columns, stage
+        kept = at.collect()
+        assert {(r["__toxicity"], r["__kept_text"], r["__kept_lines"]) for r in kept} <= {("t", "old", 7)}
+        ids = [r["doc_id"] for r in kept]
+        if some:
+            assert ids.count(5) == 1 and {4, 6} <= set(ids) and ids.count(None) >= 1 and any(r["text"] == long for r in kept)
+        else:
+            assert not ids
+        out = corpus_pipeline.run(spark, str(d)).collect()
+        assert sorted({str(r["doc_id"]) for r in out}) == sorted({str(i) for i in ids})
+
+
 # -- Near copies ----------------------------------------------------------------------------------------------------
 
 
@@ -447,13 +474,33 @@ def test_near_copies_of_ordinary_length(spark, monkeypatch):
                 parent[max(a_, b_)] = min(a_, b_)
     want = sorted(i for i in parent if find(i) == i)
     assert far >= 20  # SimHash alone leaves these
-    for chunk in (near_copies.CHUNK, 1):
+    for chunk, most in ((near_copies.CHUNK, near_copies.SHINGLES), (1, near_copies.SHINGLES), (near_copies.CHUNK, 100)):
         monkeypatch.setattr(near_copies, "CHUNK", chunk)
+        monkeypatch.setattr(near_copies, "SHINGLES", most)
         left = near_copies.one_per_class(frame(spark, rows)).collect()
         assert sorted(r["doc_id"] for r in left if r["doc_id"] is not None) == want
         assert sum(r["doc_id"] is None for r in left) == 3
 
 
+def test_a_hot_bucket_takes_no_pairs_of_chunks(spark, monkeypatch):
+    """400 near copies in 50 chunks: the sets that are compared after the first pass grow with the group, not with its square."""
+    base = words(60, 77)
+    rows = []
+    for i in range(400):
+        w = list(base)
+        w[i % 60] = f"other{i}"
+        rows.append((i, " ".join(w)))
+    rows += [(1000 + i, prose(60, 9000 + i)) for i in range(20)]
+    monkeypatch.setattr(near_copies, "CHUNK", 8)
+    compared = []
+    plain = near_copies._compared
+    monkeypatch.setattr(near_copies, "_compared", lambda rows, sets, *group: compared.append((group, rows.count())) or plain(rows, sets, *group))
+    left = sorted(r["doc_id"] for r in near_copies.one_per_class(frame(spark, rows)).collect())
+    assert left == [0, *range(1000, 1020)]
+    first = sum(n for g, n in compared if g == ("key", "c"))
+    assert sum(n for g, n in compared if g == ("key", "r", "c")) <= first and first < 24 * 400 * 3, compared
+
+
 def test_rows_that_repeat_id_and_text_leave_one(spark):
     rows = [(1, "one two three four five six"), (1, "one two three four five six"), (1, prose(30, 4)), (2, "One two three four five six"), (None, "x"), (None, "x")]
     for own in (simhash, near_copies):
