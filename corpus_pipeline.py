@@ -18,18 +18,27 @@ from evidence_engine.llm.common import stored, table
 from evidence_engine.llm.queries import tokenizer_path, toxicity_learn
 
 
+def _free(docs: DataFrame, name: str, suffixes: tuple[str, ...] = ("",)) -> str:
+    """A name, with none of whose suffixes docs has a column."""
+    taken = {c.lower() for c in docs.columns}
+    while any((name + x).lower() in taken for x in suffixes):
+        name = "_" + name
+    return name
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity score stays below the threshold."""
-    labels = table(spark, sf_dir, "labels")
+    labels, score = table(spark, sf_dir, "labels"), _free(docs, "__toxicity")
     model = toxicity.train(docs, toxicity.confirmed(labels), toxicity_learn(), prior=toxicity.label_prior(labels, toxicity_learn()))
-    return toxicity.scored(docs, model, score_col="__toxicity").where(F.col("__toxicity") < toxicity.THRESHOLD).drop("__toxicity")
+    return toxicity.scored(docs, model, score_col=score).where(F.col(score) < toxicity.THRESHOLD).drop(score)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without the lines that a document before holds; n_chars follows the text."""
-    kept = line_dedup.line_dedup(docs, prefix="__kept")
-    changed = F.col("__kept_dropped") > 0
-    kept = kept.withColumn("text", F.when(changed, F.col("__kept_text")).otherwise(F.col("text")))
+    own = _free(docs, "__kept", ("_text", "_lines", "_dropped"))
+    kept = line_dedup.line_dedup(docs, prefix=own)
+    changed = F.col(f"{own}_dropped") > 0
+    kept = kept.withColumn("text", F.when(changed, F.col(f"{own}_text")).otherwise(F.col("text")))
     return kept.withColumn("n_chars", F.when(changed, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
 
 
