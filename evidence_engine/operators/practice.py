@@ -7,6 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.scratch import kept
 from .mastery import latest_judgement, mastery
 
 
@@ -83,7 +84,8 @@ def mock_paper(items: DataFrame, template: DataFrame) -> DataFrame:
     """Items not of the template's paper, as many of each form as it has.
 
     Forms are few and may hold any share of the items, so each group of a form's items gives its first ones, up to the largest
-    quota (the size of one paper at most), and the final order runs over those."""
+    quota (the size of one paper at most), and the final order runs over those. The template is one paper, kept."""
+    template = kept(template.select("form", "paper"))
     quota = template.groupBy("form").agg(F.count("*").alias("quota"))
     most = quota.agg(F.max("quota")).first()[0] or 0
     own = items.join(template.select("paper").distinct(), "paper", "left_anti").withColumn("__salt", F.pmod(F.xxhash64("anchor", "tie"), F.lit(SALTS)))
