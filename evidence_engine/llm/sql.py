@@ -142,4 +142,57 @@ SELECT o.doc_id, o.leaf, c.subroot, t.h AS root, sha256(e.proof) AS proof_sha256
 FROM own o JOIN climbed c ON o.doc_id = c.doc_id JOIN ended e ON o.doc_id = e.doc_id, (SELECT h FROM tops WHERE n = 1) t
 """
 
-ORACLES = {"op1_line_dedup": OP1, "op2_quality_rules": OP2, "op3_chat_format": OP3, "op12_substring_dedup": OP12, "op13_merkle_manifest": OP13}
+def _plus(state: str, cost: str, edit: str) -> str:
+    return f"{{'c': {state}.c + {cost}, 'a': {state}.a || '{edit}'}}"
+
+
+_FAR = "{'c': 1000000000, 'a': ''}"  # a state that can't be reached
+_KEPT = lambda states, initial: ", ".join(f"CASE WHEN stays AND initial = '{initial}' THEN {_plus(s, 'extra', 'K')} ELSE {_FAR} END" for s in states)
+_NAMED = lambda states: ", ".join(f"CASE WHEN stays THEN {_plus(s, '2 + extra', 'R')} ELSE {_FAR} END" for s in states)
+
+#: States: s0 the start, s1 after a system turn, s2 after a user's, s3 after an assistant's; a state is its cost and edits.
+OP11 = f"""
+WITH RECURSIVE crc AS (
+  SELECT list_transform(range(256), lambda i: list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i)) AS tab),
+t AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         xor(list_reduce(list_transform(string_split(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '), ''), lambda x: CAST(ascii(x) AS BIGINT)),
+                         lambda c, b: xor(c >> 8, tab[xor(c & 255, b) + 1]), 4294967295), 4294967295) % 20 AS by_crc FROM conversations, crc),
+d AS (
+  SELECT conv_id, turn, CASE WHEN by_crc = 4 THEN 'user' ELSE role END AS role, CASE by_crc WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text FROM t WHERE by_crc <> 0
+  UNION ALL SELECT conv_id, turn, role, text FROM t WHERE by_crc = 3),
+p AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, seq) AS i, left(role, 1) AS initial
+  FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST) AS seq FROM d)),
+o AS (
+  SELECT *, fault IS NULL OR fault = 'truncated' AS stays, CASE WHEN fault = 'truncated' THEN 1 ELSE 0 END AS extra FROM (
+    SELECT *, CASE WHEN trim(text, {WHITE}) = '' THEN 'blank' WHEN seq > 1 THEN 'duplicate' WHEN right(rtrim(text, {WHITE}), 1) NOT IN ('.', '!', '?') THEN 'truncated' END AS fault,
+           lag(initial) OVER (PARTITION BY conv_id ORDER BY i) || initial AS pair FROM p)),
+ids AS (SELECT DISTINCT conv_id FROM conversations),
+v AS (
+  SELECT conv_id, 0::BIGINT AS i, {{'c': 0, 'a': ''}} AS s0, {_FAR} AS s1, {{'c': 2, 'a': 'I'}} AS s2, {{'c': 4, 'a': 'II'}} AS s3 FROM ids
+  UNION ALL
+  SELECT conv_id, i, s0, s1, u AS s2, list_min([n3, {_plus("u", "2", "I")}]) AS s3 FROM (
+    SELECT conv_id, i, s0, s1, n3, list_min([n2, {_plus("s0", "2", "I")}, {_plus("s1", "2", "I")}, {_plus("n3", "2", "I")}]) AS u FROM (
+      SELECT v.conv_id, o.i, {_plus("s0", "3", "D")} AS s0, list_min([{_plus("s1", "3", "D")}, {_KEPT(["s0"], "s")}]) AS s1,
+             list_min([{_plus("s2", "3", "D")}, {_KEPT(["s0", "s1", "s3"], "u")}, {_NAMED(["s0", "s1", "s3"])}]) AS n2,
+             list_min([{_plus("s3", "3", "D")}, {_KEPT(["s2"], "a")}, {_NAMED(["s2"])}]) AS n3
+      FROM v JOIN o ON o.conv_id IS NOT DISTINCT FROM v.conv_id AND o.i = v.i + 1))),
+best AS (SELECT conv_id, list_min([s0, s3]) AS b FROM v QUALIFY i = max(i) OVER (PARTITION BY conv_id)),
+w AS (
+  SELECT conv_id, b.a AS audit, 1 AS pos, 0::BIGINT AS i, 's0' AS state, CAST([] AS VARCHAR[]) AS said FROM best
+  UNION ALL
+  SELECT conv_id, audit, pos + 1, CASE WHEN e = 'I' THEN i ELSE i + 1 END,
+         CASE WHEN e = 'D' THEN state WHEN e = 'K' THEN CASE initial WHEN 's' THEN 's1' WHEN 'u' THEN 's2' ELSE 's3' END WHEN state = 's2' THEN 's3' ELSE 's2' END,
+         CASE WHEN e = 'D' THEN said ELSE list_append(said, CASE WHEN e = 'K' THEN role WHEN state = 's2' THEN 'assistant' ELSE 'user' END || ':' || CASE WHEN e = 'I' THEN '' ELSE text END) END
+  FROM (SELECT w.*, substr(audit, pos, 1) AS e, o.initial, o.role, o.text FROM w LEFT JOIN o ON o.conv_id IS NOT DISTINCT FROM w.conv_id AND o.i = w.i + 1 WHERE w.pos <= length(audit))),
+told AS (SELECT conv_id, audit, sha256(array_to_string(said, chr(10))) AS repaired_sha256 FROM w WHERE pos = length(audit) + 1),
+n AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (WHERE fault = 'blank') AS blank, count(*) FILTER (WHERE fault = 'duplicate') AS duplicate,
+         count(*) FILTER (WHERE fault = 'truncated') AS truncated, count(*) FILTER (WHERE pair NOT IN ('su', 'ua', 'au')) AS illegal FROM o GROUP BY conv_id)
+SELECT told.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+       CAST(best.b.c AS BIGINT) AS cost, told.audit, told.repaired_sha256
+FROM told JOIN best ON best.conv_id IS NOT DISTINCT FROM told.conv_id LEFT JOIN n ON n.conv_id IS NOT DISTINCT FROM told.conv_id
+"""
+
+ORACLES = {"op1_line_dedup": OP1, "op2_quality_rules": OP2, "op3_chat_format": OP3, "op11_conversation_repair": OP11, "op12_substring_dedup": OP12, "op13_merkle_manifest": OP13}

@@ -312,3 +312,19 @@ def test_tree_states_resume_before_each_slot():
         changed = [*nodes]
         changed[k] = sha("other").encode()
         assert tree.fold(k, changed[k]).decode() == brute_root([x.decode() for x in changed])[0]
+
+
+@pytest.mark.parametrize("name", ["op11_conversation_repair", "op12_substring_dedup", "op13_merkle_manifest"])
+def test_query_equals_sql(spark, name):
+    from pathlib import Path
+
+    import duckdb
+
+    con = duckdb.connect()
+    for p in Path("/root/testdata/sf0.001").glob("*.parquet"):
+        con.execute(f"CREATE VIEW {p.stem} AS SELECT * FROM '{p}'")
+    df = queries.QUERIES[name](spark, "/root/testdata/sf0.001")
+    cursor = con.execute(queries.oracle_sql()[name])
+    names = [c[0] for c in cursor.description]
+    assert sorted(names) == sorted(df.columns)
+    assert Counter(tuple(r[c] for c in names) for r in df.collect()) == Counter(cursor.fetchall())
