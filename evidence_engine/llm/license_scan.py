@@ -2,9 +2,11 @@
 
 A multinomial logistic regression over hashed word 1-grams and 2-grams predicts the licence family of every paragraph that has a licence word, or that it is
 unknown. It is trained by Spark on the templates below, on names of licences in sentences that grant them, and, as unknown, on the same names in
-sentences that deny or only discuss them, on sentences that speak of licences and name none, and on a bounded sample of the corpus: lines without a
-licence word, and paragraphs with one that resemble no family. These come from all documents, by hash. The probability that a family must
-reach is calibrated on those of the latter kind that did not train: a quantile of what the model gives to any family there.
+sentences that deny or only discuss them, on sentences that speak of licences and name none, and on the whole corpus: half of all distinct paragraphs
+with a licence word that resemble no family, by hash, row by row; and every line without a licence word, as often as it occurs. The model is never asked
+about the latter, so they train by the means of their features in classes of length (a bounded number of rows, in which each line counts alike). Each of the
+two kinds weighs as much as its rows, ``UNKNOWN_WEIGHT`` at most, so that a large corpus doesn't outweigh the licences. The probability that a family must
+reach is calibrated on the other half of those paragraphs, all of them: an exact quantile of what the model gives to any family there.
 
 A prediction is confirmed by comparison with the texts of the predicted family alone: the share of a text's words that the paragraph holds, each
 weighed by how few families use it, must reach ``CONFIRM`` for one of them. Versions and spellings of "license" don't count.
@@ -24,17 +26,19 @@ import re
 from functools import reduce
 
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import HashingTF
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.feature import HashingTF, NGram
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.ranks import ranked
 from .common import let, stored
 
-#: Corpus paragraphs of each kind that stand for unknown text in training, and as many again that calibrate.
-SAMPLE_PARAGRAPHS = 500
-#: Documents for each paragraph of the sample, drawn by hash.
-SAMPLE_DOCUMENTS = 20
+#: What all unknown rows of a kind from the corpus weigh together, at most (a template weighs 20).
+UNKNOWN_WEIGHT = 500.0
+#: Training rows of a task.
+TASK_ROWS = 20_000
 #: Share of unknown paragraphs whose probability of any family stays below the limit.
 QUANTILE = 0.99
 #: Share of a template's content words that a paragraph must hold.
@@ -259,47 +263,89 @@ def mentions(text: Column) -> Column:
 
 
 def windows(rows: DataFrame, edge) -> DataFrame:
-    """doc_id, paragraph, text, and before and after (the text without its last line, and without its first) of the paragraphs of 1 to WINDOW lines that start
-    at rows, that have a licence word, and whose first and last lines have a word of some wording."""
+    """doc_id, paragraph and text of the paragraphs of 1 to WINDOW lines that start at rows, that have a licence word, and whose first and last lines have a
+    word of some wording."""
     widths = F.filter(F.sequence(F.lit(1), F.size("lines")), lambda n: ~F.exists(F.slice("lines", 1, n), lambda x: F.trim(x) == ""))
     some = rows.where(edge(F.col("text"))).withColumn("__n", F.explode(widths))
     some = some.where((F.col("__n") == 1) | edge(F.get("lines", F.col("__n") - 1)))
-    part = lambda a, n: F.array_join(F.slice("lines", a, F.greatest(F.lit(0), n)), "\n")
-    some = some.select("doc_id", "paragraph", part(1, F.col("__n")).alias("text"), part(1, F.col("__n") - 1).alias("before"), part(2, F.col("__n") - 1).alias("after"))
+    some = some.select("doc_id", "paragraph", F.array_join(F.slice("lines", 1, F.col("__n")), "\n").alias("text"))
     return some.where(has_word(_tokens(F.col("text"))))
 
 
+def quantile_above(rows: DataFrame, least: float, share: float) -> float:
+    """The exact quantile of the column top, as percentile interpolates it, where it exceeds least, else least. Only values above least are put in order, by ranges."""
+    top = F.col("top")
+    n, below, under = rows.agg(F.count("*"), F.count_if(top <= least), F.max(F.when(top <= least, top))).first()
+    at = share * max(0, n - 1)
+    low, high = math.floor(at), math.ceil(at)
+    if n == 0 or high < below:
+        return least
+    places, _ = ranked(rows.where(top > least).select("top"), [], ["top"])
+    found = {below + r["at"]: r["top"] for r in places.where(F.col("at").isin(low - below, high - below)).collect()}
+    first = found.get(low, under)
+    return max(least, first + (found[high] - first) * (at - low))
+
+
 class Scanner:
     """The trained model with its calibrated limit."""
 
-    def __init__(self, spark: SparkSession, docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE_PARAGRAPHS):
+    def __init__(
+        self, spark: SparkSession, docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sample: int | None = None, asked: DataFrame | None = None
+    ):
+        """asked: what asked() gives for docs, if it is at hand. sample bounds the unknown rows of the corpus, for callers who want that; None takes them all."""
         self.families = [*sorted(TEMPLATES), UNKNOWN]
         self.hashing = HashingTF(inputCol="grams", outputCol="features", numFeatures=FEATURES, binary=True)
         at, unknown = {f: float(k) for k, f in enumerate(self.families)}, float(len(self.families) - 1)
         rows = [(t, at[f], 20.0) for f, ts in TEMPLATES.items() for t in ts] + [(t, unknown, 20.0) for t in GENERIC]
         rows += [(g.format(n), at[f], 4.0) for f, ns in NAMES.items() for n in ns for g in GRANTS] + [(g.format(n), unknown, 4.0) for ns in NAMES.values() for n in ns for g in DENIALS]
         given = spark.createDataFrame(rows, "text string, label double, weight double")
-        some = self.unknowns(docs, id_col=id_col, text_col=text_col, sample=sample)
-        training = stored(given.unionAll(some.where("fits").select("text", F.lit(unknown).alias("label"), F.lit(1.0).alias("weight"))).withColumn("grams", grams(_tokens(F.col("text")))).coalesce(1))
-        self.model = LogisticRegression(featuresCol="features", labelCol="label", weightCol="weight", family="multinomial", regParam=1e-3, maxIter=40).fit(self.hashing.transform(training))
-        rest = self.predicted(some.where("hard AND NOT fits")).agg(F.percentile("top", F.lit(QUANTILE))).first()[0]
-        self.limit = max(MIN_PROBABILITY, float(rest or 0.0))
+        some = self.unknowns(docs, id_col=id_col, text_col=text_col, sample=sample, asked=asked)
+        hard = some.where("hard AND fits")
+        n = hard.count()
+        known = given.unionAll(hard.select("text", F.lit(unknown).alias("label"), F.lit(min(1.0, UNKNOWN_WEIGHT / max(1, n))).alias("weight")))
+        known = self.hashed(known.withColumn("tokens", _tokens(F.col("text")))).select("features", "label", "weight", "text")
+        means = self.means(some.where("NOT hard AND fits")).withColumn("label", F.lit(unknown)).select("features", "label", "weight", F.lit("").alias("text"))
+        tasks = 1 + (n + len(rows)) // TASK_ROWS
+        training = stored(known.unionAll(means).repartition(tasks, "text").sortWithinPartitions("label", "weight", "text"))
+        self.model = LogisticRegression(featuresCol="features", labelCol="label", weightCol="weight", family="multinomial", regParam=1e-3, maxIter=40).fit(training)
+        self.limit = quantile_above(stored(self.predicted(some.where("hard AND NOT fits")).select("top")), MIN_PROBABILITY, QUANTILE)
+
+    @classmethod
+    def asked(cls, docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+        """The paragraphs of docs that the model is asked about, kept: doc_id (id, and row, which tells rows apart), paragraph, text, near (the largest similarity)."""
+        rows = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"), F.monotonically_increasing_id().alias("row")).where(mentions(F.col("text")))
+        lines = paragraphs(rows.select(F.struct("id", "row").alias("doc_id"), "text"))
+        return stored(windows(lines, cls.edge).withColumn("near", closest(_tokens(F.col("text")))))
 
     @classmethod
-    def unknowns(cls, docs: DataFrame, *, id_col: str, text_col: str, sample: int) -> DataFrame:
-        """text, hard and fits: distinct paragraphs that resemble no family, at most 2 sample with a licence word (hard) and as many lines without."""
-        share = min(1.0, SAMPLE_DOCUMENTS * sample / max(1, docs.count()))
-        drawn = docs.where(F.pmod(F.xxhash64(docs[id_col], docs[text_col]), F.lit(1 << 20)) < int(share * (1 << 20)))
-        drawn = stored(drawn.select(docs[text_col].alias("text"), F.monotonically_increasing_id().alias("doc_id")))  # rows, told apart
-        lines = paragraphs(drawn)
-        near = stored(windows(lines, cls.edge).withColumn("near", closest(_tokens(F.col("text")))))
+    def unknowns(cls, docs: DataFrame, *, id_col: str, text_col: str, sample: int | None = None, asked: DataFrame | None = None) -> DataFrame:
+        """text, hard and fits: the distinct paragraphs with a licence word that resemble no family (hard; half of them fit, the others calibrate), and every
+        line without a licence word. With sample, at most 2 sample of each kind, by hash."""
+        near = cls.asked(docs, id_col=id_col, text_col=text_col) if asked is None else asked
+        near = near.withColumn("row", F.col("doc_id.row"))
         around = F.explode(F.sequence(F.col("paragraph") - WINDOW, F.col("paragraph") + WINDOW)).alias("paragraph")
-        parts = near.where(F.col("near") >= CONFIRM).select("doc_id", around).distinct()  # the rest of a licence is no unknown text
-        hard = near.where(F.col("near") < CONFIRM).join(parts, ["doc_id", "paragraph"], "left_anti")
-        plain = lines.where((F.trim("text") != "") & ~has_word(_tokens(F.col("text"))))
-        order = F.xxhash64("text")
-        kinds = [df.select("text").distinct().orderBy(order).limit(2 * sample).withColumn("hard", F.lit(k)) for df, k in ((hard, True), (plain, False))]
-        return stored(kinds[0].unionAll(kinds[1]).withColumn("fits", F.pmod(F.xxhash64(F.lit("fits"), F.col("text")), F.lit(2)) == 0))
+        parts = near.where(F.col("near") >= CONFIRM).select("row", around).distinct()  # the rest of a licence is no unknown text
+        hard = near.where(F.col("near") < CONFIRM).join(parts, ["row", "paragraph"], "left_anti").select("text").distinct()
+        own = F.split(docs[text_col], "\n", -1)
+        plain = docs.select(F.explode(own).alias("text")).where(F.trim("text") != "")
+        plain = plain.where(~F.when(mentions(F.col("text")), has_word(_tokens(F.col("text")))).otherwise(False))
+        if sample is not None:
+            hard, plain = (df.orderBy(F.xxhash64("text")).limit(2 * sample) for df in (hard, plain))
+        hard = stored(hard.select("text", F.lit(True).alias("hard"), (F.pmod(F.xxhash64(F.lit("fits"), F.col("text")), F.lit(2)) == 0).alias("fits")))
+        return hard.unionAll(plain.select("text", F.lit(False).alias("hard"), F.lit(True).alias("fits")))
+
+    def means(self, lines: DataFrame) -> DataFrame:
+        """features and weight, by class of length (a power of two of words): the share of the lines that have each feature, and what the lines weigh."""
+        rows = self.hashed(lines.select(_tokens(F.col("text")).alias("tokens"))).groupBy(F.floor(F.log2(F.size("tokens") + F.lit(1))))
+        sums = stored(rows.agg(F.count("*").alias("__n"), Summarizer.numNonZeros(F.col("features")).alias("__held")))  # whole numbers: the same in any order
+        n = sums.agg(F.sum("__n")).first()[0] or 1
+        shares = F.transform(vector_to_array("__held"), lambda x: x / F.col("__n"))
+        return sums.select(array_to_vector(shares).alias("features"), (F.col("__n") * F.lit(min(1.0, UNKNOWN_WEIGHT / n))).alias("weight"))
+
+    def hashed(self, rows: DataFrame) -> DataFrame:
+        """rows (with tokens) with the features of their grams."""
+        pairs = NGram(n=2, inputCol="tokens", outputCol="__pairs").transform(rows)
+        return self.hashing.transform(pairs.withColumn("grams", F.concat("tokens", "__pairs"))).drop("__pairs", "grams")
 
     @staticmethod
     def edge(text: Column) -> Column:
@@ -308,21 +354,25 @@ class Scanner:
     def predicted(self, rows: DataFrame) -> DataFrame:
         """rows (with text) with tokens, and top and best: the probability and the number of the likeliest family."""
         tokens = rows.withColumn("tokens", _tokens(F.col("text")))
-        out = self.model.transform(self.hashing.transform(tokens.withColumn("grams", grams(F.col("tokens")))))
+        out = self.model.transform(self.hashed(tokens))
         known = F.slice(vector_to_array("probability"), 1, len(self.families) - 1)
         out = out.withColumn("__p", known).withColumn("top", F.array_max("__p"))
         out = out.withColumn("top", F.when(F.col("top") > F.get(vector_to_array("probability"), len(self.families) - 1), F.col("top")).otherwise(0.0))
-        return out.withColumn("best", F.array_position("__p", F.array_max("__p")).cast("int")).drop("__p", "features", "grams", "rawPrediction", "probability", "prediction")
+        return out.withColumn("best", F.array_position("__p", F.array_max("__p")).cast("int")).drop("__p", "features", "rawPrediction", "probability", "prediction")
 
-    def scan(self, docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    def scan(self, docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", asked: DataFrame | None = None) -> DataFrame:
         """doc_id, paragraph, family, probability, similarity and text of the paragraphs that show a licence."""
-        some = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text")).where(mentions(F.col("text")))
-        rows = self.predicted(windows(paragraphs(some), self.edge)).where(F.col("top") >= self.limit)
-        inner = lambda c: F.when(F.col(c) == "", 0.0).otherwise(similarity(_tokens(F.col(c)), F.col("best")))
+        rows = self.predicted(self.asked(docs, id_col=id_col, text_col=text_col) if asked is None else asked).where(F.col("top") >= self.limit)
         rows = rows.withColumn("similarity", similarity(F.col("tokens"), F.col("best"))).where(F.col("similarity") >= CONFIRM)
-        rows = rows.where((inner("before") < CONFIRM) & (inner("after") < CONFIRM))
-        return rows.select("doc_id", "paragraph", F.element_at(_literal(self.families), F.col("best")).alias("family"), F.col("top").alias("probability"), "similarity", "text")
-
-
-def license_paragraphs(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE_PARAGRAPHS) -> DataFrame:
-    return Scanner(docs.sparkSession, docs, id_col=id_col, text_col=text_col, sample=sample).scan(docs, id_col=id_col, text_col=text_col)
+        lines = F.split("text", "\n", -1)
+        inner = lambda a: let(  # noqa: E731  the text without a line: its last or its first
+            F.array_join(F.slice(lines, a, F.size(lines) - 1), "\n"), lambda x: F.when(x == "", 0.0).otherwise(similarity(_tokens(x), F.col("best")))
+        )
+        rows = rows.where((inner(1) < CONFIRM) & (inner(2) < CONFIRM))
+        family = F.element_at(_literal(self.families), F.col("best")).alias("family")
+        return rows.select(F.col("doc_id.id").alias("doc_id"), "paragraph", family, F.col("top").alias("probability"), "similarity", "text")
+
+
+def license_paragraphs(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sample: int | None = None) -> DataFrame:
+    asked = Scanner.asked(docs, id_col=id_col, text_col=text_col)
+    return Scanner(docs.sparkSession, docs, id_col=id_col, text_col=text_col, sample=sample, asked=asked).scan(docs, asked=asked)

@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import random
 import re
 from collections import defaultdict
 
@@ -255,5 +256,38 @@ def test_license_limit_is_calibrated_on_hard_negatives(spark):
     assert got == {(500 + i, 1, "mit") for i in range(10)}
 
 
+def test_license_model_and_limit_take_the_whole_corpus(spark):
+    hard = [f"the public {prose(3, 700 + i)} has a general license for software {prose(2, 3000 + i)}" for i in range(1300)]
+    docs = frame(spark, [(i, f"{t}\n\n{prose(4, i % 50)}\n{prose(4, i % 50)}") for i, t in enumerate(hard)] + [(None, None), (9000, "")])
+    found = license_scan.Scanner.unknowns(docs, id_col="doc_id", text_col="text")
+    paragraphs = found.where("hard").collect()
+    assert sorted(r["text"] for r in paragraphs) == sorted(set(hard)) and {r["fits"] for r in paragraphs} == {True, False}  # more than any sample held
+    plain = found.where("NOT hard AND fits")
+    assert sorted(r["text"] for r in plain.collect()) == sorted(prose(4, i % 50) for i in range(1300) for _ in range(2))
+
+    scanner = license_scan.Scanner.__new__(license_scan.Scanner)  # its features alone
+    scanner.hashing = license_scan.HashingTF(inputCol="grams", outputCol="features", numFeatures=license_scan.FEATURES, binary=True)
+    plain = spark.createDataFrame([(prose(1 + i % 9, i % 50),) for i in range(700)] + [("Licence, v2; a",), ("--",)], "text string")
+    tokens = license_scan._tokens(F.col("text"))
+    brute = scanner.hashing.transform(plain.withColumn("n", F.size(tokens)).withColumn("grams", license_scan.grams(tokens))).select("n", "features").collect()
+    classes = {}
+    for r in brute:
+        classes.setdefault((r["n"] + 1).bit_length(), []).append(r["features"].toArray())
+    want = sorted((len(rows) * min(1.0, license_scan.UNKNOWN_WEIGHT / len(brute)), [sum(x) / len(rows) for x in zip(*rows)]) for rows in classes.values())
+    got = sorted((r["weight"], list(r["features"].toArray())) for r in scanner.means(plain).collect())
+    assert len(got) == len(want) == 4
+    for (w, shares), (weight, features) in zip(want, got):
+        assert abs(w - weight) < 1e-9 and max(abs(a - b) for a, b in zip(shares, features)) < 1e-12
+
+
+def test_license_limit_is_the_exact_quantile(spark):
+    rng = random.Random(5)
+    cases = [[], [0.9], [0.1], [0.2, 0.9], [0.0] * 150 + [0.8], [0.0] * 90 + [0.7, 0.95], [0.0] * 500 + [0.9] * 40, [rng.random() for _ in range(2500)], [0.0] * 9 + [rng.random() ** 0.1 for _ in range(800)]]
+    for values in cases:
+        rows = spark.createDataFrame([(x,) for x in values], "top double")
+        want = rows.agg(F.percentile("top", F.lit(0.99))).first()[0]
+        assert abs(license_scan.quantile_above(rows, 0.7, 0.99) - max(0.7, want or 0.0)) < 1e-12, values[:5]
+
+
 def test_license_scan_empty(spark):
     assert license_scan.license_paragraphs(frame(spark, [])).count() == 0
