@@ -14,6 +14,13 @@ def latest_judgement(attempts: DataFrame) -> DataFrame:
     return attempts.groupBy("learner", "item_type").agg(F.max_by("judgement", F.struct("ts", "event_id")).alias("judgement"))
 
 
+def colour(a: Column, b: Column) -> Column:
+    """The colour that a key's last attempt and the one before (null if there is none) give: red if the last is wrong or blank; green if both are right
+    on different days; yellow otherwise."""
+    twice = (a["judgement"] == "OK") & (b["judgement"] == "OK") & (F.to_date(a["ts"]) != F.to_date(b["ts"]))
+    return F.when(a["judgement"].isin(*RED), "red").when(F.coalesce(twice, F.lit(False)), "green").otherwise("yellow")
+
+
 def mastery(attempts: DataFrame, keys: list[str]) -> DataFrame:
     """keys, colour, attempts: red if the last attempt is wrong or blank; green if the last two are right on different
     days; yellow otherwise. Keys without an attempt are untouched and have no row."""
@@ -24,9 +31,7 @@ def mastery(attempts: DataFrame, keys: list[str]) -> DataFrame:
         F.max(F.when(F.col("back") == 1, at)).alias("a"), F.max(F.when(F.col("back") == 2, at)).alias("b")
     )
     n = attempts.groupBy(*keys).agg(F.count("*").alias("attempts"))
-    twice = (F.col("a.judgement") == "OK") & (F.col("b.judgement") == "OK") & (F.to_date("a.ts") != F.to_date("b.ts"))
-    colour = F.when(F.col("a.judgement").isin(*RED), "red").when(F.coalesce(twice, F.lit(False)), "green").otherwise("yellow")
-    return last.join(n, keys).select(*keys, colour.alias("colour"), "attempts")
+    return last.join(n, keys).select(*keys, colour(F.col("a"), F.col("b")).alias("colour"), "attempts")
 
 
 def error_stats(attempts: DataFrame, causes: str, *by: str, small: int = 30) -> DataFrame:

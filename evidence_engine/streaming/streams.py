@@ -3,15 +3,17 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.internal import InternalFunction
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 from pyspark.sql.types import StringType, StructField, StructType
 
 from ..operators.ledger import VOCABULARY, event_rules
+from ..operators.mastery import colour
 from .key_index import BUCKETS, KeyIndex, append_fresh
 
 
@@ -27,6 +29,27 @@ def drain(stream: DataFrame, checkpoint: str, each: Callable[[DataFrame, int], N
         raise q.exception()
 
 
+#: The store whose state lies on disk, in a memory that all its parts on an executor share.
+_STORE = "spark.sql.streaming.stateStore."
+ROCKS = {
+    _STORE + "providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    _STORE + "rocksdb.boundedMemoryUsage": "true", _STORE + "rocksdb.maxMemoryUsageMB": "256",
+}
+
+
+@contextmanager
+def rocks(spark: SparkSession) -> Iterator[None]:
+    """Streams that start within hold their state in ROCKS."""
+    before = {k: spark.conf.get(k, None) for k in ROCKS}
+    for k, v in ROCKS.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def run_id(spark: SparkSession, checkpoint: str) -> str:
     """The identity of a checkpoint's query; a new checkpoint has another."""
     return spark.read.schema("id string").json(f"{checkpoint}/metadata").first()["id"]
@@ -81,31 +104,17 @@ def latest_windows(spark: SparkSession, out: str, by: str = "event_type") -> Dat
 
 
 def stream_mastery(stream: DataFrame, out: str, checkpoint: str) -> None:
-    """learner, item_type, colour, attempts as they change. A key's state is its last two attempts."""
-    state = "n long, a_ts timestamp, a_id long, a_j string, b_ts timestamp, b_id long, b_j string"
-
-    def fold(key: tuple, batches: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
-        n, seen = 0, []
-        if held.exists:
-            n, *rest = held.get
-            seen = [(rest[k], rest[k + 1], rest[k + 2]) for k in (0, 3) if rest[k + 2] is not None]
-        for pdf in batches:
-            n += len(pdf)
-            seen += list(zip(pdf["ts"], pdf["event_id"], pdf["judgement"], strict=True))
-        seen = sorted(seen, key=lambda x: (pd.Timestamp(x[0]), x[1]), reverse=True)[:2]
-        a, b = seen[0], seen[1] if len(seen) > 1 else (None, None, None)
-        as_time = lambda t: None if t is None else pd.Timestamp(t).to_pydatetime()
-        held.update((n, as_time(a[0]), int(a[1]), a[2], as_time(b[0]), None if b[1] is None else int(b[1]), b[2]))
-        twice = a[2] == "OK" and b[2] == "OK" and pd.Timestamp(a[0]).date() != pd.Timestamp(b[0]).date()
-        colour = "red" if a[2] in ("WRONG", "BLANK") else "green" if twice else "yellow"
-        yield pd.DataFrame({"learner": [key[0]], "item_type": [key[1]], "colour": [colour], "attempts": [n]})
-
-    keyed = stream.groupBy("learner", "item_type").applyInPandasWithState(fold, "learner long, item_type int, colour string, attempts long", state, "update", GroupStateTimeout.NoTimeout)
+    """learner, item_type, colour, attempts as they change. A key's state is the number of its attempts and the last two of them, in an aggregate of
+    Spark's own: nothing runs by key in Python, and the state lies on disk."""
+    last = InternalFunction.collect_top_k(F.struct("ts", "event_id", "judgement"), 2, False)  # the latest first
+    counted = stream.groupBy("learner", "item_type").agg(last.alias("last"), F.count("*").alias("attempts"))
+    keyed = counted.select("learner", "item_type", colour(F.get("last", F.lit(0)), F.get("last", F.lit(1))).alias("colour"), "attempts")
 
     def each(batch: DataFrame, number: int) -> None:
         batch.withColumn("version", F.lit(number)).write.mode("overwrite").parquet(f"{out}/batch={number}")
 
-    drain(keyed, checkpoint, each, mode="update")
+    with rocks(stream.sparkSession):
+        drain(keyed, checkpoint, each, mode="update")
 
 
 def latest_mastery(spark: SparkSession, out: str) -> DataFrame:
@@ -182,9 +191,6 @@ class _Progress(StatefulProcessor):
         pass
 
 
-ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-
-
 def stream_progress(stream: DataFrame, out: str, checkpoint: str, keys: list[str], order: list[str], value: str, run: str, *, delay: str = "1 day") -> None:
     """Status of each snapshot against the one before (as ``progress_deltas``), in versions: a late snapshot is put between its neighbours,
     and the one after it gets a new status. The first of order is the time. A key's state is its snapshots within the delay and one before, which a timer
@@ -193,20 +199,14 @@ def stream_progress(stream: DataFrame, out: str, checkpoint: str, keys: list[str
     kind = {f.name: f.dataType for f in stream.schema}
     schema = StructType([StructField(n, kind[n]) for n in names])
     result = StructType([*[StructField(k, kind[k]) for k in keys], *schema.fields, StructField("delta", kind[value]), StructField("status", StringType())])
-    spark = stream.sparkSession
     rows = stream.select(*keys, *names).withWatermark(order[0], delay).groupBy(*keys)
     changed = rows.transformWithStateInPandas(_Progress(schema, keys, order[0]), result, "update", "eventTime")
 
     def each(batch: DataFrame, number: int) -> None:
         batch.withColumn("version", F.lit(number)).write.mode("overwrite").parquet(f"{out}/batch={number}")
 
-    setting = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(setting)
-    spark.conf.set(setting, ROCKS)  # the only store that holds lists and timers
-    try:
+    with rocks(stream.sparkSession):  # the only store that holds lists and timers
         drain(changed, checkpoint, each, mode="update")
-    finally:
-        spark.conf.set(setting, before)
 
 
 def latest_progress(spark: SparkSession, out: str, keys: list[str]) -> DataFrame:
