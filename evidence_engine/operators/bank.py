@@ -161,7 +161,10 @@ def quality_gate(issues: DataFrame) -> None:
 # -- banks kept as Markdown --------------------------------------------------------------------------------------
 
 
-def blocks(texts: DataFrame, heading: str = r"^#{1,6}\s+(.+?)\s*$") -> DataFrame:
+HEADING = r"^#{1,6}\s+(.+?)\s*$"
+
+
+def blocks(texts: DataFrame, heading: str = HEADING) -> DataFrame:
     """file, block, anchor, pos (1-based line of the heading), body: the heading-delimited blocks of texts (file, text)."""
     lines = texts.select("file", F.posexplode(F.split("text", "\r?\n", -1)).alias("pos", "line"))
     d = lines.withColumn("head", F.col("line").rlike(heading))
@@ -172,6 +175,24 @@ def blocks(texts: DataFrame, heading: str = r"^#{1,6}\s+(.+?)\s*$") -> DataFrame
     return g.select("file", "block", F.regexp_extract(first["line"], heading, 1).alias("anchor"), (first["pos"] + 1).alias("pos"), body.alias("body"))
 
 
+def section_blocks(sections: DataFrame, heading: str = HEADING) -> DataFrame:
+    """path and the columns of blocks, of files that come by sections (``read_sections``): memory holds what stands between two lines that begin with a
+    number sign, and a block, but never a file. Every heading begins with a number sign; other lines that do open no block."""
+    w = Window.partitionBy("path").orderBy("part", "at")
+    so_far = w.rowsBetween(Window.unboundedPreceding, 0)
+    first, last = F.row_number().over(w) == 1, F.lead("at").over(w).isNull()
+    text = F.concat(F.when(first, "").otherwise("#"), F.when(last, F.col("text")).otherwise(F.regexp_replace("text", r"\r\z", "")))
+    d = sections.withColumn("text", F.regexp_replace(text, "\r\n", "\n"))
+    feeds = F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit("")))
+    d = d.withColumn("pos", F.sum(feeds + 1).over(so_far) - feeds)
+    d = d.withColumn("block", F.sum(F.substring_index("text", "\n", 1).rlike(heading).cast("int")).over(so_far)).where("block > 0")
+    whole = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "text"))), lambda x: x["text"]), "\n")
+    g = d.groupBy("path", "file", "block").agg(F.min("pos").cast("int").alias("pos"), whole.alias("text"))
+    line = F.substring_index("text", "\n", 1)
+    body = F.substr("text", F.length(line) + 2)
+    return g.select("path", "file", "block", F.regexp_extract(line, heading, 1).alias("anchor"), "pos", body.alias("body"))
+
+
 def metadata(body: Column) -> Column:
     """A map of the fields in the closed %% block right after a heading (blank lines may stand between); last one wins."""
     inner = matched(body, r"(?s)\A(?:[ \t]*\n)*[ \t]*%%[ \t]*\n(.*?)\n[ \t]*%%[ \t]*(?:\n|\z)", 1)

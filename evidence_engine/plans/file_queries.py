@@ -20,11 +20,16 @@ def _text(*parts: str | Column) -> Column:
     return F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
 
 
-def _written(df: DataFrame, value: Column) -> DataFrame:
-    """The texts of files that hold the value of each row, with a line end behind it."""
+def _saved(df: DataFrame, value: Column) -> str:
+    """A folder of files that hold the value of each row, with a line end behind it."""
     path = scratch(df.sparkSession)
     df.select(value.alias("value")).write.text(path)
-    return S.read_texts(df.sparkSession, path, "*.txt")
+    return path
+
+
+def _written(df: DataFrame, value: Column) -> DataFrame:
+    """The texts of such files."""
+    return S.read_texts(df.sparkSession, _saved(df, value), "*.txt")
 
 
 def _parts(spark, d):
@@ -41,7 +46,7 @@ def _bank(spark, d):
 
 
 def _blocks(spark, d):
-    return B.blocks(_written(*_bank(spark, d)), r"^##\s+(Q\d+)\s*$")
+    return B.section_blocks(S.read_sections(spark, _saved(*_bank(spark, d)), "*.txt"), r"^##\s+(Q\d+)\s*$")
 
 
 @query("SELECT 'Q' || p_partkey AS anchor, p_partkey % 4 = 1 AS early_text, p_partkey % 2 = 0 AS has_step FROM part")

@@ -18,6 +18,14 @@ def read_texts(spark: SparkSession, path: str, glob: str = "*.md") -> DataFrame:
     return d.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_name").alias("file"), F.regexp_replace("value", r"^\uFEFF", "").alias("text"))
 
 
+def read_sections(spark: SparkSession, path: str, glob: str = "*.md") -> DataFrame:
+    """path, file (name), part, at, text: files cut before each line that begins with a number sign, so none is held whole. (part, at) is the order in a
+    file. The line feed and the number sign at a cut belong to no text; a byte-order mark goes."""
+    d = spark.read.option("pathGlobFilter", glob).option("recursiveFileLookup", "true").option("lineSep", "\n#").text(path)
+    m = lambda n: F.col(f"_metadata.{n}")
+    return d.select(m("file_path").alias("path"), m("file_name").alias("file"), m("file_block_start").alias("part"), F.monotonically_increasing_id().alias("at"), F.col("value").alias("text"))
+
+
 def tag_library(texts: DataFrame) -> DataFrame:
     """chapter, theme, tag, expected_count of each four-column table row; headers and rules of tables have no number."""
     row = r"^\s*\|([^|]*)\|([^|]*)\|([^|]*)\|\s*(\d+)\s*\|\s*$"
