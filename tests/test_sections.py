@@ -59,3 +59,11 @@ def test_prj14_reads_by_sections(spark, tmp_path, monkeypatch):
     spark.createDataFrame([(k, "n", "b", "t", 7) for k in range(6)], "p_partkey long, p_name string, p_brand string, p_type string, p_size int").coalesce(1).write.parquet(str(tmp_path / "part.parquet"))
     got = {tuple(r) for r in Q.prj14_block_statuses(spark, str(tmp_path)).collect()}
     assert got == {(f"Q{k}", "PENDING" if k % 3 else "S2") for k in range(6)}
+
+
+def test_prj2_metadata_goes_on_over_a_cut(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(S, "read_texts", whole_texts)
+    parts = [(0, "n", "b", "a\n#b: c\n#d", 7), (1, "n", "b", "t", 7), (2, "n", "b", "t", 7), (3, "n", "b", "## x", 9)]  # types with lines that begin with a number sign
+    spark.createDataFrame(parts, "p_partkey long, p_name string, p_brand string, p_type string, p_size int").coalesce(1).write.parquet(str(tmp_path / "part.parquet"))
+    got = {tuple(r) for r in Q.prj2_metadata(spark, str(tmp_path)).collect()}
+    assert got == {("Q0", "a", "7"), ("Q1", None, None), ("Q2", None, None), ("Q3", "## x", "9")}
