@@ -67,3 +67,11 @@ def test_prj2_metadata_goes_on_over_a_cut(spark, tmp_path, monkeypatch):
     spark.createDataFrame(parts, "p_partkey long, p_name string, p_brand string, p_type string, p_size int").coalesce(1).write.parquet(str(tmp_path / "part.parquet"))
     got = {tuple(r) for r in Q.prj2_metadata(spark, str(tmp_path)).collect()}
     assert got == {("Q0", "a", "7"), ("Q1", None, None), ("Q2", None, None), ("Q3", "## x", "9")}
+
+
+def test_src1_finds_every_question(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(S, "read_texts", whole_texts)
+    parts = [(k, "a\n#b" if k % 2 else "n", "b", "t", 7) for k in range(40)]
+    spark.createDataFrame(parts, "p_partkey long, p_name string, p_brand string, p_type string, p_size int").repartition(3).write.parquet(str(tmp_path / "part.parquet"))
+    got = sorted(tuple(r) for r in Q.src1_question_files(spark, str(tmp_path)).collect())
+    assert got == sorted((f"Q{k}", k % 4 == 1, k % 2 == 0) for k in range(40))
