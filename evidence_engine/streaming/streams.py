@@ -33,7 +33,7 @@ def drain(stream: DataFrame, checkpoint: str, each: Callable[[DataFrame, int], N
 _STORE = "spark.sql.streaming.stateStore."
 ROCKS = {
     _STORE + "providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
-    _STORE + "rocksdb.boundedMemoryUsage": "true", _STORE + "rocksdb.maxMemoryUsageMB": "256",
+    _STORE + "rocksdb.boundedMemoryUsage": "true", _STORE + "rocksdb.maxMemoryUsageMB": "128",
 }
 
 
